@@ -54,3 +54,16 @@ def bucket_of(id_col: str, n: int) -> Column:
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Ask for a broadcast where the counted rows are within the limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size_col: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups on key, where size_col says how many of the total rows a group has.
+
+    Groups over a thousandth of the rows, so fewer than a thousand groups, are
+    broadcast, and their rows stay where they are; only the rows of smaller
+    groups shuffle. groups should be stashed: it is read twice. A left join
+    keeps rows without a group.
+    """
+    hot = F.broadcast(groups.where(F.col(size_col) * 1000 > total))
+    cold = groups.where(F.col(size_col) * 1000 <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stash, text_or_empty
+from .common import attach, read, stash, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 30  # 128 MB of bitmaps is the most that is broadcast
-HOT_SHARE = 1000  # a group over 1/1000 of the rows is hot, so at most 1000 are
 
 
 def _positions(h: Column, bits: int) -> list[Column]:
@@ -23,18 +22,29 @@ def _bit_is_set(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.conv(F.hex(byte), 16, 10).cast("long").bitwiseAND(F.pow(F.lit(2), bit % 8).cast("long")) != 0, F.lit(False))
 
 
+def _bitmaps(positions: DataFrame) -> DataFrame:
+    return positions.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+
+
+def _exploded(hashes: DataFrame, bits: int) -> DataFrame:
+    return hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("p"))
+
+
+def position_bitmaps(hashes: DataFrame, bits: int) -> DataFrame:
+    """A Bloom filter of the hashes h (bigint) as bitmaps (bucket, bitmap)."""
+    return _bitmaps(_exploded(hashes, bits))
+
+
 def repeat_filter(hashes: DataFrame, bits: int) -> DataFrame:
-    """Pass one: bitmaps (bucket, bitmap) of the filter positions that two or more rows set.
+    """Pass one: a filter of the positions that two or more rows set.
 
-    hashes: one column h (bigint). Counting positions with partial sums keeps a
-    hot hash from landing in one task.
+    Counting positions with partial sums keeps a hot hash from landing in one task.
     """
-    counted = hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("p")).groupBy("p").count().where("count > 1")
-    return counted.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    return _bitmaps(_exploded(hashes, bits).groupBy("p").count().where("count > 1"))
 
 
-def flag_possible_repeats(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Pass two: adds maybe, true where every position of the row's hash was set by two or more rows."""
+def flag_positions(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """Pass two: adds maybe, true where the filter holds every position of the row's hash h."""
     for k, p in enumerate(_positions(F.col("h"), bits)):
         side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}")))
         rows = rows.withColumn(f"p{k}", p).withColumn(f"bucket{k}", F.bitmap_bucket_number(f"p{k}")).join(side, f"bucket{k}", "left")
@@ -60,16 +70,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = stash(rows, "digests")
     n = rows.count()
     bits = min(MAX_BITS, 1 << max(15, (BITS_PER_ROW * n - 1).bit_length()))
-    flagged = flag_possible_repeats(rows, stash(repeat_filter(rows.select("h"), bits), "repeat-bits"), bits)
+    flagged = flag_positions(rows, stash(repeat_filter(rows.select("h"), bits), "repeat-bits"), bits)
     maybe = flagged.where("maybe").select("doc_id", "sha", "rid")
     groups = stash(maybe.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep")), "groups")
-    is_hot = F.col("group_size") * HOT_SHARE > n
-    hot, cold = groups.where(is_hot), groups.where(~is_hot)
-    out = [F.col("doc_id"), F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
-    in_hot = maybe.join(F.broadcast(hot), "sha").select(*out)
-    in_cold = maybe.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(cold, "sha").select(*out)
+    found = attach(maybe, groups, "sha", "group_size", n)
+    found = found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    return alone.unionByName(in_hot).unionByName(in_cold)
+    return alone.unionByName(found)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, quality, secret_scan
+from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, secret_scan
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_language_id": language_id.op2_language_id,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_quality": quality.op6_quality,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+}
