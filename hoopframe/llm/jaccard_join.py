@@ -6,17 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach, read, stash
 from .exact_dedup import BITS_PER_ROW, MAX_BITS, flag_positions, position_bitmaps
 from .graph import components
+from .regions import join_regions
 from .shingles import chunks, set_keys, shingles
 
-LEAF = 16  # members of a region that is joined without a further split
-PIVOTS = 8  # pivots of a larger region in its second round; four times as many in each later one
-
 
 def _sketch_slots(n_docs: int) -> int:
     return 1 << min(22, max(16, (n_docs - 1).bit_length() if n_docs > 1 else 1))
@@ -95,79 +93,13 @@ def sets_of(docs: DataFrame, keys: DataFrame, n_keys: int, k: int, text_col: str
     return stash(near.groupBy("key").agg(F.any_value("shingles").alias("shingles")).join(keys, "key", "left_semi"), "candidate-sets")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with the sizes of their sets and of the intersection."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) with linked, and far, the Jaccard distance of their sets."""
     left, right = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"))
-
-
-def _links(percent: int) -> Column:
-    return F.col("common") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))
-
-
-def _open_regions(members: DataFrame) -> DataFrame:
-    """members(region, key, n, label) of regions that hold two labels or more, with the number of members."""
-    regions = members.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    regions = stash(regions.where("lo != hi").select("region", "size"), "regions")
-    total = regions.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return stash(attach(members, regions, "region", "size", total), "members")
-
-
-def join_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) that connect the members (region, key, n) of each region: pairs within a region that aren't
-    listed lie in one class already.
-
-    Every round compares the members of each region with its pivots, gives
-    members linked to a pivot the pivot's label, and drops the pivots and the
-    regions that one label fills. Pairs of one label aren't compared. A region
-    of at most LEAF members is all pivots. In a larger one, each member goes
-    to the cell of its nearest pivot and of every pivot not farther by more
-    than twice the greatest distance of a link: two linked members have a cell
-    in common, by the triangle inequality. Where such cells would not shrink
-    the region it stays whole, and more pivots follow.
-    """
-    eps = 1 - percent / 100
-    label = F.xxhash64("key")
-    members = _open_regions(members.select("region", "key", "n", label.alias("label"), label.alias("rank")))
-    done, turn = None, 0
-    while not members.isEmpty():
-        turn += 1
-        most = 1 if turn == 1 else PIVOTS * 4 ** (turn - 2)
-        first = F.lit(0) if turn % 2 else (F.col("label") != F.col("rank")).cast("int")  # every other turn, members without a link lead
-        own = Window.partitionBy("region").orderBy(first, "rank")
-        limit = F.when(F.lit(turn > 1) & (F.col("size") <= LEAF), F.lit(LEAF)).otherwise(F.lit(most))
-        pivots = members.withColumn("place", F.row_number().over(own)).where(F.col("place") <= max(most, LEAF) if turn > 1 else F.col("place") <= 1)
-        pivots = stash(pivots.where(F.col("place") <= limit).select("region", F.col("key").alias("pivot"), F.col("n").alias("n_pivot"), F.col("label").alias("pivot_label")), "pivots")
-        met = members.join(pivots, "region").where("key != pivot")
-        sized = (F.least("n", "n_pivot") * 100 >= F.greatest("n", "n_pivot") * percent) & (F.col("label") != F.col("pivot_label"))
-        wanted = met.where(sized | (F.lit(turn > 1) & (F.col("size") > LEAF))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        fresh = measured(wanted if done is None else wanted.join(done, ["a", "b"], "left_anti"), sets)
-        fresh = stash(fresh, "measured")
-        done = fresh if done is None else stash(done.unionByName(fresh), "measured")
-        links = fresh.where(_links(percent))
-        labels = links.select(F.col("a").alias("key"), F.xxhash64("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.xxhash64("a").alias("other")))
-        labels = stash(labels.groupBy("key").agg(F.min("other").alias("other"), F.count("*").alias("degree")), "labels")
-        named = members.join(labels.select("key", "other"), "key", "left").withColumn("label", F.least("label", F.coalesce("other", "label"))).drop("other")
-        rest = named.join(pivots.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
-        if turn > 1:
-            rest = _cells(rest.where(F.col("size") > LEAF), pivots, done, eps, turn)
-        members = _open_regions(rest.select("region", "key", "n", "label", "rank"))
-    return done.where(_links(percent)).select("a", "b") if done is not None else members.select(F.col("key").alias("a"), F.col("key").alias("b"))
-
-
-def _cells(members: DataFrame, pivots: DataFrame, done: DataFrame, eps: float, turn: int) -> DataFrame:
-    """members of large regions in the cells of their pivots, or where those don't shrink, as they were."""
-    pairs = members.join(pivots.select("region", "pivot"), "region").withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")})
-    far = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    pairs = pairs.join(done, ["a", "b"]).withColumn("far", far)
-    nearest = pairs.groupBy("region", "key").agg(F.min("far").alias("nearest"))
-    pairs = pairs.join(nearest, ["region", "key"]).where(F.col("far") <= F.col("nearest") + 2 * eps + 1e-9)
-    cells = stash(pairs.select("region", "pivot", "key", "n", "label", "rank", "size"), "cells")
-    gain = cells.groupBy("region").agg((F.count("*") <= 2 * F.first("size")).alias("split"))
-    cells = cells.join(gain, "region").where("split").select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "key", "n", "label", "rank")
-    whole = members.join(gain.where("not split"), "region", "left_semi").select("region", "key", "n", "label", "rank")
-    return cells.unionByName(whole)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), F.size("set_a") + F.size("set_b"))
+    both = both.toDF("a", "b", "common", "sizes")
+    union = F.col("sizes") - F.col("common")
+    return both.select("a", "b", (F.col("common") * 100 >= union * percent).alias("linked"), (1 - F.col("common") / union).alias("far"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +131,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = stash(near.groupBy("region", "key", "n").agg(F.count("*").alias("_")).drop("_").join(live, "region", "left_semi"), "members")
     keys = stash(members.select("key").distinct(), "keys")
     wanted = sets_of(docs, keys, keys.count(), k, text_col)
-    roots = components(join_links(members, wanted, percent))
+    links = join_regions(
+        members,
+        lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent,
+        lambda pairs: measured(pairs, wanted, percent),
+        radius=1 - percent / 100,
+    )
+    roots = components(links)
     own = stash(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "own")
     own = own.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     own = stash(own, "rooted")

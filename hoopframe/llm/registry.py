@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, secret_scan
+from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, quality, secret_scan
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
