@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, quality, secret_scan
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_language_id": language_id.op2_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_quality": quality.op6_quality,
+    "op7_chat_format": chat_format.op7_chat_format,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
@@ -17,4 +19,5 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op7_chat_format": chat_format.SQL,
 }
