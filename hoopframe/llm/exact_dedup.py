@@ -2,55 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import filter_bits, flag_positions, repeat_filter
 from .common import attach, read, stash, text_or_empty
 
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 30  # 128 MB of bitmaps is the most that is broadcast
-
-
-def _positions(h: Column, bits: int) -> list[Column]:
-    # bitmap_bucket_number counts from 1
-    return [F.pmod(h, F.lit(bits)) + 1, F.pmod(F.xxhash64(h, F.lit(1)), F.lit(bits)) + 1]
-
-
-def _bit_is_set(bitmap: Column, position: Column) -> Column:
-    bit = F.bitmap_bit_position(position)
-    byte = F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))
-    return F.coalesce(F.conv(F.hex(byte), 16, 10).cast("long").bitwiseAND(F.pow(F.lit(2), bit % 8).cast("long")) != 0, F.lit(False))
-
-
-def _bitmaps(positions: DataFrame) -> DataFrame:
-    return positions.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-
-
-def _exploded(hashes: DataFrame, bits: int) -> DataFrame:
-    return hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("p"))
-
-
-def position_bitmaps(hashes: DataFrame, bits: int) -> DataFrame:
-    """A Bloom filter of the hashes h (bigint) as bitmaps (bucket, bitmap)."""
-    return _bitmaps(_exploded(hashes, bits))
-
-
-def repeat_filter(hashes: DataFrame, bits: int) -> DataFrame:
-    """Pass one: a filter of the positions that two or more rows set.
-
-    Counting positions with partial sums keeps a hot hash from landing in one task.
-    """
-    return _bitmaps(_exploded(hashes, bits).groupBy("p").count().where("count > 1"))
-
-
-def flag_positions(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Pass two: adds maybe, true where the filter holds every position of the row's hash h."""
-    for k, p in enumerate(_positions(F.col("h"), bits)):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}")))
-        rows = rows.withColumn(f"p{k}", p).withColumn(f"bucket{k}", F.bitmap_bucket_number(f"p{k}")).join(side, f"bucket{k}", "left")
-    maybe = _bit_is_set(F.col("bitmap0"), F.col("p0")) & _bit_is_set(F.col("bitmap1"), F.col("p1"))
-    return rows.withColumn("maybe", maybe).drop("p0", "p1", "bucket0", "bucket1", "bitmap0", "bitmap1")
-
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -69,7 +26,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("rid"))
     rows = stash(rows, "digests")
     n = rows.count()
-    bits = min(MAX_BITS, 1 << max(15, (BITS_PER_ROW * n - 1).bit_length()))
+    bits = filter_bits(n)
     flagged = flag_positions(rows, stash(repeat_filter(rows.select("h"), bits), "repeat-bits"), bits)
     maybe = flagged.where("maybe").select("doc_id", "sha", "rid")
     groups = stash(maybe.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep")), "groups")

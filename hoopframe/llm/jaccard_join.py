@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import possible
 from .common import attach, read, stash
-from .exact_dedup import BITS_PER_ROW, MAX_BITS, flag_positions, position_bitmaps
 from .graph import components
 from .regions import join_regions
 from .shingles import chunks, set_keys, shingles
@@ -78,9 +78,6 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, text_col
 
 def sets_of(docs: DataFrame, keys: DataFrame, n_keys: int, k: int, text_col: str) -> DataFrame:
     """(key, shingles) for the sets that take part in a candidate pair, each once."""
-    bits = min(MAX_BITS, 1 << max(15, (BITS_PER_ROW * n_keys).bit_length()))
-    bitmaps = stash(position_bitmaps(keys.select(F.xxhash64("key").alias("h")), bits), "key-bits")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
@@ -89,7 +86,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, n_keys: int, k: int, text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(h, n).view(np.int64)), lists], ["key", "shingles"])
 
     sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, shingles array<long>")
-    near = flag_positions(sets.withColumn("h", F.xxhash64("key")), bitmaps, bits).where("maybe").select("key", "shingles")
+    near = possible(sets.withColumn("h", F.xxhash64("key")), keys.select(F.xxhash64("key").alias("h")), n_keys).where("maybe").select("key", "shingles")
     return stash(near.groupBy("key").agg(F.any_value("shingles").alias("shingles")).join(keys, "key", "left_semi"), "candidate-sets")
 
 
@@ -125,9 +122,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     postings = stash(prefixes(docs, k, percent, sketch, text_col), "prefixes")
     live = postings.groupBy("region").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("region")
     live = stash(live, "live")
-    bits = min(MAX_BITS, 1 << max(15, (BITS_PER_ROW * live.count()).bit_length()))
-    bitmaps = stash(position_bitmaps(live.select(F.xxhash64("region").alias("h")), bits), "live-bits")
-    near = flag_positions(postings.withColumn("h", F.xxhash64("region")), bitmaps, bits).where("maybe")
+    near = possible(postings.withColumn("h", F.xxhash64("region")), live.select(F.xxhash64("region").alias("h")), live.count()).where("maybe")
     members = stash(near.groupBy("region", "key", "n").agg(F.count("*").alias("_")).drop("_").join(live, "region", "left_semi"), "members")
     keys = stash(members.select("key").distinct(), "keys")
     wanted = sets_of(docs, keys, keys.count(), k, text_col)

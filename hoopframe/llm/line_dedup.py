@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import possible
 from .common import ascii_lower, attach, read, stash, text_or_empty
-from .exact_dedup import BITS_PER_ROW, MAX_BITS, flag_positions, position_bitmaps
 from .graph import components
 from .regions import join_regions
 from .shingles import chunks, keys, mix, per_text, word_hashes
@@ -105,17 +105,11 @@ def _near(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS_APART
 
 
-def _few(rows: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
-    """rows whose h is among the n hashes h of wanted, and a few others: a Bloom filter in place of a shuffle."""
-    bits = min(MAX_BITS, 1 << max(15, (BITS_PER_ROW * n).bit_length()))
-    return flag_positions(rows, stash(position_bitmaps(wanted, bits), name), bits).where("maybe").drop("maybe", "h")
-
-
 def line_texts(docs: DataFrame, at: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(line, words) for lines at (d_id, d_hash, line_no, line): the normalised text."""
     per_doc = stash(at.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted")), "wanted-lines")
     rows = _documents(docs, id_col, text_col).select("d_id", "d_hash", "text", F.col("d_hash").alias("h"))
-    rows = _few(rows, per_doc.select(F.col("d_hash").alias("h")), per_doc.count(), "wanted-docs")
+    rows = possible(rows, per_doc.select(F.col("d_hash").alias("h")), per_doc.count()).where("maybe").select("d_id", "d_hash", "text")
     rows = rows.dropDuplicates(["d_id", "d_hash"]).join(per_doc, ["d_id", "d_hash"])
     found = rows.select(F.split("text", "\n").alias("all"), F.inline("wanted"))
     return stash(found.select("line", normalised(F.get("all", F.col("line_no").cast("int"))).alias("words")), "line-texts")
@@ -139,8 +133,8 @@ def line_classes(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     blocks = stash(blocks.where((F.col("size") > 2) | ((F.col("size") == 2) & _near(F.col("n_a"), F.col("n_b")))), "blocks")
     pairs = blocks.where("size = 2").select("a", "b").distinct()  # a block of two is its own pair
     full = blocks.where("size > 2").select("region")
-    members = _few(members.withColumn("h", F.xxhash64("region")), full.select(F.xxhash64("region").alias("h")), full.count(), "full-blocks")
-    members = stash(members.join(full, "region", "left_semi"), "block-members")
+    members = possible(members.withColumn("h", F.xxhash64("region")), full.select(F.xxhash64("region").alias("h")), full.count()).where("maybe")
+    members = stash(members.select("region", "key", "n").join(full, "region", "left_semi"), "block-members")
     used = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(members.select("key")).distinct()
     at = lines.join(used, "line", "left_semi").groupBy("line").agg(F.min(F.struct(*LINE)).alias("at")).select("line", "at.*")
     texts = line_texts(docs, at, id_col, text_col)
@@ -172,8 +166,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dropped = dropped.where(~F.struct(*LINE).eqNullSafe(F.col("keep"))).groupBy("d_id", "d_hash").agg(F.collect_set("line_no").alias("drop"))
     dropped = stash(dropped, "dropped-lines")
     rows = _documents(docs, id_col, text_col).withColumn("h", F.col("d_hash"))
-    bits = min(MAX_BITS, 1 << max(15, (BITS_PER_ROW * dropped.count()).bit_length()))
-    rows = flag_positions(rows, stash(position_bitmaps(dropped.select(F.col("d_hash").alias("h")), bits), "dropped-docs"), bits)
+    rows = possible(rows, dropped.select(F.col("d_hash").alias("h")), dropped.count())
     none = F.array().cast("array<bigint>")
     hit = rows.where("maybe").join(dropped, ["d_id", "d_hash"], "left").withColumn("drop", F.coalesce("drop", none))
     rows = rows.where("not maybe").withColumn("drop", none).unionByName(hit)

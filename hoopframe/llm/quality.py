@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import without_ids
 from .common import bucket_of, read, stash, text_or_empty
 
 MAX_TRAIN_ROWS = 40_000  # bound of the labelled sample that a model is fitted on
@@ -119,21 +120,36 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns(statistics(text_or_empty(text_col)))
 
 
+def label_per_id(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, label): several labels of one id count as their rounded mean; null labels don't count."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
+    return known.agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 if score >= 0.5).
 
     The statistics of each whole text are computed once and kept, without the
-    text; labels join on them. Several labels of one id count as their rounded
-    mean; null labels and labels without a document don't count. A null text
-    is empty, and an empty text has a score like any other. A null id has no
-    label and is not held out. Other columns of docs are not read.
+    text; labels join on them, and labels without a document don't count. A
+    null text is empty, and an empty text has a score like any other. A null
+    id has no label and is not held out. Other columns of docs are not read.
     """
     stats = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text"))
     stats = stash(with_statistics(stats).drop("text"), "statistics")
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    model = fit(stats.where(~F.col("held_out")).join(marks, "doc_id"), "label")
+    model = fit(stats.where(~F.col("held_out")).join(label_per_id(labels, id_col, label_col), "doc_id"), "label")
     return stats.select("doc_id", "held_out", model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that the model scores at 0.5 or more, unchanged; it learns from those that aren't held out.
+
+    Rows that share an id go if the model rejects one of them; a row without
+    an id stays.
+    """
+    scored = score_documents(docs, labels, held_out, id_col, label_col)
+    rejected = scored.where("predicted = 0").select(F.col("doc_id").alias(id_col))
+    return without_ids(docs, rejected, id_col)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), bucket_of("doc_id", 3) == 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
