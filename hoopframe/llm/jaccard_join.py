@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import possible
@@ -15,6 +15,8 @@ from .graph import components
 from .regions import join_regions
 from .shingles import chunks, set_keys, shingles
 
+CLASSES = 64  # of shingles by hash: their counts are the coordinates in which large regions split
+
 
 def _sketch_slots(n_docs: int) -> int:
     return 1 << min(22, max(16, (n_docs - 1).bit_length() if n_docs > 1 else 1))
@@ -25,23 +27,32 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int, slots: int, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, key) per document, and rows (slot, count) of a count sketch per task."""
+    """One pass over the texts: a row (doc_id, h, n, key, classes) per document, and rows (slot, count) of a count sketch per task.
+
+    h is a hash of the text, key one of its set of shingles, and classes says
+    how many of the set's shingles fall in each of CLASSES classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "h", "n", "key", "classes", "slot", "count"]
         sketch = np.zeros(slots, np.int64)
         for batch in batches:
-            ids = batch.column(0)
-            for first, data, offsets in chunks(batch.column(1)):
+            ids, hashes = batch.column(0), batch.column(1)
+            for first, data, offsets in chunks(batch.column(2)):
                 h, n = shingles(data, offsets, k)
                 sketch += np.bincount(_slot(h, slots), minlength=slots)
+                cell = np.repeat(np.arange(len(n)), n) * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64)
+                counts = pa.array(np.bincount(cell, minlength=CLASSES * len(n)), pa.int32())
+                classes = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * CLASSES, pa.int32()), counts)
                 none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids[first : first + len(n)], pa.array(n, pa.int64()), pa.array(set_keys(h, n).view(np.int64)), none, none], ["doc_id", "n", "key", "slot", "count"])
+                own = slice(first, first + len(n))
+                yield pa.RecordBatch.from_arrays([ids[own], hashes[own], pa.array(n, pa.int64()), pa.array(set_keys(h, n).view(np.int64)), classes, none, none], names)
         used = np.flatnonzero(sketch)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int64()), pa.array(sketch[used])], ["doc_id", "n", "key", "slot", "count"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(used), pa.list_(pa.int32())), pa.array(used, pa.int64()), pa.array(sketch[used])], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stash(rows.mapInArrow(run, "doc_id long, n long, key long, slot long, count long"), "sets")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return stash(rows.mapInArrow(run, "doc_id long, h long, n long, key long, classes array<int>, slot long, count long"), "sets")
 
 
 def load_sketch(sets: DataFrame, slots: int) -> np.ndarray:
@@ -76,8 +87,11 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, text_col
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "region long, key long, n long")
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, n_keys: int, k: int, text_col: str) -> DataFrame:
-    """(key, shingles) for the sets that take part in a candidate pair, each once."""
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text_col: str) -> DataFrame:
+    """(key, shingles) for the wanted (key, h), each once; only texts that a Bloom filter of h lets through are read again."""
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    texts = possible(texts, wanted.select("h"), wanted.count()).where("maybe").select("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
@@ -85,18 +99,38 @@ def sets_of(docs: DataFrame, keys: DataFrame, n_keys: int, k: int, text_col: str
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(h, n).view(np.int64)), lists], ["key", "shingles"])
 
-    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, shingles array<long>")
-    near = possible(sets.withColumn("h", F.xxhash64("key")), keys.select(F.xxhash64("key").alias("h")), n_keys).where("maybe").select("key", "shingles")
-    return stash(near.groupBy("key").agg(F.any_value("shingles").alias("shingles")).join(keys, "key", "left_semi"), "candidate-sets")
+    sets = texts.mapInArrow(run, "key long, shingles array<long>").join(wanted.select("key"), "key", "left_semi")
+    return stash(sets.dropDuplicates(["key"]), "candidate-sets")
+
 
+def _class_distance(a: str, b: str) -> Column:
+    """The L1 distance of two class counts: at most the size of the sets' symmetric difference."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) with linked, and far, the Jaccard distance of their sets."""
+
+def measured(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
+    """Distinct pairs (a, b) with linked. known: (key, h, n, classes) per set.
+
+    The class counts bound the intersection from above; only sets of pairs
+    within that bound are read.
+    """
+    left, right = (known.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("classes").alias(f"classes_{c}"), F.col("h").alias(f"h_{c}")) for c in "ab")
+    near = pairs.join(left, "a").join(right, "b")
+    sizes = F.col("n_a") + F.col("n_b")
+    bound = sizes - _class_distance("classes_a", "classes_b")  # twice the largest possible intersection
+    near = stash(near.where(bound * 100 >= (2 * sizes - bound) * percent).select("a", "b", "h_a", "h_b"), "near-pairs")
+    wanted = near.select(F.col("a").alias("key"), F.col("h_a").alias("h")).unionByName(near.select(F.col("b").alias("key"), F.col("h_b").alias("h")))
+    sets = sets_of(docs, stash(wanted.distinct(), "wanted-sets"), k, text_col)
     left, right = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), F.size("set_a") + F.size("set_b"))
-    both = both.toDF("a", "b", "common", "sizes")
-    union = F.col("sizes") - F.col("common")
-    return both.select("a", "b", (F.col("common") * 100 >= union * percent).alias("linked"), (1 - F.col("common") / union).alias("far"))
+    both = near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    return both.select("a", "b", (F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).alias("linked"))
+
+
+def from_pivots(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Adds far, the distance of the class counts of key and pivot, and reach, the largest symmetric difference of a link of key."""
+    left, right = (known.select(F.col("key").alias(c), F.col("classes").alias(f"classes_{c}")) for c in ("key", "pivot"))
+    far = rows.join(left, "key").join(right, "pivot").withColumn("far", _class_distance("classes_key", "classes_pivot").cast("double"))
+    return far.withColumn("reach", F.col("n") * ((100 - percent) / percent)).drop("classes_key", "classes_pivot")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,28 +152,28 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     slots = _sketch_slots(docs.count())
     sets = shingle_sets(docs, k, slots, id_col, text_col)
     sketch = load_sketch(sets, slots)
-    rows = sets.where("n is not null").select("doc_id", "n", "key")
+    rows = sets.where("n is not null").select("doc_id", "h", "n", "key", "classes")
     postings = stash(prefixes(docs, k, percent, sketch, text_col), "prefixes")
     live = postings.groupBy("region").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("region")
     live = stash(live, "live")
     near = possible(postings.withColumn("h", F.xxhash64("region")), live.select(F.xxhash64("region").alias("h")), live.count()).where("maybe")
     members = stash(near.groupBy("region", "key", "n").agg(F.count("*").alias("_")).drop("_").join(live, "region", "left_semi"), "members")
-    keys = stash(members.select("key").distinct(), "keys")
-    wanted = sets_of(docs, keys, keys.count(), k, text_col)
+    own = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("h").alias("h"), F.any_value("classes").alias("classes"))
+    own = stash(own, "own")
+    known = stash(own.join(members.select("key").distinct(), "key", "left_semi"), "known-sets")
     links = join_regions(
         members,
         lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent,
-        lambda pairs: measured(pairs, wanted, percent),
-        radius=1 - percent / 100,
+        lambda pairs: measured(pairs, known, docs, k, percent, text_col),
+        lambda pairs: from_pivots(pairs, known, percent),
     )
     roots = components(links)
-    own = stash(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "own")
-    own = own.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = own.select("key", "first_id", "copies").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     own = stash(own, "rooted")
     least = stash(own.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("sets")), "least")
     named = stash(attach(own, least, "root", "sets", own.count()).select("key", "copies", "component_id"), "classes")
     total = rows.count()
-    linked = attach(rows.where("n > 0"), named, "key", "copies", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = attach(rows.where("n > 0").select("doc_id", "n", "key"), named, "key", "copies", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,44 +22,45 @@ def _open_regions(members: DataFrame) -> DataFrame:
     return stash(attach(members, regions, "region", "size", total), "members")
 
 
-def _cells(members: DataFrame, pivots: DataFrame, done: DataFrame, radius: float, turn: int) -> DataFrame:
+def _cells(members: DataFrame, pivots: DataFrame, distance: Callable[[DataFrame], DataFrame], turn: int) -> DataFrame:
     """Members of large regions in the cells of their pivots, or where those don't shrink the region, as they were."""
-    pairs = members.join(pivots.select("region", "pivot"), "region").withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")})
-    pairs = pairs.join(done.select("a", "b", "far"), ["a", "b"])
+    pairs = distance(members.join(pivots.select("region", "pivot"), "region"))
+    pairs = stash(pairs.select("region", "pivot", "key", "n", "label", "rank", "size", "far", "reach"), "distances")
     nearest = pairs.groupBy("region", "key").agg(F.min("far").alias("nearest"))
-    pairs = pairs.join(nearest, ["region", "key"]).where(F.col("far") <= F.col("nearest") + 2 * radius + 1e-9)
-    cells = stash(pairs.select("region", "pivot", "key", "n", "label", "rank", "size"), "cells")
-    gain = cells.groupBy("region").agg((F.count("*") <= 2 * F.first("size")).alias("split"))
+    cells = pairs.join(nearest, ["region", "key"]).where(F.col("far") <= F.col("nearest") + 2 * F.col("reach") + 1e-9)
+    cells = stash(cells.select("region", "pivot", "key", "n", "label", "rank", "size"), "cells")
+    gain = cells.groupBy("region").agg((F.count("*") <= PIVOTS / 2 * F.first("size")).alias("split"))
     split = cells.join(gain, "region").where("split").select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "key", "n", "label", "rank")
     whole = members.join(gain.where("split"), "region", "left_anti").select("region", "key", "n", "label", "rank")
     return split.unionByName(whole)
 
 
-def join_regions(members: DataFrame, compatible: Callable[[Column, Column], Column], measure: Callable[[DataFrame], DataFrame], radius: float | None = None) -> DataFrame:
+def join_regions(members: DataFrame, compatible: Callable[[Column, Column], Column], measure: Callable[[DataFrame], DataFrame], distance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) between the members (region, key, n) that lose no connection: two linked members of a region that
     aren't listed lie in one class of the links that are.
 
-    measure: adds to pairs (a, b) whether they are linked, and with a radius
-    also far, their distance in a metric in which links are at most radius
-    apart. compatible: a cheap test on the n of both that every link passes.
+    compatible: a cheap test on the n of both that every link passes. measure:
+    which pairs (a, b) are linked, as rows (a, b, linked); pairs that it leaves
+    out are not. distance: adds to rows with key and pivot far, their distance
+    in some metric, and reach, the most that anything linked to key is away
+    from it in that metric.
 
     Every round compares the members of each region with its pivots, gives
     members linked to a pivot the pivot's label, and drops the pivots and the
     regions that one label fills. Pairs of one label aren't compared. A region
     of at most LEAF members is all pivots in its second round. In a larger one
     each member then goes to the cell of its nearest pivot and of every pivot
-    not farther by more than twice the radius: two linked members have a cell
-    in common, by the triangle inequality. Where the cells together would be
-    over twice the region, and without a radius, it stays whole and more
-    pivots follow.
+    not farther by more than twice its reach: two linked members have a cell
+    in common, by the triangle inequality. Where the cells would not shrink
+    the region, and without a metric, it stays whole and more pivots follow.
     """
     label = F.xxhash64("key")
     members = _open_regions(members.select("region", "key", "n", label.alias("label"), label.alias("rank")))
-    done, turn = None, 0
+    done, links, turn = None, [], 0
     while not members.isEmpty():
         turn += 1
         large = F.lit(turn > 1) & (F.col("size") > LEAF)
-        most = 1 if turn == 1 else PIVOTS * 4 ** (turn - 2)
+        most = 1 if turn == 1 else PIVOTS * 4 ** ((turn - 2) // (2 if distance else 1))
         alone_first = F.lit(0) if turn % 2 else (F.col("label") != F.col("rank")).cast("int")
         place = F.row_number().over(Window.partitionBy("region").orderBy(alone_first, "rank"))
         pivots = members.withColumn("place", place).where(F.col("place") <= (1 if turn == 1 else max(most, LEAF)))
@@ -66,20 +68,17 @@ def join_regions(members: DataFrame, compatible: Callable[[Column, Column], Colu
         pivots = stash(pivots.select("region", F.col("key").alias("pivot"), F.col("n").alias("n_pivot"), F.col("label").alias("pivot_label")), "pivots")
         met = members.join(pivots, "region").where("key != pivot")
         useful = compatible(F.col("n"), F.col("n_pivot")) & (F.col("label") != F.col("pivot_label"))
-        if radius is not None:
-            useful |= large  # cells take the distances to all pivots
         wanted = met.where(useful).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        fresh = stash(measure(wanted if done is None else wanted.join(done, ["a", "b"], "left_anti")), "measured")
-        done = fresh if done is None else stash(done.unionByName(fresh), "measured")
-        links = fresh.where("linked")
-        labels = links.select(F.col("a").alias("key"), F.xxhash64("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.xxhash64("a").alias("other")))
+        wanted = stash(wanted if done is None else wanted.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = wanted if done is None else stash(done.unionByName(wanted), "pairs")
+        fresh = stash(measure(wanted).where("linked").select("a", "b"), "links")
+        links.append(fresh)
+        labels = fresh.select(F.col("a").alias("key"), F.xxhash64("b").alias("other")).unionByName(fresh.select(F.col("b").alias("key"), F.xxhash64("a").alias("other")))
         labels = labels.groupBy("key").agg(F.min("other").alias("other"))
         rest = members.join(labels, "key", "left").withColumn("label", F.least("label", F.coalesce("other", "label"))).drop("other")
         rest = rest.join(pivots.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
         if turn > 1:
             rest = rest.where(large)
-            rest = _cells(rest, pivots, done, radius, turn) if radius is not None else rest
+            rest = _cells(rest, pivots, distance, turn) if distance else rest
         members = _open_regions(rest.select("region", "key", "n", "label", "rank"))
-    if done is None:
-        return members.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    return done.where("linked").select("a", "b")
+    return reduce(DataFrame.unionByName, links) if links else members.select(F.col("key").alias("a"), F.col("key").alias("b"))
