@@ -18,6 +18,8 @@ from .shingles import chunks, keys, mix, per_text, word_hashes
 
 MIN_WORDS = 5
 MAX_BITS_APART = 3
+LONG = 4  # bytes of a word that the SimHash counts
+FEW = 4
 SIMILARITY = 0.8
 NO_ID = -(1 << 63)
 LINE = ["d_id", "d_hash", "line_no"]  # rows equal in id and text are one document
@@ -38,24 +40,34 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.append(bounds, len(data)), np.diff(np.searchsorted(feeds, offsets, "right")) + 1
 
 
-def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """64-bit SimHashes over the words and word pairs of each line."""
+def simhashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit SimHashes of lines of two words or more, over their words of LONG bytes and more.
+
+    Shorter words are mostly those that all lines share. A line with fewer
+    than FEW long words takes the pairs of neighbouring words besides. The
+    first feature decides ties.
+    """
     line = np.repeat(np.arange(len(counts)), counts)
-    pair = mix(words[:-1] * keys(2)[0] + words[1:] * keys(2)[1])[line[:-1] == line[1:]] if len(words) else words
+    long = lengths >= LONG
+    few = np.bincount(line[long], minlength=len(counts)) < FEW
+    paired = (line[:-1] == line[1:]) & few[line[:-1]]
+    pairs = mix(words[:-1] * keys(2)[0] + words[1:] * keys(2)[1])[paired] if len(words) else words
+    owner = np.concatenate([line[long], line[:-1][paired]])
+    order = np.argsort(owner, kind="stable")
+    values, own = np.concatenate([words[long], pairs])[order], np.bincount(owner, minlength=len(counts))
+    ends = np.cumsum(own)
     sums = np.zeros((len(counts), 64), np.int64)
-    for values, own in ((words, counts), (pair, np.maximum(counts - 1, 0))):
-        part, ends = np.zeros_like(sums), np.cumsum(own)
-        for first in range(16):  # four bits at a time, in lanes of 16 bits
-            lanes = per_text(np.add, _LANES[((values >> np.uint64(4 * first)) & np.uint64(15)).astype(np.int64)], own)
-            for b in range(4):
-                part[:, 4 * first + b] = (lanes >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-        for i in np.flatnonzero(own > 0xFFFF):  # their lanes overflow
-            v = values[ends[i] - own[i] : ends[i]]
-            part[i] = [int(((v >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
-        sums += part
-    total = counts + np.maximum(counts - 1, 0)
-    bits = (2 * sums > total[:, None]).astype(np.uint64)
-    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    for nibble in range(16):  # four bits at a time, in lanes of 16 bits
+        lanes = per_text(np.add, _LANES[((values >> np.uint64(4 * nibble)) & np.uint64(15)).astype(np.int64)], own)
+        for b in range(4):
+            sums[:, 4 * nibble + b] = (lanes >> np.uint64(16 * b)) & np.uint64(0xFFFF)
+    bit = np.arange(64, dtype=np.uint64)
+    for i in np.flatnonzero(own > 0xFFFF):  # their lanes overflow
+        v = values[ends[i] - own[i] : ends[i]]
+        sums[i] = [int(((v >> b) & np.uint64(1)).sum()) for b in bit]
+    tie = (values[ends - own][:, None] >> bit) & np.uint64(1) if len(values) else np.zeros((0, 64), np.uint64)
+    bits = np.where(2 * sums == own[:, None], tie, (2 * sums > own[:, None]).astype(np.uint64))
+    return (bits << bit).sum(axis=1, dtype=np.uint64)
 
 
 def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -65,15 +77,16 @@ def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: in
         for batch in batches:
             for first, data, offsets in chunks(batch.column(2)):
                 bounds, lines = line_bounds(data, offsets)
-                words, counts = word_hashes(data, bounds, _BLANK)
+                words, counts, lengths = word_hashes(data, bounds, _BLANK)
                 used = counts >= min_words
-                words, counts_used = words[np.repeat(used, counts)], counts[used]
+                kept = np.repeat(used, counts)
+                words, lengths, counts_used = words[kept], lengths[kept], counts[used]
                 place = np.arange(len(words)) - np.repeat(np.cumsum(counts_used) - counts_used, counts_used)
                 line = mix(per_text(np.add, mix(words) * keys(int(counts_used.max(initial=1)))[place], counts_used) + counts_used.astype(np.uint64))
                 text = np.repeat(np.arange(len(lines)), lines)
                 number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
                 row = pa.array(text[used] + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), pa.array(simhashes(words, counts_used).view(np.int64))], [*LINE, "line", "sim"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), pa.array(simhashes(words, counts_used, lengths).view(np.int64))], [*LINE, "line", "sim"])
 
     rows = _documents(docs, id_col, text_col)
     return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, "d_id long, d_hash long, line_no long, line long, sim long"), "lines")
@@ -110,9 +123,9 @@ def line_texts(docs: DataFrame, at: DataFrame, id_col: str, text_col: str) -> Da
     per_doc = stash(at.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted")), "wanted-lines")
     rows = _documents(docs, id_col, text_col).select("d_id", "d_hash", "text", F.col("d_hash").alias("h"))
     rows = possible(rows, per_doc.select(F.col("d_hash").alias("h")), per_doc.count()).where("maybe").select("d_id", "d_hash", "text")
-    rows = rows.dropDuplicates(["d_id", "d_hash"]).join(per_doc, ["d_id", "d_hash"])
-    found = rows.select(F.split("text", "\n").alias("all"), F.inline("wanted"))
-    return stash(found.select("line", normalised(F.get("all", F.col("line_no").cast("int"))).alias("words")), "line-texts")
+    found = rows.join(per_doc, ["d_id", "d_hash"]).select(F.split("text", "\n").alias("all"), F.inline("wanted"))
+    found = found.select("line", normalised(F.get("all", F.col("line_no").cast("int"))).alias("words"))
+    return stash(found.dropDuplicates(["line"]), "line-texts")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -123,9 +136,8 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (F.expr("levenshtein(words_a, words_b, most)") >= 0).alias("linked"))
 
 
-def line_classes(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(line, root) for the distinct lines that link with another."""
-    distinct = stash(lines.groupBy("line").agg(F.min("sim").alias("sim")), "distinct-lines")
+def line_classes(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(line, root) for the distinct lines (line, sim, first) that link with another."""
     masks = block_masks(distinct.count())
     regions = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
     members = distinct.select(F.explode(regions).alias("region"), F.col("line").alias("key"), F.col("sim").alias("n"))
@@ -136,7 +148,7 @@ def line_classes(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     members = possible(members.withColumn("h", F.xxhash64("region")), full.select(F.xxhash64("region").alias("h")), full.count()).where("maybe")
     members = stash(members.select("region", "key", "n").join(full, "region", "left_semi"), "block-members")
     used = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(members.select("key")).distinct()
-    at = lines.join(used, "line", "left_semi").groupBy("line").agg(F.min(F.struct(*LINE)).alias("at")).select("line", "at.*")
+    at = distinct.join(used, "line", "left_semi").select("line", "first.*")
     texts = line_texts(docs, at, id_col, text_col)
     links = join_regions(members, _near, lambda p: similar(p, texts, similarity))
     return components(links.unionByName(similar(pairs, texts, similarity).where("linked").select("a", "b"))).toDF("line", "root")
@@ -155,10 +167,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     any other. Rows equal in id and text are one document: they get the same
     decisions. All other columns of the input stay as they are.
     """
+    if min_words < 2:
+        raise ValueError("a SimHash takes two words")
     lines = fingerprint_lines(docs, id_col, text_col, min_words)
-    roots = line_classes(lines, docs, id_col, text_col, similarity)
-    counts = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
-    groups = stash(counts.join(roots, "line", "left").where("n > 1 or root is not null"), "line-groups")
+    distinct = lines.groupBy("line").agg(F.min("sim").alias("sim"), F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
+    distinct = stash(distinct, "distinct-lines")
+    roots = line_classes(distinct, docs, id_col, text_col, similarity)
+    groups = stash(distinct.drop("sim").join(roots, "line", "left").where("n > 1 or root is not null"), "line-groups")
     keep = groups.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
     groups = groups.join(keep, "root", "left").select("line", "n", F.coalesce("keep", "first").alias("keep"))
     groups = stash(groups, "line-keeps")

@@ -45,8 +45,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts (runs of bytes that aren't blank, folded) and the number of words of each text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts (runs of bytes that aren't blank, folded), the number of words of each text, and each word's bytes."""
     inside = ~blank[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -55,13 +55,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPAC
     at = np.flatnonzero(starts)
     counts = np.searchsorted(at, offsets[1:]) - np.searchsorted(at, offsets[:-1])
     if not len(at):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, np.zeros(0, np.int64)
     kept = np.cumsum(inside)
     first = kept[at] - 1  # of each word, among the bytes inside words
     letters = keys(256)[fold[data[inside]]]
     lengths = np.diff(first, append=len(letters))
     place = np.arange(len(letters)) - np.repeat(first, lengths)
-    return mix(np.add.reduceat(letters * keys(int(lengths.max()))[place], first) + lengths.astype(np.uint64)), counts
+    return mix(np.add.reduceat(letters * keys(int(lengths.max()))[place], first) + lengths.astype(np.uint64)), counts, lengths
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
     A text of fewer words, but not none, has one shingle of all of them.
     """
-    words, counts = word_hashes(data, offsets)
+    words, counts, _ = word_hashes(data, offsets)
     own = np.maximum(counts - k + 1, 0)
     ends = np.cumsum(counts)
     by = keys(k + 1)
