@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes of text that are hashed at a time; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text that are hashed at a time; a longer text is a chunk of its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
