@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,13 +128,20 @@ def _first(cases: list[tuple[Column, Column | str]], default: Column) -> Column:
     return out.otherwise(default)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clock_seconds(clock: Column | str, strict: bool = False) -> Column:
     """Seconds of MM:SS or of plain decimal seconds; null when it is neither. strict: the seconds part must be under 60."""
-    c = F.trim(_c(clock))
-    minutes = c.rlike(r"^-?\d+:-?\d{1,2}(\.\d+)?$")
-    m, s = F.split(c, ":").getItem(0).try_cast("double"), F.get(F.split(c, ":"), F.lit(1)).try_cast("double")
-    good = minutes & (s < 60) if strict else minutes
-    return F.when(good, m * 60 + s).when(~c.contains(":"), c.try_cast("double"))
+    def seconds(c: Column) -> Column:
+        minutes = c.rlike(r"^-?\d+:-?\d{1,2}(\.\d+)?$")
+        m, s = F.split(c, ":").getItem(0).try_cast("double"), F.get(F.split(c, ":"), F.lit(1)).try_cast("double")
+        good = minutes & (s < 60) if strict else minutes
+        return F.when(good, m * 60 + s).when(~c.contains(":"), c.try_cast("double"))
+
+    return _let(F.trim(_c(clock)), seconds)
 
 
 def clamp_clock(clock: Column | str) -> Column:
@@ -369,17 +377,19 @@ def long_date(iso: Column | str) -> Column:
 
 def clean_ocr_clock(text: Column | str) -> Column:
     """A clock in a reading: look-alike letters as digits; M:SS with : or ., then S.d under a minute, then three or four digits."""
-    t = F.translate(F.trim(F.upper(_c(text))), "OISBZ", "01582")
-    mm, ss = (F.regexp_extract(t, r"(?<!\d)(\d{1,2})[.:](\d{2})(?!\d)", i) for i in (1, 2))
-    tenth = F.replace(F.regexp_extract(t, r"(?<!\d)(\d{1,2}[.:]\d)(?!\d)", 1), F.lit(":"), F.lit("."))
-    digits = F.regexp_extract(t, r"^\d{3,4}$", 0)
-    seconds = F.right(digits, F.lit(2))
-    compact = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 2), F.lit(":"), seconds)
-    return (
-        F.when(mm != "", F.when(ss.cast("int") < 60, F.concat(mm, F.lit(":"), ss)))
-        .when(tenth != "", F.when(tenth.cast("double") < 60, tenth))
-        .when((digits != "") & (seconds.try_cast("int") < 60), compact)
-    )
+    def clock(t: Column) -> Column:
+        mm, ss = (F.regexp_extract(t, r"(?<!\d)(\d{1,2})[.:](\d{2})(?!\d)", i) for i in (1, 2))
+        tenth = F.replace(F.regexp_extract(t, r"(?<!\d)(\d{1,2}[.:]\d)(?!\d)", 1), F.lit(":"), F.lit("."))
+        digits = F.regexp_extract(t, r"^\d{3,4}$", 0)
+        seconds = F.right(digits, F.lit(2))
+        compact = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 2), F.lit(":"), seconds)
+        return (
+            F.when(mm != "", F.when(ss.try_cast("int") < 60, F.concat(mm, F.lit(":"), ss)))
+            .when(tenth != "", F.when(tenth.try_cast("double") < 60, tenth))
+            .when((digits != "") & (seconds.try_cast("int") < 60), compact)
+        )
+
+    return _let(F.translate(F.trim(F.upper(_c(text))), "OISBZ", "01582"), clock)
 
 
 def tag_question(text: Column | str) -> Column:
