@@ -25,9 +25,8 @@ def _open_regions(members: DataFrame) -> DataFrame:
 def _cells(members: DataFrame, pivots: DataFrame, distance: Callable[[DataFrame], DataFrame], turn: int) -> DataFrame:
     """Members of large regions in the cells of their pivots, or where those don't shrink the region, as they were."""
     pairs = distance(members.join(pivots.select("region", "pivot"), "region"))
-    pairs = stash(pairs.select("region", "pivot", "key", "n", "label", "rank", "size", "far", "reach"), "distances")
-    nearest = pairs.groupBy("region", "key").agg(F.min("far").alias("nearest"))
-    cells = pairs.join(nearest, ["region", "key"]).where(F.col("far") <= F.col("nearest") + 2 * F.col("reach") + 1e-9)
+    nearest = F.min("far").over(Window.partitionBy("region", "key"))  # one row per pivot
+    cells = pairs.withColumn("nearest", nearest).where(F.col("far") <= F.col("nearest") + 2 * F.col("reach") + 1e-9)
     cells = stash(cells.select("region", "pivot", "key", "n", "label", "rank", "size"), "cells")
     gain = cells.groupBy("region").agg((F.count("*") <= PIVOTS / 2 * F.first("size")).alias("split"))
     split = cells.join(gain, "region").where("split").select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "key", "n", "label", "rank")
@@ -46,7 +45,7 @@ def join_regions(members: DataFrame, compatible: Callable[[Column, Column], Colu
     from it in that metric.
 
     Every round compares the members of each region with its pivots, gives
-    members linked to a pivot the pivot's label, and drops the pivots and the
+    members linked to a pivot the lesser of both labels, and drops the pivots and the
     regions that one label fills. Pairs of one label aren't compared. A region
     of at most LEAF members is all pivots in its second round. In a larger one
     each member then goes to the cell of its nearest pivot and of every pivot
@@ -56,7 +55,7 @@ def join_regions(members: DataFrame, compatible: Callable[[Column, Column], Colu
     """
     label = F.xxhash64("key")
     members = _open_regions(members.select("region", "key", "n", label.alias("label"), label.alias("rank")))
-    done, links, turn = None, [], 0
+    done, links, turn = [], [], 0
     while not members.isEmpty():
         turn += 1
         large = F.lit(turn > 1) & (F.col("size") > LEAF)
@@ -69,11 +68,18 @@ def join_regions(members: DataFrame, compatible: Callable[[Column, Column], Colu
         met = members.join(pivots, "region").where("key != pivot")
         useful = compatible(F.col("n"), F.col("n_pivot")) & (F.col("label") != F.col("pivot_label"))
         wanted = met.where(useful).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        wanted = stash(wanted if done is None else wanted.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = wanted if done is None else stash(done.unionByName(wanted), "pairs")
-        fresh = stash(measure(wanted).where("linked").select("a", "b"), "links")
-        links.append(fresh)
-        labels = fresh.select(F.col("a").alias("key"), F.xxhash64("b").alias("other")).unionByName(fresh.select(F.col("b").alias("key"), F.xxhash64("a").alias("other")))
+        for before in done:
+            wanted = wanted.join(before, ["a", "b"], "left_anti")
+        wanted = stash(wanted, "pairs")
+        if wanted.isEmpty():
+            fresh = wanted
+        else:
+            done.append(wanted)
+            fresh = stash(measure(wanted).where("linked").select("a", "b"), "links")
+            links.append(fresh)
+        now = members.select("key", "label").distinct()
+        ends = fresh.join(now.toDF("a", "label_a"), "a").join(now.toDF("b", "label_b"), "b")
+        labels = ends.select(F.col("a").alias("key"), F.col("label_b").alias("other")).unionByName(ends.select(F.col("b").alias("key"), F.col("label_a").alias("other")))
         labels = labels.groupBy("key").agg(F.min("other").alias("other"))
         rest = members.join(labels, "key", "left").withColumn("label", F.least("label", F.coalesce("other", "label"))).drop("other")
         rest = rest.join(pivots.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
