@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import candidates, evaluation, links, lineups, possessions, quality, reports, sync, timeline
+from ..operators import candidates, evaluation, links, lineups, possessions, quality, reports, scope, sync, timeline
 from . import views
 from .queries import POSSESSIONS_SQL, register, simple
 from .views import ACTIONS_SQL, OBSERVATIONS_SQL, PLAYERS_SQL, with_
@@ -269,3 +269,51 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = views.read(spark, sf_dir, "conversations")
     return q.select("conv_id", "turn", c.tag_question("text").alias("kind"), F.array_join(c.tag_shot_styles("text"), ",").alias("styles"), c.profile_subject("text").alias("subject"), c.first_sentences("text", 2).alias("opening"))
 
+
+
+# Attributes, referees and run logs derived from the tables.
+@register(
+    "collapse_multivalued",
+    with_(ACTIONS_SQL, PLAYERS_SQL) + """ SELECT player_id, 'Customer ' || CAST(substr(player_id, 2) AS INTEGER) AS label, 'img/' || player_id AS image,
+    CASE CAST(substr(player_id, 2) AS INTEGER) % 3 WHEN 0 THEN 'Forward / Guard' WHEN 1 THEN 'Guard' ELSE 'Center' END AS position FROM players""",
+)
+def _collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.substring("player_id", 2, 9).cast("int")
+    roles = F.when(n % 3 == 0, F.array(F.lit("Guard"), F.lit("Forward"), F.lit("Guard"))).when(n % 3 == 1, F.array(F.lit("Guard"))).otherwise(F.array(F.lit("Center")))
+    p = views.players(spark, sf_dir).select("player_id", "name", n.alias("n"), roles.alias("roles"))
+    label = p.select("player_id", F.lit("label").alias("attr"), F.explode(F.array("name", F.concat(F.lit("Customer "), F.col("n").cast("string")))).alias("value"))
+    image = p.select("player_id", F.lit("image").alias("attr"), F.concat(F.lit("img/"), "player_id").alias("value"))
+    return reports.collapse_multivalued(label.unionByName(image).unionByName(p.select("player_id", F.lit("position").alias("attr"), F.explode("roles").alias("value"))))
+
+
+def _refereed(a: DataFrame) -> DataFrame:
+    referees = a.select("game_id", F.concat(F.lit("R"), (F.col("game_code").cast("int") % 5).cast("string")).alias("referee_id")).distinct()
+    return scope.refereed_by(a, referees, "R3").select("action_id")
+
+
+simple("refereed_by", " SELECT action_id FROM actions WHERE CAST(game_code AS INTEGER) % 5 = 3", _refereed)
+simple(
+    "same_results",
+    """, l AS (SELECT team_id, list_sort(list_distinct(list(player_id))) AS ids, sum(points) AS t FROM actions WHERE season_code = 'E2023' AND points IS NOT NULL GROUP BY 1),
+    r AS (SELECT team_id, list_sort(list_distinct(list(player_id))) AS ids, sum(points) AS t FROM actions WHERE points IS NOT NULL GROUP BY 1)
+    SELECT team_id, l.ids IS NOT DISTINCT FROM r.ids AS same_ids, coalesce(abs(l.t - r.t) <= 1e-4, FALSE) AS same_total FROM l FULL JOIN r USING (team_id)""",
+    lambda a: evaluation.same_results(a.where("season_code = 'E2023' and points is not null"), a.where("points is not null"), ["team_id"], "player_id", "points"),
+)
+
+
+@register(
+    "run_scorecard",
+    """WITH g AS (SELECT lang AS provider, source AS model, CASE WHEN quality = 1 THEN 'long' ELSE 'short' END AS prompt_variant, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))
+    SELECT provider, model, prompt_variant, count(*) AS runs, count(*) FILTER (quality = 1) AS completed, count(*) FILTER (toxic = 0) AS safe, count(*) FILTER (n_chars > 1000) AS scoped, count(*) FILTER (toxic = quality) AS overlay,
+    count(*) FILTER (quality = 1) AS query_correct_human, count(*) FILTER (toxic = 0) AS result_correct_human, sum(n_chars) AS input_tokens, sum(n_chars // 10) AS output_tokens,
+    sum(n_chars) AS cost_units, sum(n_chars) / count(*) AS mean_latency_ms FROM g GROUP BY ALL""",
+)
+def _scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels"), "doc_id")
+    log = d.select(
+        F.col("lang").alias("provider"), F.col("source").alias("model"), F.when(F.col("quality") == 1, "long").otherwise("short").alias("prompt_variant"), F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"),
+        (F.col("toxic") == 0).alias("query_is_read_only"), (F.col("n_chars") > 1000).alias("query_contains_selected_scope"), (F.col("toxic") == F.col("quality")).alias("playbyplay_filter_matches_expectation"),
+        F.when(F.col("quality") == 1, "Yes").otherwise("no").alias("query_correct_human"), F.when(F.col("toxic") == 0, "1").otherwise("0").alias("result_correct_human"),
+        F.col("n_chars").alias("input_tokens"), F.floor(F.col("n_chars") / 10).alias("output_tokens"), F.col("n_chars").alias("cost_usd"), F.col("n_chars").cast("double").alias("latency_ms"),
+    )
+    return evaluation.run_scorecard(log).withColumnRenamed("cost_usd", "cost_units")
