@@ -1,8 +1,8 @@
-"""Line dedup: SimHashes of normalised lines meet in pigeonhole blocks; of each group of near-equal lines one stays."""
+"""Line dedup: SimHashes of normalised lines meet in pigeonhole blocks, MinHashes in bands; of each group of near-equal lines one stays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,8 +20,11 @@ MIN_WORDS = 5
 MAX_BITS_APART = 3
 LONG = 4  # bytes of a word that the SimHash counts
 FEW = 4
+WORD_BANDS = 6  # bands of three MinHashes of the long words
+PAIR_BANDS = 6  # bands of two MinHashes of the pairs of neighbouring words
 SIMILARITY = 0.8
 NO_ID = -(1 << 63)
+BAND_CHARS, BAND_COLUMNS = "chars", [f"band{i}" for i in range(WORD_BANDS + PAIR_BANDS)]
 LINE = ["d_id", "d_hash", "line_no"]  # rows equal in id and text are one document
 _BLANK = np.ones(256, bool)
 _BLANK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -70,8 +73,40 @@ def simhashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.
     return (bits << bit).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(d_id, d_hash, line_no, line, sim) of every line with min_words words or more; line: a hash of the normalised line."""
+def band_hashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, used), a row for each band and a column for each line: MinHashes of long words and of neighbouring words.
+
+    Two lines that share a part j of their long words agree on a band of those
+    with probability j ** 3. A line with fewer than FEW long words has none.
+    """
+    n, line, long = len(counts), np.repeat(np.arange(len(counts)), counts), lengths >= LONG
+    paired = line[:-1] == line[1:]
+    pairs = mix(words[:-1] * keys(2)[0] + words[1:] * keys(2)[1])[paired] if len(words) else words
+    hashes, used, seed = [], [], 2
+    for values, owner, bands, width, least in ((words[long], line[long], WORD_BANDS, 3, FEW), (pairs, line[:-1][paired], PAIR_BANDS, 2, 1)):
+        own = np.bincount(owner, minlength=n)
+        for _ in range(bands):
+            h = np.zeros(n, np.uint64)
+            for _ in range(width):
+                h = mix(h * keys(2)[0] + per_text(np.minimum, values * keys(64)[seed], own))
+                seed += 1
+            hashes.append(h)
+            used.append(own >= least)
+    return np.array(hashes), np.array(used)
+
+
+def characters(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Characters of each normalised line: those of its words and the blanks between them."""
+    ends = np.append(0, np.cumsum(~_BLANK[data] & ((data & 0xC0) != 0x80)))[bounds]
+    return np.diff(ends) + np.maximum(counts - 1, 0)
+
+
+def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wide: bool = False) -> DataFrame:
+    """(d_id, d_hash, line_no, line, sim) of every line with min_words words or more; line: a hash of the normalised line.
+
+    wide: its characters and band hashes (chars, band0, ...) besides.
+    """
+    names = [*LINE, "line", "sim", *([BAND_CHARS, *BAND_COLUMNS] if wide else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,10 +121,14 @@ def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: in
                 text = np.repeat(np.arange(len(lines)), lines)
                 number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
                 row = pa.array(text[used] + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), pa.array(simhashes(words, counts_used, lengths).view(np.int64))], [*LINE, "line", "sim"])
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), pa.array(simhashes(words, counts_used, lengths).view(np.int64))]
+                if wide:
+                    columns.append(pa.array(characters(data, bounds, counts)[used], pa.int64()))
+                    columns += [pa.array(h.view(np.int64), mask=~u) for h, u in zip(*band_hashes(words, counts_used, lengths))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = _documents(docs, id_col, text_col)
-    return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, "d_id long, d_hash long, line_no long, line long, sim long"), "lines")
+    return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "lines")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,25 +175,40 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (F.expr("levenshtein(words_a, words_b, most)") >= 0).alias("linked"))
 
 
+def _compatible(similarity: float) -> Callable[[Column, Column, Column], Column]:
+    """Whether two n may link: SimHashes in blocks, characters of lines in bands, where no edits make up for more."""
+
+    def test(band: Column, a: Column, b: Column) -> Column:
+        chars = F.abs(a - b) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
+        return F.when(band, chars).otherwise(_near(a, b))
+
+    return test
+
+
 def line_classes(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(line, root) for the distinct lines (line, sim, first) that link with another."""
+    """(line, root) for the distinct lines (line, sim, first) that link with another; with band hashes they meet in these too."""
     masks = block_masks(distinct.count())
     regions = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
-    members = distinct.select(F.explode(regions).alias("region"), F.col("line").alias("key"), F.col("sim").alias("n"))
-    blocks = members.groupBy("region").agg(F.count("*").alias("size"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("n").alias("n_a"), F.max("n").alias("n_b"))
-    blocks = stash(blocks.where((F.col("size") > 2) | ((F.col("size") == 2) & _near(F.col("n_a"), F.col("n_b")))), "blocks")
+    members = distinct.select(F.explode(regions).alias("region"), F.col("line").alias("key"), F.col("sim").alias("n"), F.lit(False).alias("band"))
+    if BAND_CHARS in distinct.columns:
+        bands = F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in BAND_COLUMNS])
+        bands = distinct.select(F.explode(bands).alias("region"), F.col("line").alias("key"), F.col(BAND_CHARS).alias("n"), F.lit(True).alias("band"))
+        members = members.unionByName(bands.where("region is not null"))
+    may = _compatible(similarity)
+    blocks = members.groupBy("region", "band").agg(F.count("*").alias("size"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("n").alias("n_a"), F.max("n").alias("n_b"))
+    blocks = stash(blocks.where((F.col("size") > 2) | ((F.col("size") == 2) & may(F.col("band"), F.col("n_a"), F.col("n_b")))), "blocks")
     pairs = blocks.where("size = 2").select("a", "b").distinct()  # a block of two is its own pair
     full = blocks.where("size > 2").select("region")
     members = possible(members.withColumn("h", F.xxhash64("region")), full.select(F.xxhash64("region").alias("h")), full.count()).where("maybe")
-    members = stash(members.select("region", "key", "n").join(full, "region", "left_semi"), "block-members")
+    members = stash(members.select("region", "key", F.struct("band", "n").alias("n")).join(full, "region", "left_semi"), "block-members")
     used = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(members.select("key")).distinct()
     at = distinct.join(used, "line", "left_semi").select("line", "first.*")
     texts = line_texts(docs, at, id_col, text_col)
-    links = join_regions(members, _near, lambda p: similar(p, texts, similarity))
+    links = join_regions(members, lambda a, b: may(a["band"], a["n"], b["n"]), lambda p: similar(p, texts, similarity))
     return components(links.unionByName(similar(pairs, texts, similarity).where("linked").select("a", "b"))).toDF("line", "root")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, wide: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of the text, and n_lines and n_dropped added or replaced.
 
     Lines end at line feeds. Two lines link if, normalised, they are equal, or
@@ -166,18 +220,22 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text is empty and has one line, the empty one; a null id is smaller than
     any other. Rows equal in id and text are one document: they get the same
     decisions. All other columns of the input stay as they are.
+
+    wide: lines also link by edit similarity alone where they meet in one of
+    the bands of MinHashes, however many bits their SimHashes differ in.
     """
     if min_words < 2:
         raise ValueError("a SimHash takes two words")
-    lines = fingerprint_lines(docs, id_col, text_col, min_words)
-    distinct = lines.groupBy("line").agg(F.min("sim").alias("sim"), F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
+    lines = fingerprint_lines(docs, id_col, text_col, min_words, wide)
+    hashes = ["sim", *([BAND_CHARS, *BAND_COLUMNS] if wide else [])]
+    distinct = lines.groupBy("line").agg(*[F.min(c).alias(c) for c in hashes], F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
     distinct = stash(distinct, "distinct-lines")
     roots = line_classes(distinct, docs, id_col, text_col, similarity)
-    groups = stash(distinct.drop("sim").join(roots, "line", "left").where("n > 1 or root is not null"), "line-groups")
+    groups = stash(distinct.drop(*hashes).join(roots, "line", "left").where("n > 1 or root is not null"), "line-groups")
     keep = groups.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
     groups = groups.join(keep, "root", "left").select("line", "n", F.coalesce("keep", "first").alias("keep"))
     groups = stash(groups, "line-keeps")
-    dropped = attach(lines.drop("sim"), groups, "line", "n", lines.count())
+    dropped = attach(lines.drop(*hashes), groups, "line", "n", lines.count())
     dropped = dropped.where(~F.struct(*LINE).eqNullSafe(F.col("keep"))).groupBy("d_id", "d_hash").agg(F.collect_set("line_no").alias("drop"))
     dropped = stash(dropped, "dropped-lines")
     rows = _documents(docs, id_col, text_col).withColumn("h", F.col("d_hash"))
@@ -194,4 +252,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
