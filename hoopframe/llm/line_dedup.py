@@ -101,10 +101,30 @@ def characters(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.n
     return np.diff(ends) + np.maximum(counts - 1, 0)
 
 
-def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wide: bool = False) -> DataFrame:
+def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and bounds with a blank around each character of the scripts that write words without blanks.
+
+    These are Thai, Lao, Myanmar, Khmer, Chinese and Japanese, and full-width forms.
+    """
+    first, second = data, np.append(data[1:], np.uint8(0))
+
+    def within(lead: int, low: int, high: int) -> np.ndarray:
+        return (first == lead) & (second >= low) & (second <= high)
+
+    three = within(0xE0, 0xB8, 0xBB) | within(0xE1, 0x80, 0x82) | within(0xE1, 0x9E, 0x9F) | within(0xEF, 0xA4, 0xAB) | within(0xEF, 0xBC, 0xBE) | ((first >= 0xE3) & (first <= 0xE9))
+    three, four = np.flatnonzero(three), np.flatnonzero(within(0xF0, 0xA0, 0xAF))
+    at = np.unique(np.concatenate([three, three + 3, four, four + 4]))
+    at = at[at < len(data)]
+    return np.insert(data, at, 32), bounds + np.searchsorted(at, bounds)
+
+
+def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wide: bool = False, every_line: bool = False) -> DataFrame:
     """(d_id, d_hash, line_no, line, sim) of every line with min_words words or more; line: a hash of the normalised line.
 
     wide: its characters and band hashes (chars, band0, ...) besides.
+    every_line: shorter lines too, but empty ones; words then include the
+    single characters of scripts without blanks, and only lines of min_words
+    of these have hashes besides line.
     """
     names = [*LINE, "line", "sim", *([BAND_CHARS, *BAND_COLUMNS] if wide else [])]
 
@@ -113,18 +133,28 @@ def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: in
             for first, data, offsets in chunks(batch.column(2)):
                 bounds, lines = line_bounds(data, offsets)
                 words, counts, lengths = word_hashes(data, bounds, _BLANK)
-                used = counts >= min_words
-                kept = np.repeat(used, counts)
-                words, lengths, counts_used = words[kept], lengths[kept], counts[used]
+                used = counts >= (1 if every_line else min_words)
+                tokens, n_tokens, sizes = word_hashes(*spaced(data, bounds), _BLANK) if every_line else (words, counts, lengths)
+                near = n_tokens >= min_words
+                kept = np.repeat(near, n_tokens)
+                tokens, n_tokens, sizes = tokens[kept], n_tokens[near], sizes[kept]
+                words, counts_used = words[np.repeat(used, counts)], counts[used]
+                place_near = np.flatnonzero(near[used])
+
+                def column(values: np.ndarray, valid: np.ndarray | bool = True) -> pa.Array:
+                    out, none = np.zeros(len(counts_used), np.int64), np.ones(len(counts_used), bool)
+                    out[place_near], none[place_near] = values.view(np.int64), ~np.broadcast_to(valid, len(values))
+                    return pa.array(out, mask=none)
+
                 place = np.arange(len(words)) - np.repeat(np.cumsum(counts_used) - counts_used, counts_used)
                 line = mix(per_text(np.add, mix(words) * keys(int(counts_used.max(initial=1)))[place], counts_used) + counts_used.astype(np.uint64))
                 text = np.repeat(np.arange(len(lines)), lines)
                 number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
                 row = pa.array(text[used] + first)
-                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), pa.array(simhashes(words, counts_used, lengths).view(np.int64))]
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), column(simhashes(tokens, n_tokens, sizes))]
                 if wide:
-                    columns.append(pa.array(characters(data, bounds, counts)[used], pa.int64()))
-                    columns += [pa.array(h.view(np.int64), mask=~u) for h, u in zip(*band_hashes(words, counts_used, lengths))]
+                    columns.append(column(characters(data, bounds, counts)[near].astype(np.int64)))
+                    columns += [column(h, u) for h, u in zip(*band_hashes(tokens, n_tokens, sizes))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = _documents(docs, id_col, text_col)
@@ -187,6 +217,7 @@ def _compatible(similarity: float) -> Callable[[Column, Column, Column], Column]
 
 def line_classes(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(line, root) for the distinct lines (line, sim, first) that link with another; with band hashes they meet in these too."""
+    distinct = distinct.where("sim is not null")
     masks = block_masks(distinct.count())
     regions = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
     members = distinct.select(F.explode(regions).alias("region"), F.col("line").alias("key"), F.col("sim").alias("n"), F.lit(False).alias("band"))
@@ -208,7 +239,7 @@ def line_classes(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: st
     return components(links.unionByName(similar(pairs, texts, similarity).where("linked").select("a", "b"))).toDF("line", "root")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, wide: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, wide: bool = False, every_line: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of the text, and n_lines and n_dropped added or replaced.
 
     Lines end at line feeds. Two lines link if, normalised, they are equal, or
@@ -223,10 +254,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wide: lines also link by edit similarity alone where they meet in one of
     the bands of MinHashes, however many bits their SimHashes differ in.
+    every_line: lines of fewer words link if, normalised, they are equal and
+    not empty; a character of a script without blanks counts as a word.
     """
     if min_words < 2:
         raise ValueError("a SimHash takes two words")
-    lines = fingerprint_lines(docs, id_col, text_col, min_words, wide)
+    lines = fingerprint_lines(docs, id_col, text_col, min_words, wide, every_line)
     hashes = ["sim", *([BAND_CHARS, *BAND_COLUMNS] if wide else [])]
     distinct = lines.groupBy("line").agg(*[F.min(c).alias(c) for c in hashes], F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
     distinct = stash(distinct, "distinct-lines")
@@ -252,4 +285,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
+    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), wide=True, every_line=True)

@@ -41,3 +41,16 @@ def test_recall_against_edit_similarity_alone(spark, tmp_path):
     got = dedup(spark, tmp_path, list(enumerate(lines)))
     gone = {i for i, t in got.items() if t == ""}
     assert gone <= repeats and len(gone) >= 0.97 * len(repeats) > 80
+
+
+def test_short_lines_and_scripts_without_blanks(spark, tmp_path):
+    chinese, thai = "\u6625\u7720\u4e0d\u89c9\u6653\uff0c\u5904\u5904\u95fb\u557c\u9e1f\u3002\u591c\u6765\u98ce\u96e8\u58f0", "\u0e01\u0e32\u0e23\u0e17\u0e14\u0e2a\u0e2d\u0e1a"
+    rows = [
+        (1, f"Hi.\n{chinese}\n...\n\nabcdefghij klm\n{thai}"),
+        (2, f"hi!\n{chinese[:-1]}\u97f3\n...\n\nabcdefghij kln\n{thai}"),  # one character of 17 differs
+        (3, f"HI\nho\n{chinese}\n\u6625\u7720\u4e0d\n\u6625\u7720"),
+        (4, "\u6625\u7720\u4e0d"),
+        (5, None),
+    ]
+    got = dedup(spark, tmp_path, rows)
+    assert got == {1: rows[0][1], 2: "...\n\nabcdefghij kln", 3: "ho\n\u6625\u7720\u4e0d\n\u6625\u7720", 4: "", 5: ""}
