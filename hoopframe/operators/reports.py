@@ -44,8 +44,10 @@ def points_off_turnovers(acts: DataFrame) -> DataFrame:
     return points_by(acts, ["team_id"], scope.by_flag("from_turnover"), None)
 
 
-def scorers(acts: DataFrame, n: int = 20) -> DataFrame:
-    return scope.positive_only(points_by(acts, ["player_id"], None, None), "points").orderBy(F.desc("points"), "player_id").limit(n)
+def scorers(acts: DataFrame, n: int | None = 20) -> DataFrame:
+    """The n players of the most points, in that order; with None all that scored, in no order."""
+    scored = scope.positive_only(points_by(acts, ["player_id"], None, None), "points")
+    return scored if n is None else scored.orderBy(F.desc("points"), "player_id").limit(n)
 
 
 def clutch_performers(acts: DataFrame, n: int | None = 10) -> DataFrame:

@@ -229,7 +229,7 @@ def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("two_options")
 def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.actions(spark, sf_dir)
-    return candidates.two_options(reports.scorers(a, 1000).select(F.col("player_id").alias("key"), F.col("points").alias("value")), 3)
+    return candidates.two_options(reports.scorers(a, None).select(F.col("player_id").alias("key"), F.col("points").alias("value")), 3)
 
 
 # Scalar functions over whole tables.
