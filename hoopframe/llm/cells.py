@@ -156,8 +156,8 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     of_all, of_rest = F.col("parts") * 2, F.ceil(F.col("parts") * 2 * F.col("rest") / F.col("size"))
     rows = rows.select("cell", "key", "label", "rank", of_all.alias("blocks"), of_rest.alias("rest_blocks"), (~F.col("label").eqNullSafe(F.col("main"))).alias("apart"))
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).alias("j")
-    every = rows.select("cell", "key", "label", "rank", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).cast("long").alias("i"), own)
-    rest = rows.where("apart").select("cell", "key", "label", "rank", F.pmod(F.xxhash64("key", F.lit(8)), F.col("rest_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("j"))
+    every = rows.select("cell", "key", "label", "rank", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1).cast("array<bigint>")).alias("i"), own)
+    rest = rows.where("apart").select("cell", "key", "label", "rank", F.pmod(F.xxhash64("key", F.lit(8)), F.col("rest_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>")).alias("j"))
     return every.unionByName(rest).select(F.xxhash64("cell", "i", "j").alias("cell"), "key", "label", "rank").distinct()
 
 
