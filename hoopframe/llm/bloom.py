@@ -64,8 +64,12 @@ def possible(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """rows whose id isn't among ids(id_col); only rows that the filter can't clear shuffle. A row without an id stays."""
-    ids = stash(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "ids")
-    flagged = possible(rows.withColumn("h", F.xxhash64(id_col)), ids.select(F.xxhash64(id_col).alias("h")), ids.count())
-    kept = flagged.where("maybe").join(ids, id_col, "left_anti")
-    return flagged.where("not maybe").select(*rows.columns).unionByName(kept.select(*rows.columns))
+    """rows whose id isn't among ids(id_col); only rows that the filter can't clear shuffle. A row without an id stays.
+
+    Rows go through as structs, so their columns may have any names.
+    """
+    ids = stash(ids.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "ids")
+    held = rows.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    flagged = possible(held, ids.select(F.xxhash64("id").alias("h")), ids.count())
+    kept = flagged.where("maybe").join(ids, "id", "left_anti")
+    return flagged.where("not maybe").select("row.*").unionByName(kept.select("row.*"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import possible
+from .cells import Space, grouped, join_cells
 from .common import ascii_lower, attach, read, stash, text_or_empty
 from .graph import components
-from .regions import join_regions
 from .shingles import chunks, keys, mix, per_text, word_hashes
 
 MIN_WORDS = 5
 MAX_BITS_APART = 3
+BLOCKS = 4  # of a SimHash's 64 bits: SimHashes up to three bits apart agree on one of four blocks
+BLOCK_LINES = 8192  # of a block that one task compares; larger blocks divide by the remaining bits
 LONG = 4  # bytes of a word that the SimHash counts
 FEW = 4
-WORD_BANDS = 6  # bands of three MinHashes of the long words
-PAIR_BANDS = 6  # bands of two MinHashes of the pairs of neighbouring words
+WORD_BANDS = 5  # bands of three MinHashes of the long words
+PAIR_BANDS = 3  # bands of two MinHashes of the pairs of neighbouring words
 SIMILARITY = 0.8
 NO_ID = -(1 << 63)
-BAND_CHARS, BAND_COLUMNS = "chars", [f"band{i}" for i in range(WORD_BANDS + PAIR_BANDS)]
 LINE = ["d_id", "d_hash", "line_no"]  # rows equal in id and text are one document
 _BLANK = np.ones(256, bool)
 _BLANK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -95,12 +95,6 @@ def band_hashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> t
     return np.array(hashes), np.array(used)
 
 
-def characters(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Characters of each normalised line: those of its words and the blanks between them."""
-    ends = np.append(0, np.cumsum(~_BLANK[data] & ((data & 0xC0) != 0x80)))[bounds]
-    return np.diff(ends) + np.maximum(counts - 1, 0)
-
-
 def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts and bounds with a blank around each character of the scripts that write words without blanks.
 
@@ -118,47 +112,43 @@ def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(data, at, 32), bounds + np.searchsorted(at, bounds)
 
 
-def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, wide: bool = False, every_line: bool = False) -> DataFrame:
-    """(d_id, d_hash, line_no, line, sim) of every line with min_words words or more; line: a hash of the normalised line.
+def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(d_id, d_hash, line_no, line, sim, bands) of every line with a word; line: a hash of the normalised line.
 
-    wide: its characters and band hashes (chars, band0, ...) besides.
-    every_line: shorter lines too, but empty ones; words then include the
-    single characters of scripts without blanks, and only lines of min_words
-    of these have hashes besides line.
+    sim and bands are null for lines of fewer than min_words words, where a
+    character of a script without blanks is a word, and for lines that the
+    same chunk of texts has before.
     """
-    names = [*LINE, "line", "sim", *([BAND_CHARS, *BAND_COLUMNS] if wide else [])]
+    names = [*LINE, "line", "sim", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in chunks(batch.column(2)):
+            for at, data, offsets in chunks(batch.column(2)):
                 bounds, lines = line_bounds(data, offsets)
-                words, counts, lengths = word_hashes(data, bounds, _BLANK)
-                used = counts >= (1 if every_line else min_words)
-                tokens, n_tokens, sizes = word_hashes(*spaced(data, bounds), _BLANK) if every_line else (words, counts, lengths)
-                near = n_tokens >= min_words
+                words, counts, _ = word_hashes(data, bounds, _BLANK)
+                used = counts > 0
+                place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+                line = mix(per_text(np.add, mix(words) * keys(int(counts.max(initial=1)))[place], counts) + counts.astype(np.uint64))
+                tokens, n_tokens, sizes = word_hashes(*spaced(data, bounds), _BLANK)
+                near = np.zeros(len(counts), bool)
+                near[np.unique(line, return_index=True)[1]] = True
+                near &= n_tokens >= min_words
                 kept = np.repeat(near, n_tokens)
-                tokens, n_tokens, sizes = tokens[kept], n_tokens[near], sizes[kept]
-                words, counts_used = words[np.repeat(used, counts)], counts[used]
-                place_near = np.flatnonzero(near[used])
-
-                def column(values: np.ndarray, valid: np.ndarray | bool = True) -> pa.Array:
-                    out, none = np.zeros(len(counts_used), np.int64), np.ones(len(counts_used), bool)
-                    out[place_near], none[place_near] = values.view(np.int64), ~np.broadcast_to(valid, len(values))
-                    return pa.array(out, mask=none)
-
-                place = np.arange(len(words)) - np.repeat(np.cumsum(counts_used) - counts_used, counts_used)
-                line = mix(per_text(np.add, mix(words) * keys(int(counts_used.max(initial=1)))[place], counts_used) + counts_used.astype(np.uint64))
+                tokens, sizes, own = tokens[kept], sizes[kept], n_tokens[near]
+                sim = np.zeros(len(counts), np.uint64)
+                sim[near] = simhashes(tokens, own, sizes)
+                hashes, valid = band_hashes(tokens, own, sizes)
+                length = np.zeros(len(counts), np.int64)
+                length[near] = valid.sum(axis=0)
                 text = np.repeat(np.arange(len(lines)), lines)
                 number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
-                row = pa.array(text[used] + first)
-                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line.view(np.int64)), column(simhashes(tokens, n_tokens, sizes))]
-                if wide:
-                    columns.append(column(characters(data, bounds, counts)[near].astype(np.int64)))
-                    columns += [column(h, u) for h, u in zip(*band_hashes(tokens, n_tokens, sizes))]
+                row = pa.array(text[used] + at)
+                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[used])), pa.int32()), pa.array(hashes.T[valid.T].view(np.int64)), mask=pa.array(~near[used]))
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line[used].view(np.int64)), pa.array(sim[used].view(np.int64), mask=~near[used]), bands]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = _documents(docs, id_col, text_col)
-    return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "lines")
+    return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, "d_id long, d_hash long, line_no long, line long, sim long, bands array<long>"), "lines")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,108 +157,174 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d_id"), F.xxhash64(F.col(id_col), text).alias("d_hash"), text.alias("text"), F.struct(F.lit(0).alias("__"), *kept).alias("row"))
 
 
-def block_masks(n_lines: int) -> list[int]:
-    """Masks of the blocks that two SimHashes up to MAX_BITS_APART bits apart agree on in at least one case.
+def cells_of_sorted(rows: DataFrame) -> DataFrame:
+    """(cell, key) for rows (region, key): each key but the least of its region in the cell of that one."""
 
-    64 bits in m blocks: three bits touch three blocks at most, so all
-    combinations of m - 3 blocks cover every such pair. More lines take more
-    blocks and so longer keys, with the same pairs as result.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_region = last_cell = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.append(region[0] != last_region, region[1:] != region[:-1])
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(region)), -1))
+            cell = np.where(lead >= 0, key[lead], key[0] if last_cell is None else last_cell)
+            last_region, last_cell = region[-1], cell[-1]
+            other = key != cell
+            yield pa.RecordBatch.from_arrays([pa.array(cell[other]), pa.array(key[other])], ["cell", "key"])
+
+    dealt = rows.select("region", "key").repartition("region").sortWithinPartitions("region", "key")
+    return dealt.mapInArrow(run, "cell long, key long")
+
+
+def near_in_block(sims: np.ndarray) -> np.ndarray:
+    """For the SimHashes of a block the place of the first one that it reaches in steps of up to MAX_BITS_APART bits."""
+    root = np.arange(len(sims))
+    for at in range(0, len(sims), 256):
+        near = np.bitwise_count(sims[at : at + 256, None] ^ sims[None, :]) <= MAX_BITS_APART
+        for i, j in zip(*np.nonzero(np.triu(near, at + 1))):
+            a, b = root[at + i], root[j]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+    return root
+
+
+def block_cells(lines: DataFrame) -> DataFrame:
+    """(cell, key) for lines whose SimHashes are at most MAX_BITS_APART bits apart, and maybe others that a chain of such lines joins.
+
+    They agree on one of four blocks of 16 bits. A block of very many lines
+    divides again: what differs in at most three of the other 48 bits agrees
+    on one of four parts of these. One that is large even so is a cell.
     """
-    for m in range(5, 9):
-        cuts = [round(64 * i / m) for i in range(m + 1)]
-        blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-        masks = [sum(c) for c in combinations(blocks, m - MAX_BITS_APART)]
-        if m == 8 or 1 << (64 * (m - MAX_BITS_APART) // m) > 8 * n_lines:
-            return [x - (1 << 64) if x >> 63 else x for x in masks]
-    raise AssertionError
+    mask = F.lit(0xFFFF).cast("long")
+    block = F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(mask)) for i in range(BLOCKS)])).alias("block")
+    rows = lines.select("line", "sim", block)
+    sizes = rows.groupBy("block").count().where(F.col("count") > BLOCK_LINES)
+    large = stash(sizes.select("block"), "large-blocks")  # at most 4 * 65,536 blocks
+    if not large.isEmpty():
+        which = F.shiftright("block", 16)  # the other bits, as 48
+        low = F.expr("sim & (shiftleft(1L, cast(16 * which as int)) - 1)")
+        others = F.expr("shiftleft(shiftrightunsigned(sim, cast(least(16 * which + 16, 63) as int)), cast(16 * which as int))")
+        others = F.when(which == 3, low).otherwise(low.bitwiseOR(others))
+        part = F.explode(F.array(*[F.xxhash64("block", F.lit(i), F.expr(f"shiftrightunsigned(others, {12 * i}) & 4095")) for i in range(4)])).alias("block")
+        divided = rows.join(F.broadcast(large), "block").withColumn("which", which).withColumn("others", others).select("line", "sim", part)
+        huge = stash(divided.groupBy("block").count().where(F.col("count") > BLOCK_LINES).select("block"), "huge-blocks")
+        whole = cells_of_sorted(divided.join(huge, "block").select(F.col("block").alias("region"), F.col("line").alias("key")))
+        rows = rows.join(F.broadcast(large), "block", "left_anti").unionByName(divided.join(huge, "block", "left_anti"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["block"]):
+            if group.num_rows > 1:
+                line, once = np.unique(group.column("line").to_numpy(), return_index=True)
+                cell = line[near_in_block(group.column("sim").to_numpy()[once].view(np.uint64))]
+                other = cell != line
+                if other.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[other]), pa.array(line[other])], ["cell", "key"])
 
+    near = rows.repartition("block").sortWithinPartitions("block").select("block", "line", "sim").mapInArrow(run, "cell long, key long")
+    return near if large.isEmpty() else near.unionByName(whole)
 
-def _near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS_APART
+
+def line_cells(lines: DataFrame) -> DataFrame:
+    """Distinct (cell, key, rank) of the lines that meet another in a block of SimHashes or a band."""
+    bands = lines.where("bands is not null").select(F.explode("bands").alias("region"), F.col("line").alias("key"))
+    met = cells_of_sorted(bands).unionByName(block_cells(lines.where("sim is not null").select("line", "sim"))).distinct()
+    met = stash(met, "met")
+    return stash(met.unionByName(met.select("cell", F.col("cell").alias("key")).distinct()).withColumn("rank", F.lit(0)), "cells")
 
 
 def line_texts(docs: DataFrame, at: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line, words) for lines at (d_id, d_hash, line_no, line): the normalised text."""
+    """(key, weight, item) for lines at (d_id, d_hash, line_no, line): the normalised text and its length."""
     per_doc = stash(at.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted")), "wanted-lines")
     rows = _documents(docs, id_col, text_col).select("d_id", "d_hash", "text", F.col("d_hash").alias("h"))
     rows = possible(rows, per_doc.select(F.col("d_hash").alias("h")), per_doc.count()).where("maybe").select("d_id", "d_hash", "text")
     found = rows.join(per_doc, ["d_id", "d_hash"]).select(F.split("text", "\n").alias("all"), F.inline("wanted"))
-    found = found.select("line", normalised(F.get("all", F.col("line_no").cast("int"))).alias("words"))
-    return stash(found.dropDuplicates(["line"]), "line-texts")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with linked: edit distance at most (1 - similarity) times the longer line."""
-    left, right = (texts.select(F.col("line").alias(c), F.col("words").alias(f"words_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("words_a"), F.length("words_b")) * (1 - similarity) + 1e-9).cast("int"))
-    return both.select("a", "b", (F.expr("levenshtein(words_a, words_b, most)") >= 0).alias("linked"))
-
-
-def _compatible(similarity: float) -> Callable[[Column, Column, Column], Column]:
-    """Whether two n may link: SimHashes in blocks, characters of lines in bands, where no edits make up for more."""
-
-    def test(band: Column, a: Column, b: Column) -> Column:
-        chars = F.abs(a - b) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
-        return F.when(band, chars).otherwise(_near(a, b))
-
-    return test
-
-
-def line_classes(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(line, root) for the distinct lines (line, sim, first) that link with another; with band hashes they meet in these too."""
-    distinct = distinct.where("sim is not null")
-    masks = block_masks(distinct.count())
-    regions = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
-    members = distinct.select(F.explode(regions).alias("region"), F.col("line").alias("key"), F.col("sim").alias("n"), F.lit(False).alias("band"))
-    if BAND_CHARS in distinct.columns:
-        bands = F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in BAND_COLUMNS])
-        bands = distinct.select(F.explode(bands).alias("region"), F.col("line").alias("key"), F.col(BAND_CHARS).alias("n"), F.lit(True).alias("band"))
-        members = members.unionByName(bands.where("region is not null"))
-    may = _compatible(similarity)
-    blocks = members.groupBy("region", "band").agg(F.count("*").alias("size"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("n").alias("n_a"), F.max("n").alias("n_b"))
-    blocks = stash(blocks.where((F.col("size") > 2) | ((F.col("size") == 2) & may(F.col("band"), F.col("n_a"), F.col("n_b")))), "blocks")
-    pairs = blocks.where("size = 2").select("a", "b").distinct()  # a block of two is its own pair
-    full = blocks.where("size > 2").select("region")
-    members = possible(members.withColumn("h", F.xxhash64("region")), full.select(F.xxhash64("region").alias("h")), full.count()).where("maybe")
-    members = stash(members.select("region", "key", F.struct("band", "n").alias("n")).join(full, "region", "left_semi"), "block-members")
-    used = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(members.select("key")).distinct()
-    at = distinct.join(used, "line", "left_semi").select("line", "first.*")
-    texts = line_texts(docs, at, id_col, text_col)
-    links = join_regions(members, lambda a, b: may(a["band"], a["n"], b["n"]), lambda p: similar(p, texts, similarity))
-    return components(links.unionByName(similar(pairs, texts, similarity).where("linked").select("a", "b"))).toDF("line", "root")
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, wide: bool = False, every_line: bool = False) -> DataFrame:
+    found = found.select(F.col("line").alias("key"), normalised(F.get("all", F.col("line_no").cast("int"))).alias("item"))
+    return stash(found.dropDuplicates(["key"]).withColumn("weight", F.length("item").cast("long")), "line-texts")
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether at most so many edits of single characters turn a into b."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return False
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    apart = np.flatnonzero(x != y[: len(x)])
+    head = int(apart[0]) if len(apart) else len(x)
+    apart = np.flatnonzero(x[head:][::-1] != y[head:][::-1][: len(x) - head])
+    tail = int(apart[0]) if len(apart) else len(x) - head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(b) <= most:
+        return True
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    top, up, down, edits = 1 << max(len(a) - 1, 0), whole, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):  # columns of the edit table, as bits that differ by one
+        same = places.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = down | ~(across | up) & whole, up & across
+        edits += 1 if plus & top else -1 if minus & top else 0
+        if edits - left > most:
+            return False
+        plus, minus = (plus << 1 | 1) & whole, minus << 1 & whole
+        across = same | down
+        up, down = minus | ~(across | plus) & whole, plus & across
+    return edits <= most
+
+
+class LineSpace(Space):
+    """Normalised lines, linked by edit similarity."""
+
+    def __init__(self, lines: pa.Array, similarity: float):
+        self.text, self.apart = lines.to_pylist(), 1 - similarity
+        self.n = np.array([len(t) for t in self.text])
+        self.letters = np.zeros((len(self.text), 64), np.int32)
+        for row, t in zip(self.letters, self.text):
+            row[:] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+
+    def linked(self, i: int, js: np.ndarray) -> np.ndarray:
+        most = np.floor(np.maximum(self.n[i], self.n[js]) * self.apart + 1e-9).astype(int)
+        change = self.letters[js] - self.letters[i]
+        out = (np.maximum(change, 0).sum(axis=1) <= most) & (np.maximum(-change, 0).sum(axis=1) <= most)
+        for at in np.flatnonzero(out):
+            out[at] = within(self.text[i], self.text[js[at]], int(most[at]))
+        return out
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the repeated lines taken out of the text, and n_lines and n_dropped added or replaced.
 
-    Lines end at line feeds. Two lines link if, normalised, they are equal, or
-    if their SimHashes are at most MAX_BITS_APART bits apart and their edit
-    similarity is at least similarity. Of each group connected by links the
-    line of the smallest (id, hash of id and text, place) stays, over all
-    documents. Lines of fewer than min_words words stay. The remaining lines
+    Lines end at line feeds. Two lines link if, normalised, they are equal and
+    not empty. Two lines of min_words words or more, where a character of a
+    script without blanks is a word, link besides if their edit similarity is
+    at least similarity and they meet: those whose SimHashes are at most
+    MAX_BITS_APART bits apart do, and those that agree on one of the bands of
+    MinHashes. Of each group connected by links the line of the smallest (id,
+    hash of id and text, place) stays, over all documents. The remaining lines
     keep their order; a document may end up empty, and stays as a row. A null
     text is empty and has one line, the empty one; a null id is smaller than
     any other. Rows equal in id and text are one document: they get the same
     decisions. All other columns of the input stay as they are.
-
-    wide: lines also link by edit similarity alone where they meet in one of
-    the bands of MinHashes, however many bits their SimHashes differ in.
-    every_line: lines of fewer words link if, normalised, they are equal and
-    not empty; a character of a script without blanks counts as a word.
     """
     if min_words < 2:
         raise ValueError("a SimHash takes two words")
-    lines = fingerprint_lines(docs, id_col, text_col, min_words, wide, every_line)
-    hashes = ["sim", *([BAND_CHARS, *BAND_COLUMNS] if wide else [])]
-    distinct = lines.groupBy("line").agg(*[F.min(c).alias(c) for c in hashes], F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
-    distinct = stash(distinct, "distinct-lines")
-    roots = line_classes(distinct, docs, id_col, text_col, similarity)
-    groups = stash(distinct.drop(*hashes).join(roots, "line", "left").where("n > 1 or root is not null"), "line-groups")
-    keep = groups.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
-    groups = groups.join(keep, "root", "left").select("line", "n", F.coalesce("keep", "first").alias("keep"))
-    groups = stash(groups, "line-keeps")
-    dropped = attach(lines.drop(*hashes), groups, "line", "n", lines.count())
+    lines = fingerprint_lines(docs, id_col, text_col, min_words)
+    cells = line_cells(lines)
+    at = lines.select("line", F.struct(*LINE).alias("place")).join(cells.select(F.col("key").alias("line")).distinct(), "line", "left_semi")
+    texts = line_texts(docs, at.groupBy("line").agg(F.min("place").alias("place")).select("line", "place.*"), id_col, text_col)
+    roots = components(join_cells(cells, texts, lambda item: LineSpace(item, similarity))).toDF("line", "root")
+    repeats = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line", F.lit(None).cast("long").alias("root"))
+    wanted = stash(repeats.unionByName(roots).groupBy("line").agg(F.max("root").alias("root")), "wanted")
+    rows = possible(lines.select(*LINE, "line", F.xxhash64("line").alias("h")), wanted.select(F.xxhash64("line").alias("h")), wanted.count())
+    rows = stash(rows.where("maybe").select(*LINE, "line"), "maybe-repeated")
+    first = rows.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct(*LINE)).alias("first"))
+    groups = stash(wanted.join(first, "line").withColumn("root", F.coalesce("root", "line")), "line-groups")
+    keep = groups.groupBy("root").agg(F.min("first").alias("keep"))
+    groups = stash(groups.join(keep, "root").select("line", "n", "keep"), "line-keeps")
+    dropped = attach(rows, groups, "line", "n", rows.count())
     dropped = dropped.where(~F.struct(*LINE).eqNullSafe(F.col("keep"))).groupBy("d_id", "d_hash").agg(F.collect_set("line_no").alias("drop"))
     dropped = stash(dropped, "dropped-lines")
     rows = _documents(docs, id_col, text_col).withColumn("h", F.col("d_hash"))
@@ -285,4 +341,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), wide=True, every_line=True)
+    """drop_repeated_lines over documents: doc_id, text, n_lines, n_dropped."""
+    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
