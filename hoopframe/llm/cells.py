@@ -30,6 +30,15 @@ class Space:
     def to(self, i: int) -> np.ndarray | None:
         return None
 
+    def connect(self, labels: np.ndarray) -> np.ndarray:
+        return connect(labels, self.linked)
+
+
+def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches and None."""
+    yield from batches
+    yield None
+
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The rows of sorted batches again, one batch for each group of equal keys."""
@@ -86,7 +95,7 @@ def _joined(rows: DataFrame, items: DataFrame, space: Callable[[pa.Array], Space
             keys, before = group.column("key").to_numpy(), group.column("label").to_numpy()
             if (before == before[0]).all():
                 continue
-            labels = connect(before, space(group.column("item")).linked)
+            labels = space(group.column("item")).connect(before)
             for a, b in _stars(keys, labels, before):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

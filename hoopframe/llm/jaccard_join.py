@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import possible
-from .cells import PIVOTS, Space, join_cells, pivot_cells
+from .cells import PIVOTS, Space, join_cells, pivot_cells, with_end
 from .common import attach, read, stash
 from .graph import components
 from .shingles import chunks, mix, set_keys, shingles
@@ -75,7 +75,7 @@ def survivors(sets: DataFrame, percent: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in _with_end(batches):
+        for batch in with_end(batches):
             rows = held if batch is None else np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
             if batch is not None and held is not None:
                 rows = np.concatenate([held, rows], axis=1)
@@ -103,11 +103,6 @@ def survivors(sets: DataFrame, percent: int) -> DataFrame:
     return stash(rows.groupBy("key").agg(F.sum("score").alias("score")).where("score >= 0").select("key"), "survivors")
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text_col: str) -> DataFrame:
     """(key, item, weight) for the wanted (key, h): its shingles and their number, each once; only texts that a Bloom filter of h
     lets through are read again."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import possible
-from .cells import Space, grouped, join_cells
+from .cells import Space, connect, join_cells, with_end
 from .common import ascii_lower, attach, read, stash, text_or_empty
 from .graph import components
 from .shingles import chunks, keys, mix, per_text, word_hashes
@@ -19,10 +19,15 @@ MIN_WORDS = 5
 MAX_BITS_APART = 3
 BLOCKS = 4  # of a SimHash's 64 bits: SimHashes up to three bits apart agree on one of four blocks
 BLOCK_LINES = 8192  # of a block that one task compares; larger blocks divide by the remaining bits
+SAMPLE = 64  # lines of which one counts where large blocks are looked for
+FAR_BITS = 24  # by which SimHashes of lines that meet in a band differ at most; those of like lines differ by 22 or less in 999 of 1000 cases
 LONG = 4  # bytes of a word that the SimHash counts
 FEW = 4
-WORD_BANDS = 5  # bands of three MinHashes of the long words
-PAIR_BANDS = 3  # bands of two MinHashes of the pairs of neighbouring words
+LONGER = 6  # bytes of a word that word bands count: shorter ones are mostly common
+WORD_BANDS = 4  # bands of three MinHashes of the longer words
+PAIR_BANDS = 2  # bands of two MinHashes of the pairs of neighbouring words
+GRAMS = 512  # counters of a line's trigrams by hash
+SHORT, SHORT_BANDS = 16, 3  # words below which a line has bands of one MinHash of its pairs besides
 SIMILARITY = 0.8
 NO_ID = -(1 << 63)
 LINE = ["d_id", "d_hash", "line_no"]  # rows equal in id and text are one document
@@ -74,19 +79,22 @@ def simhashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 def band_hashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, used), a row for each band and a column for each line: MinHashes of long words and of neighbouring words.
+    """(hashes, used), a row for each band and a column for each line: MinHashes of longer words and of neighbouring words.
 
-    Two lines that share a part j of their long words agree on a band of those
-    with probability j ** 3. A line with fewer than FEW long words has none.
+    Two lines that share a part j of their longer words agree on a band of
+    those with probability j ** 3. A line with fewer than three has none.
     """
-    n, line, long = len(counts), np.repeat(np.arange(len(counts)), counts), lengths >= LONG
+    n, line, long = len(counts), np.repeat(np.arange(len(counts)), counts), lengths >= LONGER
     paired = line[:-1] == line[1:]
     pairs = mix(words[:-1] * keys(2)[0] + words[1:] * keys(2)[1])[paired] if len(words) else words
+    pair_line = line[:-1][paired]
+    short = counts[pair_line] < SHORT
     hashes, used, seed = [], [], 2
-    for values, owner, bands, width, least in ((words[long], line[long], WORD_BANDS, 3, FEW), (pairs, line[:-1][paired], PAIR_BANDS, 2, 1)):
+    kinds = ((words[long], line[long], WORD_BANDS, 3, 3), (pairs, pair_line, PAIR_BANDS, 2, 1), (pairs[short], pair_line[short], SHORT_BANDS, 1, 1))
+    for values, owner, bands, width, least in kinds:
         own = np.bincount(owner, minlength=n)
         for _ in range(bands):
-            h = np.zeros(n, np.uint64)
+            h = np.full(n, seed, np.uint64)
             for _ in range(width):
                 h = mix(h * keys(2)[0] + per_text(np.minimum, values * keys(64)[seed], own))
                 seed += 1
@@ -95,6 +103,12 @@ def band_hashes(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> t
     return np.array(hashes), np.array(used)
 
 
+def characters(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Characters of each normalised line: those of its words and the blanks between them."""
+    ends = np.append(0, np.cumsum(~_BLANK[data] & ((data & 0xC0) != 0x80)))[bounds]
+    return np.diff(ends) + np.maximum(counts - 1, 0)
+
+
 def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts and bounds with a blank around each character of the scripts that write words without blanks.
 
@@ -107,29 +121,32 @@ def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     three = within(0xE0, 0xB8, 0xBB) | within(0xE1, 0x80, 0x82) | within(0xE1, 0x9E, 0x9F) | within(0xEF, 0xA4, 0xAB) | within(0xEF, 0xBC, 0xBE) | ((first >= 0xE3) & (first <= 0xE9))
     three, four = np.flatnonzero(three), np.flatnonzero(within(0xF0, 0xA0, 0xAF))
+    if not len(three) + len(four):
+        return data, bounds
     at = np.unique(np.concatenate([three, three + 3, four, four + 4]))
     at = at[at < len(data)]
     return np.insert(data, at, 32), bounds + np.searchsorted(at, bounds)
 
 
 def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(d_id, d_hash, line_no, line, sim, bands) of every line with a word; line: a hash of the normalised line.
+    """(d_id, d_hash, line_no, line, sim, chars, bands) of every line with a word; line: a hash of the normalised line.
 
-    sim and bands are null for lines of fewer than min_words words, where a
+    sim, its characters and bands are null for lines of fewer than min_words words, where a
     character of a script without blanks is a word, and for lines that the
     same chunk of texts has before.
     """
-    names = [*LINE, "line", "sim", "bands"]
+    names = [*LINE, "line", "sim", "chars", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in chunks(batch.column(2)):
                 bounds, lines = line_bounds(data, offsets)
-                words, counts, _ = word_hashes(data, bounds, _BLANK)
+                words, counts, sizes = word_hashes(data, bounds, _BLANK)
                 used = counts > 0
                 place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
                 line = mix(per_text(np.add, mix(words) * keys(int(counts.max(initial=1)))[place], counts) + counts.astype(np.uint64))
-                tokens, n_tokens, sizes = word_hashes(*spaced(data, bounds), _BLANK)
+                apart = spaced(data, bounds)
+                tokens, n_tokens, sizes = (words, counts, sizes) if apart[0] is data else word_hashes(*apart, _BLANK)
                 near = np.zeros(len(counts), bool)
                 near[np.unique(line, return_index=True)[1]] = True
                 near &= n_tokens >= min_words
@@ -144,11 +161,11 @@ def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: in
                 number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
                 row = pa.array(text[used] + at)
                 bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[used])), pa.int32()), pa.array(hashes.T[valid.T].view(np.int64)), mask=pa.array(~near[used]))
-                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line[used].view(np.int64)), pa.array(sim[used].view(np.int64), mask=~near[used]), bands]
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[used], pa.int64()), pa.array(line[used].view(np.int64)), pa.array(sim[used].view(np.int64), mask=~near[used]), pa.array(characters(data, bounds, counts)[used].astype(np.int32), mask=~near[used]), bands]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = _documents(docs, id_col, text_col)
-    return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, "d_id long, d_hash long, line_no long, line long, sim long, bands array<long>"), "lines")
+    return stash(rows.select("d_id", "d_hash", "text").mapInArrow(run, "d_id long, d_hash long, line_no long, line long, sim long, chars int, bands array<long>"), "lines")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,79 +174,112 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d_id"), F.xxhash64(F.col(id_col), text).alias("d_hash"), text.alias("text"), F.struct(F.lit(0).alias("__"), *kept).alias("row"))
 
 
-def cells_of_sorted(rows: DataFrame) -> DataFrame:
-    """(cell, key) for rows (region, key): each key but the least of its region in the cell of that one."""
+def near_pairs(region: np.ndarray, line: np.ndarray, sim: np.ndarray, chars: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of two lines of one region that may be alike: by Hamming distance of their SimHashes, MAX_BITS_APART in
+    blocks (odd regions) and FAR_BITS in bands, and by length. Rows are sorted by region."""
+    most = np.where(region & 1, MAX_BITS_APART, FAR_BITS)
+    at, found, d = np.arange(len(region)), [], 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(region)]
+        at = at[region[at] == region[at + d]]
+        a, b = at, at + d
+        long = np.maximum(chars[a], chars[b])
+        near = (np.bitwise_count(sim[a] ^ sim[b]) <= most[a]) & (long - np.minimum(chars[a], chars[b]) <= np.floor(long * (1 - similarity) + 1e-9)) & (line[a] != line[b])
+        found.append((a[near], b[near]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at)
+
+
+def region_cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """(cell, key) for rows (region, line, sim, chars): the lines of a region that near_pairs joins, in the cell of their first.
+
+    In a region of over BLOCK_LINES lines all lines of like length share a
+    cell: each is in the cell of its own step of lengths and in the next.
+    """
+    step = -np.log(similarity)
+
+    def cells(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        region, line, sim, chars = part
+        a, b = near_pairs(region, line, sim.view(np.uint64), chars, similarity)
+        root, before = np.arange(len(region)), None
+        while before is None or (root != before).any():  # the least place that near pairs reach
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+        other = line[root] != line
+        return line[root][other], line[other]
+
+    def whole(part: np.ndarray, leads: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        steps = np.floor(np.log(np.maximum(part[3], 1)) / step + 1e-9).astype(int)
+        steps, line = np.concatenate([steps, steps + 1]), np.concatenate([part[1]] * 2)
+        kinds, first, own = np.unique(steps, return_index=True, return_inverse=True)
+        lead = np.array([leads.setdefault(k, int(line[i])) for k, i in zip(kinds.tolist(), first)])[own]
+        return lead[lead != line], line[lead != line]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_region = last_cell = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            region, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.append(region[0] != last_region, region[1:] != region[:-1])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(region)), -1))
-            cell = np.where(lead >= 0, key[lead], key[0] if last_cell is None else last_cell)
-            last_region, last_cell = region[-1], cell[-1]
-            other = key != cell
-            yield pa.RecordBatch.from_arrays([pa.array(cell[other]), pa.array(key[other])], ["cell", "key"])
-
-    dealt = rows.select("region", "key").repartition("region").sortWithinPartitions("region", "key")
-    return dealt.mapInArrow(run, "cell long, key long")
-
-
-def near_in_block(sims: np.ndarray) -> np.ndarray:
-    """For the SimHashes of a block the place of the first one that it reaches in steps of up to MAX_BITS_APART bits."""
-    root = np.arange(len(sims))
-    for at in range(0, len(sims), 256):
-        near = np.bitwise_count(sims[at : at + 256, None] ^ sims[None, :]) <= MAX_BITS_APART
-        for i, j in zip(*np.nonzero(np.triu(near, at + 1))):
-            a, b = root[at + i], root[j]
-            if a != b:
-                root[root == max(a, b)] = min(a, b)
-    return root
-
-
-def block_cells(lines: DataFrame) -> DataFrame:
-    """(cell, key) for lines whose SimHashes are at most MAX_BITS_APART bits apart, and maybe others that a chain of such lines joins.
+        held, large, leads = np.zeros((4, 0), np.int64), None, {}
+        for batch in with_end(batches):
+            found = []
+            if batch is not None:
+                held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+            if large is not None:
+                cut = int(np.searchsorted(held[0], large, "right"))
+                found.append(whole(held[:, :cut], leads))
+                held, large = held[:, cut:], large if cut == held.shape[1] else None
+            cut = held.shape[1] if batch is None or not held.shape[1] else int(np.searchsorted(held[0], held[0, -1]))
+            ready, held = held[:, :cut], held[:, cut:]
+            region, first, size = np.unique(ready[0], return_index=True, return_counts=True)
+            for i in np.flatnonzero(size > BLOCK_LINES):
+                found.append(whole(ready[:, first[i] : first[i] + size[i]], {}))
+            ready = ready[:, np.repeat(size <= BLOCK_LINES, size)]
+            if ready.shape[1]:
+                found.append(cells(ready))
+            if held.shape[1] > BLOCK_LINES:
+                large, leads = held[0, 0], {}
+                found.append(whole(held, leads))
+                held = held[:, :0]
+            for cell, key in found:
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(key, pa.int64())], ["cell", "key"])
+
+    return rows.repartition("region").sortWithinPartitions("region", "line").select("region", "line", "sim", "chars").mapInArrow(run, "cell long, key long")
+
+
+def block_regions(lines: DataFrame) -> DataFrame:
+    """(region, line, sim, chars), odd regions: lines whose SimHashes are at most MAX_BITS_APART bits apart share one.
 
     They agree on one of four blocks of 16 bits. A block of very many lines
     divides again: what differs in at most three of the other 48 bits agrees
-    on one of four parts of these. One that is large even so is a cell.
+    on one of four parts of these.
     """
     mask = F.lit(0xFFFF).cast("long")
-    block = F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(mask)) for i in range(BLOCKS)])).alias("block")
-    rows = lines.select("line", "sim", block)
-    sizes = rows.groupBy("block").count().where(F.col("count") > BLOCK_LINES)
-    large = stash(sizes.select("block"), "large-blocks")  # at most 4 * 65,536 blocks
-    if not large.isEmpty():
-        which = F.shiftright("block", 16)  # the other bits, as 48
-        low = F.expr("sim & (shiftleft(1L, cast(16 * which as int)) - 1)")
-        others = F.expr("shiftleft(shiftrightunsigned(sim, cast(least(16 * which + 16, 63) as int)), cast(16 * which as int))")
-        others = F.when(which == 3, low).otherwise(low.bitwiseOR(others))
-        part = F.explode(F.array(*[F.xxhash64("block", F.lit(i), F.expr(f"shiftrightunsigned(others, {12 * i}) & 4095")) for i in range(4)])).alias("block")
-        divided = rows.join(F.broadcast(large), "block").withColumn("which", which).withColumn("others", others).select("line", "sim", part)
-        huge = stash(divided.groupBy("block").count().where(F.col("count") > BLOCK_LINES).select("block"), "huge-blocks")
-        whole = cells_of_sorted(divided.join(huge, "block").select(F.col("block").alias("region"), F.col("line").alias("key")))
-        rows = rows.join(F.broadcast(large), "block", "left_anti").unionByName(divided.join(huge, "block", "left_anti"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["block"]):
-            if group.num_rows > 1:
-                line, once = np.unique(group.column("line").to_numpy(), return_index=True)
-                cell = line[near_in_block(group.column("sim").to_numpy()[once].view(np.uint64))]
-                other = cell != line
-                if other.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[other]), pa.array(line[other])], ["cell", "key"])
-
-    near = rows.repartition("block").sortWithinPartitions("block").select("block", "line", "sim").mapInArrow(run, "cell long, key long")
-    return near if large.isEmpty() else near.unionByName(whole)
-
-
-def line_cells(lines: DataFrame) -> DataFrame:
-    """Distinct (cell, key, rank) of the lines that meet another in a block of SimHashes or a band."""
-    bands = lines.where("bands is not null").select(F.explode("bands").alias("region"), F.col("line").alias("key"))
-    met = cells_of_sorted(bands).unionByName(block_cells(lines.where("sim is not null").select("line", "sim"))).distinct()
-    met = stash(met, "met")
+    blocks = F.array(*[F.shiftleft(F.lit(i).cast("long"), 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(mask)) for i in range(BLOCKS)])
+    rows = lines.select("line", "sim", "chars", F.explode(blocks).alias("block"))
+    some = lines.where(F.pmod("line", F.lit(SAMPLE)) == 0).select(F.explode(blocks).alias("block")) if BLOCK_LINES >= SAMPLE else rows
+    large = some.groupBy("block").count().where(F.col("count") * (SAMPLE if BLOCK_LINES >= SAMPLE else 1) > BLOCK_LINES / 2)
+    large = [r[0] for r in large.select("block").collect()]  # of 4 * 65,536 blocks
+    odd = F.shiftleft("block", 1).bitwiseOR(F.lit(1).cast("long")).alias("region")
+    if not large:
+        return rows.select(odd, "line", "sim", "chars")
+    spark = lines.sparkSession
+    large = F.broadcast(spark.createDataFrame([(x,) for x in large], "block long"))
+    which = F.shiftright("block", 16)  # the other bits, as 48
+    low = F.expr("sim & (shiftleft(1L, cast(16 * which as int)) - 1)")
+    others = F.expr("shiftleft(shiftrightunsigned(sim, cast(least(16 * which + 16, 63) as int)), cast(16 * which as int))")
+    others = F.when(which == BLOCKS - 1, low).otherwise(low.bitwiseOR(others))
+    part = F.explode(F.array(*[F.xxhash64("block", F.lit(i), F.expr(f"shiftrightunsigned(others, {12 * i}) & 4095")) for i in range(4)])).alias("part")
+    divided = rows.join(large, "block").withColumn("which", which).withColumn("others", others).select(part, "line", "sim", "chars")
+    divided = divided.select(F.col("part").bitwiseOR(F.lit(1).cast("long")).alias("region"), "line", "sim", "chars")
+    return rows.join(large, "block", "left_anti").select(odd, "line", "sim", "chars").unionByName(divided)
+
+
+def line_cells(lines: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (cell, key, rank) of the lines that meet a line that may be like them in a block of SimHashes or a band."""
+    lines = lines.where("sim is not null").select("line", "sim", "chars", "bands")
+    bands = lines.select(F.explode("bands").alias("region"), "line", "sim", "chars")
+    rows = bands.withColumn("region", F.col("region").bitwiseAND(F.lit(-2).cast("long"))).unionByName(block_regions(lines))
+    met = stash(region_cells(rows, similarity).distinct(), "met")
     return stash(met.unionByName(met.select("cell", F.col("cell").alias("key")).distinct()).withColumn("rank", F.lit(0)), "cells")
 
 
@@ -280,19 +330,39 @@ class LineSpace(Space):
 
     def __init__(self, lines: pa.Array, similarity: float):
         self.text, self.apart = lines.to_pylist(), 1 - similarity
+        self.words = [t.split(" ") for t in self.text]
         self.n = np.array([len(t) for t in self.text])
-        self.letters = np.zeros((len(self.text), 64), np.int32)
-        for row, t in zip(self.letters, self.text):
-            row[:] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+        self.grams = np.zeros((len(self.text), GRAMS), np.int16)
+        for row, t in zip(self.grams, self.text):
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if len(c) > 2:
+                row[:] = np.minimum(np.bincount((c[:-2] * 31 * 31 + c[1:-1] * 31 + c[2:]) % GRAMS, minlength=GRAMS), 1 << 14)
+
+    def _most(self, i: int, js: np.ndarray) -> np.ndarray:
+        return np.floor(np.maximum(self.n[i], self.n[js]) * self.apart + 1e-9).astype(int)
+
+    def alike(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Which lines have as many words as i, those that differ in few enough characters to change: linked for sure."""
+        own = self.words[i]
+        return np.array([len(own) == len(self.words[j]) and sum(max(len(x), len(y)) for x, y in zip(own, self.words[j]) if x != y) <= most for j, most in zip(js, self._most(i, js))], bool)
 
     def linked(self, i: int, js: np.ndarray) -> np.ndarray:
-        most = np.floor(np.maximum(self.n[i], self.n[js]) * self.apart + 1e-9).astype(int)
-        change = self.letters[js] - self.letters[i]
-        out = (np.maximum(change, 0).sum(axis=1) <= most) & (np.maximum(-change, 0).sum(axis=1) <= most)
-        for at in np.flatnonzero(out):
-            out[at] = within(self.text[i], self.text[js[at]], int(most[at]))
+        most = self._most(i, js)
+        out = np.abs(self.n[js] - self.n[i]) <= most
+        at = np.flatnonzero(out)  # an edit changes three trigrams of either line at most
+        out[at] = np.abs(self.grams[js[at]] - self.grams[i]).sum(axis=1) <= 6 * most[at]
+        for k in np.flatnonzero(out):
+            out[k] = within(self.text[i], self.text[js[k]], int(most[k]))
         return out
 
+    def connect(self, labels: np.ndarray) -> np.ndarray:
+        labels = connect(labels, self.alike)
+        for i in range(len(labels) - 1):
+            for j in range(i + 1, len(labels)):
+                if labels[j] != labels[i] and self.linked(i, np.array([j]))[0]:
+                    labels[labels == labels[j]] = labels[i]
+        return labels
+
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the repeated lines taken out of the text, and n_lines and n_dropped added or replaced.
@@ -312,7 +382,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if min_words < 2:
         raise ValueError("a SimHash takes two words")
     lines = fingerprint_lines(docs, id_col, text_col, min_words)
-    cells = line_cells(lines)
+    cells = line_cells(lines, similarity)
     at = lines.select("line", F.struct(*LINE).alias("place")).join(cells.select(F.col("key").alias("line")).distinct(), "line", "left_semi")
     texts = line_texts(docs, at.groupBy("line").agg(F.min("place").alias("place")).select("line", "place.*"), id_col, text_col)
     roots = components(join_cells(cells, texts, lambda item: LineSpace(item, similarity))).toDF("line", "root")

@@ -106,6 +106,21 @@ def brute_hits(docs, items, size=10):
     return out
 
 
+def brute_near(docs, items, size=10, slop=3):
+    """Items of which all distinct words of a window, two or more, lie among size + slop words of a document."""
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        for s in range(max(len(w) - size, 0) + 1 if w else 0):
+            wins.setdefault(tuple(w[s : s + size]), set()).add(str(i))
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        found = [own for x, own in wins.items() if len(set(x)) > 1 and any(set(x) <= set(w[p : p + len(x) + slop]) for p in range(len(w)))]
+        out[d] = sorted(set().union(*found))
+    return out
+
+
 def test_decontaminate_equals_brute_force(spark):
     r = random.Random(3)
     vocabulary = [f"v{i}" for i in range(40)] + ["the", "of"]
@@ -115,12 +130,17 @@ def test_decontaminate_equals_brute_force(spark):
         parts = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
         if d % 2:
             t = words(r.choice(items[:12])[1])
-            parts[5:5] = t[r.randint(0, 1) :]
+            t = t[r.randint(0, 1) :]
+            for _ in range(d % 4):  # words put in between
+                t.insert(r.randint(0, len(t)), "and")
+            parts[5:5] = t
         docs.append((d, ", ".join(parts).upper()))
     frame = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, pos int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: (x.n_words, x.n_hit, x.item_ids) for x in decontaminate(frame, bench).collect()}
     assert got == brute_hits(docs, items)
+    near = {x.doc_id: x.near_ids for x in decontaminate(frame, bench).collect()}
+    assert near == brute_near(docs, items) and sum(len(near[d]) > len(x[2]) for d, x in got.items()) > 3
     assert all(x.n_hit == 0 for x in decontaminate(frame, bench.limit(0)).collect())
     assert decontaminate(frame.limit(0), bench).collect() == []
     twice = decontaminate(frame.where("doc_id = 21").union(frame.where("doc_id = 21")), bench).collect()
@@ -131,8 +151,9 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b y c"), (2, "c b a"), (3, "a " + "x " * 40 + "b c")], "doc_id long, text string")
     windows, _ = benchmark_windows(spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
     vocabulary = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
-    near = proximity_matches(build_index(docs, vocabulary, 3), windows, slop=3)
+    near = proximity_matches(build_index(docs, vocabulary, 3), windows, slop=2)
     assert {x.d_id for x in near.collect()} == {1, 2}
+    assert {x.d_id for x in proximity_matches(build_index(docs, vocabulary, 3), windows, slop=1).collect()} == {2}
 
 
 def lev(a, b):
@@ -264,9 +285,11 @@ def test_simhash_of_very_many_words():
         assert int(h) == want
 
 
-def test_near_simhashes_meet_in_blocks():
+def test_near_pairs():
     r = random.Random(4)
-    a = r.getrandbits(64)
-    sims = [a, r.getrandbits(64), *(a ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 2, 3))]
-    root = line_dedup.near_in_block(np.array(sims, np.uint64))
-    assert list(root) == [0, 1, 0, 0, 0]
+    a = r.getrandbits(63)
+    sims = np.array([a, a ^ (1 << 63) - 1, *(a ^ sum(1 << b for b in r.sample(range(63), k)) for k in (1, 3, 4, 20))], np.uint64)
+    line, chars = np.arange(6), np.array([100, 100, 100, 80, 100, 79])
+    for region, want in ((1, {(0, 2), (0, 3)}), (2, {(0, 2), (0, 3), (0, 4)})):
+        i, j = line_dedup.near_pairs(np.full(6, region), line, sims, chars, 0.8)
+        assert {(x, y) for x, y in zip(i.tolist(), j.tolist()) if x == 0} == want
