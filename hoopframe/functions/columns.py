@@ -302,10 +302,14 @@ def height_cm(metres: Column | str) -> Column:
     return F.round(_c(metres).cast("decimal(10,4)") * 100).cast("int")
 
 
-def playback_lead(seconds: Column | str, cls: Column | str) -> Column:
-    """Lead before an action: 0 to 15 seconds, 5 if unknown, 9 at least for assists."""
-    lead = F.least(F.greatest(F.coalesce(_c(seconds).cast("double"), F.lit(5.0)), F.lit(0.0)), F.lit(15.0))
-    return F.when(_c(cls) == "Assist", F.greatest(lead, F.lit(9.0))).otherwise(lead)
+def playback_lead(seconds: Column | str, cls: Column | str, assist_seconds: Column | str | None = None) -> Column:
+    """Lead before an action, 0 to 15 seconds, 5 if unknown; for assists the lead of their own (9 if unknown) if that is longer."""
+    def bounded(c: Column | str | None, default: float) -> Column:
+        value = F.lit(default) if c is None else F.coalesce(_c(c).cast("double"), F.lit(default))
+        return F.least(F.greatest(value, F.lit(0.0)), F.lit(15.0))
+
+    lead = bounded(seconds, 5.0)
+    return F.when(_c(cls) == "Assist", F.greatest(lead, bounded(assist_seconds, 9.0))).otherwise(lead)
 
 
 def seek_position(video_seconds: Column | str, lead: Column | str) -> Column:

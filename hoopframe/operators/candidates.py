@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.columns import normalize_name
 from .reports import ranked
 
+# Suffixes of names that don't count, and the order of roles.
+NAME_SUFFIX = r"\s+(?:jr|sr|ii|iii|iv)$"
+ROLES = ["Center", "Forward", "Guard"]
+RING = 8  # players in a part of the ring that a question takes its options from, about
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """A whole number below 2 ** 32 that only the key and the seed decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+
 
 def comparison_pairs(points: DataFrame, low: int, high: int, keys: list[str] | None = None) -> DataFrame:
     """Unordered pairs of players of a game whose points differ by low to high; equal names aren't paired.
@@ -30,30 +40,32 @@ def top_sets(points: DataFrame, n: int = 5) -> DataFrame:
 
 
 def two_options(facts: DataFrame, offset: int, seed: int = 0) -> DataFrame:
-    """facts(key, value) with a distractor offset above or below, never negative, and whether the answer comes first; by hash of key and seed."""
-    h = F.xxhash64(F.col("key").cast("string"), F.lit(seed))
-    down = (F.pmod(h, F.lit(2)) == 0) & (F.col("value") >= offset)
-    return facts.withColumns({"distractor": F.when(down, F.col("value") - offset).otherwise(F.col("value") + offset), "answer_first": F.pmod(F.shiftright(h, 1), F.lit(2)) == 0})
+    """facts(key, value) with a distractor offset above or below, never negative, and whether the answer comes first; by key and seed."""
+    h = seeded(F.col("key"), seed)
+    down = (h % 2 == 0) & (F.col("value") >= offset)
+    return facts.withColumns({"distractor": F.when(down, F.col("value") - offset).otherwise(F.col("value") + offset), "answer_first": F.floor(h / 2) % 2 == 0})
 
 
 def hidden_member(lineups: DataFrame, roles: DataFrame, seed: int = 0) -> DataFrame:
-    """Members of lineups(lineup_id, player_ids) in order of role, one of each hidden by hash."""
+    """Members of lineups(lineup_id, player_ids) in order of role, one of each hidden, which the seed decides."""
     rows = lineups.select("lineup_id", F.explode("player_ids").alias("player_id")).distinct().join(roles.select("player_id", "position"), "player_id", "left")
-    role = F.array_min(F.transform(F.split(F.coalesce("position", F.lit("")), " / "), lambda r: F.when(r == "Center", 0).when(r == "Forward", 1).when(r == "Guard", 2).otherwise(3)))
+    place = F.lit(len(ROLES))
+    for i, role in reversed(list(enumerate(ROLES))):
+        place = F.when(F.array_contains(F.split(F.coalesce("position", F.lit("")), " / "), role), i).otherwise(place)
     own = Window.partitionBy("lineup_id")
-    pick = F.row_number().over(own.orderBy(F.xxhash64("player_id", F.lit(seed)), "player_id"))
-    return rows.select("lineup_id", "player_id", "position", F.row_number().over(own.orderBy(role, "player_id")).alias("place"), (pick == 1).alias("hidden"))
+    pick = F.row_number().over(own.orderBy(seeded(F.col("player_id"), seed), "player_id"))
+    return rows.select("lineup_id", "player_id", "position", F.row_number().over(own.orderBy(place, "player_id")).alias("place"), (pick == 1).alias("hidden"))
 
 
 def player_pool(seen: DataFrame, games: DataFrame, n_games: int, seed: int = 0) -> DataFrame:
     """Distinct players of n_games games that a hash picks."""
-    some = games.select("game_id").distinct().orderBy(F.xxhash64("game_id", F.lit(seed)), "game_id").limit(n_games)
+    some = games.select("game_id").distinct().orderBy(seeded(F.col("game_id"), seed), "game_id").limit(n_games)
     return seen.join(some, "game_id", "left_semi").select("player_id").distinct()
 
 
 def name_keys(name: Column) -> Column:
     """(rule, key): exact, any order of words, surname, compound surname; suffixes such as jr don't count."""
-    n = F.regexp_replace(normalize_name(name), r"\s+(?:jr|sr|ii|iii|iv)$", "")
+    n = F.regexp_replace(normalize_name(name), NAME_SUFFIX, "")
     words = F.split(n, " ")
     surname = F.when(name.contains(","), normalize_name(F.split(name, ",").getItem(0))).otherwise(F.element_at(words, -1))
     compound = F.array_join(F.slice(words, 2, 20), " ")
@@ -63,15 +75,22 @@ def name_keys(name: Column) -> Column:
     return F.filter(F.array(key("exact", n), key("words", F.array_join(F.array_sort(words), " ")), key("surname", surname), key("surname", F.when(F.size(words) > 2, compound))), lambda x: F.length(x["key"]) >= 2)
 
 
+def guess_keys(guess: Column) -> Column:
+    """(rule, key) of a guess: it may be a whole name, its words in any order, or a surname of three letters or more."""
+    g = F.regexp_replace(normalize_name(guess), NAME_SUFFIX, "")
+    def key(rule: str, k: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), k.alias("key"))
+
+    return F.filter(F.array(key("exact", g), key("words", F.array_join(F.array_sort(F.split(g, " ")), " ")), key("surname", F.when(F.length(g) >= 3, g))), lambda x: F.length(x["key"]) >= 2)
+
+
 def match_names(guesses: DataFrame, players: DataFrame) -> DataFrame:
     """(guess_id, player_id): a guess equals a player's name without accents, in any order of words, or is a surname of
     three letters or more; a name of one word expands to a longer guess if only one player has that surname."""
     p = players.select("player_id", F.inline(name_keys(F.col("name")))).distinct()
-    n = F.regexp_replace(normalize_name("guess"), r"\s+(?:jr|sr|ii|iii|iv)$", "")
-    g = guesses.select("guess_id", n.alias("g")).where(F.length("g") >= 2)
-    direct = g.select("guess_id", F.explode(F.array(F.struct(F.lit("exact").alias("rule"), F.col("g").alias("key")), F.struct(F.lit("words").alias("rule"), F.array_join(F.array_sort(F.split("g", " ")), " ").alias("key")), F.struct(F.lit("surname").alias("rule"), F.when(F.length("g") >= 3, F.col("g")).alias("key")))).alias("k")).select("guess_id", "k.*")
-    found = direct.join(p, ["rule", "key"]).select("guess_id", "player_id")
+    found = guesses.select("guess_id", F.inline(guess_keys(F.col("guess")))).join(p, ["rule", "key"]).select("guess_id", "player_id")
     unique = p.where("rule = 'surname'").groupBy("key").agg(F.count_distinct("player_id").alias("n"), F.min("player_id").alias("player_id")).where("n = 1")
+    g = guesses.select("guess_id", F.regexp_replace(normalize_name("guess"), NAME_SUFFIX, "").alias("g"))
     long = g.where(F.contains("g", F.lit(" "))).select("guess_id", F.element_at(F.split("g", " "), -1).alias("key"))
     single = players.select("player_id", normalize_name("name").alias("key")).where(~F.contains("key", F.lit(" ")))
     return found.unionByName(long.join(unique, "key").join(single, ["key", "player_id"]).select("guess_id", "player_id")).distinct()
@@ -89,20 +108,34 @@ def match_pairs(guesses: DataFrame, answers: DataFrame, players: DataFrame) -> D
 
 
 def multiple_choice(answers: DataFrame, players: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(question_id, player_id, name, correct, place): each answer with n other players of different names, in an order by hash.
+    """(question_id, player_id, name, correct, place): each answer with n other players, in an order that the seed decides.
 
-    Every question takes its players from one ring of all players in hash
-    order, starting at a place of its own, so no question meets all players.
+    The options of a question differ in name from each other, and none would
+    pass for the answer by the rules of match_names. The players lie on a ring
+    in parts of a few; a question takes the first that fit from its own start,
+    and looks at twice as many parts again until it has n or has seen all.
     """
-    ring = players.select("player_id", "name").withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("player_id", F.lit(seed)), "player_id")))
-    size = ring.count()
-    q = answers.select("question_id", F.col("player_id").alias("answer_id"))
-    start = F.pmod(F.xxhash64("question_id", F.lit(seed)), F.lit(max(size, 1)))
-    steps = F.explode(F.sequence(F.lit(0), F.lit(min(size, 4 * n + 4) - 1)))
-    c = q.select("*", steps.alias("step")).withColumn("at", F.pmod(start + F.col("step"), F.lit(max(size, 1))) + 1).join(ring, "at")
-    own = players.select(F.col("player_id").alias("answer_id"), F.col("name").alias("answer_name"))
-    c = c.join(own, "answer_id").where(normalize_name("name") != normalize_name("answer_name"))
-    others = c.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("step"))).where(F.col("n") <= n).select("question_id", "player_id", "name", F.lit(False).alias("correct"))
-    right = q.join(own, "answer_id").select("question_id", F.col("answer_id").alias("player_id"), F.col("answer_name").alias("name"), F.lit(True).alias("correct"))
-    order = Window.partitionBy("question_id").orderBy(F.xxhash64("player_id", "question_id", F.lit(seed)), "player_id")
-    return right.unionByName(others).withColumn("place", F.row_number().over(order))
+    parts = max(1, players.count() // RING)
+    ring = players.select("player_id", "name", normalize_name("name").alias("plain"), guess_keys(F.col("name")).alias("keys"), (seeded(F.col("player_id"), seed) % parts).alias("part"), seeded(F.col("player_id"), seed + 1).alias("order"))
+    own = players.select(F.col("player_id").alias("answer_id"), F.col("name").alias("answer_name"), name_keys(F.col("name")).alias("answer_keys"))
+    asked = answers.select("question_id", F.col("player_id").alias("answer_id")).join(own, "answer_id").withColumn("start", seeded(F.col("question_id"), seed) % parts)
+    others, span, left = None, 1, asked
+    first = Window.partitionBy("question_id")
+    while True:
+        steps = F.explode(F.sequence(F.lit(0), F.lit(min(span, parts) - 1))).alias("step")
+        near = left.select("question_id", "answer_keys", "answer_id", "start", steps).withColumn("part", (F.col("start") + F.col("step")) % parts).join(ring, "part")
+        near = near.where((F.col("player_id") != F.col("answer_id")) & ~F.arrays_overlap("keys", "answer_keys"))
+        near = near.withColumn("same", F.row_number().over(Window.partitionBy("question_id", "plain").orderBy("step", "order", "player_id"))).where("same = 1")
+        near = near.withColumn("n", F.row_number().over(first.orderBy("step", "order", "player_id"))).where(F.col("n") <= n)
+        near = near.withColumn("found", F.count("*").over(first))
+        full = near if span >= parts else near.where(F.col("found") == n)
+        others = full if others is None else others.unionByName(full)
+        if span >= parts:
+            break
+        left = left.join(full.select("question_id").distinct(), "question_id", "left_anti")
+        if left.isEmpty():
+            break
+        span *= 2
+    right = asked.select("question_id", F.col("answer_id").alias("player_id"), F.col("answer_name").alias("name"), F.lit(True).alias("correct"))
+    both = right.unionByName(others.select("question_id", "player_id", "name", F.lit(False).alias("correct")))
+    return both.withColumn("place", F.row_number().over(first.orderBy(seeded(F.concat_ws("-", "question_id", "player_id"), seed), "player_id")))

@@ -9,9 +9,13 @@ BANDS = ["0-1", "1-2", "2-5", "5-10", "10-30", ">30", "unmapped"]
 
 
 def score_sync(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """truth(game_id, action_id, category, truth_seconds) with predicted_seconds and error, both null where nothing was predicted."""
-    p = predicted.select("game_id", "action_id", F.col("video_time").alias("predicted_seconds"))
-    return truth.join(p, ["game_id", "action_id"], "left").withColumn("error", F.abs(F.col("predicted_seconds") - F.col("truth_seconds")))
+    """truth(game_id, action_id, category, truth_seconds) with predicted_seconds and error, both null where the action has no
+    time. A truth whose action isn't among predicted is an error when the rows are read."""
+    p = predicted.select("game_id", "action_id", F.struct(F.col("video_time").alias("at")).alias("_p"))
+    rows = truth.join(p, ["game_id", "action_id"], "left")
+    lost = F.raise_error(F.concat(F.lit("no action for the ground truth "), F.coalesce(F.col("game_id"), F.lit("?")), F.lit(" "), F.coalesce(F.col("action_id"), F.lit("?"))))
+    at = F.when(F.col("_p").isNull(), lost.cast("double")).otherwise(F.col("_p.at"))
+    return rows.withColumn("predicted_seconds", at).drop("_p").withColumn("error", F.abs(F.col("predicted_seconds") - F.col("truth_seconds")))
 
 
 def _metrics() -> list[Column]:

@@ -5,41 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import height_cm
+from ..functions.columns import height_cm, normalize_name
 
 FAR = 1_000_000_000
 
 
+def court_moves(acts: DataFrame, starters: DataFrame) -> DataFrame:
+    """(game_id, side, player_id, seq, is_on): every IN and OUT, and the starters as on from 0."""
+    side = F.when(F.col("team_id") == F.col("home_team"), "home").otherwise("road")
+    moves = acts.where(F.col("action_code").isin("IN", "OUT")).select("game_id", side.alias("side"), "player_id", "seq", (F.col("action_code") == "IN").alias("is_on"))
+    return moves.unionByName(starters.select("game_id", "side", "player_id", F.lit(0).alias("seq"), F.lit(True).alias("is_on")))
+
+
 def court_stints(acts: DataFrame, starters: DataFrame) -> DataFrame:
     """(game_id, side, player_id, start, until): sequence numbers, until exclusive, in which a player is on court.
 
     Starters are on from 0; a repeated IN or OUT changes nothing.
     """
-    side = F.when(F.col("team_id") == F.col("home_team"), "home").otherwise("road")
-    moves = acts.where(F.col("action_code").isin("IN", "OUT")).select("game_id", side.alias("side"), "player_id", "seq", (F.col("action_code") == "IN").alias("is_on"))
-    moves = moves.unionByName(starters.select("game_id", "side", "player_id", F.lit(0).alias("seq"), F.lit(True).alias("is_on")))
     until = F.coalesce(F.lead("seq").over(Window.partitionBy("game_id", "side", "player_id").orderBy("seq")), F.lit(FAR))
-    return moves.withColumn("until", until).where("is_on").select("game_id", "side", "player_id", F.col("seq").alias("start"), "until")
-
+    return court_moves(acts, starters).withColumn("until", until).where("is_on").select("game_id", "side", "player_id", F.col("seq").alias("start"), "until")
 
-def on_court(acts: DataFrame, stints: DataFrame) -> DataFrame:
-    """(game_id, seq, side, player_id): the actions x players view, by interval join within a game."""
-    a, s = acts.select("game_id", "seq").alias("a"), stints.alias("s")
-    inside = (F.col("a.game_id") == F.col("s.game_id")) & (F.col("s.start") <= F.col("a.seq")) & (F.col("a.seq") < F.col("s.until"))
-    return a.join(s, inside).select("a.game_id", "a.seq", "s.side", "s.player_id")
 
+def lineup_changes(stints: DataFrame, moves: DataFrame) -> DataFrame:
+    """(game_id, seq, home_lineup, road_lineup): of each change the lineup of its side after it, sorted; the other side is null."""
+    at = moves.select("game_id", "side", "seq").distinct().alias("c")
+    inside = (F.col("c.game_id") == F.col("s.game_id")) & (F.col("c.side") == F.col("s.side")) & (F.col("s.start") <= F.col("c.seq")) & (F.col("c.seq") < F.col("s.until"))
+    after = at.join(stints.alias("s"), inside, "left").groupBy("c.game_id", "c.side", "c.seq").agg(F.array_sort(F.collect_set("s.player_id")).alias("ids"))
+    return after.select("game_id", "seq", *[F.when(F.col("side") == side, F.col("ids")).alias(f"{side}_lineup") for side in ("home", "road")])
 
-def lineup_at_action(acts: DataFrame, starters: DataFrame) -> DataFrame:
-    """acts with home_lineup and road_lineup: sorted arrays after every substitution up to and including the action."""
-    court = on_court(acts, court_stints(acts, starters))
 
-    def ids(side: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("player_id")))).alias(f"{side}_lineup")
+def lineup_at_action(acts: DataFrame, starters: DataFrame, only: Column | None = None) -> DataFrame:
+    """acts with home_lineup and road_lineup: sorted arrays after every substitution up to and including the action.
 
-    sets = court.groupBy("game_id", "seq").agg(ids("home"), ids("road"))
+    Lineups are made at the changes alone, a fraction of the actions, and
+    carried from there in order of sequence. only: the actions to return; the
+    others count for their substitutions and go before lineups are carried.
+    """
+    changes = lineup_changes(court_stints(acts, starters), court_moves(acts, starters))
+    asked = acts if only is None else acts.where(only)
+    rows = asked.select("game_id", "seq", F.struct(*acts.columns).alias("_a")).unionByName(changes, allowMissingColumns=True)
+    order = Window.partitionBy("game_id").orderBy("seq", F.col("_a").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     none = F.array().cast("array<string>")
-    out = acts.join(sets, ["game_id", "seq"], "left")
-    return out.withColumns({c: F.coalesce(c, none) for c in ("home_lineup", "road_lineup")})
+    sides = ("home_lineup", "road_lineup")
+    rows = rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(order), none) for c in sides})
+    return rows.where("_a is not null").select("_a.*", *sides)
 
 
 def settle_substitutions(acts: DataFrame) -> DataFrame:
@@ -60,8 +69,13 @@ def either_side(acts: DataFrame) -> DataFrame:
     return acts.select("*", F.inline(sides))
 
 
-def player_on_court(acts: DataFrame, player: str) -> DataFrame:
-    return acts.where(F.array_contains("home_lineup", player) | F.array_contains("road_lineup", player))
+def player_on_court(acts: DataFrame, player: str, players: DataFrame | None = None) -> DataFrame:
+    """Actions with the player in either lineup: an id or, with players(player_id, name), a name."""
+    if players is None:
+        return acts.where(F.array_contains("home_lineup", player) | F.array_contains("road_lineup", player))
+    named = players.where(normalize_name("name") == normalize_name(F.lit(player))).select(F.col("player_id").alias("member"))
+    there = acts.select("action_id", F.explode(F.concat("home_lineup", "road_lineup")).alias("member")).join(named, "member", "left_semi")
+    return acts.join(there.select("action_id"), "action_id", "left_semi")
 
 
 def player_not_on_court(acts: DataFrame, player: str) -> DataFrame:
@@ -152,6 +166,14 @@ def rank_lineups(acts: DataFrame, metric: str, size: int = 5, n: int = 10) -> Da
     return _plus_minus(rows.groupBy("lineup_team", "lineup")).orderBy(F.desc(metric), "lineup_team", "lineup").limit(n)
 
 
+def name_lineups(ranking: DataFrame, players: DataFrame) -> DataFrame:
+    """rank_lineups rows with names: those of the lineup's members in order of id, an id where no name is known."""
+    members = ranking.select("lineup_team", "lineup", F.posexplode(F.split("lineup", "_")).alias("at", "player_id"))
+    members = members.join(players.select("player_id", "name"), "player_id", "left")
+    named = members.groupBy("lineup_team", "lineup").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", "player_id").alias("name")))).alias("m"))
+    return ranking.join(named.select("lineup_team", "lineup", F.array_join("m.name", ", ").alias("names")), ["lineup_team", "lineup"])
+
+
 def top_lineups(acts: DataFrame, n: int = 10) -> DataFrame:
     """The n lineups during which their team scored most."""
     rows = either_side(acts).where("lineup_team = team_id and points is not null").select("lineup_team", F.array_join("lineup", "_").alias("lineup"), "action_id", "points").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,82 +12,109 @@ REACH = 3  # seconds within which a steal, a turnover's foul or a drawn foul bel
 FIELD = ["2FGA", "3FGA"]
 
 
-def _latest(acts: DataFrame, source: Column, target: Column, keys: list[str], same_team: bool | None) -> DataFrame:
-    """(game_id, seq, by): for each target the last source whose latest earlier target it is.
-
-    same_team: whether source and target are of one team (of two teams if
-    False, of any if None); a game has two teams.
-    """
-    mark = F.when(target, F.col("seq"))
-    if same_team is None:
-        before = F.last(mark, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        home = F.col("team_id") == F.col("home_team")
-        window = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        of_home, of_road = (F.last(F.when(c, mark), ignorenulls=True).over(window) for c in (home, ~home))
-        before = F.when(home, of_home if same_team else of_road).otherwise(of_road if same_team else of_home)
-    found = acts.withColumn("_at", before).where(source & F.col("_at").isNotNull())
-    return found.groupBy("game_id", F.col("_at").alias("seq")).agg(F.max_by("action_id", F.col("seq")).alias("by"))
+SCORES = ["2FGM", "3FGM", "FTM"]
+LINKS = ("assist_id", "blocked_by", "leads_to_rebound", "caused_by_steal", "caused_by_foul")
 
 
 def _within_reach(acts: DataFrame, source: Column, target: Column, other_team: bool) -> DataFrame:
-    """(game_id, seq, by_seq): each source with its latest earlier target of the period, unless an action in between,
-    or the target itself, is more than REACH seconds away from the source."""
-    s = acts.where(source).select("game_id", "period", F.col("seq").alias("s_seq"), F.col("seconds_remaining").alias("s_sec"), F.col("team_id").alias("s_team"))
-    a = acts.select("game_id", "period", "seq", "seconds_remaining", "team_id", target.alias("_target"))
-    pairs = s.join(a, ["game_id", "period"]).where("seq < s_seq")
-    far = F.abs(F.col("seconds_remaining") - F.col("s_sec")) > REACH
-    good = F.col("_target") & ~far & ((F.col("team_id") != F.col("s_team")) if other_team else F.lit(True))
-    best = pairs.groupBy("game_id", "s_seq").agg(F.max(F.when(good, F.col("seq"))).alias("seq"), F.max(F.when(far, F.col("seq"))).alias("stop"))
-    return best.where("seq is not null and (stop is null or seq > stop)").select("game_id", "seq", F.col("s_seq").alias("by_seq"))
-
+    """(game_id, seq, s_seq): each source with its latest earlier target of the period, unless an action in between,
+    or the target itself, is more than REACH seconds away from the source.
 
-def link_actions(acts: DataFrame) -> DataFrame:
-    """acts with assist_id, blocked_by, leads_to_rebound (on the shot), caused_by_steal and caused_by_foul (on the turnover).
+    Source and action meet in blocks of clock time, so only actions near in
+    time do: the target counts if all actions since are among them.
+    """
+    width = REACH + 1
+    order = Window.partitionBy("game_id", "period").orderBy("seq")
+    rows = acts.select("game_id", "period", "seq", "seconds_remaining", "team_id", F.row_number().over(order).alias("place"), source.alias("_source"), target.alias("_target"))
+    block = F.floor(F.col("seconds_remaining") / width)
+    s = rows.where("_source").select("game_id", "period", F.col("seq").alias("s_seq"), F.col("seconds_remaining").alias("s_sec"), F.col("team_id").alias("s_team"), F.col("place").alias("s_place"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    near = s.join(rows.withColumn("block", block), ["game_id", "period", "block"]).where(f"seq < s_seq and abs(seconds_remaining - s_sec) <= {REACH}")
+    back = F.row_number().over(Window.partitionBy("game_id", "s_seq").orderBy(F.desc("seq")))
+    good = near.withColumn("back", back).where("_target and s_place - place = back")
+    good = good.where("team_id <> s_team") if other_team else good
+    return good.groupBy("game_id", "s_seq").agg(F.max("seq").alias("seq"))
+
+
+def link_actions(acts: DataFrame, wanted: tuple[str, ...] = LINKS) -> DataFrame:
+    """acts with the wanted ones of assist_id, blocked_by, leads_to_rebound (on the shot), caused_by_steal and caused_by_foul
+    (on the turnover).
 
     Assist: the latest make of its team in the period; block: the latest miss
     of the other team in the period; rebound: the latest miss of the game. A
     target that several sources choose keeps the last of them.
     """
-    code = F.col("action_code")
-    period = ["game_id", "period"]
-    out = acts
-    for name, found in (
-        ("assist_id", _latest(acts, code == "AS", code.isin("2FGM", "3FGM", "FTM"), period, True)),
-        ("blocked_by", _latest(acts, code == "FV", code.isin(*FIELD), period, False)),
-        ("leads_to_rebound", _latest(acts, code.isin("O", "D"), code.isin(*FIELD, "FTA"), ["game_id"], None)),
-    ):
-        out = out.join(found.withColumnRenamed("by", name), ["game_id", "seq"], "left")
-    ids = acts.select("game_id", F.col("seq").alias("id_seq"), F.col("action_id").alias("id"))
-    steal = _within_reach(acts, code == "ST", code == "TO", True).groupBy("game_id", "seq").agg(F.max("by_seq").alias("id_seq"))
-    out = out.join(steal.join(ids, ["game_id", "id_seq"]).select("game_id", "seq", F.col("id").alias("caused_by_steal")), ["game_id", "seq"], "left")
-    foul = _within_reach(acts, code == "TO", code == "OF", False).select("game_id", F.col("seq").alias("id_seq"), F.col("by_seq").alias("seq"))
-    return out.join(foul.join(ids, ["game_id", "id_seq"]).select("game_id", "seq", F.col("id").alias("caused_by_foul")), ["game_id", "seq"], "left")
+    code, home = F.col("action_code"), F.col("team_id") == F.col("home_team")
+    makes, misses = code.isin(*SCORES), code.isin(*FIELD)
+
+    def before(test: Column, *keys: str) -> Column:
+        window = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(F.when(test, F.col("seq")), ignorenulls=True).over(window)
+
+    def of_side(test: Column, same: bool) -> Column:
+        of_home, of_road = (before(test & c, "game_id", "period") for c in (home, ~home))
+        return F.when(home == F.lit(same), of_home).otherwise(of_road)
+
+    targets = {
+        "assist_id": (code == "AS", lambda: of_side(makes, True)),
+        "blocked_by": (code == "FV", lambda: of_side(misses, False)),
+        "leads_to_rebound": (code.isin("O", "D"), lambda: before(misses | (code == "FTA"), "game_id")),
+    }
+    found = []
+    used = [k for k in targets if k in wanted]
+    if used:
+        rows = acts.select("game_id", "seq", "action_id", *[F.when(targets[k][0], targets[k][1]()).alias(k) for k in used])
+        each = F.array(*[F.struct(F.lit(k).alias("link"), F.col(k).alias("at")) for k in used])
+        found.append(rows.select("game_id", F.col("seq").alias("by_seq"), F.col("action_id").alias("by"), F.inline(each)).where("at is not null"))
+    ids = acts.select("game_id", F.col("seq").alias("by_seq"), F.col("action_id").alias("by"))
+    if "caused_by_steal" in wanted:
+        steal = _within_reach(acts, code == "ST", code == "TO", True).select("game_id", F.col("s_seq").alias("by_seq"), F.lit("caused_by_steal").alias("link"), F.col("seq").alias("at"))
+        found.append(steal.join(ids, ["game_id", "by_seq"]).select("game_id", "by_seq", "by", "link", "at"))
+    if "caused_by_foul" in wanted:
+        foul = _within_reach(acts, code == "TO", code == "OF", False).select("game_id", F.col("seq").alias("by_seq"), F.lit("caused_by_foul").alias("link"), F.col("s_seq").alias("at"))
+        found.append(foul.join(ids, ["game_id", "by_seq"]).select("game_id", "by_seq", "by", "link", "at"))
+    if not found:
+        return acts
+    best = [F.max_by(F.when(F.col("link") == k, F.col("by")), F.when(F.col("link") == k, F.col("by_seq"))).alias(k) for k in LINKS if k in wanted]
+    chosen = reduce(DataFrame.unionByName, found).groupBy("game_id", F.col("at").alias("seq")).agg(*best)
+    return acts.join(chosen, ["game_id", "seq"], "left")
 
 
 def foul_links(acts: DataFrame) -> DataFrame:
     """(game_id, action_id, fouled_by): each foul (CM, OF, CMU) takes the latest drawn foul (RV) of its period that no
     earlier foul took, going back as long as actions are within REACH seconds of it.
 
-    What a foul may take depends on what others took, so a game is one ordered pass; games are small and even.
+    What a foul may take depends on what others took, so a run of actions that
+    follow each other in the period within REACH seconds is one ordered pass;
+    no foul reaches beyond its run.
     """
-    def one_game(game: pd.DataFrame) -> pd.DataFrame:
-        rows = game.sort_values("seq").itertuples()
+    def one_run(run: pd.DataFrame) -> pd.DataFrame:
+        rows = run.sort_values("seq").itertuples()
         seen, taken = [], {}
         for r in rows:
             if r.action_code in ("CM", "OF", "CMU"):
                 for p in reversed(seen):
-                    if p.period != r.period or abs(p.seconds_remaining - r.seconds_remaining) > REACH:
+                    if abs(p.seconds_remaining - r.seconds_remaining) > REACH:
                         break
                     if p.action_code == "RV" and p.action_id not in taken:
                         taken[p.action_id] = r.action_id
                         break
             seen.append(r)
-        rows = [(game.game_id.iloc[0], drawn, foul) for drawn, foul in taken.items()]
+        rows = [(run.game_id.iloc[0], drawn, foul) for drawn, foul in taken.items()]
         return pd.DataFrame(rows, columns=["game_id", "action_id", "fouled_by"], dtype=object)
 
-    cols = acts.select("game_id", "seq", "period", "seconds_remaining", "action_code", "action_id")
-    return cols.groupBy("game_id").applyInPandas(one_game, "game_id string, action_id string, fouled_by string")
+    order = Window.partitionBy("game_id", "period").orderBy("seq")
+    gap = F.abs(F.col("seconds_remaining") - F.lag("seconds_remaining").over(order)) > REACH
+    cols = acts.select("game_id", "period", "seq", "seconds_remaining", "action_code", "action_id", F.coalesce(gap, F.lit(True)).alias("gap"))
+    cols = cols.withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
+    whole = Window.partitionBy("game_id", "period", "run")
+    both = (F.count_if(F.col("action_code") == "RV").over(whole) > 0) & (F.count_if(F.col("action_code").isin("CM", "OF", "CMU")).over(whole) > 0)
+    cols = cols.withColumn("both", both).where("both")
+    return cols.groupBy("game_id", "period", "run").applyInPandas(one_run, "game_id string, action_id string, fouled_by string")
+
+
+def with_foul_links(acts: DataFrame) -> DataFrame:
+    """acts with fouled_by, the foul that a drawn foul belongs to."""
+    return acts.join(foul_links(acts), ["game_id", "action_id"], "left")
 
 
 def linked_pairs(acts: DataFrame, link: str) -> DataFrame:

@@ -153,6 +153,16 @@ def play_by_play(acts: DataFrame, game_id: str, linked: bool = True) -> DataFram
     return a.orderBy(F.coalesce("seq", F.lit(9999)), "action_id")
 
 
+def play_order(acts: DataFrame) -> list[Column]:
+    """Stable order of play: period, sequence where it is known, remaining clock from high to low, id."""
+    return [period_order("period"), F.when(F.col("seq") > 0, F.col("seq")).asc_nulls_first(), F.desc("seconds_remaining"), F.asc("action_id")]
+
+
+def capped(df: DataFrame, rows: int = 200) -> DataFrame:
+    """At most so many rows of a result, whatever its own limit."""
+    return df.limit(rows)
+
+
 def shots_with_candidates(acts: DataFrame, profiles: DataFrame, n: int = 500) -> DataFrame:
     """The first n shots by id, chosen before the profile join."""
     ids = acts.where(scope.by_kind("shots")).orderBy(F.col("action_id").cast("long")).limit(n)
@@ -168,6 +178,14 @@ def first_available_name(participations: DataFrame, players: DataFrame) -> DataF
     return participations.join(players.select("player_id", "name"), "player_id", "left").select("game_id", "player_id", F.coalesce("name", "jersey_name").alias("name"))
 
 
+def game_roster(box: DataFrame, participations: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(game_id, side, team_id, player_id, name, image, position, is_starter): each player of box(game_id, side, team_id,
+    player_id, is_starter) that took part, with the least label and image and all positions; the jersey's name where no label is known."""
+    took = participations.groupBy("game_id", "team_id", "player_id").agg(F.min("jersey_name").alias("jersey_name"))
+    rows = box.distinct().join(took, ["game_id", "team_id", "player_id"]).join(collapse_multivalued(attrs), "player_id", "left")
+    return rows.select("game_id", "side", "team_id", "player_id", F.coalesce("label", "jersey_name").alias("name"), "image", F.coalesce("position", F.lit("")).alias("position"), "is_starter")
+
+
 # The competency questions.
 
 
@@ -217,9 +235,9 @@ def q13(acts: DataFrame, players: DataFrame, country: str) -> DataFrame:
     return rows.join(p, "player_id", "left_semi")
 
 
-def q14(changes: DataFrame, players: DataFrame) -> DataFrame:
-    """Lead changes of the last minute by players born after 2000, over strict lead changes."""
-    young = players.where(F.col("birth_date") > F.lit("2000-12-31").cast("date")).select("player_id")
+def q14(changes: DataFrame, players: DataFrame, born_after: str = "2000-12-31") -> DataFrame:
+    """Lead changes of the last minute by players born after a day, over strict lead changes."""
+    young = players.where(F.col("birth_date") > F.lit(born_after).cast("date")).select("player_id")
     return changes.where(scope.last_seconds(60)).join(young, "player_id", "left_semi")
 
 

@@ -20,13 +20,13 @@ def first_per_clock(observations: DataFrame) -> DataFrame:
 
 def sync_rule(acts: DataFrame) -> DataFrame:
     """acts with sync_seconds and tolerance: an assist follows the score that names it if that is within 5 seconds in the
-    same period; period starts at full clock and a jump ball in the first second may be farther from an observation."""
+    same period; period starts and substitutions at full clock and a jump ball in the first second may be farther from an observation."""
     score = acts.where("assist_id is not null and action_code in ('2FGM', '3FGM', 'FTM')")
     anchor = score.groupBy("game_id", normalize_period("period").alias("_p"), F.col("assist_id").alias("action_id")).agg(F.max_by("seconds_remaining", "seq").alias("_score"))
     a = acts.withColumn("_p", normalize_period("period")).join(anchor, ["game_id", "_p", "action_id"], "left")
     near = F.abs(F.col("_score") - F.col("seconds_remaining")) <= 5
     full = F.coalesce(max_period_seconds("period"), F.lit(300))
-    start = F.col("action_code").isin("BP") & (F.abs(F.col("seconds_remaining") - full) < 0.001)
+    start = F.col("action_code").isin("BP", "IN", "OUT") & (F.abs(F.col("seconds_remaining") - full) < 0.001)
     jump = (F.col("action_code") == "JB") & (full - F.col("seconds_remaining")).between(0, 1)
     return a.withColumns({"sync_seconds": F.when(near, F.col("_score")).otherwise(F.col("seconds_remaining")).cast("double"), "tolerance": F.when(start | jump, START_TOLERANCE).otherwise(TOLERANCE)}).drop("_p", "_score")
 

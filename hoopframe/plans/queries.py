@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lineups, links, possessions, reports, scope
@@ -51,17 +51,17 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def simple(name: str, sql: str, build: Callable[[DataFrame], DataFrame], linked: bool = False, lined: bool = False) -> None:
-    """A query over the actions, or over them with their links or lineups."""
+def simple(name: str, sql: str, build: Callable[[DataFrame], DataFrame], linked: bool | str = False, lined: bool = False, only: Callable[[], Column] | None = None) -> None:
+    """A query over the actions, or over them with their links (all or those named) or lineups (of those actions only)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         a = views.actions(spark, sf_dir)
         if linked:
-            a = links.link_actions(a)
+            a = links.link_actions(a, links.LINKS if linked is True else tuple(linked.split()))
         if lined:
-            a = lineups.lineup_at_action(a, views.starters(a))
+            a = lineups.lineup_at_action(a, views.starters(a), only() if only else None)
         return build(a)
 
-    parts = [ACTIONS_SQL] + [LINKS_SQL] * linked + [LINEUPS_SQL] * lined
+    parts = [ACTIONS_SQL] + [LINKS_SQL] * bool(linked) + [LINEUPS_SQL] * lined
     register(name, with_(*parts) + sql)(run)
 
 
@@ -71,7 +71,7 @@ simple(
     """ SELECT passer, scorer, sum(points) AS points, count(*) AS assists FROM (SELECT DISTINCT a.player_id AS passer, s.player_id AS scorer, s.action_id, s.points FROM linked s JOIN linked a ON s.assist_id = a.action_id
     WHERE s.points IS NOT NULL) GROUP BY 1, 2 ORDER BY points DESC, passer, scorer LIMIT 10""",
     reports.assist_duos,
-    linked=True,
+    linked="assist_id",
 )
 _BY = " SELECT {k}, sum(points) AS points, count(*) AS scoring_actions FROM actions WHERE points IS NOT NULL AND {w} GROUP BY 1 ORDER BY points DESC, {k} LIMIT {n}"
 simple("second_chance_points", _BY.format(k="player_id", w="is_second_chance", n=10), reports.second_chance_points)
@@ -94,7 +94,7 @@ simple(
     """ SELECT b.player_id AS blocker, s.player_id AS shooter, count(DISTINCT b.action_id) AS n FROM linked b LEFT JOIN linked s ON s.blocked_by = b.action_id WHERE b.action_class = 'Block' GROUP BY ALL
     ORDER BY n DESC, blocker, shooter NULLS FIRST LIMIT 10""",
     reports.blocks,
-    linked=True,
+    linked="blocked_by",
 )
 simple("dataset_totals", " SELECT count(DISTINCT game_id) AS games, count(DISTINCT action_id) AS actions, count(DISTINCT player_id) AS players, count(DISTINCT team_id) AS teams FROM actions", reports.dataset_totals)
 simple(
@@ -123,7 +123,7 @@ simple(
     "first_made_three",
     " SELECT game_id, min_by(action_id, seq) AS action_id, min_by(player_id, seq) AS player_id, min_by(coalesce(assist_id, '-'), seq) AS assist_id FROM linked WHERE action_class = 'ThreePointShotMade' GROUP BY 1",
     lambda a: reports.first_made_three(a.withColumn("assist_id", F.coalesce("assist_id", F.lit("-")))),
-    linked=True,
+    linked="assist_id",
 )
 simple("play_by_play_page", " SELECT action_id, seq, period, clock, action_class FROM actions WHERE game_id = '2024-01-10' ORDER BY seq LIMIT 50 OFFSET 50", lambda a: reports.page(reports.play_by_play(a, "2024-01-10", linked=False).select("action_id", "seq", "period", "clock", "action_class"), ["seq"], 50))
 simple(
@@ -148,22 +148,22 @@ simple(
     "misses_rebounded",
     " SELECT s.action_id, s.player_id FROM linked s JOIN linked r ON s.leads_to_rebound = r.action_id WHERE r.action_class = 'OffensiveRebound'",
     lambda a: links.misses_rebounded(a, "OffensiveRebound").select("action_id", "player_id"),
-    linked=True,
+    linked="leads_to_rebound",
 )
-simple("assists_near_scores", " SELECT a.action_id AS assist_id, s.action_id AS score_id FROM linked a JOIN linked s ON s.assist_id = a.action_id AND s.period = a.period AND s.game_id = a.game_id WHERE abs(a.seconds_remaining - s.seconds_remaining) <= 5", links.assists_near_scores, linked=True)
+simple("assists_near_scores", " SELECT a.action_id AS assist_id, s.action_id AS score_id FROM linked a JOIN linked s ON s.assist_id = a.action_id AND s.period = a.period AND s.game_id = a.game_id WHERE abs(a.seconds_remaining - s.seconds_remaining) <= 5", links.assists_near_scores, linked="assist_id")
 simple(
     "resolve_assists",
-    " SELECT action_id, action_id AS assist_id FROM linked WHERE action_class = 'Assist' AND seq % 3 = 0 UNION SELECT action_id, assist_id FROM linked WHERE assist_id IS NOT NULL AND seq % 3 = 0",
-    lambda a: links.resolve_assists(a, a.where("seq % 3 = 0")),
-    linked=True,
+    " SELECT action_id, action_id AS assist_id FROM linked WHERE action_class = 'Assist' UNION SELECT action_id, assist_id FROM linked WHERE assist_id IS NOT NULL",
+    lambda a: links.resolve_assists(a, a),
+    linked="assist_id",
 )
 simple(
     "linked_pairs",
     " SELECT t.action_id AS turnover, s.player_id AS thief FROM linked t JOIN linked s ON t.caused_by_steal = s.action_id",
     lambda a: links.linked_pairs(a, "caused_by_steal").select(F.col("action.action_id").alias("turnover"), F.col("other.player_id").alias("thief")),
-    linked=True,
+    linked="caused_by_steal",
 )
-simple("assisted_by", " SELECT s.action_id FROM linked s JOIN linked a ON s.assist_id = a.action_id WHERE a.player_id = 'P8'", lambda a: scope.assisted_by(a, "P8").select("action_id"), linked=True)
+simple("assisted_by", " SELECT s.action_id FROM linked s JOIN linked a ON s.assist_id = a.action_id WHERE a.player_id = 'P8'", lambda a: scope.assisted_by(a, "P8").select("action_id"), linked="assist_id")
 _WAS = ", d AS (SELECT *, home_score - road_score AS now, coalesce(lag(home_score - road_score) OVER (PARTITION BY game_id ORDER BY seq), 0) AS was FROM actions)"
 simple("q12_lead_taken", _WAS + " SELECT action_id FROM d WHERE points IS NOT NULL AND period = '4th' AND ((was <= 0 AND now > 0) OR (was >= 0 AND now < 0))", lambda a: links.lead_changes(a).where(scope.in_period("4th")).select("action_id"))
 simple("lead_flips", _WAS + " SELECT action_id FROM d WHERE points IS NOT NULL AND sign(was) * sign(now) < 0", lambda a: links.lead_changes(a, strict=True).select("action_id"))
@@ -177,21 +177,23 @@ simple(
     "q11_opposing",
     """ SELECT action_id FROM actions a WHERE points IS NOT NULL AND EXISTS (SELECT 1 FROM on_court x JOIN on_court y ON x.game_id = y.game_id AND x.seq = y.seq AND x.side <> y.side
     WHERE x.game_id = a.game_id AND x.seq = a.seq AND x.player_id = 'P2' AND y.player_id = 'P1')""",
-    lambda a: lineups.opposing(a.where("points is not null"), "P2", "P1").select("action_id"),
+    lambda a: lineups.opposing(a, "P2", "P1").select("action_id"),
     lined=True,
+    only=lambda: F.col("points").isNotNull(),
 )
-_SIDES = ", sides AS (SELECT a.*, 'home' AS lside, home_team AS lineup_team, home_lineup AS lineup FROM actions a LEFT JOIN lineup_at USING (game_id, seq) UNION ALL SELECT a.*, 'road', road_team, road_lineup FROM actions a LEFT JOIN lineup_at USING (game_id, seq))"
-simple("top_lineups", _SIDES + " SELECT lineup_team, lineup, sum(points) AS points FROM sides WHERE lineup_team = team_id AND points IS NOT NULL GROUP BY ALL ORDER BY points DESC, lineup_team, lineup LIMIT 10", lineups.top_lineups, lined=True)
-simple("q5_fourth_lineups", _SIDES + " SELECT lineup_team, lineup, count(DISTINCT game_id) AS n FROM sides WHERE period = '4th' GROUP BY ALL ORDER BY n DESC, lineup_team, lineup LIMIT 20", lambda a: reports.q5(lineups.either_side(a)), lined=True)
+SIDES_SQL = ", sides AS (SELECT a.*, 'home' AS lside, home_team AS lineup_team, home_lineup AS lineup FROM actions a LEFT JOIN lineup_at USING (game_id, seq) UNION ALL SELECT a.*, 'road', road_team, road_lineup FROM actions a LEFT JOIN lineup_at USING (game_id, seq))"
+simple("top_lineups", SIDES_SQL + " SELECT lineup_team, lineup, sum(points) AS points FROM sides WHERE lineup_team = team_id AND points IS NOT NULL GROUP BY ALL ORDER BY points DESC, lineup_team, lineup LIMIT 10", lineups.top_lineups, lined=True, only=lambda: F.col("points").isNotNull())
+simple("q5_fourth_lineups", SIDES_SQL + " SELECT lineup_team, lineup, count(DISTINCT game_id) AS n FROM sides WHERE period = '4th' GROUP BY ALL ORDER BY n DESC, lineup_team, lineup LIMIT 20", lambda a: reports.q5(lineups.either_side(a)), lined=True, only=lambda: scope.in_period("4th"))
 _PM = "coalesce(sum(points) FILTER (team_id = lineup_team), 0) AS points_for, coalesce(sum(points) FILTER (team_id <> lineup_team), 0) AS points_against, count(*) AS n_actions, coalesce(sum(points) FILTER (team_id = lineup_team), 0) - coalesce(sum(points) FILTER (team_id <> lineup_team), 0) AS difference"
-simple("lineup_plus_minus", _SIDES + f" SELECT lineup_team, {_PM} FROM sides WHERE list_has_all(string_split(lineup, '_'), ['P0', 'P2']) GROUP BY 1", lambda a: lineups.lineup_plus_minus(a, ["P0", "P2"]), lined=True)
-simple("rank_lineups", _SIDES + f" SELECT lineup_team, lineup, {_PM} FROM sides WHERE len(string_split(lineup, '_')) = 5 GROUP BY ALL ORDER BY difference DESC, lineup_team, lineup LIMIT 10", lambda a: lineups.rank_lineups(a, "difference"), lined=True)
+simple("lineup_plus_minus", SIDES_SQL + f" SELECT lineup_team, {_PM} FROM sides WHERE list_has_all(string_split(lineup, '_'), ['P0', 'P2']) GROUP BY 1", lambda a: lineups.lineup_plus_minus(a, ["P0", "P2"]), lined=True)
+simple("rank_lineups", SIDES_SQL + f" SELECT lineup_team, lineup, {_PM} FROM sides WHERE len(string_split(lineup, '_')) = 5 GROUP BY ALL ORDER BY difference DESC, lineup_team, lineup LIMIT 10", lambda a: lineups.rank_lineups(a, "difference"), lined=True)
 simple("roster_seen", " SELECT DISTINCT o.game_id, CASE o.side WHEN 'home' THEN a.home_team ELSE a.road_team END AS team_id, o.player_id FROM on_court o JOIN actions a USING (game_id, seq)", lineups.roster_seen, lined=True)
 simple(
     "team_points_with_player",
     " SELECT team_id, sum(points) AS points FROM actions a WHERE team_id = 'T1' AND points IS NOT NULL AND EXISTS (SELECT 1 FROM on_court o WHERE o.game_id = a.game_id AND o.seq = a.seq AND o.player_id = 'P0') GROUP BY 1",
     lambda a: lineups.team_points_with_player(a, "T1", "P0"),
     lined=True,
+    only=lambda: (F.col("team_id") == "T1") & F.col("points").isNotNull(),
 )
 simple(
     "q6_shooting_by_teammate",
@@ -200,6 +202,7 @@ simple(
     WHERE a.player_id = 'P0' AND contains(action_class, 'PointShot') GROUP BY 1)""",
     lambda a: lineups.shooting_by_teammate(a, "P0"),
     lined=True,
+    only=lambda: (F.col("player_id") == "P0") & F.col("action_class").contains("PointShot"),
 )
 simple(
     "starting_lineup_on_court",
@@ -230,8 +233,8 @@ _with_players(
     lined=True,
 )
 _with_players("mean_height_on_court", " SELECT action_id, ((2 * sum({0}) + count(*)) // (2 * count(*))) / 100.0 AS mean_height, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM actions JOIN on_court o USING (game_id, seq) JOIN players p ON p.player_id = o.player_id AND height IS NOT NULL GROUP BY 1".replace("{0}", _CM), lineups.mean_height_on_court, lined=True)
-_with_players("q13_late_threes", f" SELECT action_id FROM actions JOIN players USING (player_id) WHERE country = 'NATION_3' AND {_CM} < 200 AND action_class = 'ThreePointShotMade' AND seconds_remaining <= 60 AND abs(home_score - road_score) < 5", lambda a, p: reports.q13(a, p, "NATION_3").select("action_id"))
-_with_players("q14_young_lead_changes", _WAS + " SELECT action_id FROM d JOIN players USING (player_id) WHERE points IS NOT NULL AND sign(was) * sign(now) < 0 AND seconds_remaining <= 60 AND birth_date > DATE '2000-12-31'", lambda a, p: reports.q14(links.lead_changes(a, strict=True), p).select("action_id"))
+_with_players("q13_late_threes", f" SELECT action_id FROM actions JOIN players USING (player_id) WHERE country = 'NATION_6' AND {_CM} < 200 AND action_class = 'ThreePointShotMade' AND seconds_remaining <= 60 AND abs(home_score - road_score) < 5", lambda a, p: reports.q13(a, p, "NATION_6").select("action_id"))
+_with_players("q14_young_lead_changes", _WAS + " SELECT action_id FROM d JOIN players USING (player_id) WHERE points IS NOT NULL AND sign(was) * sign(now) < 0 AND seconds_remaining <= 60 AND birth_date > DATE '1995-12-31'", lambda a, p: reports.q14(links.lead_changes(a, strict=True), p, "1995-12-31").select("action_id"))
 _with_players("scorers_with_names", " SELECT player_id, points, scoring_actions, name FROM (SELECT player_id, sum(points) AS points, count(*) AS scoring_actions FROM actions WHERE points IS NOT NULL GROUP BY 1) LEFT JOIN players USING (player_id)", reports.aggregate_then_label)
 _with_players("by_player_name", " SELECT action_id FROM actions JOIN players USING (player_id) WHERE contains(lower(name), 'customer') AND contains(lower(name), '000000012')", lambda a, p: scope.by_player(a, p, "customer 000000012").select("action_id"))
 _with_players("name_match", " SELECT player_id FROM players WHERE name = 'Customer#000000007'", lambda a, p: p.where(scope.name_match("customer#000000007")).select("player_id"))

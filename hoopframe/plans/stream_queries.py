@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import period_order
 from ..streaming import live, tracker
 from . import views
 from .queries import register
 
 
 def readings(acts: DataFrame) -> DataFrame:
-    """A reading every second of each game's regular time, ten seconds of video each, with look-alike letters, noise and gaps."""
-    games = acts.select("game_id").distinct()
-    second = F.explode(F.sequence(F.lit(0), F.lit(2399)))
-    r = games.select("game_id", second.alias("s")).withColumn("left", 600 - F.col("s") % 600)
-    h = F.pmod(F.xxhash64("game_id", "s"), F.lit(100))
+    """What a broadcast shows around each action: its clock and the two seconds before and after it, each period 720 seconds of
+    video, with look-alike letters, cut texts and doubtful readings by the action's number."""
+    shown = acts.select("game_id", "original_event_id", period_order("period").alias("p"), "seconds_remaining", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("s"))
+    left = F.col("seconds_remaining") - F.col("s")
+    h = F.pmod(F.col("original_event_id") * 31 + F.col("s") * 7, F.lit(100))
     clock = F.format_string("%d:%02d", (F.col("left") / 60).cast("int"), F.col("left") % 60)
     text = F.when(h < 3, F.lit("4:4")).when(h < 8, F.translate(clock, "05", "OS")).otherwise(clock)
-    time = F.col("s") + F.floor(F.col("s") / 600) * 120
-    return r.select("game_id", time.cast("double").alias("video_time"), text.alias("text"), F.when(h > 95, 0.1).otherwise(0.9).alias("confidence"))
+    rows = shown.withColumns({"left": left, "h": h}).where("left between 0 and 600")
+    time = (F.col("p") - 1) * 720 + 600 - F.col("left")
+    rows = rows.select("game_id", time.cast("double").alias("video_time"), text.alias("text"), F.when(F.col("h") > 95, 0.1).otherwise(0.9).alias("confidence"), "original_event_id")
+    best = F.min(F.struct("original_event_id", "text", "confidence")).alias("r")
+    return rows.groupBy("game_id", "video_time").agg(best).select("game_id", "video_time", "r.text", "r.confidence")
 
 
 @register("clock_tracker")

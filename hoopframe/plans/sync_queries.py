@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import candidates, evaluation, links, lineups, possessions, quality, reports, scope, sync, timeline
 from . import views
-from .queries import POSSESSIONS_SQL, register, simple
-from .views import ACTIONS_SQL, OBSERVATIONS_SQL, PLAYERS_SQL, with_
+from .queries import POSSESSIONS_SQL, SIDES_SQL, register, simple
+from .views import ACTIONS_SQL, LINEUPS_SQL, OBSERVATIONS_SQL, PLAYERS_SQL, with_
 
 # Nearest observation by brute force: every clock of the period, least distance, then the larger clock.
 NEAREST_SQL = """
@@ -44,10 +44,10 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
 simple(
     "sync_rule",
     """, s AS (SELECT game_id, period, assist_id AS action_id, max_by(seconds_remaining, seq) AS sc FROM linked WHERE assist_id IS NOT NULL AND action_code IN ('2FGM', '3FGM', 'FTM') GROUP BY ALL)
-    SELECT a.action_id, CAST(CASE WHEN abs(sc - seconds_remaining) <= 5 THEN sc ELSE seconds_remaining END AS DOUBLE) AS sync_seconds, CASE WHEN action_code = 'BP' AND seconds_remaining = 600 THEN 12.0 ELSE 5.0 END AS tolerance
+    SELECT a.action_id, CAST(CASE WHEN abs(sc - seconds_remaining) <= 5 THEN sc ELSE seconds_remaining END AS DOUBLE) AS sync_seconds, CASE WHEN action_code IN ('BP', 'IN', 'OUT') AND seconds_remaining = 600 THEN 12.0 ELSE 5.0 END AS tolerance
     FROM linked a LEFT JOIN s ON s.game_id = a.game_id AND s.period = a.period AND s.action_id = a.action_id""",
     lambda a: sync.sync_rule(a).select("action_id", "sync_seconds", "tolerance"),
-    linked=True,
+    linked="assist_id",
 )
 # A timeline with faults: some clocks are read too high or too low.
 _TIMELINE_SQL = """
@@ -108,15 +108,15 @@ def _completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.completeness(_timeline(views.actions(spark, sf_dir)))
 
 
-# Ground truth: every third action at its observation's time, off by a few seconds.
+# Ground truth: every action at its observation's time, off by a few seconds.
 _TRUTH_SQL = """
-scored AS (SELECT game_id, action_id, action_class AS category, abs(video_time - (seq % 13 * 3 + coalesce(ov, 0))) AS error FROM matched WHERE seq % 3 = 0)"""
+scored AS (SELECT game_id, action_id, action_class AS category, abs(video_time - (seq % 13 * 3 + coalesce(ov, 0))) AS error FROM matched)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matched(spark, sf_dir)
     a = views.actions(spark, sf_dir)
-    free = sync.nearest_observation(a, views.observations(a), 1e9).where("seq % 3 = 0")
+    free = sync.nearest_observation(a, views.observations(a), 1e9)
     truth = free.select("game_id", "action_id", F.col("action_class").alias("category"), (F.col("seq") % 13 * 3 + F.coalesce("video_time", F.lit(0.0))).alias("truth_seconds"))
     return evaluation.score_sync(truth, m)
 
@@ -160,7 +160,32 @@ def _fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.distinct_then_aggregate(rows, ["l_suppkey"], {"quantity": F.sum("l_quantity"), "lines": F.count("*")}, "quantity", 10, "l_quantity")
 
 
-simple("check_actions", " SELECT game_id, 'clock' AS problem, 0 AS n, '' AS examples FROM actions WHERE FALSE", quality.check_actions)
+# Actions with faults of each kind that the checks look for.
+_FAULTY_SQL = """, faulty AS (SELECT game_id, action_id, row_number() OVER (PARTITION BY game_id ORDER BY seq) AS place, CASE WHEN seq >= 150 THEN seq + 1 ELSE seq END AS seq,
+  CASE WHEN seq % 101 = 0 THEN NULL WHEN seq % 53 = 0 THEN -1 ELSE original_event_id END AS original_event_id, CASE WHEN seq % 103 = 0 THEN 'interval' ELSE period END AS period,
+  CASE WHEN seq % 107 = 0 THEN 700 ELSE seconds_remaining END AS seconds_remaining, clock, seconds_remaining AS clock_s FROM actions),
+  flagged AS (SELECT *, count(*) OVER (PARTITION BY game_id, original_event_id) AS same FROM faulty),
+  problems AS (SELECT game_id, seq, action_id, 'sequence' AS problem FROM flagged WHERE seq <> place UNION ALL SELECT game_id, seq, action_id, 'event id' FROM flagged WHERE same > 1 OR original_event_id IS NULL
+  UNION ALL SELECT game_id, seq, action_id, 'period' FROM flagged WHERE period = 'interval' UNION ALL SELECT game_id, seq, action_id, 'seconds' FROM flagged WHERE period = 'interval' OR seconds_remaining > 600
+  UNION ALL SELECT game_id, seq, action_id, 'clock' FROM flagged WHERE seconds_remaining <> clock_s),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY game_id, problem ORDER BY seq, action_id) AS n FROM problems)"""
+
+
+def _faulty(a: DataFrame) -> DataFrame:
+    n = F.col("n_")
+    return a.withColumn("n_", F.col("seq")).withColumns({
+        "seq": F.when(n >= 150, n + 1).otherwise(n),
+        "original_event_id": F.when(n % 101 == 0, None).when(n % 53 == 0, -1).otherwise(F.col("original_event_id")),
+        "period": F.when(n % 103 == 0, "interval").otherwise(F.col("period")),
+        "seconds_remaining": F.when(n % 107 == 0, 700).otherwise(F.col("seconds_remaining")),
+    }).drop("n_")
+
+
+simple(
+    "check_actions",
+    _FAULTY_SQL + " SELECT game_id, problem, count(*) AS n, string_agg(action_id, ',' ORDER BY action_id) FILTER (n <= 10) AS examples FROM placed GROUP BY ALL",
+    lambda a: quality.check_actions(_faulty(a)),
+)
 
 
 @register("dangling_references", with_(ACTIONS_SQL, POSSESSIONS_SQL) + """, n AS (SELECT game_id, possession_seq, unnest(list_distinct(list_concat(contains_action, [starts_after, ends_with]))) AS original_event_id FROM possessions)
@@ -175,11 +200,16 @@ simple(
     " SELECT game_id, count(*) FILTER (seq % 97 = 0) AS missing, 0 AS unexpected, count(*) FILTER (seq % 97 = 0) = 0 AS in_order FROM actions GROUP BY 1",
     lambda a: quality.source_equals_processed(a.select("game_id", "seq", "action_code"), a.where("seq % 97 <> 0").select("game_id", "seq", "action_code")),
 )
+simple(
+    "matched_only",
+    " SELECT action_id FROM actions WHERE player_id IN (SELECT player_id FROM actions WHERE action_class = 'ThreePointShotMade' AND period = '4th')",
+    lambda a: quality.matched_only(a, a.where("action_class = 'ThreePointShotMade' and period = '4th'").select("player_id").distinct(), "player_id").select("action_id"),
+)
 simple(
     "set_difference",
-    """, l AS (SELECT DISTINCT player_id, team_id FROM actions WHERE season_code = 'E2023'), r AS (SELECT DISTINCT player_id, team_id FROM actions WHERE season_code = 'E2024')
-    SELECT player_id, team_id, 'missing' AS side FROM (FROM l EXCEPT FROM r) UNION ALL SELECT player_id, team_id, 'unexpected' FROM (FROM r EXCEPT FROM l)""",
-    lambda a: quality.set_difference(a.where("season_code = 'E2023'"), a.where("season_code = 'E2024'"), ["player_id", "team_id"]),
+    """, l AS (SELECT DISTINCT player_id, action_class FROM actions WHERE season_code = 'E2023'), r AS (SELECT DISTINCT player_id, action_class FROM actions WHERE season_code = 'E2024')
+    SELECT player_id, action_class, 'missing' AS side FROM (FROM l EXCEPT FROM r) UNION ALL SELECT player_id, action_class, 'unexpected' FROM (FROM r EXCEPT FROM l)""",
+    lambda a: quality.set_difference(a.where("season_code = 'E2023'"), a.where("season_code = 'E2024'"), ["player_id", "action_class"]),
 )
 
 
@@ -204,34 +234,127 @@ simple(
 )
 
 
-@register("match_names", with_(ACTIONS_SQL, PLAYERS_SQL) + " SELECT player_id AS guess_id, player_id FROM players WHERE CAST(substr(player_id, 2) AS INTEGER) % 5 = 0")
+@register("match_names", with_(ACTIONS_SQL, PLAYERS_SQL) + " SELECT player_id AS guess_id, player_id FROM players")
 def _match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.players(spark, sf_dir)
-    guesses = p.where("cast(substring(player_id, 2) as int) % 5 = 0").select(F.col("player_id").alias("guess_id"), F.regexp_replace(F.upper("name"), "#", " — ").alias("guess"))
+    guesses = p.select(F.col("player_id").alias("guess_id"), F.regexp_replace(F.upper("name"), "#", " — ").alias("guess"))
     return candidates.match_names(guesses, p)
 
 
-@register("hidden_member")
+_SEEDED = "CAST('0x' || substr(md5({0} || ':{1}'), 1, 8) AS BIGINT)"
+
+
+@register(
+    "hidden_member",
+    with_(ACTIONS_SQL, PLAYERS_SQL, LINEUPS_SQL) + """, l AS (SELECT DISTINCT unnest([home_lineup, road_lineup]) AS lineup_id FROM lineup_at), m AS (SELECT lineup_id, unnest(string_split(lineup_id, '_')) AS player_id FROM l WHERE lineup_id IS NOT NULL),
+    r AS (SELECT m.*, CASE WHEN p.player_id IS NOT NULL THEN ['Center', 'Forward', 'Guard', 'Guard / Forward'][CAST(substr(p.player_id, 2) AS INTEGER) % 4 + 1] END AS position FROM m LEFT JOIN players p USING (player_id))
+    SELECT lineup_id, player_id, position, row_number() OVER (PARTITION BY lineup_id ORDER BY CASE WHEN position = 'Center' THEN 0 WHEN contains(position, 'Forward') THEN 1 WHEN position = 'Guard' THEN 2 ELSE 3 END, player_id) AS place,
+    row_number() OVER (PARTITION BY lineup_id ORDER BY {h}, player_id) = 1 AS hidden FROM r""".replace("{h}", _SEEDED.format("player_id", 0)),
+)
 def _hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.actions(spark, sf_dir)
-    seen = lineups.lineup_at_action(a, views.starters(a)).select(F.array_join("home_lineup", "_").alias("lineup_id"), F.col("home_lineup").alias("player_ids")).distinct()
-    roles = views.players(spark, sf_dir).select("player_id", F.element_at(F.array(F.lit("Center"), F.lit("Forward"), F.lit("Guard"), F.lit("Guard / Forward")), F.substring("player_id", 2, 9).cast("int") % 4 + 1).alias("position"))
+    sides = lineups.either_side(lineups.lineup_at_action(a, views.starters(a))).where(F.size("lineup") > 0)
+    seen = sides.select(F.array_join("lineup", "_").alias("lineup_id"), F.col("lineup").alias("player_ids")).distinct()
+    roles = views.players(spark, sf_dir).select("player_id", F.element_at(F.array(*map(F.lit, ("Center", "Forward", "Guard", "Guard / Forward"))), F.substring("player_id", 2, 9).cast("int") % 4 + 1).alias("position"))
     return candidates.hidden_member(seen, roles)
 
 
 @register("multiple_choice")
 def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.actions(spark, sf_dir)
-    first = reports.first_made_three(links.link_actions(a)).select(F.col("game_id").alias("question_id"), "player_id")
+    first = reports.first_made_three(links.link_actions(a, ("assist_id",))).select(F.col("game_id").alias("question_id"), "player_id")
     return candidates.multiple_choice(first, views.players(spark, sf_dir), 3)
 
 
-@register("two_options")
+@register(
+    "two_options",
+    with_(ACTIONS_SQL) + """, f AS (SELECT player_id AS key, sum(points) AS value, {h} AS h FROM actions WHERE points > 0 GROUP BY 1)
+    SELECT key, value, CASE WHEN h % 2 = 0 AND value >= 3 THEN value - 3 ELSE value + 3 END AS distractor, h // 2 % 2 = 0 AS answer_first, FROM f""".replace("{h}", _SEEDED.format("player_id", 0)),
+)
 def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.actions(spark, sf_dir)
     return candidates.two_options(reports.scorers(a, None).select(F.col("player_id").alias("key"), F.col("points").alias("value")), 3)
 
 
+# Rosters, names of lineups, play order and references by name.
+
+
+def _attributes(p: DataFrame) -> DataFrame:
+    """player_attrs rows of players: two labels, an image, and roles of which one repeats."""
+    n = F.substring("player_id", 2, 9).cast("int")
+    roles = F.when(n % 3 == 0, F.array(F.lit("Guard"), F.lit("Forward"), F.lit("Guard"))).when(n % 3 == 1, F.array(F.lit("Guard"))).otherwise(F.array(F.lit("Center")))
+    p = p.select("player_id", "name", n.alias("n"), roles.alias("roles"))
+    label = p.select("player_id", F.lit("label").alias("attr"), F.explode(F.array("name", F.concat(F.lit("Customer "), F.col("n").cast("string")))).alias("value"))
+    image = p.select("player_id", F.lit("image").alias("attr"), F.concat(F.lit("img/"), "player_id").alias("value"))
+    return label.unionByName(image).unionByName(p.select("player_id", F.lit("position").alias("attr"), F.explode("roles").alias("value")))
+
+
+@register(
+    "game_roster",
+    with_(ACTIONS_SQL, PLAYERS_SQL, LINEUPS_SQL) + """, b AS (SELECT DISTINCT game_id, side, team_id, player_id FROM sided WHERE action_code <> 'TOUT'), took AS (SELECT DISTINCT game_id, team_id, player_id FROM sided WHERE points IS NOT NULL OR action_code = 'AS')
+    SELECT game_id, side, team_id, player_id, coalesce('Customer ' || CAST(substr(p.player_id, 2) AS INTEGER), 'J' || substr(b.player_id, 2)) AS name, CASE WHEN p.player_id IS NOT NULL THEN 'img/' || p.player_id END AS image,
+    CASE WHEN p.player_id IS NULL THEN '' ELSE CASE CAST(substr(p.player_id, 2) AS INTEGER) % 3 WHEN 0 THEN 'Forward / Guard' WHEN 1 THEN 'Guard' ELSE 'Center' END END AS position, f.player_id IS NOT NULL AS is_starter
+    FROM b JOIN took USING (game_id, team_id, player_id) LEFT JOIN (SELECT player_id FROM players) p USING (player_id) LEFT JOIN firsts f USING (game_id, side, player_id)""",
+)
+def _roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.actions(spark, sf_dir)
+    side = F.when(F.col("team_id") == F.col("home_team"), "home").otherwise("road")
+    first = views.starters(a).withColumn("is_starter", F.lit(True))
+    box = a.where("action_code <> 'TOUT'").select("game_id", side.alias("side"), "team_id", "player_id").distinct()
+    box = box.join(first, ["game_id", "side", "player_id"], "left").withColumn("is_starter", F.coalesce("is_starter", F.lit(False)))
+    took = a.where("points is not null or action_code = 'AS'").select("game_id", "team_id", "player_id", F.concat(F.lit("J"), F.expr("substring(player_id, 2)")).alias("jersey_name"))
+    return reports.game_roster(box, took, _attributes(views.players(spark, sf_dir)))
+
+
+@register(
+    "ranked_lineup_names",
+    with_(ACTIONS_SQL, PLAYERS_SQL, LINEUPS_SQL) + SIDES_SQL + """, top AS (SELECT lineup_team, lineup, coalesce(sum(points) FILTER (team_id = lineup_team), 0) AS points_for FROM sides WHERE len(string_split(lineup, '_')) = 5 GROUP BY ALL ORDER BY points_for DESC, lineup_team, lineup LIMIT 10),
+    m AS (SELECT *, unnest(string_split(lineup, '_')) AS player_id FROM top) SELECT lineup_team, lineup, points_for, string_agg(coalesce(name, player_id), ', ' ORDER BY player_id) AS names FROM m LEFT JOIN players USING (player_id) GROUP BY ALL""",
+)
+def _named_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.actions(spark, sf_dir)
+    best = lineups.rank_lineups(lineups.lineup_at_action(a, views.starters(a)), "points_for").select("lineup_team", "lineup", "points_for")
+    return lineups.name_lineups(best, views.players(spark, sf_dir))
+
+
+@register("player_name_on_court", with_(ACTIONS_SQL, PLAYERS_SQL, LINEUPS_SQL) + " SELECT DISTINCT action_id FROM actions JOIN on_court o USING (game_id, seq) JOIN players p ON p.player_id = o.player_id WHERE p.name = 'Customer#000000003'")
+def _named_on_court(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.actions(spark, sf_dir)
+    return lineups.player_on_court(lineups.lineup_at_action(a, views.starters(a)), "customer 000000003", views.players(spark, sf_dir)).select("action_id")
+
+
+@register("with_lineup", with_(ACTIONS_SQL, LINEUPS_SQL) + SIDES_SQL + " SELECT DISTINCT action_id FROM sides WHERE lineup = (SELECT max(lineup) FROM sides WHERE len(string_split(lineup, '_')) = 5)")
+def _with_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.actions(spark, sf_dir)
+    a = lineups.lineup_at_action(a, views.starters(a))
+    most = lineups.either_side(a).where(F.size("lineup") == 5).agg(F.max(F.array_join("lineup", "_"))).first()[0]
+    return lineups.with_lineup(a, (most or "").split("_")).select("action_id")
+
+
+simple(
+    "play_order",
+    """ SELECT action_id, row_number() OVER (PARTITION BY game_id ORDER BY CAST(left(period, 1) AS INTEGER), CASE WHEN seq % 11 = 0 THEN NULL ELSE seq END NULLS FIRST, seconds_remaining DESC, action_id) AS place FROM actions""",
+    lambda a: (lambda x: x.select("action_id", F.row_number().over(Window.partitionBy("game_id").orderBy(*reports.play_order(x))).alias("place")))(a.withColumn("seq", F.when(F.col("seq") % 11 == 0, 0).otherwise(F.col("seq")))),
+)
+simple("capped", " SELECT action_id FROM actions ORDER BY original_event_id LIMIT 200", lambda a: reports.capped(a.orderBy("original_event_id")).select("action_id"))
+simple(
+    "requested_actions",
+    """, r AS (SELECT action_id FROM actions UNION SELECT player_id FROM actions) SELECT action_id, action_class, period, points, action_class IS NOT NULL AS matched FROM r LEFT JOIN actions USING (action_id)""",
+    lambda a: evaluation.summarise_matches(a.select("action_id").unionByName(a.select(F.col("player_id").alias("action_id"))), a),
+)
+
+
+@register("fouls_drawn")
+def _fouls_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.fouls_drawn(links.with_foul_links(views.actions(spark, sf_dir)), None)
+
+
+@register("player_pool", with_(ACTIONS_SQL, LINEUPS_SQL) + ", chosen AS (SELECT game_id FROM (SELECT DISTINCT game_id FROM actions) ORDER BY {h}, game_id LIMIT 5) SELECT DISTINCT player_id FROM on_court WHERE game_id IN (SELECT game_id FROM chosen)".replace("{h}", _SEEDED.format("game_id", 3)))
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.actions(spark, sf_dir)
+    return candidates.player_pool(lineups.roster_seen(lineups.lineup_at_action(a, views.starters(a))), a, 5, 3)
+
+
 # Scalar functions over whole tables.
 simple(
     "clock_columns",
@@ -278,12 +401,7 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE CAST(substr(player_id, 2) AS INTEGER) % 3 WHEN 0 THEN 'Forward / Guard' WHEN 1 THEN 'Guard' ELSE 'Center' END AS position FROM players""",
 )
 def _collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.substring("player_id", 2, 9).cast("int")
-    roles = F.when(n % 3 == 0, F.array(F.lit("Guard"), F.lit("Forward"), F.lit("Guard"))).when(n % 3 == 1, F.array(F.lit("Guard"))).otherwise(F.array(F.lit("Center")))
-    p = views.players(spark, sf_dir).select("player_id", "name", n.alias("n"), roles.alias("roles"))
-    label = p.select("player_id", F.lit("label").alias("attr"), F.explode(F.array("name", F.concat(F.lit("Customer "), F.col("n").cast("string")))).alias("value"))
-    image = p.select("player_id", F.lit("image").alias("attr"), F.concat(F.lit("img/"), "player_id").alias("value"))
-    return reports.collapse_multivalued(label.unionByName(image).unionByName(p.select("player_id", F.lit("position").alias("attr"), F.explode("roles").alias("value"))))
+    return reports.collapse_multivalued(_attributes(views.players(spark, sf_dir)))
 
 
 def _refereed(a: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The play-by-play tables of the library, derived from the driver's tables, and the same derivation as DuckDB SQL.
 
-Each day of events is a game; integer arithmetic only, so that both agree.
+The events of a day by GAME_USERS users are a game, so that games keep their size as the table grows; integer
+arithmetic only, so that both agree.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import action_class, points_of
 
+GAME_USERS = 150
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -27,7 +30,9 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
     second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    e = e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"), F.to_date("ts").cast("string").alias("game_id"), F.dayofmonth("ts").alias("day"), second.alias("second"))
+    block = F.floor(F.col("user_id") / GAME_USERS)
+    game = F.concat(F.to_date("ts").cast("string"), F.when(block > 0, F.concat(F.lit("-"), block.cast("string"))).otherwise(""))
+    e = e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"), game.alias("game_id"), F.dayofmonth("ts").alias("day"), block.alias("block"), second.alias("second"))
     code = (
         F.when(F.col("event_type") == "purchase", _pick(F.col("k") % 6, "2FGM", "3FGM", "FTM", "2FGA", "3FGA", "FTA"))
         .when(F.col("event_type") == "view", _pick(F.col("k") % 5, "AS", "AS", "CM", "RV", "OF"))
@@ -44,7 +49,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = e.withColumns({ "period": _pick(F.floor(F.col("second") / 21600), "1st", "2nd", "3rd", "4th"), "seconds_remaining": remaining, "home_team": home, "road_team": road})
     a = a.withColumns({
         "season_code": F.when(F.col("day") <= 15, "E2023").otherwise("E2024"),
-        "game_code": F.col("day").cast("string"),
+        "game_code": (F.col("day") + 100 * F.col("block")).cast("string"),
         "action_id": F.col("event_id").cast("string"),
         "action_class": action_class("action_code"),
         "team_id": F.when(F.col("user_id") % 2 == 0, F.col("home_team")).otherwise(F.col("road_team")),
@@ -77,13 +82,13 @@ def starters(acts: DataFrame) -> DataFrame:
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of the players: height in metres, date of birth, country; those after the 140th have no height."""
+    """Profiles of the players: height in metres, date of birth, country; every fifteenth has no height."""
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     n = F.col("c_custkey")
-    return c.where(n < 150).select(
+    return c.select(
         F.concat(F.lit("P"), n.cast("string")).alias("player_id"),
         F.col("c_name").alias("name"),
-        F.when(n <= 140, (175 + n * 7 % 45) / F.lit(100.0)).alias("height"),
+        F.when(n % 15 != 0, (175 + n * 7 % 45) / F.lit(100.0)).alias("height"),
         F.date_add(F.lit("1990-01-01").cast("date"), (n * 61 % 5000).cast("int")).alias("birth_date"),
         F.col("n_name").alias("country"),
     )
@@ -91,7 +96,7 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def games(acts: DataFrame) -> DataFrame:
     return acts.groupBy("game_id", "season_code", "game_code", "home_team", "road_team").agg(
-        F.max("home_score").alias("home_score"), F.max("road_score").alias("road_score"),
+        *[F.coalesce(F.sum(F.when(F.col("team_id") == F.col(f"{side}_team"), F.col("points"))), F.lit(0)).alias(f"{side}_score") for side in ("home", "road")],
         F.when(F.col("game_code").cast("int") % 10 == 0, "Final Four").otherwise("Regular Season").alias("phase"),
         F.when(F.col("game_code").cast("int") % 10 == 0, F.when(F.col("game_code").cast("int") % 20 == 0, "Championship Game").otherwise("Semi-Finals")).otherwise("").alias("phase_group"),
     )
@@ -105,7 +110,7 @@ def observations(acts: DataFrame) -> DataFrame:
 
 ACTIONS_SQL = """
 ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
-       strftime(ts, '%Y-%m-%d') AS game_id, CAST(day(ts) AS INTEGER) AS day, hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INTEGER) AS sec FROM events),
+       strftime(ts, '%Y-%m-%d') || CASE WHEN user_id >= 150 THEN '-' || (user_id // 150) ELSE '' END AS game_id, user_id // 150 AS block, CAST(day(ts) AS INTEGER) AS day, hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INTEGER) AS sec FROM events),
 coded AS (SELECT *, CASE event_type
   WHEN 'purchase' THEN CASE k % 6 WHEN 0 THEN '2FGM' WHEN 1 THEN '3FGM' WHEN 2 THEN 'FTM' WHEN 3 THEN '2FGA' WHEN 4 THEN '3FGA' ELSE 'FTA' END
   WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 'AS' WHEN 1 THEN 'AS' WHEN 2 THEN 'CM' WHEN 3 THEN 'RV' ELSE 'OF' END
@@ -122,7 +127,7 @@ named AS (SELECT *, CASE action_code WHEN '2FGM' THEN 'TwoPointShotMade' WHEN '2
   CASE WHEN user_id % 2 = 0 THEN home_team ELSE road_team END AS team_id, 'P' || user_id AS player_id,
   CASE action_code WHEN '2FGM' THEN 2 WHEN '3FGM' THEN 3 WHEN 'FTM' THEN 1 END AS points,
   action_code IN ('2FGM', '3FGM', '2FGA', '3FGA') AS field, action_code IN ('2FGM', '3FGM', 'FTM', '2FGA', '3FGA', 'FTA') AS shot FROM coded),
-actions AS (SELECT CASE WHEN day <= 15 THEN 'E2023' ELSE 'E2024' END AS season_code, CAST(day AS VARCHAR) AS game_code, game_id, CAST(event_id AS VARCHAR) AS action_id, seq,
+actions AS (SELECT CASE WHEN day <= 15 THEN 'E2023' ELSE 'E2024' END AS season_code, CAST(day + 100 * block AS VARCHAR) AS game_code, game_id, CAST(event_id AS VARCHAR) AS action_id, seq,
   event_id AS original_event_id, period, lpad(CAST(seconds_remaining // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(seconds_remaining % 60 AS VARCHAR), 2, '0') AS clock, seconds_remaining,
   action_code, action_class, team_id, player_id, home_team, road_team,
   sum(CASE WHEN team_id = home_team THEN coalesce(points, 0) ELSE 0 END) OVER w AS home_score, sum(CASE WHEN team_id = road_team THEN coalesce(points, 0) ELSE 0 END) OVER w AS road_score, points,
@@ -142,8 +147,8 @@ on_court AS (SELECT a.game_id, a.seq, s.side, s.player_id FROM actions a JOIN st
 lineup_at AS (SELECT game_id, seq, string_agg(player_id, '_' ORDER BY player_id) FILTER (side = 'home') AS home_lineup, string_agg(player_id, '_' ORDER BY player_id) FILTER (side = 'road') AS road_lineup FROM on_court GROUP BY game_id, seq)"""
 
 PLAYERS_SQL = """
-players AS (SELECT 'P' || c_custkey AS player_id, c_name AS name, CASE WHEN c_custkey <= 140 THEN (175 + c_custkey * 7 % 45) / 100.0 END AS height,
-  CAST(DATE '1990-01-01' + CAST(c_custkey * 61 % 5000 AS INTEGER) AS DATE) AS birth_date, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 150)"""
+players AS (SELECT 'P' || c_custkey AS player_id, c_name AS name, CASE WHEN c_custkey % 15 <> 0 THEN (175 + c_custkey * 7 % 45) / 100.0 END AS height,
+  CAST(DATE '1990-01-01' + CAST(c_custkey * 61 % 5000 AS INTEGER) AS DATE) AS birth_date, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 GAMES_SQL = """
 games AS (SELECT game_id, season_code, game_code, home_team, road_team, max(home_score) AS home_score, max(road_score) AS road_score,

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineups import lineup_at_action
-from ..operators.links import carry_score, link_actions
+from ..operators.lineups import lineup_at_action, settle_substitutions
+from ..operators.links import carry_score, link_actions, with_foul_links
+from ..operators.possessions import possessions
 
 
 def windowed_counts(events: DataFrame, key: str, size: str = "10 minutes", slide: str | None = None, late: str = "5 minutes", time: str = "ts") -> DataFrame:
@@ -24,9 +25,11 @@ def session_counts(events: DataFrame, key: str, gap: str = "5 minutes", late: st
 
 
 def enrich_games(acts: DataFrame, touched: DataFrame, starters: DataFrame) -> DataFrame:
-    """Running score, lineups and links of all actions of the touched games."""
+    """All actions of the touched games with running score, settled lineups, links and the number of their possession."""
     own = acts.join(touched.select("game_id").distinct(), "game_id", "left_semi")
-    return link_actions(lineup_at_action(carry_score(own), starters))
+    done = with_foul_links(link_actions(settle_substitutions(lineup_at_action(carry_score(own), starters))))
+    inside = possessions(own).select("game_id", "possession_seq", F.explode("contains_action").alias("original_event_id"))
+    return done.join(inside, ["game_id", "original_event_id"], "left")
 
 
 def enriching_sink(history: Callable[[], DataFrame], starters: DataFrame, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

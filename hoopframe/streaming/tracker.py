@@ -12,14 +12,14 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import clean_ocr_clock, clock_seconds
 
 PERIODS = ["1st", "2nd", "3rd", "4th", "OT", "2OT", "3OT", "4OT"]
-OUTPUT = "game_id string, op string, video_time double, period string, clock string, clock_seconds double"
+OUTPUT = "game_id string, number long, op string, video_time double, period string, clock string, clock_seconds double"
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,7 @@ class Track:
     gapped: list = field(default_factory=list)
     digit: list | None = None
     end_at: float | None = None  # video time of the last reading in the final seconds
+    number: int = 0  # of rows put out
 
 
 def _descends(run: list, now: list, gap: float, drift: float) -> bool:
@@ -208,8 +209,10 @@ def step(t: Track, now: list, r: Rules) -> list[tuple]:
 def _rows(game: str, track: Track, readings: pd.DataFrame, r: Rules) -> pd.DataFrame:
     out = []
     for now in zip(readings.video_time.tolist(), readings.clock_seconds.tolist(), readings.clock.tolist()):
-        out += [(game, op, at[0], period, at[2], at[1]) for op, at, period in step(track, list(now), r)]
-    return pd.DataFrame(out, columns=["game_id", "op", "video_time", "period", "clock", "clock_seconds"], dtype=object)
+        for op, at, period in step(track, list(now), r):
+            track.number += 1
+            out.append((game, track.number, op, at[0], period, at[2], at[1]))
+    return pd.DataFrame(out, columns=["game_id", "number", "op", "video_time", "period", "clock", "clock_seconds"], dtype=object)
 
 
 def clean_readings(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -226,20 +229,36 @@ def track_batch(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return clean_readings(readings, rules).groupBy("game_id").applyInPandas(one_game, OUTPUT)
 
 
-def track_stream(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same over a stream, in append mode; the state of a game is one JSON text of bounded size."""
+def track_stream(readings: DataFrame, rules: Rules = Rules(), time: str | None = None, late: str = "1 minute") -> DataFrame:
+    """The same over a stream, in append mode; the state of a game is one JSON text of bounded size.
+
+    time: an event-time column of the readings. A game of which nothing comes
+    for rules.finish_after seconds of event time is over and its state goes;
+    what comes later starts it anew. Without time, states stay.
+    """
     def one_game(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         track = Track(**json.loads(state.get[0])) if state.exists else Track()
         rows = pd.concat(list(batches)).sort_values("video_time", kind="stable")
         out = _rows(key[0], track, rows, rules)
         state.update((json.dumps(asdict(track)),))
+        if time:
+            last = max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(last + int(rules.finish_after * 1000) + 1)
         yield out
 
-    return clean_readings(readings, rules).groupBy("game_id").applyInPandasWithState(one_game, OUTPUT, "track string", "append", GroupStateTimeout.NoTimeout)
+    rows = clean_readings(readings, rules)
+    if time:
+        rows = rows.withWatermark(time, late)
+    return rows.groupBy("game_id").applyInPandasWithState(one_game, OUTPUT, "track string", "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
 
 
 def resolve_retractions(rows: DataFrame) -> DataFrame:
-    """Appended rows without those that a later retraction of their period took back."""
-    gone = rows.where("op = 'retract'").select("game_id", "period", F.col("video_time").alias("_from"), F.lit(True).alias("_gone")).distinct()
-    kept = rows.where("op = 'append'").alias("a").join(gone.alias("g"), (F.col("a.game_id") == F.col("g.game_id")) & (F.col("a.period") == F.col("g.period")) & (F.col("a.video_time") >= F.col("g._from")), "left_anti")
-    return kept.select("a.game_id", "a.video_time", "a.period", "a.clock", "a.clock_seconds")
+    """Appended rows without those that a later retraction of their period took back: those put out before it, at or after
+    its time. Rows of a period that a game appends after the retraction stay."""
+    earlier = Window.partitionBy("game_id", "period").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
+    taken = F.min(F.when(F.col("op") == "retract", F.col("video_time"))).over(earlier)
+    kept = rows.withColumn("_from", taken).where("op = 'append' and (_from is null or video_time < _from)")
+    return kept.select("game_id", "video_time", "period", "clock", "clock_seconds")

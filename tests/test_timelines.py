@@ -1,6 +1,8 @@
+import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hoopframe.functions.columns import clock_seconds
 from hoopframe.operators import evaluation, quality, sync, timeline
@@ -103,9 +105,39 @@ def test_tracker_takes_back_a_squeezed_period():
     assert ("retract", "3rd") in {(x[1], x[2]) for x in out} and out[-1] == (4865.0, "append", "3rd", "9:56")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from hoopframe.plans.stream_queries import readings
+def readings(games):
+    """A reading every second of each game's regular time, ten minutes of video a period and two between, with noise."""
+    r = games.select("game_id", F.explode(F.sequence(F.lit(0), F.lit(2399))).alias("s")).withColumn("left", 600 - F.col("s") % 600)
+    h = F.pmod(F.xxhash64("game_id", "s"), F.lit(100))
+    clock = F.format_string("%d:%02d", (F.col("left") / 60).cast("int"), F.col("left") % 60)
+    text = F.when(h < 3, F.lit("4:4")).when(h < 8, F.translate(clock, "05", "OS")).otherwise(clock)
+    time = F.col("s") + F.floor(F.col("s") / 600) * 120
+    return r.select("game_id", time.cast("double").alias("video_time"), text.alias("text"), F.when(h > 95, 0.1).otherwise(0.9).alias("confidence"))
+
+
+def test_retraction_spares_what_comes_after_it(spark):
+    rows = [("g", 1, "append", 100.0, "3rd", "9:00", 540.0), ("g", 2, "append", 110.0, "3rd", "8:50", 530.0), ("g", 3, "retract", 105.0, "3rd", "8:55", 535.0), ("g", 4, "append", 120.0, "3rd", "9:50", 590.0), ("g", 5, "append", 130.0, "4th", "9:50", 590.0)]
+    got = tracker.resolve_retractions(spark.createDataFrame(rows, tracker.OUTPUT)).collect()
+    assert sorted((r.video_time, r.period) for r in got) == [(100.0, "3rd"), (120.0, "3rd"), (130.0, "4th")]
 
+
+def test_silent_games_leave_the_state(spark, tmp_path):
+    clocks = [(f"9:{59 - s:02d}", s) for s in range(30)]
+    for part, start in ((0, 0), (1, 5000), (2, 20000)):
+        rows = [(f"g{part}", float(s), t, 0.9, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=start + s)) for t, s in clocks]
+        spark.createDataFrame(rows, "game_id string, video_time double, text string, confidence double, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    schema = "game_id string, video_time double, text string, confidence double, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = tracker.track_stream(stream, time="ts").writeStream.format("memory").queryName("silent").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        q.stop()
+    assert {r.game_id for r in spark.table("silent").collect()} == {"g0", "g1", "g2"} and left == 1
+
+
+def test_stream_equals_batch(spark, tmp_path):
     games = spark.createDataFrame([("g1",), ("g2",)], "game_id string")
     rows = readings(games).where("video_time < 1500")
     rows.where("video_time < 500").coalesce(1).write.parquet(f"{tmp_path}/in/a")
@@ -118,4 +150,5 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     got, want = (sorted(map(tuple, df.collect())) for df in (spark.table("tracked"), tracker.track_batch(rows)))
     assert got == want and len(want) > 1500
-    assert tracker.resolve_retractions(tracker.track_batch(rows)).count() <= len(want)
+    appended = sum(x.op == "append" for x in tracker.track_batch(rows).collect())
+    assert tracker.resolve_retractions(tracker.track_batch(rows)).count() == appended
