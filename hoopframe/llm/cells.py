@@ -30,8 +30,10 @@ class Space:
     def to(self, i: int) -> np.ndarray | None:
         return None
 
-    def connect(self, labels: np.ndarray) -> np.ndarray:
-        return connect(labels, self.linked)
+    @staticmethod
+    def connect_all(cells: list[tuple[Space, np.ndarray]]) -> list[np.ndarray]:
+        """The labels of the members of each cell after its links."""
+        return [connect(labels, space.linked) for space, labels in cells]
 
 
 def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -89,15 +91,19 @@ def _joined(rows: DataFrame, items: DataFrame, space: Callable[[pa.Array], Space
     """Links (a, b) of cells that fit in a task: rows (cell, key, label, rank), central members of a cell by rank first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["cell"]):
-            if group.num_rows < 2:
-                continue
-            keys, before = group.column("key").to_numpy(), group.column("label").to_numpy()
-            if (before == before[0]).all():
-                continue
-            labels = space(group.column("item")).connect(before)
-            for a, b in _stars(keys, labels, before):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held: list[tuple[np.ndarray, np.ndarray, Space]] = []
+        for group in with_end(grouped(batches, ["cell"])):
+            if group is not None:
+                keys, before = group.column("key").to_numpy(), group.column("label").to_numpy()
+                if (before != before[0]).any():
+                    held.append((keys, before, space(group.column("item"))))
+            if held and (group is None or sum(len(keys) for keys, _, _ in held) >= MEMBERS):
+                after = held[0][2].connect_all([(x, before) for _, before, x in held])
+                for (keys, before, _), labels in zip(held, after):
+                    for a, b in _stars(keys, labels, before):
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                held = []
 
     whole = rows.select("cell", "key", "label", "rank").join(items.select("key", "item"), "key")
     whole = whole.repartition("cell").sortWithinPartitions("cell", "rank", "key").select("cell", "key", "label", "item")

@@ -26,7 +26,6 @@ FEW = 4
 LONGER = 6  # bytes of a word that word bands count: shorter ones are mostly common
 WORD_BANDS = 4  # bands of three MinHashes of the longer words
 PAIR_BANDS = 2  # bands of two MinHashes of the pairs of neighbouring words
-GRAMS = 512  # counters of a line's trigrams by hash
 SHORT, SHORT_BANDS = 16, 3  # words below which a line has bands of one MinHash of its pairs besides
 SIMILARITY = 0.8
 NO_ID = -(1 << 63)
@@ -284,84 +283,123 @@ def line_cells(lines: DataFrame, similarity: float) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, at: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, weight, item) for lines at (d_id, d_hash, line_no, line): the normalised text and its length."""
-    per_doc = stash(at.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted")), "wanted-lines")
+    """(key, weight, item) for lines at (d_id, d_hash, line_no, line, sim): the normalised text with sim, and its length."""
+    per_doc = stash(at.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("line_no", "line", "sim")).alias("wanted")), "wanted-lines")
     rows = _documents(docs, id_col, text_col).select("d_id", "d_hash", "text", F.col("d_hash").alias("h"))
     rows = possible(rows, per_doc.select(F.col("d_hash").alias("h")), per_doc.count()).where("maybe").select("d_id", "d_hash", "text")
     found = rows.join(per_doc, ["d_id", "d_hash"]).select(F.split("text", "\n").alias("all"), F.inline("wanted"))
-    found = found.select(F.col("line").alias("key"), normalised(F.get("all", F.col("line_no").cast("int"))).alias("item"))
-    return stash(found.dropDuplicates(["key"]).withColumn("weight", F.length("item").cast("long")), "line-texts")
-
-
-def within(a: str, b: str, most: int) -> bool:
-    """Whether at most so many edits of single characters turn a into b."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > most:
-        return False
-    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
-    apart = np.flatnonzero(x != y[: len(x)])
-    head = int(apart[0]) if len(apart) else len(x)
-    apart = np.flatnonzero(x[head:][::-1] != y[head:][::-1][: len(x) - head])
-    tail = int(apart[0]) if len(apart) else len(x) - head
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(b) <= most:
-        return True
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    top, up, down, edits = 1 << max(len(a) - 1, 0), whole, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):  # columns of the edit table, as bits that differ by one
-        same = places.get(c, 0)
-        across = (((same & up) + up) ^ up) | same
-        plus, minus = down | ~(across | up) & whole, up & across
-        edits += 1 if plus & top else -1 if minus & top else 0
-        if edits - left > most:
-            return False
-        plus, minus = (plus << 1 | 1) & whole, minus << 1 & whole
-        across = same | down
-        up, down = minus | ~(across | plus) & whole, plus & across
-    return edits <= most
+    found = found.select(F.col("line").alias("key"), F.struct(normalised(F.get("all", F.col("line_no").cast("int"))).alias("text"), "sim").alias("item"))
+    return stash(found.dropDuplicates(["key"]).withColumn("weight", F.length("item.text").cast("long")), "line-texts")
+
+
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Which pairs of arrays of characters become equal by at most so many edits of single characters.
+
+    The edit tables of many pairs are filled together, one anti-diagonal at a
+    time, in a band as wide as the edits that are allowed.
+    """
+    out = np.zeros(len(pairs), bool)
+    n, m = (np.array([len(x) for x in side], int) for side in (zip(*pairs) if pairs else ((), ())))
+    left = np.flatnonzero(np.abs(n - m) <= most)
+    left = left[np.argsort((n + m)[left], kind="stable")]
+    while len(left):
+        size = (n + m)[left[0]]
+        take = 1
+        while take < min(len(left), 4096) and (n + m)[left[take]] <= size * 1.2 + 8:
+            take += 1
+        own, left = left[:take], left[take:]
+        out[own] = _edits([pairs[i] for i in own], n[own], m[own], int(most[own].max())) <= most[own]
+    return out
+
+
+def _edits(pairs: list[tuple[np.ndarray, np.ndarray]], n: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """Edit distances of pairs of lengths n and m, sorted by n + m, where they are at most k; else more than k."""
+    far, wide = np.int16(30_000), 2 * k + 7
+    a, b = np.full((len(pairs), n.max() + 1), -1, np.int32), np.full((len(pairs), m.max() + 1), -2, np.int32)
+    for r, (x, y) in enumerate(pairs):
+        a[r, 1 : len(x) + 1], b[r, 1 : len(y) + 1] = x, y
+    now, last, older = (np.full((len(pairs), wide), far, np.int16) for _ in range(3))
+    zero, done = k + 3, 0  # the column of the main diagonal; rows whose distance is known
+    last[:, zero] = 0
+    out, ends = np.full(len(pairs), far), n + m
+    while done < len(pairs) and ends[done] == 0:
+        out[done], done = 0, done + 1
+    for s in range(1, int(ends[-1]) + 1):
+        low, high = max(-k, -s, s - 2 * (a.shape[1] - 1)), min(k, s, 2 * (b.shape[1] - 1) - s)
+        low, high = low + (low + s) % 2, high - (high + s) % 2
+        if low <= high:
+            at = slice(zero + low, zero + high + 1, 2)
+            i = slice((s - high) // 2, (s - low) // 2 + 1)
+            j = slice((s + low) // 2, (s + high) // 2 + 1)
+            step = np.minimum(last[done:, zero + low - 1 : zero + high : 2], last[done:, zero + low + 1 : zero + high + 2 : 2]) + np.int16(1)
+            np.minimum(step, older[done:, at] + (a[done:, i][:, ::-1] != b[done:, j]), out=now[done:, at])
+            now[done:, zero + low - 2] = now[done:, zero + high + 2] = far
+        else:
+            now[done:] = far
+        while done < len(pairs) and ends[done] == s:
+            out[done], done = now[done, zero + m[done] - n[done]], done + 1
+        now, last, older = older, now, last
+    return out
 
 
 class LineSpace(Space):
-    """Normalised lines, linked by edit similarity."""
+    """Normalised lines with their SimHashes, linked by edit similarity where the SimHashes are at most FAR_BITS apart."""
 
-    def __init__(self, lines: pa.Array, similarity: float):
-        self.text, self.apart = lines.to_pylist(), 1 - similarity
-        self.words = [t.split(" ") for t in self.text]
-        self.n = np.array([len(t) for t in self.text])
-        self.grams = np.zeros((len(self.text), GRAMS), np.int16)
-        for row, t in zip(self.grams, self.text):
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            if len(c) > 2:
-                row[:] = np.minimum(np.bincount((c[:-2] * 31 * 31 + c[1:-1] * 31 + c[2:]) % GRAMS, minlength=GRAMS), 1 << 14)
+    def __init__(self, lines: pa.StructArray, similarity: float):
+        text, self.apart = lines.field("text").to_pylist(), 1 - similarity
+        self.sim = lines.field("sim").to_numpy().view(np.uint64)
+        self.words = [t.split(" ") for t in text]
+        self.chars = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32) for t in text]
+        self.n = np.array([len(c) for c in self.chars])
 
-    def _most(self, i: int, js: np.ndarray) -> np.ndarray:
-        return np.floor(np.maximum(self.n[i], self.n[js]) * self.apart + 1e-9).astype(int)
+    def _pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the pairs (i, j) may be linked, and the edits that are allowed."""
+        most = np.floor(np.maximum(self.n[i], self.n[j]) * self.apart + 1e-9).astype(int)
+        return (np.bitwise_count(self.sim[i] ^ self.sim[j]) <= FAR_BITS) & (np.abs(self.n[i] - self.n[j]) <= most), most
 
     def alike(self, i: int, js: np.ndarray) -> np.ndarray:
         """Which lines have as many words as i, those that differ in few enough characters to change: linked for sure."""
+        out, most = self._pairs(np.full(len(js), i), js)
         own = self.words[i]
-        return np.array([len(own) == len(self.words[j]) and sum(max(len(x), len(y)) for x, y in zip(own, self.words[j]) if x != y) <= most for j, most in zip(js, self._most(i, js))], bool)
+        for k in np.flatnonzero(out):
+            other = self.words[js[k]]
+            out[k] = len(own) == len(other) and sum(max(len(x), len(y)) for x, y in zip(own, other) if x != y) <= most[k]
+        return out
 
     def linked(self, i: int, js: np.ndarray) -> np.ndarray:
-        most = self._most(i, js)
-        out = np.abs(self.n[js] - self.n[i]) <= most
-        at = np.flatnonzero(out)  # an edit changes three trigrams of either line at most
-        out[at] = np.abs(self.grams[js[at]] - self.grams[i]).sum(axis=1) <= 6 * most[at]
-        for k in np.flatnonzero(out):
-            out[k] = within(self.text[i], self.text[js[k]], int(most[k]))
+        out, most = self._pairs(np.full(len(js), i), js)
+        at = np.flatnonzero(out)
+        out[at] = within([(self.chars[i], self.chars[js[k]]) for k in at], most[at])
         return out
 
-    def connect(self, labels: np.ndarray) -> np.ndarray:
-        labels = connect(labels, self.alike)
-        for i in range(len(labels) - 1):
-            for j in range(i + 1, len(labels)):
-                if labels[j] != labels[i] and self.linked(i, np.array([j]))[0]:
-                    labels[labels == labels[j]] = labels[i]
-        return labels
+    @staticmethod
+    def connect_all(cells: list[tuple[Space, np.ndarray]]) -> list[np.ndarray]:
+        """First by lines that are alike word for word; of the pairs left some of each cell at a time, for all cells together."""
+        labels = [connect(before, space.alike) for space, before in cells]
+        left = []
+        for (space, _), own in zip(cells, labels):
+            i, j = np.triu_indices(len(own), 1)
+            may = own[i] != own[j]
+            i, j = i[may], j[may]
+            may, most = space._pairs(i, j)
+            left.append((i[may], j[may], most[may]))
+        share = 16
+        while True:
+            pairs, most, source = [], [], []
+            for c, ((space, _), own, (i, j, allowed)) in enumerate(zip(cells, labels, left)):
+                apart = np.flatnonzero(own[i] != own[j])
+                i, j, allowed = i[apart], j[apart], allowed[apart]
+                pairs += [(space.chars[x], space.chars[y]) for x, y in zip(i[:share], j[:share])]
+                most += allowed[:share].tolist()
+                source += [(c, x, y) for x, y in zip(i[:share].tolist(), j[:share].tolist())]
+                left[c] = i[share:], j[share:], allowed[share:]
+            if not pairs:
+                return labels
+            for (c, x, y), hit in zip(source, within(pairs, np.array(most))):
+                own = labels[c]
+                if hit and own[x] != own[y]:
+                    own[own == own[y]] = own[x]
+            share *= 2
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -383,8 +421,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("a SimHash takes two words")
     lines = fingerprint_lines(docs, id_col, text_col, min_words)
     cells = line_cells(lines, similarity)
-    at = lines.select("line", F.struct(*LINE).alias("place")).join(cells.select(F.col("key").alias("line")).distinct(), "line", "left_semi")
-    texts = line_texts(docs, at.groupBy("line").agg(F.min("place").alias("place")).select("line", "place.*"), id_col, text_col)
+    at = lines.where("sim is not null").select("line", F.struct(*LINE, "sim").alias("place")).join(cells.select(F.col("key").alias("line")).distinct(), "line", "left_semi")
+    texts = line_texts(docs, at.groupBy("line").agg(F.any_value("place").alias("place")).select("line", "place.*"), id_col, text_col)
     roots = components(join_cells(cells, texts, lambda item: LineSpace(item, similarity))).toDF("line", "root")
     repeats = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line", F.lit(None).cast("long").alias("root"))
     wanted = stash(repeats.unionByName(roots).groupBy("line").agg(F.max("root").alias("root")), "wanted")
