@@ -1,11 +1,13 @@
-"""Secret scans: a trigram index over each batch of texts picks the texts that each rule has to read."""
+"""Secret scans: an inverted index of trigrams, split by document, picks the texts that each rule has to read."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,24 +132,55 @@ def _terms(query: tuple | str) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(_terms, query[1:]))
 
 
-def _meets(query: tuple | str, postings: dict[str, frozenset[int]], rows: frozenset[int]) -> frozenset[int]:
+def _meets(query: tuple | str, postings: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """The texts of an index that meet a query: intersections and unions of sorted lists, the shortest list first."""
     if isinstance(query, str):
-        return postings[query]
+        return postings.get(query, rows[:0])
     each = sorted((_meets(q, postings, rows) for q in query[1:]), key=len)
     if query[0] == "or":
-        return frozenset().union(*each)
-    return rows.intersection(*each) if each else rows
+        return reduce(np.union1d, each)
+    return reduce(lambda x, y: np.intersect1d(x, y, assume_unique=True), each) if each else rows
+
+
+class TrigramIndex:
+    """Postings of the trigrams of texts, ASCII letters in lower case: for each trigram the texts that hold it, in order.
+
+    Only trigrams that some query asks for have a list. One pass over the
+    bytes finds them all.
+    """
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.number = np.zeros(1 << 24, np.uint8 if len(terms) < 256 else np.uint16)
+        for k, t in enumerate(terms, 1):
+            a, b, c = t.encode()
+            self.number[a << 16 | b << 8 | c] = k
+
+    def postings(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+        data = np.frombuffer(b"\n\n".join(texts), np.uint8)
+        if not self.terms or len(data) < 3:
+            return {}
+        ends = np.cumsum([len(t) + 2 for t in texts])
+        low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
+        term = self.number[low[:-2] << 16 | low[1:-1] << 8 | low[2:]]
+        at = np.flatnonzero(term)
+        pairs = np.unique(term[at].astype(np.int64) * len(texts) + np.searchsorted(ends, at, "right"))
+        kinds, first = np.unique(pairs // len(texts), return_index=True)
+        return {self.terms[k - 1]: x for k, x in zip(kinds.tolist(), np.split(pairs % len(texts), first[1:]))}
 
 
 class Scanner:
     def __init__(self, rules: list[Rule]):
         self.rules = [(r, re.compile(r.pattern, r.flags), trigram_query(r)) for r in rules]
-        self.terms = set().union(*(_terms(q) for _, _, q in self.rules))
+        # a trigram over a line's end or beyond ASCII says nothing here
+        terms = set().union(*(_terms(q) for _, _, q in self.rules))
+        if any(not t.isascii() or "\n" in t for t in terms):
+            raise ValueError("a rule must contain a trigram with a line feed or beyond ASCII")
+        self.index = TrigramIndex(sorted(terms))
 
     def scan(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        low = [t.lower() for t in texts]
-        postings = {g: frozenset(i for i, t in enumerate(low) if g in t) for g in self.terms}
-        rows, spans = frozenset(range(len(texts))), [[] for _ in texts]
+        postings = self.index.postings([t.encode("utf-8", "surrogatepass") for t in texts])
+        rows, spans = np.arange(len(texts)), [[] for _ in texts]
         for k, (rule, compiled, query) in enumerate(self.rules):
             for i in _meets(query, postings, rows):
                 spans[i] += [(start, k, end) for start, end in rule.find(texts[i], compiled)]
@@ -157,10 +190,10 @@ class Scanner:
 def scan_secrets(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", out: str = "secrets", index_docs: int = 256) -> DataFrame:
     """Adds out: array of (kind, start, end), by start and then the order of the rules; code points, end exclusive.
 
-    The index is split by document: each task lists, for every index_docs
-    texts, which of them hold each trigram of the rules' queries, intersects
-    and unites those lists, and runs a rule only over the texts that remain. A
-    rule whose pattern has no trigram that it must contain reads all texts.
+    The index is split by document: each task indexes index_docs texts at a
+    time, intersects and unites the postings that a rule's query names, and
+    runs the rule over the texts that remain. A rule whose pattern has no
+    trigram that it must contain reads all texts.
     Matches of one rule don't overlap. Null texts are empty and have no
     secrets. All input columns stay; one of the name of out is replaced.
     """
@@ -199,6 +232,7 @@ def _count(kind: str) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets over documents by all rules: counts and a digest of the base rules' spans, and all spans."""
     docs = scan_secrets(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     base = [r.kind for r in BASE_RULES]
     in_base = F.filter("secrets", lambda s: s["kind"].isin(base))
