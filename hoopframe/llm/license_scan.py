@@ -14,18 +14,42 @@ BROADCAST_ROWS = 200_000
 MAX_TEMPLATE_WORDS = 20_000  # distinct words of all templates
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
-# Openings and short forms of public licence texts.
+BLOCKS = (1, 2, 3, 5, 8, 12, 20)  # lines of a block
+BACK = (0, 2)  # lines that a block starts before a line with a word of a template
+
+# Short forms, headers and texts of public licences.
+_WARRANTY = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+_GNU = "is free software{0}: you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program " + _GNU.format("", "", "3")),
+    ("GPL-3.0", "This program " + _GNU.format("", "", "3") + " " + _NO_WARRANTY + " See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program " + _GNU.format("", "", "2") + " " + _NO_WARRANTY + " See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("LGPL-2.1", "This library " + _GNU.format("", "Lesser", "2.1") + " " + _NO_WARRANTY.replace("program", "library") + " See the GNU Lesser General Public License for more details."),
+    ("LGPL-3.0", "This library " + _GNU.format("", "Lesser", "3") + " " + _NO_WARRANTY.replace("program", "library") + " See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0", "This program " + _GNU.format("", "Affero", "3") + " " + _NO_WARRANTY + " See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", f"{_BSD} {_AS_IS} {_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS} {_WARRANTY}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
 ]
 
 
@@ -40,21 +64,32 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) ->
     return spark.range(1).select(F.inline(items)).select("template", "license", words(F.col("text")).alias("words"))
 
 
-def units_of(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
-    """(file_no, path, unit, words): every line of a file is a unit, and in a licence file the whole text as unit -1."""
+def lines_of(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
+    """(file_no, is_file, lines): the words of every line of each file, and whether it is named as licence files are."""
     base = F.coalesce(F.element_at(F.split(path_col, "/"), -1), F.lit(""))
-    lines = F.split(text_or_empty(text_col), "\n")
-    parts = F.transform(lines, lambda x, i: F.struct(i.alias("unit"), words(x).alias("words")))
-    whole = F.when(base.rlike(LICENCE_FILE), F.array(F.struct(F.lit(-1).alias("unit"), words(text_or_empty(text_col)).alias("words")))).otherwise(F.array().cast("array<struct<unit:int,words:array<string>>>"))
-    return files.select(id_col, F.inline(F.concat(whole, parts))).where(F.size("words") > 0)
+    return files.select(id_col, base.rlike(LICENCE_FILE).alias("is_file"), F.transform(F.split(text_or_empty(text_col), "\n"), words).alias("lines"))
+
+
+def units_near(lines: DataFrame, needed: list[str], id_col: str) -> DataFrame:
+    """(file_no, unit, words): blocks of BLOCKS lines around the lines with a needed word, each known by its first line, and
+    in a licence file the whole text as unit -1."""
+    own = F.array(*map(F.lit, needed)).cast("array<string>")
+    at = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, own), i)), lambda i: i.isNotNull())
+    found = lines.select(id_col, "is_file", "lines", at.alias("at")).where(F.size("at") > 0)
+    first = F.explode(F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(*[F.greatest(i - b, F.lit(0)) for b in BACK]))))).alias("unit")
+    blocks = found.select(id_col, "lines", first).select(id_col, "lines", "unit", F.explode(F.array(*map(F.lit, BLOCKS))).alias("size"))
+    blocks = blocks.where((F.col("size") == 1) | (F.col("unit") + F.col("size") <= F.size("lines")))
+    blocks = blocks.select(id_col, "unit", F.flatten(F.slice("lines", F.col("unit") + 1, F.col("size"))).alias("words"))
+    whole = found.where("is_file").select(id_col, F.lit(-1).alias("unit"), F.flatten("lines").alias("words"))
+    return blocks.unionByName(whole).where(F.arrays_overlap("words", own))
 
 
-def template_weights(units: DataFrame, known: DataFrame) -> tuple[DataFrame, list[str], float]:
+def template_weights(texts: DataFrame, known: DataFrame) -> tuple[DataFrame, list[str], float]:
     """(weights(template, license, word, idf, weight), the words of which a match must have one, idf of an unknown word).
 
     idf counts the lines of all files. A template's words are taken from the
     rarest on until the others together weigh less than the threshold: by the
-    Cauchy-Schwarz inequality a line without any of the words taken can't
+    Cauchy-Schwarz inequality a block without any of the words taken can't
     reach it.
     """
     spark = known.sparkSession
@@ -62,7 +97,7 @@ def template_weights(units: DataFrame, known: DataFrame) -> tuple[DataFrame, lis
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
     has = F.array_intersect("words", F.array(*map(F.lit, vocabulary)).cast("array<string>"))
-    lines = units.where("unit >= 0")
+    lines = texts.select(F.explode("lines").alias("words")).where(F.size("words") > 0)
     counted = {r["word"]: r["n"] for r in lines.select(F.explode(F.concat(has, F.array(F.lit("\n")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     n = counted.get("\n", 0)
     idf = {w: math.log((n + 1) / (counted.get(w, 0) + 1)) + 1 for w in vocabulary}
@@ -82,14 +117,13 @@ def template_weights(units: DataFrame, known: DataFrame) -> tuple[DataFrame, lis
     return table, sorted(needed), math.log(n + 1) + 1
 
 
-def best_matches(units: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+def best_matches(texts: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     """(id, license, score, unit): the best template of each file at cosine THRESHOLD or more.
 
     Ties go to the license that sorts first, then the earliest line.
     """
-    weights, needed, unknown = template_weights(units, known)
-    near = units.where(F.arrays_overlap("words", F.array(*map(F.lit, needed)).cast("array<string>")))
-    near = stash(near.withColumn("u", F.monotonically_increasing_id()), "license-lines")
+    weights, needed, unknown = template_weights(texts, known)
+    near = stash(units_near(texts, needed, id_col).withColumn("u", F.monotonically_increasing_id()), "license-blocks")
     tf = near.select("u", F.explode("words").alias("word")).groupBy("u", "word").agg(F.count("*").alias("tf"))
     idf = weights.select("word", "idf").distinct()
     tf = tf.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
@@ -111,8 +145,10 @@ def ancestors(path: Column) -> Column:
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """One row per file: id, path, license, score, how (header, file, inherited, none), from_dir.
 
-    Each line of the whole text counts as a header, the whole text too in a
-    file named as licence files are. A file without a match of its own takes
+    Every line of the whole text counts as a header, and so do the blocks of
+    BLOCKS lines around a line with a telling word of a template, so that a
+    wrapped header is seen whole; the whole text too in a file named as
+    licence files are. A file without a match of its own takes
     the license of the nearest directory above it that holds a licence file
     with a match; of several the best score, then the license that sorts
     first. Words are runs of ASCII letters, digits and other characters above
@@ -123,8 +159,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     spark = files.sparkSession
     known = templates(spark) if known is None else known
     files = files.select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("_path"), F.col(text_col).cast("string").alias("_text"))
-    units = units_of(files, "_id", "_path", "_text")
-    own = stash(best_matches(units, known, "_id"), "license-matches")
+    own = stash(best_matches(lines_of(files, "_id", "_path", "_text"), known, "_id"), "license-matches")
     named = files.select("_id", "_path").join(own, "_id", "left")
     base = F.element_at(F.split("_path", "/"), -1)
     ranked = F.struct((-F.col("score")).alias("minus"), "license")
@@ -155,4 +190,5 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_licenses over documents, laid out as files of a tree."""
     return scan_licenses(document_paths(read(spark, sf_dir, "documents")))

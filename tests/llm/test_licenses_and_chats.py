@@ -1,9 +1,59 @@
+import math
+import re
+from collections import Counter
+
 import pytest
 
+from hoopframe.llm import license_scan
 from hoopframe.llm.chat_format import format_preferences
 from hoopframe.llm.license_scan import scan_licenses
 
 
+def words(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def brute_licenses(texts, known):
+    """{id: (license, score)} of the best block of lines of each text, over all blocks and templates."""
+    lines = {d: [words(x) for x in t.split("\n")] for d, t in texts.items()}
+    all_lines = [x for own in lines.values() for x in own if x]
+    has = Counter(w for x in all_lines for w in set(x))
+    vocabulary = {w for _, t in known for w in words(t)}
+    def weights(ws):
+        return {w: c * (math.log((len(all_lines) + 1) / ((has[w] if w in vocabulary else 0) + 1)) + 1) for w, c in Counter(ws).items()}
+
+    def norm(v):
+        return math.sqrt(sum(x * x for x in v.values()))
+
+    made = [(name, weights(words(t))) for name, t in known]
+    out = {}
+    for d, own in lines.items():
+        best = None
+        for i in range(len(own)):
+            for size in license_scan.BLOCKS:
+                v = weights([w for x in own[i : i + size] for w in x])
+                if v and (size == 1 or i + size <= len(own)):
+                    for name, t in made:
+                        score = round(sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), 6)
+                        if score >= license_scan.THRESHOLD and (best is None or (-score, name) < (-best[1], best[0])):
+                            best = (name, score)
+        out[d] = best or (None, None)
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    known = license_scan.TEMPLATES
+    texts = {i: "\n".join(re.findall(r".{1,70}(?:\s|$)", t)) for i, (_, t) in enumerate(known)}  # wrapped
+    texts |= {100 + i: f"some code\n\n{t}\nmore code and words of it" for i, (_, t) in enumerate(known)}
+    texts |= {200: "version of the license\nfree software", 201: "nothing at all\n" * 40}
+    files = spark.createDataFrame([(d, f"src/{d}.txt", t) for d, t in texts.items()], "doc_id long, path string, text string").repartition(3)
+    got = {r.doc_id: (r.license, r.score) for r in scan_licenses(files).collect()}
+    want = brute_licenses(texts, known)
+    assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+    assert all(got[d][1] == pytest.approx(want[d][1], abs=0.02) if want[d][1] else got[d][1] is None for d in texts)
+    assert sum(got[i][0] == name for i, (name, _) in enumerate(known)) >= len(known) - 2
+
+
 def test_licenses(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
