@@ -23,6 +23,7 @@ class Space:
     in a metric in which links are at most reach apart, or None without one."""
 
     reach = 0.0
+    weight = 0  # of the items that it holds
 
     def linked(self, i: int, js: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -97,7 +98,7 @@ def _joined(rows: DataFrame, items: DataFrame, space: Callable[[pa.Array], Space
                 keys, before = group.column("key").to_numpy(), group.column("label").to_numpy()
                 if (before != before[0]).any():
                     held.append((keys, before, space(group.column("item"))))
-            if held and (group is None or sum(len(keys) for keys, _, _ in held) >= MEMBERS):
+            if held and (group is None or sum(len(keys) for keys, _, _ in held) >= 8 * MEMBERS or sum(x.weight for _, _, x in held) >= WEIGHT):
                 after = held[0][2].connect_all([(x, before) for _, before, x in held])
                 for (keys, before, _), labels in zip(held, after):
                     for a, b in _stars(keys, labels, before):

@@ -141,7 +141,7 @@ class JaccardSpace(Space):
     def __init__(self, sets: pa.ListArray, percent: int):
         self.percent, self.reach = percent, 1 - percent / 100
         self.n = sets.value_lengths().to_numpy().astype(np.int64)
-        self.starts = np.cumsum(self.n) - self.n
+        self.starts, self.weight = np.cumsum(self.n) - self.n, int(self.n.sum())
         self.ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
         self.mark = np.zeros(int(self.ids.max(initial=-1)) + 1, bool)
         self.pivots: list[np.ndarray] = []

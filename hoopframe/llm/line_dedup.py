@@ -298,9 +298,10 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.n
     The edit tables of many pairs are filled together, one anti-diagonal at a
     time, in a band as wide as the edits that are allowed.
     """
-    out = np.zeros(len(pairs), bool)
+    pairs = [_differing(a, b) for a, b in pairs]
     n, m = (np.array([len(x) for x in side], int) for side in (zip(*pairs) if pairs else ((), ())))
-    left = np.flatnonzero(np.abs(n - m) <= most)
+    out = np.maximum(n, m) <= most
+    left = np.flatnonzero(~out & (np.abs(n - m) <= most))
     left = left[np.argsort((n + m)[left], kind="stable")]
     while len(left):
         size = (n + m)[left[0]]
@@ -312,32 +313,50 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.n
     return out
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What lies between the common start and the common end of two arrays."""
+    short = min(len(a), len(b))
+    other = np.flatnonzero(a[:short] != b[:short])
+    head = int(other[0]) if len(other) else short
+    other = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
+    tail = int(other[0]) if len(other) else short - head
+    return a[head : len(a) - tail], b[head : len(b) - tail]
+
+
 def _edits(pairs: list[tuple[np.ndarray, np.ndarray]], n: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
-    """Edit distances of pairs of lengths n and m, sorted by n + m, where they are at most k; else more than k."""
-    far, wide = np.int16(30_000), 2 * k + 7
+    """Edit distances of pairs of lengths n and m, sorted by n + m, where they are at most k; else more than k.
+
+    An anti-diagonal s of the tables crosses the diagonals d of its own
+    parity; they lie side by side: d = 2 * e - wide in even ones, one more in odd ones.
+    """
+    far, wide = np.int16(30_000), k + 4 + k % 2
     a, b = np.full((len(pairs), n.max() + 1), -1, np.int32), np.full((len(pairs), m.max() + 1), -2, np.int32)
+    rows, columns = a.shape[1] - 1, b.shape[1] - 1
     for r, (x, y) in enumerate(pairs):
-        a[r, 1 : len(x) + 1], b[r, 1 : len(y) + 1] = x, y
-    now, last, older = (np.full((len(pairs), wide), far, np.int16) for _ in range(3))
-    zero, done = k + 3, 0  # the column of the main diagonal; rows whose distance is known
-    last[:, zero] = 0
-    out, ends = np.full(len(pairs), far), n + m
+        a[r, rows - len(x) : rows], b[r, 1 : len(y) + 1] = x[::-1], y  # a from the end, before a mark
+    now, last, older = (np.full((len(pairs), wide + 1), far, np.int16) for _ in range(3))
+    last[:, wide // 2] = 0
+    out, ends, done = np.full(len(pairs), far), n + m, 0
     while done < len(pairs) and ends[done] == 0:
         out[done], done = 0, done + 1
     for s in range(1, int(ends[-1]) + 1):
-        low, high = max(-k, -s, s - 2 * (a.shape[1] - 1)), min(k, s, 2 * (b.shape[1] - 1) - s)
+        odd = s % 2
+        low, high = max(-k, -s, s - 2 * rows), min(k, s, 2 * columns - s)
         low, high = low + (low + s) % 2, high - (high + s) % 2
         if low <= high:
-            at = slice(zero + low, zero + high + 1, 2)
-            i = slice((s - high) // 2, (s - low) // 2 + 1)
+            e = slice((low - odd + wide) // 2, (high - odd + wide) // 2 + 1)
+            left = slice(e.start - 1 + odd, e.stop - 1 + odd)
+            up = slice(e.start + odd, e.stop + odd)
+            i = slice(rows - (s - low) // 2, rows - (s - high) // 2 + 1)
             j = slice((s + low) // 2, (s + high) // 2 + 1)
-            step = np.minimum(last[done:, zero + low - 1 : zero + high : 2], last[done:, zero + low + 1 : zero + high + 2 : 2]) + np.int16(1)
-            np.minimum(step, older[done:, at] + (a[done:, i][:, ::-1] != b[done:, j]), out=now[done:, at])
-            now[done:, zero + low - 2] = now[done:, zero + high + 2] = far
+            step = np.minimum(last[done:, left], last[done:, up])
+            step += np.int16(1)
+            np.minimum(step, older[done:, e] + (a[done:, i] != b[done:, j]), out=now[done:, e])
+            now[done:, e.start - 1] = now[done:, e.stop] = far
         else:
             now[done:] = far
         while done < len(pairs) and ends[done] == s:
-            out[done], done = now[done, zero + m[done] - n[done]], done + 1
+            out[done], done = now[done, (m[done] - n[done] - odd + wide) // 2], done + 1
         now, last, older = older, now, last
     return out
 
@@ -351,6 +370,7 @@ class LineSpace(Space):
         self.words = [t.split(" ") for t in text]
         self.chars = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32) for t in text]
         self.n = np.array([len(c) for c in self.chars])
+        self.weight = int(self.n.sum())
 
     def _pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the pairs (i, j) may be linked, and the edits that are allowed."""
