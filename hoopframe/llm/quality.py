@@ -94,17 +94,18 @@ def tree_rules(debug_string: str, features: list[str]) -> list[tuple[Condition,
 def fit(labelled: DataFrame, label_col: str, max_rows: int = MAX_TRAIN_ROWS, trees: int = 16, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
     """Fits a rule ensemble to rows with the FEATURES and a 0/1 label.
 
-    Over max_rows rows a sample by hash of the statistics is taken, so that
-    the cost of fitting has a bound; nothing else here depends on the number
-    of rows. Without both labels the model is a constant: the smoothed share
+    Over max_rows rows a sample by hash of all columns of labelled is taken,
+    so that the cost of fitting has a bound; an id among them thins out copies
+    evenly, and no column but FEATURES is learned from. Nothing else here
+    depends on the number of rows. Without both labels the model is a constant: the smoothed share
     of label 1, 0.5 if there are no rows.
     """
-    rows = labelled.select(*FEATURES, F.col(label_col).cast("double").alias("label")).where("label in (0, 1)")
+    rows = labelled.select(*FEATURES, F.col(label_col).cast("double").alias("label"), F.xxhash64(*labelled.columns).alias("h")).where("label in (0, 1)")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         return RuleModel([], math.log((ones + 1) / (n - ones + 1)))
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).cache()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", maxMemoryInMB=64).fit(rows)
     rules = tree_rules(forest.toDebugString, FEATURES)
@@ -152,4 +153,5 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents over documents and labels.quality."""
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), bucket_of("doc_id", 3) == 1)

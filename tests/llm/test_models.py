@@ -1,6 +1,8 @@
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -110,3 +112,40 @@ def test_trigram_queries_are_sound_and_masks_cover():
 def test_mask(spark):
     docs = secret_scan.scan_secrets(spark.createDataFrame([(1, "a token=abcdefgh b"), (2, None)], "doc_id long, text string"))
     assert [r.text for r in secret_scan.mask_secrets(docs).orderBy("doc_id").collect()] == ["a [secret] b", ""]
+
+
+def test_posteriors_equal_a_plain_count(spark, small):
+    """Naive Bayes over the grams of whole texts, counted and scored in plain Python."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    letters = language_id._letters()
+
+    def grams(text):
+        buckets, _ = language_id.gram_buckets([text or ""], letters)
+        return buckets.tolist()
+
+    model = language_id.fit(docs)
+    counts, n = {}, Counter(x for _, _, x in rows if x is not None)
+    for _, t, x in rows:
+        if x is not None:
+            counts.setdefault(x, Counter()).update(grams(t))
+    langs = sorted(counts)
+    assert model.langs == langs
+    total = {x: sum(counts[x].values()) + 0.5 * language_id.BUCKETS for x in langs}
+    for r in language_id.predict(docs, model).collect():
+        own = grams(r.text)
+        logs = {x: math.log(n[x] / sum(n.values())) + sum(math.log((counts[x][g] + 0.5) / total[x]) for g in own) for x in langs}
+        best = max(logs.values())
+        if own and r.lang_pred != "und":
+            share = 1 / sum(math.exp(v - best) for v in logs.values())
+            assert logs[r.lang_pred] == pytest.approx(best, abs=1e-2) and r.score == pytest.approx(share, abs=1e-2)
+
+
+def test_score_is_the_sum_over_rules(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    stats = quality.with_statistics(docs.select("doc_id", "text", "quality")).drop("text").cache()
+    model = quality.fit(stats, "quality")
+    assert model.rules
+    for r in stats.withColumn("score", model.score()).collect():
+        logit = model.intercept + sum(w for rule, w in model.rules if all((r[c.feature] > c.threshold) == c.above for c in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-12)
