@@ -177,16 +177,29 @@ def near_pairs(region: np.ndarray, line: np.ndarray, sim: np.ndarray, chars: np.
     """Places (i, j) of two lines of one region that may be alike: by Hamming distance of their SimHashes, MAX_BITS_APART in
     blocks (odd regions) and FAR_BITS in bands, and by length. Rows are sorted by region."""
     most = np.where(region & 1, MAX_BITS_APART, FAR_BITS)
-    at, found, d = np.arange(len(region)), [], 0
-    while len(at):
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))]
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(sim[a] ^ sim[b]) <= most[a]
+        a, b = a[near], b[near]
+        long = np.maximum(chars[a], chars[b])
+        near = (long - np.minimum(chars[a], chars[b]) <= np.floor(long * (1 - similarity) + 1e-9)) & (line[a] != line[b])
+        found.append((a[near], b[near]))
+
+    start = np.flatnonzero(np.append(True, region[1:] != region[:-1])[: len(region)])
+    size = np.diff(np.append(start, len(region)))
+    at, d = np.flatnonzero(np.repeat(size <= 64, size)), 0
+    while len(at):  # lines of small regions with the next one, the one after that and so on
         d += 1
         at = at[at + d < len(region)]
         at = at[region[at] == region[at + d]]
-        a, b = at, at + d
-        long = np.maximum(chars[a], chars[b])
-        near = (np.bitwise_count(sim[a] ^ sim[b]) <= most[a]) & (long - np.minimum(chars[a], chars[b]) <= np.floor(long * (1 - similarity) + 1e-9)) & (line[a] != line[b])
-        found.append((a[near], b[near]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at)
+        keep(at, at + d)
+    for first, n in zip(start[size > 64], size[size > 64]):
+        for lo in range(first, first + n, 256):
+            own, rest = np.arange(lo, min(lo + 256, first + n)), np.arange(lo, first + n)
+            i, j = np.nonzero(np.bitwise_count(sim[own][:, None] ^ sim[rest][None, :]) <= most[first])
+            keep(own[i[j > i]], rest[j[j > i]])
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def region_cells(rows: DataFrame, similarity: float) -> DataFrame:
@@ -292,94 +305,63 @@ def line_texts(docs: DataFrame, at: DataFrame, id_col: str, text_col: str) -> Da
     return stash(found.dropDuplicates(["key"]).withColumn("weight", F.length("item.text").cast("long")), "line-texts")
 
 
-def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
-    """Which pairs of arrays of characters become equal by at most so many edits of single characters.
+def within(a: str, b: str, most: int) -> bool:
+    """Whether at most so many edits of single characters turn a into b.
 
-    The edit tables of many pairs are filled together, one anti-diagonal at a
-    time, in a band as wide as the edits that are allowed.
+    What both start and end with goes first. The columns of the edit table
+    are the bits of two whole numbers: where it rises and where it falls.
     """
-    pairs = [_differing(a, b) for a, b in pairs]
-    n, m = (np.array([len(x) for x in side], int) for side in (zip(*pairs) if pairs else ((), ())))
-    out = np.maximum(n, m) <= most
-    left = np.flatnonzero(~out & (np.abs(n - m) <= most))
-    left = left[np.argsort((n + m)[left], kind="stable")]
-    while len(left):
-        size = (n + m)[left[0]]
-        take = 1
-        while take < min(len(left), 4096) and (n + m)[left[take]] <= size * 1.2 + 8:
-            take += 1
-        own, left = left[:take], left[take:]
-        out[own] = _edits([pairs[i] for i in own], n[own], m[own], int(most[own].max())) <= most[own]
-    return out
-
-
-def _differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What lies between the common start and the common end of two arrays."""
-    short = min(len(a), len(b))
-    other = np.flatnonzero(a[:short] != b[:short])
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    short = min(len(x), len(y))
+    other = np.flatnonzero(x[:short] != y[:short])
     head = int(other[0]) if len(other) else short
-    other = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
+    other = np.flatnonzero(x[::-1][: short - head] != y[::-1][: short - head])
     tail = int(other[0]) if len(other) else short - head
-    return a[head : len(a) - tail], b[head : len(b) - tail]
-
-
-def _edits(pairs: list[tuple[np.ndarray, np.ndarray]], n: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
-    """Edit distances of pairs of lengths n and m, sorted by n + m, where they are at most k; else more than k.
-
-    An anti-diagonal s of the tables crosses the diagonals d of its own
-    parity; they lie side by side: d = 2 * e - wide in even ones, one more in odd ones.
-    """
-    far, wide = np.int16(30_000), k + 4 + k % 2
-    a, b = np.full((len(pairs), n.max() + 1), -1, np.int32), np.full((len(pairs), m.max() + 1), -2, np.int32)
-    rows, columns = a.shape[1] - 1, b.shape[1] - 1
-    for r, (x, y) in enumerate(pairs):
-        a[r, rows - len(x) : rows], b[r, 1 : len(y) + 1] = x[::-1], y  # a from the end, before a mark
-    now, last, older = (np.full((len(pairs), wide + 1), far, np.int16) for _ in range(3))
-    last[:, wide // 2] = 0
-    out, ends, done = np.full(len(pairs), far), n + m, 0
-    while done < len(pairs) and ends[done] == 0:
-        out[done], done = 0, done + 1
-    for s in range(1, int(ends[-1]) + 1):
-        odd = s % 2
-        low, high = max(-k, -s, s - 2 * rows), min(k, s, 2 * columns - s)
-        low, high = low + (low + s) % 2, high - (high + s) % 2
-        if low <= high:
-            e = slice((low - odd + wide) // 2, (high - odd + wide) // 2 + 1)
-            left = slice(e.start - 1 + odd, e.stop - 1 + odd)
-            up = slice(e.start + odd, e.stop + odd)
-            i = slice(rows - (s - low) // 2, rows - (s - high) // 2 + 1)
-            j = slice((s + low) // 2, (s + high) // 2 + 1)
-            step = np.minimum(last[done:, left], last[done:, up])
-            step += np.int16(1)
-            np.minimum(step, older[done:, e] + (a[done:, i] != b[done:, j]), out=now[done:, e])
-            now[done:, e.start - 1] = now[done:, e.stop] = far
-        else:
-            now[done:] = far
-        while done < len(pairs) and ends[done] == s:
-            out[done], done = now[done, (m[done] - n[done] - odd + wide) // 2], done + 1
-        now, last, older = older, now, last
-    return out
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if max(len(a), len(b)) <= most:
+        return True
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    top, up, down, edits, left = 1 << max(len(a) - 1, 0), whole, 0, len(a), len(b)
+    for c in b:
+        left -= 1
+        same = places.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = down | ~(across | up) & whole, up & across
+        if plus & top:
+            edits += 1
+            if edits - left > most:
+                return False
+        elif minus & top:
+            edits -= 1
+        plus, minus = (plus << 1 | 1) & whole, minus << 1 & whole
+        across = same | down
+        up, down = minus | ~(across | plus) & whole, plus & across
+    return edits <= most
 
 
 class LineSpace(Space):
     """Normalised lines with their SimHashes, linked by edit similarity where the SimHashes are at most FAR_BITS apart."""
 
     def __init__(self, lines: pa.StructArray, similarity: float):
-        text, self.apart = lines.field("text").to_pylist(), 1 - similarity
+        self.text, self.apart = lines.field("text").to_pylist(), 1 - similarity
         self.sim = lines.field("sim").to_numpy().view(np.uint64)
-        self.words = [t.split(" ") for t in text]
-        self.chars = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32) for t in text]
-        self.n = np.array([len(c) for c in self.chars])
+        self.words = [t.split(" ") for t in self.text]
+        self.n = np.array([len(t) for t in self.text])
         self.weight = int(self.n.sum())
 
-    def _pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the pairs (i, j) may be linked, and the edits that are allowed."""
-        most = np.floor(np.maximum(self.n[i], self.n[j]) * self.apart + 1e-9).astype(int)
-        return (np.bitwise_count(self.sim[i] ^ self.sim[j]) <= FAR_BITS) & (np.abs(self.n[i] - self.n[j]) <= most), most
+    def _pairs(self, i: int, js: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines js may be linked with i, and the edits that are allowed."""
+        most = np.floor(np.maximum(self.n[i], self.n[js]) * self.apart + 1e-9).astype(int)
+        return (np.bitwise_count(self.sim[i] ^ self.sim[js]) <= FAR_BITS) & (np.abs(self.n[i] - self.n[js]) <= most), most
 
     def alike(self, i: int, js: np.ndarray) -> np.ndarray:
         """Which lines have as many words as i, those that differ in few enough characters to change: linked for sure."""
-        out, most = self._pairs(np.full(len(js), i), js)
+        out, most = self._pairs(i, js)
         own = self.words[i]
         for k in np.flatnonzero(out):
             other = self.words[js[k]]
@@ -387,39 +369,25 @@ class LineSpace(Space):
         return out
 
     def linked(self, i: int, js: np.ndarray) -> np.ndarray:
-        out, most = self._pairs(np.full(len(js), i), js)
-        at = np.flatnonzero(out)
-        out[at] = within([(self.chars[i], self.chars[js[k]]) for k in at], most[at])
+        out, most = self._pairs(i, js)
+        for k in np.flatnonzero(out):
+            out[k] = within(self.text[i], self.text[js[k]], int(most[k]))
         return out
 
     @staticmethod
     def connect_all(cells: list[tuple[Space, np.ndarray]]) -> list[np.ndarray]:
-        """First by lines that are alike word for word; of the pairs left some of each cell at a time, for all cells together."""
-        labels = [connect(before, space.alike) for space, before in cells]
-        left = []
-        for (space, _), own in zip(cells, labels):
-            i, j = np.triu_indices(len(own), 1)
-            may = own[i] != own[j]
-            i, j = i[may], j[may]
-            may, most = space._pairs(i, j)
-            left.append((i[may], j[may], most[may]))
-        share = 16
-        while True:
-            pairs, most, source = [], [], []
-            for c, ((space, _), own, (i, j, allowed)) in enumerate(zip(cells, labels, left)):
-                apart = np.flatnonzero(own[i] != own[j])
-                i, j, allowed = i[apart], j[apart], allowed[apart]
-                pairs += [(space.chars[x], space.chars[y]) for x, y in zip(i[:share], j[:share])]
-                most += allowed[:share].tolist()
-                source += [(c, x, y) for x, y in zip(i[:share].tolist(), j[:share].tolist())]
-                left[c] = i[share:], j[share:], allowed[share:]
-            if not pairs:
-                return labels
-            for (c, x, y), hit in zip(source, within(pairs, np.array(most))):
-                own = labels[c]
-                if hit and own[x] != own[y]:
-                    own[own == own[y]] = own[x]
-            share *= 2
+        """First by lines that are alike word for word; the edit distance only of pairs that are in two groups then."""
+        out = []
+        for space, before in cells:
+            labels = connect(before, space.alike)
+            for i in range(len(labels) - 1):
+                others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+                may, most = space._pairs(i, others)
+                for j, allowed in zip(others[may].tolist(), most[may].tolist()):
+                    if labels[j] != labels[i] and within(space.text[i], space.text[j], allowed):
+                        labels[labels == labels[j]] = labels[i]
+            out.append(labels)
+        return out
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
