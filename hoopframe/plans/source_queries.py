@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import possessions
+from ..operators import lineups, possessions
 from ..sources import readers, writers
 from . import views
-from .queries import POSSESSIONS_SQL, register, simple
+from .queries import POSSESSIONS_SQL, SIDES_SQL, register, simple
 from .views import ACTIONS_SQL, with_
 
 V = "https://example.org/vocabulary#"
@@ -26,6 +26,37 @@ simple(
     ('https://example.org/vocabulary#points', '"' || points || '"^^<http://www.w3.org/2001/XMLSchema#integer>'), ('https://example.org/vocabulary#team', '<https://example.org/teams/-/' || team_id || '>')) v(p, o) WHERE o IS NOT NULL""",
     triples_of,
 )
+_B, _LINE = "https://example.org", "'<' || s || '> <' || p || '> ' || o || ' .'"
+_TYPE = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
+simple(
+    "membership_triples",
+    f""", g AS (SELECT DISTINCT '{_B}/games/' || season_code || '/' || game_code AS s, home_team, road_team FROM actions)
+    SELECT {_LINE} AS line FROM (SELECT s, {_TYPE} AS p, '<{V}Game>' AS o FROM g UNION ALL SELECT s, '{V}homeTeam', '<{_B}/teams/-/' || home_team || '>' FROM g UNION ALL SELECT s, '{V}roadTeam', '<{_B}/teams/-/' || road_team || '>' FROM g
+    UNION ALL SELECT '{_B}/games/' || season_code || '/' || game_code, '{V}contains', '<{_B}/games/' || season_code || '/' || game_code || '#PlayByPlay_J' || original_event_id || '>' FROM actions)""",
+    lambda a: writers.membership_triples(a, V, _B),
+)
+simple(
+    "lineup_triples",
+    SIDES_SQL + f""", f AS (SELECT DISTINCT lineup_team, lineup FROM sides WHERE len(string_split(lineup, '_')) = 5),
+    u AS (SELECT *, '{_B}/teams/-/' || lineup_team || '#Lineup_' || array_to_string(list_sort(list_transform(string_split(lineup, '_'), lambda x: substr(x, 2))), '_') AS s FROM f)
+    SELECT {_LINE} AS line FROM (SELECT s, {_TYPE} AS p, '<{V}Lineup>' AS o FROM u UNION ALL SELECT s, '{V}team', '<{_B}/teams/-/' || lineup_team || '>' FROM u
+    UNION ALL SELECT s, '{V}hasPlayer', '<{_B}/players/-/' || substr(x, 2) || '>' FROM (SELECT s, unnest(string_split(lineup, '_')) AS x FROM u))""",
+    lambda a: writers.lineup_triples(lineups.either_side(a), V, _B),
+    lined=True,
+)
+
+
+@register(
+    "possession_triples",
+    with_(ACTIONS_SQL, POSSESSIONS_SQL) + f""", q AS (SELECT *, '{_B}/games/' || game_id AS g, '{_B}/games/' || game_id || '#Possession_' || possession_seq AS s FROM possessions)
+    SELECT {_LINE} AS line FROM (SELECT s, {_TYPE} AS p, '<{V}Possession>' AS o FROM q UNION ALL SELECT s, '{V}team', '<{_B}/teams/-/' || team_id || '>' FROM q
+    UNION ALL SELECT s, '{V}startsAfter', '<' || g || '#PlayByPlay_J' || starts_after || '>' FROM q WHERE starts_after IS NOT NULL UNION ALL SELECT s, '{V}endsWith', '<' || g || '#PlayByPlay_J' || ends_with || '>' FROM q
+    UNION ALL SELECT s, '{V}containsAction', '<' || g || '#PlayByPlay_J' || e || '>' FROM (SELECT s, g, unnest(contains_action) AS e FROM q))""",
+)
+def _possession_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.possession_triples(possessions.possessions(views.actions(spark, sf_dir)), V, F.concat(F.lit(f"{_B}/games/"), "game_id"))
+
+
 simple("spreadsheet_safe", " SELECT action_id, CASE WHEN coord_x < 0 THEN '''' ELSE '' END || CAST(CAST(coord_x AS INTEGER) AS VARCHAR) AS x FROM actions", lambda a: writers.spreadsheet_safe(a.select("action_id", F.col("coord_x").cast("int").cast("string").alias("x"))))
 simple("incremental", " SELECT action_id FROM actions WHERE season_code = 'E2024'", lambda a: writers.incremental(a, a.where("season_code = 'E2023'"), ["game_id"]).select("action_id"))
 

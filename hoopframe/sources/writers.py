@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import decimal_text
+from ..functions.columns import BASE_URI, action_uri, decimal_text, entity_uri, game_uri, lineup_uri
 
 TYPES = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -45,6 +45,33 @@ def entity_triples(rows: DataFrame, subject: Column, cls: str, properties: dict[
     return stacked.select(F.concat(iri(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), F.col("o"), F.lit(" .")).alias("line"))
 
 
+def membership_triples(acts: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
+    """(line): each game with its type, teams and the actions that it contains."""
+    game = game_uri("season_code", "game_code", base)
+    teams = {f"{vocabulary}{side}Team": iri(entity_uri("teams", f"{side}_team", base)) for side in ("home", "road")}
+    games = acts.select("season_code", "game_code", "home_team", "road_team").distinct()
+    inside = acts.select(F.concat(iri(game), F.lit(f" <{vocabulary}contains> "), iri(action_uri(game, "original_event_id")), F.lit(" .")).alias("line"))
+    return entity_triples(games, game, f"{vocabulary}Game", teams).unionByName(inside)
+
+
+def possession_triples(poss: DataFrame, vocabulary: str, game: Column) -> DataFrame:
+    """(line): each possession with its type, team, the actions around it and those that it contains."""
+    subject = F.concat(game, F.lit("#Possession_"), F.col("possession_seq").cast("string"))
+    at = {p: F.when(F.col(c).isNotNull(), iri(action_uri(game, c))) for p, c in ((f"{vocabulary}startsAfter", "starts_after"), (f"{vocabulary}endsWith", "ends_with"))}
+    each = poss.select(subject.alias("s"), game.alias("g"), F.explode("contains_action").alias("e"))
+    inside = each.select(F.concat(iri(F.col("s")), F.lit(f" <{vocabulary}containsAction> "), iri(action_uri("g", "e")), F.lit(" .")).alias("line"))
+    return entity_triples(poss, subject, f"{vocabulary}Possession", {f"{vocabulary}team": iri(entity_uri("teams", "team_id")), **at}).unionByName(inside)
+
+
+def lineup_triples(sides: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
+    """(line): each lineup of five of either_side rows with its type, team and players."""
+    five = sides.where(F.size("lineup") == 5).select("lineup_team", "lineup").distinct()
+    subject = lineup_uri("lineup_team", "lineup", base)
+    each = five.select(subject.alias("s"), F.explode("lineup").alias("player"))
+    members = each.select(F.concat(iri(F.col("s")), F.lit(f" <{vocabulary}hasPlayer> "), iri(entity_uri("players", "player", base)), F.lit(" .")).alias("line"))
+    return entity_triples(five, subject, f"{vocabulary}Lineup", {f"{vocabulary}team": iri(entity_uri("teams", "lineup_team", base))}).unionByName(members)
+
+
 def observation_triples(observations: DataFrame, subject: Column, vocabulary: str) -> DataFrame:
     return entity_triples(observations, subject, f"{vocabulary}Observation", {f"{vocabulary}videoSeconds": literal(decimal_text("video_time"), "decimal"), f"{vocabulary}period": literal(F.col("period")), f"{vocabulary}clock": literal(F.col("clock"))})
 
