@@ -157,26 +157,26 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 SQL = f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-wins AS (SELECT DISTINCT item_id, list_slice(w, i + 1, i + 10) AS terms
+wins AS MATERIALIZED (SELECT DISTINCT item_id, list_slice(w, i + 1, i + 10) AS terms
          FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM items WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(terms) AS n FROM wins),
-docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+docs AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 grams AS (SELECT doc_id, n, i, list_slice(w, i + 1, i + n) AS terms
           FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN wins USING (terms)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id),
-tokens AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM docs),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM docs),
 freq AS (SELECT term, count(*) AS n FROM tokens GROUP BY term),
-wids AS (SELECT terms, len(terms) AS size, row_number() OVER () AS wid FROM (SELECT DISTINCT terms FROM wins)),
+wids AS MATERIALIZED (SELECT terms, len(terms) AS size, row_number() OVER (ORDER BY terms) AS wid FROM (SELECT DISTINCT terms FROM wins)),
 parts AS (SELECT DISTINCT wid, size, term FROM (SELECT wid, size, unnest(terms) AS term FROM wids)),
 ranked AS (SELECT wid, size, term, n, row_number() OVER (PARTITION BY wid ORDER BY n NULLS LAST, term) AS rank, count(*) OVER (PARTITION BY wid) AS n_terms,
            count(n) OVER (PARTITION BY wid) AS present FROM parts LEFT JOIN freq USING (term)),
-whole AS (SELECT * FROM ranked WHERE present = n_terms AND n_terms > 1),
-anchors AS (SELECT DISTINCT a.doc_id, a.wid, a.pos AS at, a.size, a.n_terms FROM (SELECT * FROM tokens JOIN whole USING (term) WHERE rank = 1) a
+whole AS MATERIALIZED (SELECT * FROM ranked WHERE present = n_terms AND n_terms > 1),
+anchors AS MATERIALIZED (SELECT DISTINCT a.doc_id, a.wid, a.pos AS at, a.size, a.n_terms FROM (SELECT * FROM tokens JOIN whole USING (term) WHERE rank = 1) a
             JOIN (SELECT * FROM tokens JOIN whole USING (term) WHERE rank = 2) b ON a.doc_id = b.doc_id AND a.wid = b.wid AND abs(a.pos - b.pos) < a.size + {SLOP}),
-around AS (SELECT a.doc_id, a.wid, a.at, a.size, a.n_terms, t.pos, t.term FROM anchors a JOIN whole x ON x.wid = a.wid JOIN tokens t ON t.doc_id = a.doc_id AND t.term = x.term AND abs(t.pos - a.at) < a.size + {SLOP}),
+around AS MATERIALIZED (SELECT a.doc_id, a.wid, a.at, a.size, a.n_terms, t.pos, t.term FROM anchors a JOIN whole x ON x.wid = a.wid JOIN tokens t ON t.doc_id = a.doc_id AND t.term = x.term AND abs(t.pos - a.at) < a.size + {SLOP}),
 runs AS (SELECT DISTINCT doc_id, wid FROM (SELECT a.doc_id, a.wid, a.at, a.pos, a.n_terms, count(DISTINCT b.term) AS n FROM around a
          JOIN around b ON a.doc_id = b.doc_id AND a.wid = b.wid AND a.at = b.at AND b.pos BETWEEN a.pos AND a.pos + a.size + {SLOP} - 1 GROUP BY ALL) WHERE n = n_terms),
 near AS (SELECT doc_id, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS near_ids
