@@ -157,6 +157,10 @@ def test_proximity(spark):
 
 
 def lev(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         q = [i]
@@ -166,15 +170,26 @@ def lev(a, b):
     return p[-1]
 
 
-def near_pairs(distinct, similarity=0.8):
-    """Pairs of places of the lines of edit similarity 0.8, by plain edit distance where lengths and letters allow it."""
-    letters = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 97, minlength=97) for x in distinct])
+def trigrams(line):
+    c = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % 2048, minlength=2048) if len(c) > 2 else np.zeros(2048, int)
+
+
+def near_pairs(distinct, similarity=0.8, sims=None, known=lambda i, j: False):
+    """Pairs of places of the lines of edit similarity 0.8, by plain edit distance where lengths and trigrams allow it, of
+    which an edit changes three on either side; with sims only those at most three bits apart; not those known already."""
+    grams = np.array([trigrams(x) for x in distinct], np.int16).reshape(len(distinct), 2048)
     sizes = np.array([len(x) for x in distinct])
     for i, a in enumerate(distinct):
         most = (1 - similarity) * np.maximum(sizes[:i], sizes[i]) + 1e-9
-        change = letters[:i] - letters[i]
-        for j in np.flatnonzero((np.maximum(change, 0).sum(axis=1) <= most) & (np.maximum(-change, 0).sum(axis=1) <= most)):
-            if lev(a, distinct[j]) <= most[j]:
+        may = np.flatnonzero(np.abs(sizes[:i] - sizes[i]) <= most)
+        if sims is not None:
+            may = may[np.bitwise_count(sims[may] ^ sims[i]) <= 3]
+        for j in may[np.abs(grams[may] - grams[i]).sum(axis=1) <= 6 * most[may]]:
+            if known(i, j):
+                continue
+            long = sizes[i] > 150  # within() is held against lev() in a test of its own
+            if line_dedup.within(a, distinct[j], int(most[j])) if long else lev(a, distinct[j]) <= most[j]:
                 yield i, int(j)
 
 
@@ -193,9 +208,8 @@ def brute_lines(rows, by_simhash):
     distinct = list(dict.fromkeys(n for _, n in lines))
     c = Classes()
     long = [n for n in distinct if len(n.split()) >= 5]
-    for i, j in near_pairs(long):
-        if not by_simhash or (sim_of(long[i]) ^ sim_of(long[j])).bit_count() <= 3:
-            c.link(long[i], long[j])
+    for i, j in near_pairs(long, sims=np.array([sim_of(x) for x in long], np.uint64) if by_simhash else None, known=lambda i, j: c.find(long[i]) == c.find(long[j])):
+        c.link(long[i], long[j])
     seen, gone = set(), set()
     for key, n in sorted(lines):
         g = c.find(n)
