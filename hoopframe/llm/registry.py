@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, merkle, quality, secret_scan
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op7_chat_format": chat_format.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
