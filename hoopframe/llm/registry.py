@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, quality, secret_scan
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, quality, secret_scan, token_alignment
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_packing": packing.op13_packing,
     "pipeline": corpus_pipeline.run,
