@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,37 +78,40 @@ def link_actions(acts: DataFrame, wanted: tuple[str, ...] = LINKS) -> DataFrame:
     return acts.join(chosen, ["game_id", "seq"], "left")
 
 
+def _step_of_fouls(state: Column, row: Column) -> Column:
+    """open: drawn fouls that no foul took, latest last, with the least and greatest clock since; taken: what fouls took.
+
+    A later drawn foul has seen fewer clocks than an earlier one, so a foul
+    that is too far from the last is too far from all.
+    """
+    open_, taken, sec = state["open"], state["taken"], row["sec"]
+    last = F.try_element_at(open_, F.lit(-1))
+    hit = F.coalesce(row["foul"] & (last["high"] - sec <= REACH) & (sec - last["low"] <= REACH), F.lit(False))
+    left = F.when(hit, F.slice(open_, 1, F.size(open_) - 1)).otherwise(open_)
+    seen = F.transform(left, lambda x: F.struct(x["id"].alias("id"), F.least(x["low"], sec).alias("low"), F.greatest(x["high"], sec).alias("high")))
+    near = F.filter(seen, lambda x: x["high"] - x["low"] <= 2 * REACH)  # no clock is within reach of both ends otherwise
+    own = F.array(F.struct(row["id"].alias("id"), sec.alias("low"), sec.alias("high")))
+    pair = F.array(F.struct(last["id"].alias("action_id"), row["id"].alias("fouled_by")))
+    return F.struct(F.when(row["drawn"], F.concat(near, own)).otherwise(near).alias("open"), F.when(hit, F.concat(taken, pair)).otherwise(taken).alias("taken"))
+
+
 def foul_links(acts: DataFrame) -> DataFrame:
     """(game_id, action_id, fouled_by): each foul (CM, OF, CMU) takes the latest drawn foul (RV) of its period that no
     earlier foul took, going back as long as actions are within REACH seconds of it.
 
     What a foul may take depends on what others took, so a run of actions that
-    follow each other in the period within REACH seconds is one ordered pass;
+    follow each other in the period within REACH seconds is folded in order;
     no foul reaches beyond its run.
     """
-    def one_run(run: pd.DataFrame) -> pd.DataFrame:
-        rows = run.sort_values("seq").itertuples()
-        seen, taken = [], {}
-        for r in rows:
-            if r.action_code in ("CM", "OF", "CMU"):
-                for p in reversed(seen):
-                    if abs(p.seconds_remaining - r.seconds_remaining) > REACH:
-                        break
-                    if p.action_code == "RV" and p.action_id not in taken:
-                        taken[p.action_id] = r.action_id
-                        break
-            seen.append(r)
-        rows = [(run.game_id.iloc[0], drawn, foul) for drawn, foul in taken.items()]
-        return pd.DataFrame(rows, columns=["game_id", "action_id", "fouled_by"], dtype=object)
-
+    drawn, foul = F.col("action_code") == "RV", F.col("action_code").isin("CM", "OF", "CMU")
     order = Window.partitionBy("game_id", "period").orderBy("seq")
     gap = F.abs(F.col("seconds_remaining") - F.lag("seconds_remaining").over(order)) > REACH
-    cols = acts.select("game_id", "period", "seq", "seconds_remaining", "action_code", "action_id", F.coalesce(gap, F.lit(True)).alias("gap"))
-    cols = cols.withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
-    whole = Window.partitionBy("game_id", "period", "run")
-    both = (F.count_if(F.col("action_code") == "RV").over(whole) > 0) & (F.count_if(F.col("action_code").isin("CM", "OF", "CMU")).over(whole) > 0)
-    cols = cols.withColumn("both", both).where("both")
-    return cols.groupBy("game_id", "period", "run").applyInPandas(one_run, "game_id string, action_id string, fouled_by string")
+    rows = acts.select("game_id", "period", "seq", F.col("seconds_remaining").cast("double").alias("sec"), "action_id", drawn.alias("drawn"), foul.alias("foul"), F.coalesce(gap, F.lit(True)).alias("gap"))
+    rows = rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
+    item = F.struct("seq", "sec", F.col("action_id").cast("string").alias("id"), F.coalesce("drawn", F.lit(False)).alias("drawn"), F.coalesce("foul", F.lit(False)).alias("foul"))
+    runs = rows.groupBy("game_id", "period", "run").agg(F.array_sort(F.collect_list(item)).alias("rows"), F.max("drawn").alias("any_drawn"), F.max("foul").alias("any_foul"))
+    none = F.struct(F.array().cast("array<struct<id:string,low:double,high:double>>").alias("open"), F.array().cast("array<struct<action_id:string,fouled_by:string>>").alias("taken"))
+    return runs.where("any_drawn and any_foul").select("game_id", F.inline(F.aggregate("rows", none, _step_of_fouls, lambda state: state["taken"])))
 
 
 def with_foul_links(acts: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ["1st", "2nd", "3rd", "4th"]
@@ -23,25 +22,27 @@ def monotonic_timeline(timeline: DataFrame) -> DataFrame:
     rows = rows.withColumn("_later", F.max("clock_seconds").over(after)).where("_later is null or _later <= clock_seconds")
     end = F.col("clock_seconds") <= 0.1
     same = Window.partitionBy("game_id", "run", "clock_seconds").orderBy(F.when(end, F.col("video_time")).otherwise(-F.col("video_time")))
-    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*timeline.columns)
+    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*[F.col(f"`{c}`") for c in timeline.columns])
 
 
 def drop_impossible(timeline: DataFrame, grace: float = 5.0) -> DataFrame:
     """Drops readings whose clock fell by more than the video time since the last kept reading of the period, plus grace.
 
-    What is kept depends on what was kept before, so each game is one ordered pass.
+    What is kept depends on what was kept before, so a run of readings of one
+    period is folded in order; the first of a run always stays.
     """
-    columns = timeline.columns
-
-    def one_game(game: pd.DataFrame) -> pd.DataFrame:
-        game, keep, last = game.sort_values("video_time"), [], None
-        for time, period, clock in zip(game.video_time, game.period, game.clock_seconds):
-            ok = last is None or last[1] != period or last[2] - clock <= time - last[0] + grace
-            keep.append(ok)
-            last = (time, period, clock) if ok else last
-        return game.loc[keep, columns].astype({"game_id": object, "period": object})
-
-    return timeline.groupBy("game_id").applyInPandas(one_game, timeline.schema)
+    columns = [F.col(f"`{c}`") for c in timeline.columns]
+    runs = _runs(timeline).groupBy("game_id", "run").agg(F.array_sort(F.collect_list(F.struct("video_time", F.col("clock_seconds").alias("clock"), F.struct(*columns).alias("row")))).alias("rows"))
+
+    def step(state: Column, row: Column) -> Column:
+        last = state["last"]
+        ok = last.isNull() | F.coalesce(last["clock"] - row["clock"] <= row["video_time"] - last["video_time"] + grace, F.lit(False))
+        return F.struct(F.when(ok, row).otherwise(last).alias("last"), F.when(ok, F.array_append(state["kept"], row)).otherwise(state["kept"]).alias("kept"))
+
+    kind = runs.schema["rows"].dataType
+    start = F.struct(F.lit(None).cast(kind.elementType).alias("last"), F.array().cast(kind).alias("kept"))
+    kept = runs.select(F.inline(F.transform(F.aggregate("rows", start, step, lambda state: state["kept"]), lambda x: x["row"])))
+    return kept.select(*columns)
 
 
 def repair_timeline(timeline: DataFrame) -> DataFrame:

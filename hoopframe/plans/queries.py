@@ -283,6 +283,18 @@ def _game_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.game_list(views.games(views.actions(spark, sf_dir)))
 
 
-@register("foul_links")
+#: Of each foul the drawn fouls it may take, latest first; then foul by foul what is left of them.
+FOULS_SQL = """
+fo AS (SELECT *, row_number() OVER (PARTITION BY game_id, period ORDER BY seq) AS k FROM actions WHERE action_code IN ('CM', 'OF', 'CMU')),
+far AS (SELECT f.game_id, f.seq, coalesce(max(b.seq), 0) AS stop FROM fo f LEFT JOIN actions b ON b.game_id = f.game_id AND b.period = f.period AND b.seq < f.seq AND abs(b.seconds_remaining - f.seconds_remaining) > 3 GROUP BY ALL),
+may AS (SELECT f.game_id, f.period, f.k, f.action_id, coalesce(list(d.action_id ORDER BY d.seq DESC) FILTER (d.action_id IS NOT NULL), []) AS drawn FROM fo f JOIN far x ON x.game_id = f.game_id AND x.seq = f.seq
+  LEFT JOIN actions d ON d.game_id = f.game_id AND d.period = f.period AND d.action_code = 'RV' AND d.seq < f.seq AND d.seq > x.stop GROUP BY ALL),
+took AS (SELECT game_id, period, k, action_id, drawn[1] AS got, CASE WHEN len(drawn) > 0 THEN [drawn[1]] ELSE [] END AS used FROM may WHERE k = 1
+  UNION ALL SELECT game_id, period, k, action_id, n AS got, CASE WHEN n IS NULL THEN used ELSE list_append(used, n) END FROM (SELECT m.game_id, m.period, m.k, m.action_id, t.used, list_filter(m.drawn, lambda x: NOT list_contains(t.used, x))[1] AS n
+    FROM took t JOIN may m ON m.game_id = t.game_id AND m.period = t.period AND m.k = t.k + 1)),
+drawn_l AS (SELECT game_id, got AS action_id, action_id AS fouled_by FROM took WHERE got IS NOT NULL)"""
+
+
+@register("foul_links", "WITH RECURSIVE" + ",".join([ACTIONS_SQL, FOULS_SQL]) + " SELECT * FROM drawn_l")
 def _foul_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.foul_links(views.actions(spark, sf_dir))

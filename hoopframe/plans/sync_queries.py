@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import candidates, evaluation, links, lineups, possessions, quality, reports, scope, sync, timeline
 from . import views
-from .queries import POSSESSIONS_SQL, SIDES_SQL, register, simple
+from .queries import FOULS_SQL, POSSESSIONS_SQL, SIDES_SQL, register, simple
 from .views import ACTIONS_SQL, LINEUPS_SQL, OBSERVATIONS_SQL, PLAYERS_SQL, with_
 
 # Nearest observation by brute force: every clock of the period, least distance, then the larger clock.
@@ -59,23 +59,31 @@ def _timeline(acts: DataFrame) -> DataFrame:
     return acts.select("game_id", (F.col("seq") * 2.0).alias("video_time"), "period", clock.cast("double").alias("clock_seconds")).where("clock_seconds >= 0")
 
 
-@register(
-    "monotonic_timeline",
-    with_(ACTIONS_SQL, _TIMELINE_SQL) + """, r AS (SELECT *, CASE WHEN period IS DISTINCT FROM lag(period) OVER w THEN 1 ELSE 0 END AS new FROM timeline WINDOW w AS (PARTITION BY game_id ORDER BY video_time)),
+_MONOTONIC_SQL = """
+    r AS (SELECT *, CASE WHEN period IS DISTINCT FROM lag(period) OVER w THEN 1 ELSE 0 END AS new FROM timeline WINDOW w AS (PARTITION BY game_id ORDER BY video_time)),
     r2 AS (SELECT *, sum(new) OVER (PARTITION BY game_id ORDER BY video_time) AS run FROM r),
-    r3 AS (SELECT a.* FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE b.game_id = a.game_id AND b.run = a.run AND b.video_time > a.video_time AND b.clock_seconds > a.clock_seconds))
-    SELECT game_id, CASE WHEN clock_seconds <= 0.1 THEN min(video_time) ELSE max(video_time) END AS video_time, period, clock_seconds FROM r3 GROUP BY game_id, run, period, clock_seconds""",
-)
+    r3 AS (SELECT a.* FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE b.game_id = a.game_id AND b.run = a.run AND b.video_time > a.video_time AND b.clock_seconds > a.clock_seconds)),
+    monotonic AS (SELECT game_id, CASE WHEN clock_seconds <= 0.1 THEN min(video_time) ELSE max(video_time) END AS video_time, period, clock_seconds FROM r3 GROUP BY game_id, run, period, clock_seconds)"""
+#: Reading by reading of a game: the last one kept, and whether this one is.
+_KEPT_SQL = """
+    m AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY video_time) AS k FROM monotonic),
+    kept AS (SELECT game_id, k, video_time, period, clock_seconds, TRUE AS ok, video_time AS t, period AS p, clock_seconds AS c FROM m WHERE k = 1
+      UNION ALL SELECT game_id, k, video_time, period, clock_seconds, ok, CASE WHEN ok THEN video_time ELSE t END, CASE WHEN ok THEN period ELSE p END, CASE WHEN ok THEN clock_seconds ELSE c END
+      FROM (SELECT m.game_id, m.k, m.video_time, m.period, m.clock_seconds, s.t, s.p, s.c, s.p <> m.period OR s.c - m.clock_seconds <= m.video_time - s.t + 5 AS ok FROM kept s JOIN m ON m.game_id = s.game_id AND m.k = s.k + 1))"""
+_REPAIR_SQL = "WITH RECURSIVE" + ",".join([ACTIONS_SQL, _TIMELINE_SQL, _MONOTONIC_SQL, _KEPT_SQL])
+
+
+@register("monotonic_timeline", with_(ACTIONS_SQL, _TIMELINE_SQL, _MONOTONIC_SQL) + " SELECT * FROM monotonic")
 def _monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.monotonic_timeline(_timeline(views.actions(spark, sf_dir)))
 
 
-@register("repair_timeline")
+@register("repair_timeline", _REPAIR_SQL + " SELECT game_id, video_time, period, clock_seconds FROM kept WHERE ok")
 def _repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.repair_timeline(_timeline(views.actions(spark, sf_dir)))
 
 
-@register("repair_timeline_removed")
+@register("repair_timeline_removed", _REPAIR_SQL + ", n AS (SELECT game_id, count(*) AS n FROM timeline GROUP BY 1), l AS (SELECT game_id, count(*) AS l FROM kept WHERE ok GROUP BY 1) SELECT game_id, n - coalesce(l, 0) AS removed FROM n LEFT JOIN l USING (game_id)")
 def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _timeline(views.actions(spark, sf_dir))
     return timeline.removed_counts(before, timeline.repair_timeline(before))
@@ -344,7 +352,11 @@ simple(
 )
 
 
-@register("fouls_drawn")
+@register(
+    "fouls_drawn",
+    "WITH RECURSIVE" + ",".join([ACTIONS_SQL, FOULS_SQL]) + """ SELECT d.player_id, f.player_id AS other, count(*) AS n FROM actions d LEFT JOIN drawn_l l ON l.action_id = d.action_id LEFT JOIN actions f ON f.action_id = l.fouled_by
+    WHERE d.action_class = 'FoulDrawn' GROUP BY ALL""",
+)
 def _fouls_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.fouls_drawn(links.with_foul_links(views.actions(spark, sf_dir)), None)
 

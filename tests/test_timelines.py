@@ -152,3 +152,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(want) > 1500
     appended = sum(x.op == "append" for x in tracker.track_batch(rows).collect())
     assert tracker.resolve_retractions(tracker.track_batch(rows)).count() == appended
+
+
+def test_drop_impossible_equals_a_loop(spark):
+    r = random.Random(5)
+    rows = [(g, float(i), r.choice(["1st", "1st", "1st", "2nd"]), r.choice([None, *map(float, range(0, 60, 4))])) for g in ("g0", "g1") for i in range(0, 300, 2)]
+    want, last = [], {}
+    for row in rows:
+        game, time, period, clock = row
+        held = last.get(game)
+        if held is None or held[2] != period or (clock is not None and held[3] is not None and held[3] - clock <= time - held[1] + 5):
+            want.append(row)
+            last[game] = row
+    df = spark.createDataFrame(rows, "game_id string, video_time double, period string, clock_seconds double").withColumn("a.b", F.lit(1))
+    got = timeline.drop_impossible(df)
+    assert got.columns == df.columns and sorted((tuple(x)[:4] for x in got.collect()), key=str) == sorted(want, key=str)
+    assert timeline.repair_timeline(df.limit(0)).collect() == []
+
+
+def test_folds_have_no_python_workers(spark):
+    df = spark.createDataFrame([("g", 1.0, "1st", 5.0)], "game_id string, video_time double, period string, clock_seconds double")
+    plan = timeline.repair_timeline(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
