@@ -6,15 +6,14 @@ a game come in order of video time.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.columns import clean_ocr_clock, clock_seconds
 
@@ -24,7 +23,7 @@ OUTPUT = "game_id string, number long, op string, video_time double, period stri
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds, in seconds unless said otherwise."""
+    """Thresholds, in seconds unless said otherwise. Fixed values."""
 
     min_confidence: float = 0.4
     regular: float = 600.0
@@ -229,30 +228,146 @@ def track_batch(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return clean_readings(readings, rules).groupBy("game_id").applyInPandas(one_game, OUTPUT)
 
 
-def track_stream(readings: DataFrame, rules: Rules = Rules(), time: str | None = None, late: str = "1 minute") -> DataFrame:
-    """The same over a stream, in append mode; the state of a game is one JSON text of bounded size.
+READING = "video_time double, clock_seconds double, clock string"
+# The tracker's memory as typed state: scalars in one value, each remembered reading in one of its own, runs as lists.
+SCALARS = ("open", "finished", "period", "count", "anchors", "end_at", "number")
+MARKS = ("last", "first", "anchor", "digit")
+RUNS = ("opening", "rebase", "gapped")
+HEAD = "open boolean, finished boolean, period int, count int, anchors int, end_at double, number long"
+BEFORE = "period int, count int, " + ", ".join(f"{m}_{f}" for m in ("last", "first") for f in READING.split(", "))
+
+
+class ClockTracker(StatefulProcessor):
+    """The tracker of each game of a stream.
 
-    time: an event-time column of the readings. A game of which nothing comes
-    for rules.finish_after seconds of event time is over and its state goes;
-    what comes later starts it anew. Without time, states stay.
+    With an event time, readings wait until the watermark has passed them and
+    are taken in order of time, so those that come late by no more than the
+    watermark's delay count as if they had come in time. A timer wakes the
+    game for its earliest waiting reading, ends it finish_after seconds after
+    the last reading in the final seconds, and removes its state once nothing
+    has come for twice that time. Without an event time readings are taken as
+    they come, sorted within a batch.
     """
-    def one_game(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        track = Track(**json.loads(state.get[0])) if state.exists else Track()
-        rows = pd.concat(list(batches)).sort_values("video_time", kind="stable")
-        out = _rows(key[0], track, rows, rules)
-        state.update((json.dumps(asdict(track)),))
-        if time:
-            last = max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs())
-            state.setTimeoutTimestamp(last + int(rules.finish_after * 1000) + 1)
+
+    def __init__(self, rules: Rules, timed: bool):
+        self.rules, self.timed = rules, timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD)
+        self.before = handle.getValueState("before", BEFORE)
+        self.marks = {m: handle.getValueState(m, READING) for m in MARKS}
+        self.runs = {r: handle.getListState(r, READING) for r in RUNS}
+        self.waiting = handle.getListState("waiting", READING + ", at_ms long")
+        self.seen = handle.getValueState("seen", "last_ms long, end_ms long")
+
+    def _load(self) -> Track:
+        track = Track()
+        if self.head.exists():
+            for name, value in zip(SCALARS, self.head.get()):
+                setattr(track, name, value)
+        for name, state in self.marks.items():
+            setattr(track, name, list(state.get()) if state.exists() else None)
+        for name, state in self.runs.items():
+            setattr(track, name, [list(x) for x in state.get()])
+        if self.before.exists():
+            period, count, *held = self.before.get()
+            track.before = [period, held[:3], held[3:], count]
+        return track
+
+    def _save(self, track: Track) -> None:
+        self.head.update(tuple(getattr(track, name) for name in SCALARS))
+        for name, state in self.marks.items():
+            mark = getattr(track, name)
+            state.update(tuple(mark)) if mark else state.clear()
+        for name, state in self.runs.items():
+            run = getattr(track, name)
+            state.put([tuple(x) for x in run]) if run else state.clear()
+        if track.before:
+            period, last, first, count = track.before
+            self.before.update((period, count, *last, *first))
+        else:
+            self.before.clear()
+
+    def _clear(self) -> None:
+        for state in (self.head, self.before, self.seen, self.waiting, *self.marks.values(), *self.runs.values()):
+            state.clear()
+
+    def _advance(self, key: tuple, due: list[tuple]) -> pd.DataFrame:
+        """Takes the due readings (video_time, clock_seconds, clock, at_ms) in order."""
+        track = self._load()
+        rows = pd.DataFrame([r[:3] for r in due], columns=["video_time", "clock_seconds", "clock"])
+        out = _rows(key[0], track, rows.sort_values("video_time", kind="stable"), self.rules)
+        self._save(track)
+        if self.timed and due:
+            end = next((at for time, _, _, at in due if time == track.end_at), None)
+            held = self.seen.get() if self.seen.exists() else (0, None)
+            self.seen.update((max(held[0], *(r[3] for r in due)), None if track.end_at is None else held[1] if end is None else end))
+        return out
+
+    def _wake(self, waiting: list[tuple]) -> None:
+        """One timer: for the earliest waiting reading, the end of the game, or of its state."""
+        wait = int(self.rules.finish_after * 1000)
+        last, end = self.seen.get() if self.seen.exists() else (0, None)
+        over = self.head.exists() and self.head.get()[1]
+        at = [r[3] + 1 for r in waiting]
+        if last:
+            at.append(last + 2 * wait + 1)
+        if end is not None and not over:
+            at.append(end + wait + 1)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if at:
+            self.handle.registerTimer(min(at))
+
+    def _due(self, key: tuple, waiting: list[tuple], now: int) -> pd.DataFrame:
+        due, left = [r for r in waiting if r[3] <= now], [r for r in waiting if r[3] > now]
+        self.waiting.put(left) if left else self.waiting.clear()
+        out = self._advance(key, sorted(due, key=lambda r: (r[3], r[0])))
+        self._wake(left)
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        readings = list(zip(batch.video_time.tolist(), batch.clock_seconds.tolist(), batch.clock.tolist(), batch.at_ms.tolist()))
+        if self.timed:
+            yield self._due(key, [*map(tuple, self.waiting.get()), *readings], timerValues.getCurrentWatermarkInMs())
+        else:
+            yield self._advance(key, readings)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, wait = timerValues.getCurrentWatermarkInMs(), int(self.rules.finish_after * 1000)
+        out = self._due(key, [*map(tuple, self.waiting.get())], now)
+        last, end = self.seen.get() if self.seen.exists() else (0, None)
+        if not self.waiting.exists() and now > last + 2 * wait:
+            self._clear()
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        elif end is not None and now > end + wait:
+            track = self._load()
+            track.finished = True
+            self._save(track)
+            self._wake([*map(tuple, self.waiting.get())])
         yield out
 
+    def close(self) -> None:
+        pass
+
+
+def track_stream(readings: DataFrame, rules: Rules = Rules(), time: str | None = None, late: str = "1 minute") -> DataFrame:
+    """The same over a stream, in append mode, with the state of a game as typed values, lists and a timer.
+
+    time: an event-time column of the readings, which follows their video time
+    within a game; see ClockTracker for what it does. Without time, readings
+    of a game come in order, and states stay. The session needs the RocksDB
+    state store.
+    """
     rows = clean_readings(readings, rules)
     if time:
         rows = rows.withWatermark(time, late)
-    return rows.groupBy("game_id").applyInPandasWithState(one_game, OUTPUT, "track string", "append", GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("at_ms", F.unix_millis(F.col(time)) if time else F.lit(0).cast("long"))
+    processor = ClockTracker(rules, time is not None)
+    return rows.groupBy("game_id").transformWithStateInPandas(processor, OUTPUT, "append", "EventTime" if time else "None")
 
 
 def resolve_retractions(rows: DataFrame) -> DataFrame:

@@ -121,34 +121,65 @@ def test_retraction_spares_what_comes_after_it(spark):
     assert sorted((r.video_time, r.period) for r in got) == [(100.0, "3rd"), (120.0, "3rd"), (130.0, "4th")]
 
 
-def test_silent_games_leave_the_state(spark, tmp_path):
-    clocks = [(f"9:{59 - s:02d}", s) for s in range(30)]
-    for part, start in ((0, 0), (1, 5000), (2, 20000)):
-        rows = [(f"g{part}", float(s), t, 0.9, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=start + s)) for t, s in clocks]
-        spark.createDataFrame(rows, "game_id string, video_time double, text string, confidence double, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-    schema = "game_id string, video_time double, text string, confidence double, ts timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    q = tracker.track_stream(stream, time="ts").writeStream.format("memory").queryName("silent").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").start()
+def drain(spark, tmp_path, frames, name, **options):
+    """Rows that the tracker puts out for the frames as micro-batches of a stream, and the query's last progress."""
+    for k, df in enumerate(frames):
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k:03d}")
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = tracker.track_stream(stream, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/check").outputMode("append").start()
     try:
         q.processAllAvailable()
-        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
     finally:
         q.stop()
-    assert {r.game_id for r in spark.table("silent").collect()} == {"g0", "g1", "g2"} and left == 1
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
+def state_of(spark, tmp_path, variable):
+    rows = spark.read.format("statestore").option("path", f"{tmp_path}/check").option("stateVarName", variable).load()
+    return {r["key"]["game_id"]: r["value"] for r in rows.select("key", "value").collect()}
+
+
+START = dt.datetime(2024, 1, 1)
+
+
+def timed(df):
+    return df.withColumn("ts", (F.lit(START.timestamp()) + F.col("video_time")).cast("timestamp"))
+
+
+def silence(spark, at):
+    """A reading of another game that moves the watermark on."""
+    row = [(f"z{at}", float(at), "5:00", 0.9, START + dt.timedelta(seconds=at))]
+    return spark.createDataFrame(row, "game_id string, video_time double, text string, confidence double, ts timestamp")
+
+
+def test_shuffled_stream_equals_batch(spark, tmp_path):
+    games = spark.createDataFrame([("g1",), ("g2",)], "game_id string")
+    rows = timed(readings(games).where("video_time < 1500"))
+    late = F.col("video_time") + F.pmod(F.xxhash64("game_id", "video_time"), F.lit(100))  # up to 100 seconds late
+    parts = [rows.where((late >= k * 320) & (late < k * 320 + 320)).orderBy(F.xxhash64("video_time", F.lit(7))) for k in range(5)]
+    got = drain(spark, tmp_path, [*parts, silence(spark, 3000)], "shuffled", time="ts", late="2 minutes")
+    assert got == sorted(map(tuple, tracker.track_batch(rows.drop("ts")).collect())) and len(got) > 1500
+
+
+def test_a_timer_ends_a_game_and_another_removes_it(spark, tmp_path):
+    games = spark.createDataFrame([("g",)], "game_id string")
+    rows = timed(readings(games))  # its last reading is at 2759
+    got = drain(spark, tmp_path / "a", [rows, silence(spark, 3600)], "short", time="ts", late="10 seconds")
+    assert [r[4:6] for r in got][-1] == ("4th", "0:01") and not state_of(spark, tmp_path / "a", "head")["g"]["finished"]
+    again = drain(spark, tmp_path / "b", [rows, silence(spark, 3720)], "ended", time="ts", late="10 seconds")
+    assert again == got and state_of(spark, tmp_path / "b", "head")["g"]["finished"]
+    # what comes after the end doesn't count: it would open an overtime
+    overtime = timed(spark.createDataFrame([("g", 3725.0 + s, f"4:{59 - s:02d}", 0.9) for s in range(9)], "game_id string, video_time double, text string, confidence double"))
+    assert drain(spark, tmp_path / "c", [rows, silence(spark, 3720), overtime, silence(spark, 3900)], "over", time="ts", late="10 seconds") == got
+    drain(spark, tmp_path / "d", [rows, silence(spark, 3720), silence(spark, 4600)], "gone", time="ts", late="10 seconds")
+    assert "g" not in state_of(spark, tmp_path / "d", "head")
 
 
 def test_stream_equals_batch(spark, tmp_path):
     games = spark.createDataFrame([("g1",), ("g2",)], "game_id string")
     rows = readings(games).where("video_time < 1500")
-    rows.where("video_time < 500").coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    rows.where("video_time >= 500").coalesce(1).write.parquet(f"{tmp_path}/in/b")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    q = tracker.track_stream(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    got, want = (sorted(map(tuple, df.collect())) for df in (spark.table("tracked"), tracker.track_batch(rows)))
+    got = drain(spark, tmp_path, [rows.where("video_time < 500"), rows.where("video_time >= 500")], "tracked")
+    want = sorted(map(tuple, tracker.track_batch(rows).collect()))
     assert got == want and len(want) > 1500
     appended = sum(x.op == "append" for x in tracker.track_batch(rows).collect())
     assert tracker.resolve_retractions(tracker.track_batch(rows)).count() == appended
