@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stash
+from .word_bpe import byte_letters
 
 CACHE_CHUNKS = 300_000  # chunks of text that a Python worker remembers before it starts afresh
 CHARACTERS = 1 << 20  # of documents that are aligned at a time, besides the last of them
@@ -30,13 +31,6 @@ ODD_BLANK = re.compile(r"[^\S \n][ \n]")  # here a run of white space would be c
 OUT = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def byte_level_tokens(definition: str) -> list[bytes]:
     """The bytes of each token of a byte-level BPE file, by id; b"" for added tokens."""
     parts, letters = json.loads(definition), byte_letters()

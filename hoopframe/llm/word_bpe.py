@@ -10,13 +10,25 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 400_000  # words and, apart from them, pre-tokens that a Python worker remembers before it starts afresh
+CACHE_WORDS = 800_000  # words and, apart from them, pre-tokens that a Python worker remembers before it starts afresh
 SEGMENT = 1 << 20  # characters of a text that are split into words at a time
 
 # The normaliser and the split of the tokenizers whose words can be encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")  # the same split where all is lower-case printable ASCII
+# The same for words of printable ASCII and the letters of Latin-1, which are in normal form, once lower-cased.
+PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+LETTERS = {b: c for c, b in byte_letters().items()}
 
 
 def segments(text: str) -> Iterator[str]:
@@ -36,8 +48,8 @@ class WordEncoder:
     """Ids as the tokenizers library gives them, without special tokens added.
 
     This split drops white space and joins nothing across it, so a text's ids
-    are those of its words. Words of printable ASCII go to the BPE model by
-    their pre-tokens, others through the whole tokenizer. A tokenizer of
+    are those of its words. Words of printable ASCII and Latin-1 letters go to the
+    BPE model by their pre-tokens, others through the whole tokenizer. A tokenizer of
     another kind gets whole texts.
     """
 
@@ -55,12 +67,13 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not (word.isascii() and word.isprintable()) or any(s in word for s in self.special):
+        if not PLAIN_WORD.fullmatch(word) or any(s in word for s in self.special):
             return self._whole(word)
         pieces = PLAIN.findall(word.lower())
         for p in pieces:
             if p not in self.pieces:
-                self.pieces[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p)], self.dtype).tobytes()
+                letters = p if p.isascii() else "".join(map(LETTERS.__getitem__, p.encode()))
+                self.pieces[p] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:

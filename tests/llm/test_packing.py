@@ -16,7 +16,7 @@ DEFINITION = open(PATH, encoding="utf-8").read()
 WANT = Tokenizer.from_str(DEFINITION)
 ODD = [
     "", " ", "\n", "Don't STOP, it's 1234", "a\tb\x0bc\x1cd e f", "ÀÉ naïve ΣΊΣΥΦΟΣ İstanbul ﬁ", "é ́x", "日本 🙂 ok", "<|startoftext|> x<|endoftext|>y", "a  b\n\nc ",
-    "'S 'Ll we'RE", "x" * 5000, "_a_b 1_2 ``~~", "\x00 \x7f a\x01b", "KK İi", "'ſ", "ab'd'dd",
+    "'S 'Ll we'RE", "x" * 5000, "_a_b 1_2 ``~~", "\x00 \x7f a\x01b", "KK İi", "'ſ", "ab'd'dd", "ÉÈ ñandú straße ÿŸ æÆ 2² ½ ªº ÷×",
 ]
 
 

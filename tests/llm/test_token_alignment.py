@@ -10,12 +10,13 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from hoopframe.llm import token_alignment as ta
+from hoopframe.llm.word_bpe import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WANT_A = Tokenizer.from_file(A)
 WANT_A.encode_special_tokens = True
 WANT_B = sentencepiece.SentencePieceProcessor(model_file=B)
-LETTERS = ta.byte_letters()
+LETTERS = byte_letters()
 ODD = [
     "a", " ", "  ", "\n", " a", "a ", "a  b", "a\nb", "a\n\nb \n", "a \nb", "a\t b", "a  b", "\t", "▁x", "a▁ b", "<s> </s> <unk> <0x41>", "<|endoftext|>", "naïve 日本語 🙂 é ́", "don't 12,345", "x" * 4000, "ab " * 2000,
     "\x00a b", "a　b c", "ﬁ ½ Ａ", " \n x  \n y", "a\r\nb", "​ a",
