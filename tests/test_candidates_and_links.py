@@ -5,9 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hoopframe.operators import candidates, evaluation, lineups, links, reports
+from hoopframe.operators import candidates, evaluation, links, reports
 from hoopframe.plans import views
-from hoopframe.streaming import live
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,19 +78,6 @@ def test_unmatched_truth_is_an_error(spark):
         evaluation.score_sync(truth, known.where("action_id = 'a'")).collect()
 
 
-def test_live_games_equal_their_batch_form(spark):
-    acts = views.actions(spark, SF)
-    starters = views.starters(acts)
-    got = []
-    sink = live.enriching_sink(lambda: acts, starters, lambda df, n: got.extend(df.collect()))
-    sink(acts.where("game_id = '2024-01-05'").limit(3), 0)
-    sink(acts.limit(0), 1)
-    one = acts.where("game_id = '2024-01-05'")
-    want = lineups.settle_substitutions(lineups.lineup_at_action(one, starters)).select("action_id", "home_lineup").collect()
-    assert {r.action_id: r.home_lineup for r in got} == {r.action_id: r.home_lineup for r in want} and want
-    assert {r.game_id for r in got} == {"2024-01-05"} and any(r.possession_seq for r in got)
-
-
 def test_roster_and_fragments(spark):
     box = spark.createDataFrame([("g", "home", "T1", "P1", True), ("g", "home", "T1", "P2", False), ("g", "road", "T2", "P3", True)], "game_id string, side string, team_id string, player_id string, is_starter boolean")
     took = spark.createDataFrame([("g", "T1", "P1", "ONE"), ("g", "T1", "P2", "TWO")], "game_id string, team_id string, player_id string, jersey_name string")
