@@ -97,18 +97,23 @@ def fit(labelled: DataFrame, label_col: str, max_rows: int = MAX_TRAIN_ROWS, tre
     Over max_rows rows a sample by hash of all columns of labelled is taken,
     so that the cost of fitting has a bound; an id among them thins out copies
     evenly, and no column but FEATURES is learned from. Nothing else here
-    depends on the number of rows. Without both labels the model is a constant: the smoothed share
-    of label 1, 0.5 if there are no rows.
+    depends on the number of rows. Without both labels, or where no tree
+    splits, the model is a constant: the smoothed share of label 1, 0.5 if
+    there are no rows.
     """
     rows = labelled.select(*FEATURES, F.col(label_col).cast("double").alias("label"), F.xxhash64(*labelled.columns).alias("h")).where("label in (0, 1)")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    constant = RuleModel([], math.log((ones + 1) / (n - ones + 1)))
     if not 0 < ones < n:
-        return RuleModel([], math.log((ones + 1) / (n - ones + 1)))
+        return constant
     if n > max_rows:
-        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+        rows = rows.where(F.pmod("h", F.lit(1 << 60)) < (max_rows << 60) // n)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).cache()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", maxMemoryInMB=64).fit(rows)
     rules = tree_rules(forest.toDebugString, FEATURES)
+    if not rules:  # no statistic tells the labels apart
+        rows.unpersist()
+        return constant
     hits = rows.select("label", *[holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     hits = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="hits").transform(hits).select("label", "hits").cache()
     lasso = LogisticRegression(featuresCol="hits", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(hits)
