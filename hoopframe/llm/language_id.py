@@ -147,10 +147,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
                     langs[i] = m.langs[j]
             yield pd.DataFrame({"lang_pred": langs, "score": best})
 
-    marked = docs.drop("lang_pred", "score").withColumn("_p", score(text_or_empty(text_col)))
-    lettered = text_or_empty(text_col).rlike(r"\p{L}")
-    pred = F.when(lettered, F.col("_p.lang_pred")).otherwise("und")
-    return marked.withColumn("lang_pred", pred).withColumn("score", F.when(pred == "und", F.lit(0.0)).otherwise(F.col("_p.score"))).drop("_p")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*others).alias("row"), score(text_or_empty(text_col)).alias("p"), text_or_empty(text_col).rlike(r"\p{L}").alias("lettered"))
+    pred = F.when(F.col("lettered"), F.col("p.lang_pred")).otherwise("und")
+    return rows.select("row.*", pred.alias("lang_pred"), F.when(pred == "und", F.lit(0.0)).otherwise(F.col("p.score")).alias("score"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
