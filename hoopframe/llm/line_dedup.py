@@ -169,8 +169,8 @@ def fingerprint_lines(docs: DataFrame, id_col: str, text_col: str, min_words: in
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(F.col(text_col).cast("string"))
-    kept = [c for c in docs.columns if c != text_col]
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d_id"), F.xxhash64(F.col(id_col), text).alias("d_hash"), text.alias("text"), F.struct(F.lit(0).alias("__"), *kept).alias("row"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d_id"), F.xxhash64(F.col(id_col), text).alias("d_hash"), text.alias("text"), F.struct(*kept).alias("row"))
 
 
 def near_pairs(region: np.ndarray, line: np.ndarray, sim: np.ndarray, chars: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -428,9 +428,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     none = F.array().cast("array<bigint>")
     hit = rows.where("maybe").join(dropped, ["d_id", "d_hash"], "left").withColumn("drop", F.coalesce("drop", none))
     rows = rows.where("not maybe").withColumn("drop", none).unionByName(hit)
-    all_lines = F.split("text", "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("drop", i.cast("long"))), "\n")
-    rows = rows.select("row", F.when(F.size("drop") > 0, left).otherwise(F.col("text")).alias("text"), F.size(all_lines).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
+    rows = rows.withColumn("all", F.split("text", "\n"))
+    # by set difference of line numbers: a text may have a million lines
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("all").cast("long") - 1), "drop")
+    left = F.array_join(F.transform(stay, lambda i: F.col("all")[i.cast("int")]), "\n")
+    rows = rows.select("row", F.when(F.size("drop") > 0, left).otherwise(F.col("text")).alias("text"), F.size("all").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
     new = {text_col: F.col("text"), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
     order = [*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns]]
     return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in order])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -309,3 +310,12 @@ def test_near_pairs():
     for region, want in ((1, {(0, 2), (0, 3)}), (2, {(0, 2), (0, 3), (0, 4)})):
         i, j = line_dedup.near_pairs(np.full(6, region), line, sims, chars, 0.8)
         assert {(x, y) for x, y in zip(i.tolist(), j.tolist()) if x == 0} == want
+
+
+def test_lines_of_tables_with_odd_names_and_of_a_very_long_text(spark):
+    words = [hashlib.md5(str(k).encode()).hexdigest() for k in range(20_000)]
+    many = "\n".join(" ".join(w[j : j + 5] for j in range(0, 30, 5)) for w in words for _ in range(10))
+    docs = spark.createDataFrame([(1, many, 7, 8, 9), (2, "", 7, 8, 9)], ["doc_id", "text", "a.b", "__", "row"])
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert got[1].n_lines == 200_000 and got[1].n_dropped >= 180_000 and (got[1]["a.b"], got[1]["__"], got[1]["row"]) == (7, 8, 9)
+    assert got[1].text.count("\n") == got[1].n_lines - got[1].n_dropped - 1

@@ -38,6 +38,12 @@ def test_languages_of_odd_texts(small):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_languages_keep_all_columns(spark):
+    rows = spark.createDataFrame([("the cat", "en", 1, 2, "y")], ["text", "lang", "_p", "a.b", "score"])
+    got = language_id.predict(rows, language_id.fit(rows))
+    assert got.columns == ["text", "lang", "_p", "a.b", "lang_pred", "score"] and tuple(got.first())[:5] == ("the cat", "en", 1, 2, "en")
+
+
 def test_a_score_doesnt_depend_on_neighbours(spark, small):
     model = language_id.fit(small)
     alone = {r.doc_id: r.score for i in (1, 2, 6) for r in language_id.predict(small.where(f"doc_id = {i}"), model).collect()}
@@ -61,6 +67,17 @@ def test_quality_without_labels_and_with_odd_texts(spark, small):
     assert all(r.predicted == 1 for r in quality.score_documents(small, one, F.lit(False)).collect())
 
 
+def test_quality_where_nothing_tells_labels_apart(spark):
+    docs = spark.range(60).selectExpr("id as doc_id", "'one text for all' as text")
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    from pyspark.sql import functions as F
+
+    got = quality.score_documents(docs, labels, F.lit(False)).collect()
+    assert len(got) == 60 and {(r.score, r.predicted) for r in got} == {(0.5, 1)}
+    long = spark.createDataFrame([(1, "word of a very long text.\n" * 100_000)], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in quality.score_documents(long, labels, F.lit(False)).collect())
+
+
 def test_tree_rules_read_printed_trees():
     text = """RandomForestClassificationModel
   Tree 0 (weight 1.0):
