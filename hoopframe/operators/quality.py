@@ -34,22 +34,6 @@ def dangling_references(poss: DataFrame, acts: DataFrame) -> DataFrame:
     return refs.join(acts.select("game_id", "original_event_id"), ["game_id", "original_event_id"], "left_anti")
 
 
-def check_triples(triples: DataFrame, acts: DataFrame, malformed: DataFrame, id_predicate: str, type_predicate: str) -> DataFrame:
-    """(problem, n): malformed and duplicate lines, actions without triples and the reverse, actions without a type."""
-    dup = duplicate_rows(triples).select(F.lit("duplicate").alias("problem"), F.col("n"))
-    ids = triples.where(F.col("p") == id_predicate).select(F.col("o").alias("action_id")).distinct()
-    typed = triples.where(F.col("p") == type_predicate).select("s").distinct()
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
-
-    own = acts.select("action_id").distinct()
-    parts = [count(malformed, "malformed"), dup, count(own.join(ids, "action_id", "left_anti"), "missing"), count(ids.join(own, "action_id", "left_anti"), "unexpected"), count(triples.where(F.col("p") == id_predicate).select("s").distinct().join(typed, "s", "left_anti"), "untyped")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("n > 0")
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(n): rows beyond the first of each distinct row."""
     return df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..functions.columns import clamp_clock, clock_seconds, default_clock, normalize_period, to_bool
@@ -102,9 +103,10 @@ def read_ground_truth(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return t.withColumn("ground_truth_video_seconds", ok).drop("_n")
 
 
-def read_ntriples(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(triples, malformed): s, p, o, o_kind, datatype of well-formed lines, and the other lines that aren't empty."""
-    lines = spark.read.text(paths).where(F.length(F.trim("value")) > 0)
+def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triples, malformed) of a text column value: s, p, o, o_kind, datatype of well-formed lines, and the other lines that
+    aren't empty. A language tag is left out."""
+    lines = lines.where(F.length(F.trim("value")) > 0)
     good = F.trim("value").rlike(schema.TRIPLE)
     part = [F.regexp_extract(F.trim("value"), schema.TRIPLE, i) for i in range(1, 6)]
     iri = part[2] != ""
@@ -113,6 +115,38 @@ def read_ntriples(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
     return t, lines.where(~good)
 
 
+def read_ntriples(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """parse_ntriples() of files."""
+    return parse_ntriples(spark.read.text(paths))
+
+
+def read_documents(docs: DataFrame, actions: str, possessions: str = "possession_seq int, team_id string, starts_after bigint, ends_with bigint, contains_action array<bigint>") -> tuple[DataFrame, DataFrame]:
+    """(actions, possessions) of game documents (game_id, document), one row per element, with the fields of the two schemas.
+
+    A document is JSON with the lists AllActions and Possessions. Its fields
+    may drift: an absent one is null, one of another type is cast (a number as
+    text, say), null if it can't be, and others don't count. A document
+    without a list of actions is an error, and so is an action without an
+    original_event_id, a period or seconds_remaining where the schema has them.
+    """
+    v = docs.select("game_id", F.try_parse_json("document").alias("v"))
+
+    def rows(path: str, fields: str, needed: list[str], required: bool) -> DataFrame:
+        items = F.try_variant_get("v", f"$.{path}", "array<variant>")
+        if required:
+            items = F.coalesce(items, F.raise_error(F.concat(F.lit(f"no list {path} in the document of "), "game_id")).cast("array<variant>"))
+        each = v.select("game_id", F.posexplode(items).alias("place", "e"))
+        kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(fields)}
+        got = {name: F.try_variant_get("e", f"$.{name}", kind) for name, kind in kinds.items()}
+        for name in needed:
+            if name in got:
+                bad = F.raise_error(F.concat(F.lit(f"no {name} in action "), (F.col("place") + 1).cast("string"), F.lit(" of "), "game_id"))
+                got[name] = F.coalesce(got[name], bad.cast(kinds[name]))
+        return each.select("game_id", *[c.alias(name) for name, c in got.items()])
+
+    return rows("AllActions", actions, ["original_event_id", "period", "seconds_remaining"], True), rows("Possessions", possessions, [], False)
+
+
 def triples_to_entities(triples: DataFrame, type_predicate: str, cls: str, properties: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per subject of the class: properties as {column: (predicate, type)}, the least of repeated values."""
     own = triples.join(triples.where((F.col("p") == type_predicate) & (F.col("o") == cls)).select("s").distinct(), "s", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BASE_URI, action_uri, decimal_text, entity_uri, game_uri, lineup_uri
+from ..functions.columns import BASE_URI, action_uri, entity_uri, game_uri, lineup_uri
 
 TYPES = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -72,10 +72,6 @@ def lineup_triples(sides: DataFrame, vocabulary: str, base: str = BASE_URI) -> D
     return entity_triples(five, subject, f"{vocabulary}Lineup", {f"{vocabulary}team": iri(entity_uri("teams", "lineup_team", base))}).unionByName(members)
 
 
-def observation_triples(observations: DataFrame, subject: Column, vocabulary: str) -> DataFrame:
-    return entity_triples(observations, subject, f"{vocabulary}Observation", {f"{vocabulary}videoSeconds": literal(decimal_text("video_time"), "decimal"), f"{vocabulary}period": literal(F.col("period")), f"{vocabulary}clock": literal(F.col("clock"))})
-
-
 def write_ntriples(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     lines.select("line").write.mode(mode).text(path)
 
