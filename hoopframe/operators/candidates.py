@@ -84,27 +84,46 @@ def guess_keys(guess: Column) -> Column:
     return F.filter(F.array(key("exact", g), key("words", F.array_join(F.array_sort(F.split(g, " ")), " ")), key("surname", F.when(F.length(g) >= 3, g))), lambda x: F.length(x["key"]) >= 2)
 
 
-def match_names(guesses: DataFrame, players: DataFrame) -> DataFrame:
-    """(guess_id, player_id): a guess equals a player's name without accents, in any order of words, or is a surname of
-    three letters or more; a name of one word expands to a longer guess if only one player has that surname."""
-    p = players.select("player_id", F.inline(name_keys(F.col("name")))).distinct()
-    found = guesses.select("guess_id", F.inline(guess_keys(F.col("guess")))).join(p, ["rule", "key"]).select("guess_id", "player_id")
-    unique = p.where("rule = 'surname'").groupBy("key").agg(F.count_distinct("player_id").alias("n"), F.min("player_id").alias("player_id")).where("n = 1")
-    g = guesses.select("guess_id", F.regexp_replace(normalize_name("guess"), NAME_SUFFIX, "").alias("g"))
-    long = g.where(F.contains("g", F.lit(" "))).select("guess_id", F.element_at(F.split("g", " "), -1).alias("key"))
-    single = players.select("player_id", normalize_name("name").alias("key")).where(~F.contains("key", F.lit(" ")))
-    return found.unionByName(long.join(unique, "key").join(single, ["key", "player_id"]).select("guess_id", "player_id")).distinct()
-
-
-def match_pairs(guesses: DataFrame, answers: DataFrame, players: DataFrame) -> DataFrame:
-    """Guesses of two names (guess_id, guess) that fit the unordered pair of answers(guess_id, a, b)."""
+def surname_index(catalog: DataFrame) -> DataFrame:
+    """(key, name): surnames that one name of the catalog has, and that name."""
+    plain = normalize_name("name")
+    surname = F.when(F.contains("name", F.lit(",")), normalize_name(F.split("name", ",").getItem(0))).otherwise(F.element_at(F.split(plain, " "), -1))
+    return catalog.select("name", surname.alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1 and key <> ''").select("key", "name")
+
+
+def match_names(guesses: DataFrame, players: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """(guess_id, player_id): guesses(guess_id, guess) that fit a player's name.
+
+    A guess of two letters or more equals the name, without accents and a
+    suffix such as jr, or has its words in another order. One of three letters
+    or more may be the surname, of one word or all words but the first. Where
+    a player is known by one word alone, a longer guess fits if just one name
+    of catalog(name) has that surname, and the guess fits that name by the
+    other rules. catalog: the players' own names if not given.
+    """
+    known = players.select("player_id", F.inline(name_keys(F.col("name"))))
+    plain = F.regexp_replace(normalize_name("name"), NAME_SUFFIX, "")
+    single = players.select("player_id", plain.alias("key")).where("key <> '' and not contains(key, ' ')")
+    full = single.join(surname_index(players if catalog is None else catalog), "key").select("player_id", F.inline(name_keys(F.col("name"))), F.lit(True).alias("expanded"))
+    names = known.withColumn("expanded", F.lit(False)).unionByName(full)
+    words = F.contains(F.regexp_replace(normalize_name("guess"), NAME_SUFFIX, ""), F.lit(" "))
+    asked = guesses.select("guess_id", F.inline(guess_keys(F.col("guess"))), words.alias("several"))
+    return asked.join(names, ["rule", "key"]).where("several or not expanded").select("guess_id", "player_id").distinct()
+
+
+def match_pairs(guesses: DataFrame, answers: DataFrame, players: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Guesses of two names (guess_id, guess) that fit the pair of answers(guess_id, a, b), in any order.
+
+    The first name takes the first of the pair that it fits, the second must
+    fit the other. Names are parted by &, + or the word and.
+    """
     parts = F.split("guess", r"(?i)\s*(?:&|\band\b|\+)\s*")
-    each = guesses.where(F.size(parts) == 2).select("guess_id", F.posexplode(parts).alias("place", "guess"))
-    hits = match_names(each.select(F.concat_ws("#", F.col("guess_id").cast("string"), F.col("place").cast("string")).alias("guess_id"), "guess"), players)
-    hits = hits.select(F.substring_index("guess_id", "#", 1).alias("guess_id"), F.substring_index("guess_id", "#", -1).alias("place"), "player_id")
-    want = answers.select(F.col("guess_id").cast("string").alias("guess_id"), "a", "b")
-    both = hits.join(want, "guess_id").groupBy("guess_id").agg(*[F.max((F.col("place") == p) & (F.col("player_id") == F.col(c))).alias(f"{c}{p}") for p in "01" for c in "ab"])
-    return both.where("(a0 and b1) or (b0 and a1)").select("guess_id")
+    two = guesses.where(F.size(parts) == 2).select("guess_id", F.posexplode(parts).alias("place", "guess"))
+    hits = match_names(two.select(F.struct("guess_id", "place").alias("guess_id"), "guess"), players, catalog).select("guess_id.*", "player_id")
+    both = hits.join(answers.select("guess_id", "a", "b"), "guess_id").groupBy("guess_id")
+    fits = {f"{c}{p}": F.max((F.col("place") == p) & (F.col("player_id") == F.col(c))) for p in (0, 1) for c in "ab"}
+    both = both.agg(*[v.alias(k) for k, v in fits.items()])
+    return both.where("(a0 and b1) or (not a0 and b0 and a1)").select("guess_id")
 
 
 def multiple_choice(answers: DataFrame, players: DataFrame, n: int, seed: int = 0) -> DataFrame:

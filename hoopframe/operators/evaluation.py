@@ -90,6 +90,55 @@ def same_results(result: DataFrame, reference: DataFrame, keys: list[str], id_co
     return both.select(*keys, F.col("ids_a").eqNullSafe(F.col("ids_b")).alias("same_ids"), F.coalesce(F.abs(F.col("total_a") - F.col("total_b")) <= 1e-4, F.lit(False)).alias("same_total"))
 
 
+TOLERANCE = 1e-4
+
+
+def _close(value: Column, expected: Column) -> Column:
+    """Whether a text is a number within TOLERANCE, or a billionth, of what is expected."""
+    number = value.try_cast("double")
+    return F.coalesce(F.abs(number - expected) <= F.greatest(F.lit(TOLERANCE), 1e-9 * F.greatest(F.abs(number), F.abs(expected))), F.lit(False))
+
+
+def matches_row(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(question_id, matches): whether a question has one row of results, and that row every expected value.
+
+    results(question_id, row, field, value): the rows as fields of text; a
+    row without fields has a null field. expected(question_id, field, text,
+    number, members): of each field one of a text that is equal, a number, or
+    the members that a comma-separated value lists, each once and in any order.
+    An absent field is an empty text. Sets are compared by digests of their
+    sorted members.
+    """
+    rows = results.groupBy("question_id").agg(F.count_distinct("row").alias("rows"))
+    held = results.where("field is not null").groupBy("question_id", "field").agg(F.min("value").alias("value"))
+    both = expected.join(held, ["question_id", "field"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+    listed = F.transform(F.split("value", ","), lambda x: F.trim(x))
+
+    def digest(members: Column) -> Column:
+        return F.xxhash64(F.array_sort(F.array_distinct(members)))
+
+    same_set = (F.size(listed) == F.size(F.array_distinct(listed))) & (digest(listed) == digest(F.col("members"))) & (F.size(listed) == F.size(F.array_distinct("members")))
+    ok = F.when(F.col("members").isNotNull(), same_set).when(F.col("number").isNotNull(), _close(F.col("value"), F.col("number"))).otherwise(F.col("value") == F.col("text"))
+    judged = both.groupBy("question_id").agg(F.min(F.coalesce(ok, F.lit(False))).alias("ok"))
+    return judged.join(rows, "question_id", "left").select("question_id", (F.col("ok") & (F.coalesce("rows", F.lit(0)) == 1)).alias("matches"))
+
+
+def matches_ids(results: DataFrame, expected: DataFrame, totals: DataFrame) -> DataFrame:
+    """(question_id, matches): whether the ids of results are those expected, and each of its rows has the expected totals.
+
+    results(question_id, row, action_id, values map of text); expected
+    (question_id, action_id); totals(question_id, field, number). A question
+    with totals and no rows doesn't match.
+    """
+    sides = results.select("question_id", "action_id", F.lit(1).alias("side")).unionByName(expected.select("question_id", "action_id", F.lit(2).alias("side"))).where("action_id is not null")
+    each = sides.groupBy("question_id", "action_id").agg(F.bit_or("side").alias("sides"))
+    off = totals.join(results.select("question_id", "values"), "question_id", "left")
+    off = off.where(~_close(F.try_element_at("values", F.col("field")), F.col("number")))
+    bad = each.where("sides <> 3").select("question_id").unionByName(off.select("question_id")).distinct().withColumn("bad", F.lit(True))
+    asked = expected.select("question_id").unionByName(totals.select("question_id")).distinct()
+    return asked.join(bad, "question_id", "left").select("question_id", F.col("bad").isNull().alias("matches"))
+
+
 def summarise_matches(requested: DataFrame, acts: DataFrame) -> DataFrame:
     """Distinct requested ids with their action's class, period and points, and matched."""
     a = acts.select("action_id", "action_class", "period", "points")

@@ -153,9 +153,21 @@ def play_by_play(acts: DataFrame, game_id: str, linked: bool = True) -> DataFram
     return a.orderBy(F.coalesce("seq", F.lit(9999)), "action_id")
 
 
-def play_order(acts: DataFrame) -> list[Column]:
-    """Stable order of play: period, sequence where it is known, remaining clock from high to low, id."""
-    return [period_order("period"), F.when(F.col("seq") > 0, F.col("seq")).asc_nulls_first(), F.desc("seconds_remaining"), F.asc("action_id")]
+def play_order(acts: DataFrame) -> DataFrame:
+    """acts with place, its number in the game's order of play.
+
+    Periods come in order, and in a period actions with a sequence number
+    above 0 by that. One without is placed by its clock: before the earliest
+    numbered action that has less time left or, at the same clock, a larger
+    id; several of one such place by clock from high to low, then id.
+    """
+    numbered = F.col("seq") > 0
+    clock, ident = F.coalesce("seconds_remaining", F.lit(-1)), F.col("action_id")
+    a = acts.withColumns({"_period": period_order("period"), "_clock": clock})
+    later = Window.partitionBy("game_id", "_period").orderBy(F.desc("_clock"), ident).rowsBetween(1, Window.unboundedFollowing)
+    a = a.withColumn("_slot", F.when(numbered, F.col("seq")).otherwise(F.min(F.when(numbered, F.col("seq"))).over(later)))
+    order = Window.partitionBy("game_id").orderBy("_period", F.asc_nulls_last("_slot"), F.coalesce(numbered, F.lit(False)), F.desc("_clock"), ident)
+    return a.withColumn("place", F.row_number().over(order)).drop("_period", "_clock", "_slot")
 
 
 def capped(df: DataFrame, rows: int = 200) -> DataFrame:

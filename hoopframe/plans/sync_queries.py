@@ -242,11 +242,98 @@ simple(
 )
 
 
-@register("match_names", with_(ACTIONS_SQL, PLAYERS_SQL) + " SELECT player_id AS guess_id, player_id FROM players")
+#: Names of every kind, guesses of every kind, and the rules of matching, each player against each guess.
+_NAMES_SQL = """
+base AS (SELECT c_custkey AS k, 'Fir' || c_nationkey AS f FROM customer),
+named AS (SELECT 'P' || k AS player_id, k, f, CASE k % 5 WHEN 0 THEN 'Sur' || k || 'É, ' || f WHEN 1 THEN f || ' Sür' || k || ' Jr' WHEN 2 THEN f || ' De Sur' || k WHEN 3 THEN 'Sur' || k ELSE f || ' Sur' || k END AS name FROM base),
+catalog AS (SELECT name FROM named WHERE k % 5 <> 3 UNION ALL SELECT f || ' Sur' || k FROM named WHERE k % 5 = 3 UNION ALL SELECT 'Other Sur' || k FROM named WHERE k % 35 = 3),
+asked AS (SELECT k AS guess_id, CASE k % 7 WHEN 0 THEN upper(f) || ' sur' || k || CASE WHEN k % 5 = 0 THEN 'e' ELSE '' END WHEN 1 THEN 'Sur' || k || ' ' || f WHEN 2 THEN 'sur' || k || CASE WHEN k % 5 = 0 THEN 'e' ELSE '' END WHEN 3 THEN 'de sur' || k
+  WHEN 4 THEN f || '  Súr' || k || ' III' WHEN 5 THEN 's' ELSE f || ' de ' || 'Sur' || (k + 1) END AS guess FROM base),
+norm AS (SELECT *, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS plain FROM named),
+ident AS (SELECT *, regexp_replace(plain, '\\s+(jr|sr|ii|iii|iv)$', '') AS a FROM norm),
+cplain AS (SELECT name, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS plain FROM catalog),
+csur AS (SELECT *, regexp_replace(plain, '\\s+(jr|sr|ii|iii|iv)$', '') AS a, CASE WHEN contains(name, ',') THEN trim(regexp_replace(lower(strip_accents(split_part(name, ',', 1))), '[^a-z0-9]+', ' ', 'g')) ELSE string_split(plain, ' ')[-1] END AS sur FROM cplain),
+uniq AS (SELECT sur, min(name) AS name, min(a) AS a FROM csur GROUP BY sur HAVING count(*) = 1),
+forms AS (SELECT player_id, a, name, FALSE AS expanded FROM ident UNION ALL SELECT player_id, u.a, u.name, TRUE FROM ident i JOIN uniq u ON u.sur = i.a WHERE NOT contains(i.a, ' ')),
+words AS (SELECT *, string_split(a, ' ') AS w, CASE WHEN contains(name, ',') THEN trim(regexp_replace(lower(strip_accents(split_part(name, ',', 1))), '[^a-z0-9]+', ' ', 'g')) ELSE string_split(a, ' ')[-1] END AS sur FROM forms),
+said AS (SELECT guess_id, regexp_replace(trim(regexp_replace(lower(strip_accents(guess)), '[^a-z0-9]+', ' ', 'g')), '\\s+(jr|sr|ii|iii|iv)$', '') AS g FROM {asked}),
+fits AS (SELECT DISTINCT guess_id, player_id FROM said, words WHERE len(g) >= 2 AND (NOT expanded OR contains(g, ' ')) AND (a = g OR (len(w) = len(string_split(g, ' ')) AND list_sort(w) = list_sort(string_split(g, ' ')))
+  OR (len(g) >= 3 AND (g = sur OR (len(w) > 2 AND g = array_to_string(w[2:], ' '))))))"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(players, catalog, guesses): names with commas, suffixes, accents, compound surnames and of one word; guesses of each kind."""
+    k, mod, n = F.col("k"), F.col("k") % 7, F.col("k").cast("string")
+    base = views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("Fir"), F.col("c_nationkey").cast("string")).alias("f"))
+    five = [F.concat(F.lit("Sur"), n, F.lit("É, "), "f"), F.concat("f", F.lit(" Sür"), n, F.lit(" Jr")), F.concat("f", F.lit(" De Sur"), n), F.concat(F.lit("Sur"), n), F.concat("f", F.lit(" Sur"), n)]
+    named = base.select("k", "f", F.concat(F.lit("P"), n).alias("player_id"), F.element_at(F.array(*five), (k % 5 + 1).cast("int")).alias("name"))
+    other = named.where("k % 5 = 3").select(F.concat("f", F.lit(" Sur"), n).alias("name")).unionByName(named.where("k % 35 = 3").select(F.concat(F.lit("Other Sur"), n).alias("name")))
+    e = F.when(k % 5 == 0, "e").otherwise("")
+    seven = [F.concat(F.upper("f"), F.lit(" sur"), n, e), F.concat(F.lit("Sur"), n, F.lit(" "), "f"), F.concat(F.lit("sur"), n, e), F.concat(F.lit("de sur"), n), F.concat("f", F.lit("  Súr"), n, F.lit(" III")), F.lit("s"), F.concat("f", F.lit(" de Sur"), (k + 1).cast("string"))]
+    guesses = base.select(k.alias("guess_id"), F.element_at(F.array(*seven), (mod + 1).cast("int")).alias("guess"))
+    return named.select("player_id", "name"), named.where("k % 5 <> 3").select("name").unionByName(other), guesses
+
+
+@register("match_names", "WITH " + _NAMES_SQL.replace("{asked}", "asked") + " SELECT guess_id, player_id FROM fits")
 def _match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.players(spark, sf_dir)
-    guesses = p.select(F.col("player_id").alias("guess_id"), F.regexp_replace(F.upper("name"), "#", " — ").alias("guess"))
-    return candidates.match_names(guesses, p)
+    players, catalog, guesses = _names(spark, sf_dir)
+    return candidates.match_names(guesses, players, catalog)
+
+
+# A pair is a customer and the next; every third guess has them the wrong way round, every fourth is of one name only.
+_PAIRS_SQL = """, two AS (SELECT x.guess_id, CASE WHEN x.guess_id % 4 = 0 THEN x.guess WHEN x.guess_id % 3 = 0 THEN y.guess || CASE WHEN x.guess_id % 2 = 0 THEN ' & ' ELSE ' AND ' END || x.guess ELSE x.guess || ' + ' || y.guess END AS guess
+  FROM asked x JOIN asked y ON y.guess_id = x.guess_id + 1),
+parts AS (SELECT guess_id * 2 + i - 1 AS guess_id, p[i] AS guess FROM (SELECT guess_id, string_split_regex(guess, '(?i)\\s*(?:&|\\band\\b|\\+)\\s*') AS p FROM two), LATERAL (VALUES (1), (2)) z(i) WHERE len(p) = 2)"""
+
+
+@register(
+    "match_pairs",
+    "WITH " + _NAMES_SQL.replace("\nnorm AS", _PAIRS_SQL.lstrip(", ") + ",\nnorm AS").replace("{asked}", "parts") + """, h AS (SELECT t.guess_id, bool_or(f.guess_id % 2 = 0 AND f.player_id = 'P' || t.guess_id) AS a0, bool_or(f.guess_id % 2 = 1 AND f.player_id = 'P' || t.guess_id) AS a1,
+    bool_or(f.guess_id % 2 = 0 AND f.player_id = 'P' || (t.guess_id + 1)) AS b0, bool_or(f.guess_id % 2 = 1 AND f.player_id = 'P' || (t.guess_id + 1)) AS b1 FROM two t JOIN fits f ON f.guess_id // 2 = t.guess_id GROUP BY 1)
+    SELECT guess_id FROM h WHERE (a0 AND b1) OR (NOT a0 AND b0 AND a1)""",
+)
+def _match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    players, catalog, guesses = _names(spark, sf_dir)
+    k = F.col("guess_id")
+    two = guesses.join(guesses.select((k - 1).alias("guess_id"), F.col("guess").alias("next")), "guess_id")
+    both = F.when(k % 4 == 0, F.col("guess")).when(k % 3 == 0, F.concat("next", F.when(k % 2 == 0, " & ").otherwise(" AND "), "guess")).otherwise(F.concat("guess", F.lit(" + "), "next"))
+    answers = two.select("guess_id", F.concat(F.lit("P"), k.cast("string")).alias("a"), F.concat(F.lit("P"), (k + 1).cast("string")).alias("b"))
+    return candidates.match_pairs(two.select("guess_id", both.alias("guess")), answers, players, catalog)
+
+
+# Questions of a game: who scored, how much and in which season. By the event that opens it a result is right, or wrong in one way.
+_ANSWERS_SQL = """, g AS (SELECT game_id, season_code, list(DISTINCT player_id) AS who, CAST(sum(points) AS DOUBLE) AS total, (ascii(md5(game_id)[1]) + ascii(md5(game_id)[2])) % 8 AS k FROM actions WHERE points IS NOT NULL GROUP BY ALL)"""
+
+
+@register("matches_row", with_(ACTIONS_SQL) + _ANSWERS_SQL + " SELECT game_id AS question_id, k IN (0, 1, 2) AS matches FROM g")
+def _matches_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.actions(spark, sf_dir).where("points is not null")
+    h = F.md5(F.col("game_id").cast("binary"))
+    g = a.groupBy("game_id", "season_code").agg(F.collect_set("player_id").alias("who"), F.sum("points").cast("double").alias("total")).withColumn("k", (F.ascii(F.substring(h, 1, 1)) + F.ascii(F.substring(h, 2, 1))) % 8)
+    k, who = F.col("k"), F.array_sort("who")
+    listed = F.when(k == 1, F.reverse(who)).when(k == 3, F.concat(who, F.slice(who, 1, 1))).when(k == 4, F.slice(who, 2, 1000)).otherwise(who)
+    total = F.when(k == 2, F.col("total") + 0.00005).when(k == 5, F.col("total") + 0.01).otherwise(F.col("total"))
+    season = F.when(k != 6, F.col("season_code"))
+    g = g.withColumns({"shown_who": F.array_join(listed, " , "), "shown_total": total.cast("string"), "shown_season": season})
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"shown_{n}").alias("value")) for n in ("who", "total", "season")])
+    rows = F.when(k == 7, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    results = g.select(F.col("game_id").alias("question_id"), F.explode(rows).alias("row"), fields.alias("fields")).select("question_id", "row", F.inline("fields")).where("value is not null")
+    none = {"text": F.lit(None).cast("string"), "number": F.lit(None).cast("double"), "members": F.lit(None).cast("array<string>")}
+    want = F.array(*[F.struct(F.lit(n).alias("field"), *[own.get(c, v).alias(c) for c, v in none.items()]) for n, own in (("who", {"members": F.col("who")}), ("total", {"number": F.col("total")}), ("season", {"text": F.col("season_code")}))])
+    return evaluation.matches_row(results, g.select(F.col("game_id").alias("question_id"), F.inline(want)))
+
+
+@register("matches_ids", with_(ACTIONS_SQL) + _ANSWERS_SQL + " SELECT game_id AS question_id, k NOT IN (3, 5) AS matches FROM g")
+def _matches_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring actions of a game, with the game's points beside each; some results lack one, or have another sum."""
+    a = views.actions(spark, sf_dir).where("points is not null")
+    h = F.md5(F.col("game_id").cast("binary"))
+    k = (F.ascii(F.substring(h, 1, 1)) + F.ascii(F.substring(h, 2, 1))) % 8
+    g = a.groupBy("game_id").agg(F.sum("points").cast("double").alias("number"), F.min("action_id").alias("least")).withColumn("k", k)
+    rows = a.join(g, "game_id").where("not (k = 3 and action_id = least)")
+    shown = F.when(F.col("k") == 5, F.col("number") + 1).when(F.col("k") == 6, F.col("number") + 0.00001).otherwise(F.col("number"))
+    results = rows.select(F.col("game_id").alias("question_id"), F.col("seq").alias("row"), "action_id", F.create_map(F.lit("total"), shown.cast("string")).alias("values"))
+    return evaluation.matches_ids(results, a.select(F.col("game_id").alias("question_id"), "action_id"), g.select(F.col("game_id").alias("question_id"), F.lit("total").alias("field"), "number"))
 
 
 _SEEDED = "CAST('0x' || substr(md5({0} || ':{1}'), 1, 8) AS BIGINT)"
@@ -341,8 +428,10 @@ def _with_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 simple(
     "play_order",
-    """ SELECT action_id, row_number() OVER (PARTITION BY game_id ORDER BY CAST(left(period, 1) AS INTEGER), CASE WHEN seq % 11 = 0 THEN NULL ELSE seq END NULLS FIRST, seconds_remaining DESC, action_id) AS place FROM actions""",
-    lambda a: (lambda x: x.select("action_id", F.row_number().over(Window.partitionBy("game_id").orderBy(*reports.play_order(x))).alias("place")))(a.withColumn("seq", F.when(F.col("seq") % 11 == 0, 0).otherwise(F.col("seq")))),
+    """, n AS (SELECT *, CASE WHEN original_event_id % 4 <> 0 THEN seq ELSE 0 END AS sq, CAST(left(period, 1) AS INTEGER) AS p FROM actions),
+    s AS (SELECT u.*, CASE WHEN u.sq > 0 THEN u.sq ELSE (SELECT min(x.sq) FROM n x WHERE x.game_id = u.game_id AND x.p = u.p AND x.sq > 0 AND (x.seconds_remaining < u.seconds_remaining OR (x.seconds_remaining = u.seconds_remaining AND x.action_id > u.action_id))) END AS slot FROM n u)
+    SELECT action_id, row_number() OVER (PARTITION BY game_id ORDER BY p, slot NULLS LAST, CAST(sq > 0 AS INTEGER), seconds_remaining DESC, action_id) AS place FROM s""",
+    lambda a: reports.play_order(a.withColumn("seq", F.when(F.col("original_event_id") % 4 != 0, F.col("seq")).otherwise(0))).select("action_id", "place"),
 )
 simple("capped", " SELECT action_id FROM actions ORDER BY original_event_id LIMIT 200", lambda a: reports.capped(a.orderBy("original_event_id")).select("action_id"))
 simple(
