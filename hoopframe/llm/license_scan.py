@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, broadcast_if, read, stash, text_or_empty
 
 THRESHOLD = 0.6
+SURE = 0.9  # cosine of a title, and of a passage that is less than half of a licence file
 BROADCAST_ROWS = 200_000
 MAX_TEMPLATE_WORDS = 20_000  # distinct words of all templates
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
-BLOCKS = (1, 2, 3, 5, 8, 12, 20)  # lines of a block
+BLOCKS = (1, 2, 3, 5, 8, 12, 20, 32)  # lines of a block
 BACK = (0, 2)  # lines that a block starts before a line with a word of a template
+WHOLE, TITLE = -1, -2  # units of a licence file: its whole text, and its first one or two lines with words
 
 # Short forms, headers and texts of public licences.
 _WARRANTY = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
@@ -51,17 +53,54 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
 ]
+# The titles of public licences.
+TITLES = [
+    ("AFL-3.0", 'Academic Free License ("AFL") v. 3.0'),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Artistic-1.0", 'The "Artistic License"'),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "ISC License"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("OFL-1.1", "SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"),
+    ("Unlicense", "The Unlicense"),
+    ("Zlib", "zlib License"),
+]
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(template, license, words) of each template; fixed values unless rows are given."""
-    rows = TEMPLATES if rows is None else rows
-    items = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(rows)])
-    return spark.range(1).select(F.inline(items)).select("template", "license", words(F.col("text")).alias("words"))
+def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None, titles: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(template, license, title, words) of each template; fixed values unless rows or titles are given."""
+    rows, titles = TEMPLATES if rows is None else rows, TITLES if titles is None else titles
+    both = [(name, text, False) for name, text in rows] + [(name, text, True) for name, text in titles]
+    items = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(title).alias("title"), F.lit(text).alias("text")) for i, (name, text, title) in enumerate(both)])
+    return spark.range(1).select(F.inline(items)).select("template", "license", "title", words(F.col("text")).alias("words"))
 
 
 def lines_of(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
@@ -71,26 +110,31 @@ def lines_of(files: DataFrame, id_col: str, path_col: str, text_col: str) -> Dat
 
 
 def units_near(lines: DataFrame, needed: list[str], id_col: str) -> DataFrame:
-    """(file_no, unit, words): blocks of BLOCKS lines around the lines with a needed word, each known by its first line, and
-    in a licence file the whole text as unit -1."""
+    """(file_no, unit, sure, words): blocks of BLOCKS lines around the lines with a needed word, each known by its first
+    line, and of a licence file the whole text and its title. sure: a block that is less than half of a licence file,
+    or a title, either of which has to match at SURE."""
     own = F.array(*map(F.lit, needed)).cast("array<string>")
     at = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, own), i)), lambda i: i.isNotNull())
     found = lines.select(id_col, "is_file", "lines", at.alias("at")).where(F.size("at") > 0)
+    all_words = F.when(F.col("is_file"), F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x)))
     first = F.explode(F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(*[F.greatest(i - b, F.lit(0)) for b in BACK]))))).alias("unit")
-    blocks = found.select(id_col, "lines", first).select(id_col, "lines", "unit", F.explode(F.array(*map(F.lit, BLOCKS))).alias("size"))
+    blocks = found.select(id_col, "lines", all_words.alias("all"), first).select(id_col, "lines", "all", "unit", F.explode(F.array(*map(F.lit, BLOCKS))).alias("size"))
     blocks = blocks.where((F.col("size") == 1) | (F.col("unit") + F.col("size") <= F.size("lines")))
-    blocks = blocks.select(id_col, "unit", F.flatten(F.slice("lines", F.col("unit") + 1, F.col("size"))).alias("words"))
-    whole = found.where("is_file").select(id_col, F.lit(-1).alias("unit"), F.flatten("lines").alias("words"))
-    return blocks.unionByName(whole).where(F.arrays_overlap("words", own))
+    blocks = blocks.select(id_col, "unit", "all", F.flatten(F.slice("lines", F.col("unit") + 1, F.col("size"))).alias("words"))
+    blocks = blocks.select(id_col, "unit", F.coalesce(F.size("words") * 2 < F.col("all"), F.lit(False)).alias("sure"), "words")
+    whole = found.where("is_file").select(id_col, F.lit(WHOLE).alias("unit"), F.lit(False).alias("sure"), F.flatten("lines").alias("words"))
+    named = lines.where("is_file").select(id_col, F.filter("lines", lambda x: F.size(x) > 0).alias("lines"))
+    title = named.select(id_col, F.explode(F.array(F.lit(1), F.lit(2))).alias("size"), "lines").select(id_col, F.lit(TITLE).alias("unit"), F.lit(True).alias("sure"), F.flatten(F.slice("lines", F.lit(1), F.col("size"))).alias("words"))
+    return blocks.unionByName(whole).where(F.arrays_overlap("words", own)).unionByName(title.where(F.size("words") > 0))
 
 
 def template_weights(texts: DataFrame, known: DataFrame) -> tuple[DataFrame, list[str], float]:
-    """(weights(template, license, word, idf, weight), the words of which a match must have one, idf of an unknown word).
+    """(weights(template, license, title, word, idf, weight), the words of which a match must have one, idf of an unknown word).
 
     idf counts the lines of all files. A template's words are taken from the
     rarest on until the others together weigh less than the threshold: by the
     Cauchy-Schwarz inequality a block without any of the words taken can't
-    reach it.
+    reach it. Titles are compared with titles alone, so they ask for no words.
     """
     spark = known.sparkSession
     vocabulary = [r[0] for r in known.select(F.explode("words")).distinct().sort("col").limit(MAX_TEMPLATE_WORDS + 1).collect()]
@@ -101,7 +145,7 @@ def template_weights(texts: DataFrame, known: DataFrame) -> tuple[DataFrame, lis
     counted = {r["word"]: r["n"] for r in lines.select(F.explode(F.concat(has, F.array(F.lit("\n")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     n = counted.get("\n", 0)
     idf = {w: math.log((n + 1) / (counted.get(w, 0) + 1)) + 1 for w in vocabulary}
-    tf = known.select("template", "license", F.explode("words").alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
+    tf = known.select("template", "license", "title", F.explode("words").alias("word")).groupBy("template", "license", "title", "word").agg(F.count("*").alias("tf"))
     rows = [r.asDict() | {"idf": idf[r["word"]], "w": r["tf"] * idf[r["word"]]} for r in tf.collect()]
     rows.sort(key=lambda r: (r["template"], -r["idf"], r["word"]))
     norms: dict[int, float] = {}
@@ -109,18 +153,19 @@ def template_weights(texts: DataFrame, known: DataFrame) -> tuple[DataFrame, lis
         norms[r["template"]] = norms.get(r["template"], 0.0) + r["w"] ** 2
     needed, left = set(), dict(norms)
     for r in rows:
-        if left[r["template"]] >= (THRESHOLD - 1e-9) ** 2 * norms[r["template"]]:
+        if not r["title"] and left[r["template"]] >= (THRESHOLD - 1e-9) ** 2 * norms[r["template"]]:
             needed.add(r["word"])
         left[r["template"]] -= r["w"] ** 2
-    weights = [F.struct(F.lit(r["template"]).alias("template"), F.lit(r["license"]).alias("license"), F.lit(r["word"]).alias("word"), F.lit(r["idf"]).alias("idf"), F.lit(r["w"] / norms[r["template"]] ** 0.5).alias("weight")) for r in rows]
+    weights = [F.struct(F.lit(r["template"]).alias("template"), F.lit(r["license"]).alias("license"), F.lit(r["title"]).alias("title"), F.lit(r["word"]).alias("word"), F.lit(r["idf"]).alias("idf"), F.lit(r["w"] / norms[r["template"]] ** 0.5).alias("weight")) for r in rows]
     table = spark.range(1).select(F.inline(F.array(*weights)))
     return table, sorted(needed), math.log(n + 1) + 1
 
 
 def best_matches(texts: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    """(id, license, score, unit): the best template of each file at cosine THRESHOLD or more.
+    """(id, license, score, unit): the best template of each file at cosine THRESHOLD or more, SURE where units_near says so.
 
-    Ties go to the license that sorts first, then the earliest line.
+    The title of a licence file goes before anything in it. Ties go to the
+    license that sorts first, then the earliest line.
     """
     weights, needed, unknown = template_weights(texts, known)
     near = stash(units_near(texts, needed, id_col).withColumn("u", F.monotonically_increasing_id()), "license-blocks")
@@ -129,10 +174,11 @@ def best_matches(texts: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     tf = tf.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     tf = stash(tf.select("u", "word", "w"), "license-words")
     norm = tf.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(F.broadcast(weights.select("template", "license", "word", "weight")), "word").groupBy("u", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, "u").select("u", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= THRESHOLD)
-    found = near.select("u", id_col, "unit").join(scored, "u")
-    best = F.struct((-F.col("score")).alias("minus"), "license", "unit")
+    dots = tf.join(F.broadcast(weights.select("template", "license", "title", "word", "weight")), "word").groupBy("u", "template", "license", "title").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norm, "u").select("u", "license", "title", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= THRESHOLD)
+    found = near.select("u", id_col, "unit", "sure").join(scored, "u")
+    found = found.where((F.col("title") == (F.col("unit") == TITLE)) & (~F.col("sure") | (F.col("score") >= SURE)))
+    best = F.struct((~F.col("title")).alias("inside"), (-F.col("score")).alias("minus"), "license", "unit")
     return found.groupBy(id_col).agg(F.min(best).alias("best")).select(id_col, F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"), F.col("best.unit").alias("unit"))
 
 
@@ -147,8 +193,9 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
 
     Every line of the whole text counts as a header, and so do the blocks of
     BLOCKS lines around a line with a telling word of a template, so that a
-    wrapped header is seen whole; the whole text too in a file named as
-    licence files are. A file without a match of its own takes
+    wrapped header is seen whole. In a file named as licence files are the
+    whole text counts too, a passage of less than half of it only at SURE, and
+    before either the title in its first lines. A file without a match of its own takes
     the license of the nearest directory above it that holds a licence file
     with a match; of several the best score, then the license that sorts
     first. Words are runs of ASCII letters, digits and other characters above
@@ -170,7 +217,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     nearest = above.groupBy("_path").agg(F.min_by(F.struct("dir", "of_dir"), "up").alias("from"))
     out = named.join(nearest, "_path", "left")
     use = F.col("license").isNull() & F.col("from").isNotNull()
-    how = F.when(F.col("unit") >= 0, "header").when(F.col("unit") == -1, "file").when(use, "inherited").otherwise("none")
+    how = F.when(F.col("unit") >= 0, "header").when(F.col("unit") < 0, "file").when(use, "inherited").otherwise("none")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_path").alias("path"),

@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -18,7 +19,7 @@ def brute_licenses(texts, known):
     lines = {d: [words(x) for x in t.split("\n")] for d, t in texts.items()}
     all_lines = [x for own in lines.values() for x in own if x]
     has = Counter(w for x in all_lines for w in set(x))
-    vocabulary = {w for _, t in known for w in words(t)}
+    vocabulary = {w for _, t in [*known, *license_scan.TITLES] for w in words(t)}
     def weights(ws):
         return {w: c * (math.log((len(all_lines) + 1) / ((has[w] if w in vocabulary else 0) + 1)) + 1) for w, c in Counter(ws).items()}
 
@@ -54,6 +55,42 @@ def test_scores_equal_brute_force(spark):
     assert sum(got[i][0] == name for i, (name, _) in enumerate(known)) >= len(known) - 2
 
 
+#: Titles as their texts begin, laid out as they are, over text that holds the headers of other licences.
+FIRST_LINES = {
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.",
+    "GFDL-1.2": "                GNU Free Documentation License\n                  Version 1.2, November 2002\n",
+    "GPL-1.0": "\n\n                    GNU GENERAL PUBLIC LICENSE\n                     Version 1, February 1989\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n",
+    "LGPL-2.0": "                  GNU LIBRARY GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n",
+    "MPL-1.1": "                          MOZILLA PUBLIC LICENSE\n                                Version 1.1\n                              ---------------",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n",
+    "Artistic-1.0": "\t\t\t The \"Artistic License\"\n\t\t\t\tPreamble\n",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n",
+    None: "My Own Licence For Things\nFifth edition\n",
+}
+COMMON = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_titles_go_before_passages(spark):
+    clause = "The licensee agrees to section {0} of these terms, under which copies of the covered work are conveyed on paper or otherwise.\n"
+    passage = "permitted for the purposes of this document and any work that you license under version three of the general terms of it\n"
+    rows = [(k, f"d{k}/LICENSE", first + "\n" + "".join(clause.format(j) for j in range(60)) + passage) for k, first in enumerate(FIRST_LINES.values())]
+    rows += [(100 + k, f"d{k}/file.txt", "nothing of the kind") for k in range(len(rows))]
+    rows.append((200, "own/LICENSE", "Fifth edition of it\n" + "".join(clause.format(j) for j in range(60)) + dict(license_scan.TEMPLATES)["GPL-2.0"]))
+    got = {r.doc_id: (r.license, r.how) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(FIRST_LINES):
+        assert got[k] == ((name, "file") if name else (None, "none")), name
+        assert got[100 + k] == ((name, "inherited") if name else (None, "none"))
+    assert got[200] == ("GPL-2.0", "header")  # a passage that is surely a header
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_usual_licence_texts(spark):
+    texts = [(k, f"{f}/LICENSE", open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for k, f in enumerate(COMMON)]
+    got = {r.path.split("/")[0]: (r.license, r.how) for r in scan_licenses(spark.createDataFrame(texts, "doc_id long, path string, text string")).collect()}
+    assert got == {f: (name, "file") for f, name in COMMON.items()}
+
+
 def test_licenses(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
