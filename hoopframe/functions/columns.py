@@ -109,6 +109,18 @@ SUBJECT_PATTERNS = [
     r"(?:who is|who was|tell me about|introduce|profile of|bio(?:graphy)? (?:of|for))\s+(.+)",
     r"(?:(?:i (?:want|would like)|give me|show me|can you (?:give|show) me)\s+)?(?:some |more )?(?:info(?:rmation)?|a biography|a bio|a profile|background)(?:\s+(?:about|on|for|of))?\s+(.+)",
 ]
+# What is cleaned out of prose, in order.
+PROSE_CLEANING = [("<[^>]*>", ""), (r"(?i)\bHe(?:'s| is) still playing there\.?", ""), (r"(?<=[.!?])(?=[A-Z])", " "), (r"\s+", " ")]
+# Verbs that sentences start with, and other starts that are rewritten.
+BARE_VERB = r"^(Grew|Signed|Moved|Won|Played)\b"
+SENTENCE_REWRITES = [(r"^He signed for the (.+?) season by (.+?)\.$", r"He joined $2 for the $1 season."), (r"^Named\b", "He was named")]
+# Names of phases and of groups of games.
+PHASES = {"regular season": "Regular season", "playoffs": "Playoffs", "play offs": "Playoffs", "final four": "Final Four", "play in": "Play-in", "play in showdown": "Play-in"}
+FINALS = ["championship game", "final", "finals"]
+THIRD_PLACES = ["third place game", "third place", "3rd place game", "3rd place"]
+# Names of periods in feeds.
+FEED_PERIODS = {"FIRSTQUARTER": "1st", "SECONDQUARTER": "2nd", "THIRDQUARTER": "3rd", "FORTHQUARTER": "4th"}
+# Words that a subject doesn't have.
 SUBJECT_STOPS = r"\b(points?|assists?|rebounds?|scored|most|best|team|season|game|shots?|percentage)\b"
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçĆćČčĎďÈÉÊËĒĖĘĚèéêëēėęěĢģÌÍÎÏĪĮìíîïīįĶķĻļÑñŃńŅņŇňÒÓÔÕÖŐòóôõöőŔŕŘřŚśŠšŞşŤťÙÚÛÜŪŮŰŲùúûüūůűųÝýÿŹźŻżŽžĞğ"
 PLAIN = "AAAAAAaaaaaaCcCcCcDdEEEEEEEEeeeeeeeeGgIIIIIIiiiiiiKkLlNnNnNnNnOOOOOOooooooRrRrSsSsSsTtUUUUUUUUuuuuuuuuYyyZzZzZzGg"
@@ -170,8 +182,7 @@ def default_clock(code: Column | str, period: Column | str) -> Column:
 def normalize_period(period: Column | str) -> Column:
     """1, Q1, 1ST → 1st; OT, OT1, 1OT → OT; OT2, 2OT → 2OT; feed names too; anything else in lower case."""
     q = F.upper(F.trim(F.coalesce(_c(period), F.lit(""))))
-    names = {"FIRSTQUARTER": "1st", "SECONDQUARTER": "2nd", "THIRDQUARTER": "3rd", "FORTHQUARTER": "4th"}
-    names |= {f"{a}{n}{b}": f"{n}{s}" for n, s in ((1, "st"), (2, "nd"), (3, "rd"), (4, "th")) for a, b in (("", ""), ("Q", ""), ("", s.upper()))}
+    names = FEED_PERIODS | {f"{a}{n}{b}": f"{n}{s}" for n, s in ((1, "st"), (2, "nd"), (3, "rd"), (4, "th")) for a, b in (("", ""), ("Q", ""), ("", s.upper()))}
     n = F.regexp_extract(q, r"^(?:OT|EXTRATIME)?(\d*)(?:OT)?$", 1)
     over = q.rlike(r"^(?:OT\d*|\d+OT|EXTRATIME\d*)$")
     return _lookup(names, q, F.when(over, F.when(n.isin("", "1"), "OT").otherwise(F.concat(n, F.lit("OT")))).otherwise(F.lower(q)))
@@ -322,10 +333,9 @@ def game_stage(phase: Column | str, group: Column | str) -> Column:
         return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
     g, p = plain(_c(group)), plain(_c(phase))
-    phases = {"regular season": "Regular season", "playoffs": "Playoffs", "play offs": "Playoffs", "final four": "Final Four", "play in": "Play-in", "play in showdown": "Play-in"}
     return _first(
-        [(g.isin("championship game", "final", "finals"), "Final"), (g.contains("semi"), "Semi-final"), (g.isin("third place game", "third place", "3rd place game", "3rd place"), "Third-place game"), (g.contains("play in"), "Play-in")],
-        _lookup(phases, p, F.trim(F.coalesce(_c(phase), F.lit("")))),
+        [(g.isin(FINALS), "Final"), (g.contains("semi"), "Semi-final"), (g.isin(THIRD_PLACES), "Third-place game"), (g.contains("play in"), "Play-in")],
+        _lookup(PHASES, p, F.trim(F.coalesce(_c(phase), F.lit("")))),
     )
 
 
@@ -352,18 +362,20 @@ def display_name(name: Column | str) -> Column:
 
 def clean_prose(text: Column | str) -> Column:
     """Tags and stale sentences out, a blank after full stops, single blanks."""
-    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "<[^>]*>", "")
-    t = F.regexp_replace(t, r"(?i)\bHe(?:'s| is) still playing there\.?", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?<=[.!?])(?=[A-Z])", " "), r"\s+", " "))
+    t = F.coalesce(_c(text), F.lit(""))
+    for pattern, put in PROSE_CLEANING:
+        t = F.regexp_replace(t, pattern, put)
+    return F.trim(t)
 
 
 def first_sentences(text: Column | str, n: int) -> Column:
     """The first n sentences; those that start with a bare verb get their subject."""
     def rewrite(s: Column) -> Column:
-        verb = F.regexp_extract(s, r"^(Grew|Signed|Moved|Won|Played)\b", 1)
+        verb = F.regexp_extract(s, BARE_VERB, 1)
         s = F.when(verb != "", F.concat(F.lit("He "), F.lower(verb), F.substring(s, F.length(verb) + 1, F.length(s)))).otherwise(s)
-        s = F.regexp_replace(s, r"^He signed for the (.+?) season by (.+?)\.$", r"He joined $2 for the $1 season.")
-        return F.regexp_replace(s, r"^Named\b", "He was named")
+        for pattern, put in SENTENCE_REWRITES:
+            s = F.regexp_replace(s, pattern, put)
+        return s
 
     return F.array_join(F.transform(F.slice(F.split(_c(text), r"(?<=[.!?])\s+"), 1, n), rewrite), " ")
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schema
 from ..functions.columns import clamp_clock, clock_seconds, default_clock, normalize_period, to_bool
@@ -92,15 +92,39 @@ def read_video_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 
 def read_ground_truth(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Annotations with status annotated, pending or excluded; negative times and repeated keys are an error."""
-    t = spark.read.schema(schema.GROUND_TRUTH).csv(paths, header=True)
+    """Annotations of CSV files with a header: the columns of schema.GROUND_TRUTH, others as text, and status.
+
+    status is annotated, excluded or pending, by annotation_status; a missing
+    category is other. All files have the same columns. A missing column is an
+    error, and so is, of an annotated row, a key or time that isn't a number,
+    a negative time or a key that another annotated row has.
+    """
+    wanted = StructType.fromDDL(schema.GROUND_TRUTH)
+    head = spark.read.csv(paths, header=True)
+    missing = sorted({f.name for f in wanted} - set(head.columns))
+    if missing:
+        raise ValueError(f"ground truth lacks the columns {', '.join(missing)}")
+    # with the columns given, a file whose header differs is an error
+    text = StructType([StructField(c, StringType()) for c in head.columns])
+    t = spark.read.csv(paths, header=True, schema=text, enforceSchema=False)
     status = F.lower(F.trim(F.coalesce("annotation_status", F.lit(""))))
-    t = t.withColumn("status", F.when(status.isin("annotated", "done", "complete"), "annotated").when(status.isin("excluded", "skip"), "excluded").otherwise("pending"))
+    t = t.withColumn("status", F.when(status.isin(schema.ANNOTATED), "annotated").when(status.isin(schema.EXCLUDED), "excluded").otherwise("pending"))
+    typed = {f.name: F.trim(f.name) if f.dataType == StringType() else F.trim(f.name).try_cast(f.dataType) for f in wanted}
+    typed["action_category"] = F.coalesce(F.nullif(F.trim("action_category"), F.lit("")), F.lit("other"))
+    t = t.withColumns(typed)
     keys = ["season_code", "game_code", "original_event_id"]
-    same = F.count("*").over(Window.partitionBy(*keys))
+    counts = F.col("status") == "annotated"
+    same = F.count_if(counts).over(Window.partitionBy(*keys))
     t = t.withColumn("_n", same)
-    ok = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.concat_ws("_", *keys)))).when(F.col("ground_truth_video_seconds") < 0, F.raise_error(F.concat(F.lit("negative time at "), F.concat_ws("_", *keys)))).otherwise(F.col("ground_truth_video_seconds"))
-    return t.withColumn("ground_truth_video_seconds", ok).drop("_n")
+    seconds, name = F.col("ground_truth_video_seconds"), F.concat_ws("_", *keys)
+
+    def fails(test: Column, text: str) -> tuple[Column, Column]:
+        return counts & test, F.raise_error(F.concat(F.lit(f"{text} "), name))
+
+    ok = F.when(F.lit(False), F.lit(0.0))
+    for test, error in (fails(F.col("original_event_id").isNull() | seconds.isNull() | F.isnan(seconds), "no number at"), fails(seconds < 0, "negative time at"), fails(F.col("_n") > 1, "repeated key")):
+        ok = ok.when(test, error)
+    return t.withColumn("ground_truth_video_seconds", ok.otherwise(seconds)).drop("_n")
 
 
 def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from hoopframe.operators import links, lineups, possessions
 from hoopframe.sources import readers, writers
 
@@ -86,3 +88,37 @@ def test_csv_is_safe(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", 2), ("ok", -3)], "a string, b int")
     writers.export_csv(df, f"{tmp_path}/out")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect() if "a" not in r.value.split(",")[0]) == ['"\'=1+1","2"', '"ok","-3"']
+
+
+HEADER = "season_code,game_code,original_event_id,action_category,annotation_status,ground_truth_video_seconds,note"
+
+
+def truth(spark, folder, *lines, header=HEADER, name="t.csv"):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join([header, *lines]) + "\n")
+    return readers.read_ground_truth(spark, str(folder))
+
+
+def test_ground_truth_rows(spark, tmp_path):
+    rows = truth(spark, tmp_path / "a", "E1,7,1,shot,Completed,3.5,x", "E1,7,1,,skip me,,", "E1,7,2,foul,EXCLUDE,-1,", "E1,7,x,foul,,oops,")
+    got = [(r.status, r.original_event_id, r.action_category, r.ground_truth_video_seconds, r.note) for r in rows.collect() if r.status == "annotated"]
+    assert got == [("annotated", 1, "shot", 3.5, "x")] and rows.columns == [*HEADER.split(","), "status"]
+    assert sorted(r.status for r in rows.collect()) == ["annotated", "excluded", "pending", "pending"]
+    assert {r.action_category for r in rows.where("status = 'pending'").collect()} == {"other", "foul"}
+
+
+@pytest.mark.parametrize(("lines", "problem"), [
+    (["E1,7,1,shot,annotated,-0.5,"], "negative time at E1_7_1"), (["E1,7,1,shot,annotated,1,", "E1,7,1,shot,complete,2,"], "repeated key E1_7_1"),
+    (["E1,7,1,shot,annotated,soon,"], "no number at E1_7_1"), (["E1,7,one,shot,annotated,1,"], "no number at E1_7"),
+])
+def test_ground_truth_errors(spark, tmp_path, lines, problem):
+    with pytest.raises(Exception, match=problem):
+        truth(spark, tmp_path / "b", *lines).collect()
+
+
+def test_ground_truth_columns(spark, tmp_path):
+    with pytest.raises(ValueError, match="lacks the columns action_category, annotation_status"):
+        truth(spark, tmp_path / "c", header="season_code,game_code,original_event_id,ground_truth_video_seconds")
+    truth(spark, tmp_path / "d", "E1,7,1,shot,annotated,1,")
+    with pytest.raises(Exception, match="(?i)header"):
+        truth(spark, tmp_path / "d", "E1,8,shot,1,annotated,1,", header="season_code,game_code,action_category,original_event_id,annotation_status,ground_truth_video_seconds,note", name="u.csv").collect()
