@@ -49,7 +49,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, packed, and whether decoding them gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode_ids(encode_texts(docs, path, public_tokenizers.PATTERN), path)
+    # written between, so that no task holds an encoding and a decoding worker at once
+    coded = decode_ids(stash(encode_texts(docs, path, public_tokenizers.PATTERN), "token-ids"), path)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
