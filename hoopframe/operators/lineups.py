@@ -103,27 +103,45 @@ def opposing(acts: DataFrame, one: str, other: str) -> DataFrame:
     return acts.where(split(one, other) | split(other, one))
 
 
-def _members(acts: DataFrame, scope: str) -> DataFrame:
-    """(action_id, member) of the scope: ten, own, teammates (own without the actor) or opponents."""
+def _scope(scope: str) -> Column:
+    """Ids of the scope: ten, own, teammates (own without the actor) or opponents."""
     own_home = F.col("team_id") == F.col("home_team")
     own, other = F.when(own_home, F.col("home_lineup")).otherwise(F.col("road_lineup")), F.when(own_home, F.col("road_lineup")).otherwise(F.col("home_lineup"))
-    ids = {"ten": F.concat("home_lineup", "road_lineup"), "own": own, "teammates": F.array_except(own, F.array("player_id")), "opponents": other}[scope]
-    return acts.select("action_id", F.explode(ids).alias("member"))
+    return {"ten": F.concat("home_lineup", "road_lineup"), "own": own, "teammates": F.array_except(own, F.array("player_id")), "opponents": other}[scope]
+
+
+def _members(acts: DataFrame, scope: str) -> DataFrame:
+    """(action_id, member) of the scope."""
+    return acts.select("action_id", F.explode(_scope(scope)).alias("member"))
+
+
+def _with_roster(acts: DataFrame, players: DataFrame, how: str, **lists: Column) -> DataFrame:
+    """acts with lists over the members of their game's lineups, which are joined with players(member, ...) once a game and not once an action."""
+    seen = acts.select("game_id", F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("home_lineup", "road_lineup")])).alias("member")).distinct()
+    rosters = seen.join(players, "member", how).groupBy("game_id").agg(*[F.collect_list(c).alias(name) for name, c in lists.items()])
+    return acts.join(rosters, "game_id")
+
+
+def _whole(ids: Column) -> Column:
+    return (F.size(ids) > 0) & (F.size(F.array_compact(ids)) == F.size(ids))
 
 
 def all_members(acts: DataFrame, players: DataFrame, scope: str, test: Column) -> DataFrame:
     """Actions of which every member of the scope passes test over the columns of players; an unknown value fails, an empty scope too."""
     known = players.select(F.col("player_id").alias("member"), F.coalesce(test, F.lit(False)).alias("ok"))
-    judged = _members(acts, scope).join(known, "member", "left").groupBy("action_id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("all_ok"))
-    return acts.join(judged.where("all_ok").select("action_id"), "action_id", "left_semi")
+    judged = _with_roster(acts, known, "left", _failed=F.when(~F.coalesce("ok", F.lit(False)), F.col("member")))
+    ids = _scope(scope)
+    return judged.where(_whole(ids) & ~F.arrays_overlap(ids, "_failed")).select(acts.columns)
 
 
 def count_members(acts: DataFrame, players: DataFrame, scope: str, test: Column, k: int, exactly: bool = True) -> DataFrame:
     """Actions with k members (or at least k) that pass the test, all values of the scope being known."""
     known = players.select(F.col("player_id").alias("member"), test.alias("ok"))
-    judged = _members(acts, scope).join(known, "member", "left").groupBy("action_id").agg(F.count_if(F.col("ok")).alias("n"), F.count_if(F.col("ok").isNull()).alias("unknown"))
-    enough = F.col("n") == k if exactly else F.col("n") >= k
-    return acts.join(judged.where(enough & (F.col("unknown") == 0)).select("action_id"), "action_id", "left_semi")
+    judged = _with_roster(acts, known, "left", _passed=F.when(F.col("ok"), F.col("member")), _unknown=F.when(F.col("ok").isNull(), F.col("member")))
+    ids = _scope(scope)
+    sides = [F.col("home_lineup"), F.col("road_lineup")] if scope == "ten" else [ids]  # a lineup has a player once
+    n = sum((F.size(F.array_intersect(s, "_passed")) for s in sides), F.lit(0))
+    return judged.where(_whole(ids) & ~F.arrays_overlap(ids, "_unknown") & (n == k if exactly else n >= k)).select(acts.columns)
 
 
 def starters_from_actions(acts: DataFrame) -> DataFrame:
@@ -183,9 +201,11 @@ def top_lineups(acts: DataFrame, n: int = 10) -> DataFrame:
 def mean_height_on_court(acts: DataFrame, players: DataFrame) -> DataFrame:
     """(action_id, mean_height, names): in metres to the centimetre, of the distinct players on court with a known height; names sorted."""
     known = players.where("height is not null").select(F.col("player_id").alias("member"), "name", height_cm("height").cast("long").alias("cm"))
-    rows = _members(acts, "ten").distinct().join(known, "member")
-    total, n = F.sum("cm"), F.count("*")
-    return rows.groupBy("action_id").agg((F.floor((2 * total + n) / (2 * n)) / 100.0).alias("mean_height"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+    rows = _with_roster(acts, known, "inner", _known=F.struct("member", "name", "cm"))
+    there = F.filter("_known", lambda m: F.array_contains("home_lineup", m["member"]) | F.array_contains("road_lineup", m["member"]))
+    rows = rows.where("home_lineup is not null and road_lineup is not null").select("action_id", there.alias("_there")).where("size(_there) > 0")
+    total, n = F.aggregate("_there.cm", F.lit(0).cast("long"), lambda a, cm: a + cm), F.size("_there")
+    return rows.select("action_id", (F.floor((2 * total + n) / (2 * n)) / 100.0).alias("mean_height"), F.array_join(F.array_sort(F.array_distinct(F.array_compact("_there.name"))), ", ").alias("names"))
 
 
 def roster_seen(acts: DataFrame) -> DataFrame:
