@@ -127,16 +127,39 @@ def read_ground_truth(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return t.withColumn("ground_truth_video_seconds", ok.otherwise(seconds)).drop("_n")
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """(value, s, p, o, o_kind, datatype) of a text column value, one row per line that isn't empty; of a malformed line only value isn't null.
+
+    One match of the pattern says whether a line is well-formed; its parts are
+    then cut at angle brackets and quotation marks. Only literals with further
+    quotation marks need the pattern's groups.
+    """
+    lines = lines.where(F.length(F.trim("value")) > 0).select("value", F.trim("value").alias("_t"))
+    lines = lines.select("value", F.when(F.col("_t").rlike(schema.TRIPLE), F.col("_t")).alias("_t"))
+
+    def after(text: Column, mark: str) -> Column:
+        return F.substring(text, F.locate(mark, text) + 1, F.length(text))
+
+    # the third part of a split at the first two brackets is the object with what follows it
+    cut = lines.select("value", "_t", F.split("_t", ">", 3).alias("_cut")).select("value", "_t", F.get("_cut", F.lit(0)).alias("_s"), F.get("_cut", F.lit(1)).alias("_p"), F.get("_cut", F.lit(2)).alias("_o"))
+    bracket, quote = F.locate("<", F.col("_o")), F.locate('"', F.col("_o"))
+    iri = (bracket > 0) & ((quote == 0) | (bracket < quote))
+    plain = F.length("_o") - F.length(F.replace("_o", F.lit('"'), F.lit(""))) == 2
+    body = F.when(plain, F.substring_index(F.substring_index("_o", '"', 2), '"', -1)).otherwise(F.regexp_extract("_t", schema.TRIPLE, 4))
+    tail = F.substring_index("_o", '"', -1)
+    datatype = F.when(plain, F.when(F.locate("<", tail) > 0, F.substring_index(after(tail, "<"), ">", 1))).otherwise(F.regexp_extract("_t", schema.TRIPLE, 5))
+    told = F.when(F.locate("\\", body) > 0, F.replace(F.replace(F.replace(body, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))).otherwise(body)
+    return cut.select(
+        "value", F.substring("_s", 2, 1 << 30).alias("s"), after(F.col("_p"), "<").alias("p"),
+        F.when(iri, F.substring_index(after(F.col("_o"), "<"), ">", 1)).otherwise(told).alias("o"), F.when(iri, "iri").when(F.col("_t").isNotNull(), "literal").alias("o_kind"), F.nullif(F.when(~iri, datatype), F.lit("")).alias("datatype"),
+    )
+
+
 def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(triples, malformed) of a text column value: s, p, o, o_kind, datatype of well-formed lines, and the other lines that
     aren't empty. A language tag is left out."""
-    lines = lines.where(F.length(F.trim("value")) > 0)
-    good = F.trim("value").rlike(schema.TRIPLE)
-    part = [F.regexp_extract(F.trim("value"), schema.TRIPLE, i) for i in range(1, 6)]
-    iri = part[2] != ""
-    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(part[3], r'\\"', '"'), r"\\n", "\n"), r"\\\\", r"\\")
-    t = lines.where(good).select(part[0].alias("s"), part[1].alias("p"), F.when(iri, part[2]).otherwise(literal).alias("o"), F.when(iri, "iri").otherwise("literal").alias("o_kind"), F.nullif(part[4], F.lit("")).alias("datatype"))
-    return t, lines.where(~good)
+    parsed = parse_lines(lines)
+    return parsed.where("o_kind is not null").drop("value"), parsed.where("o_kind is null").select("value")
 
 
 def read_ntriples(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:

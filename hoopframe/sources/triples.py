@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import BASE_URI, action_uri, decimal_text, entity_uri, game_uri, lineup_uri
-from .writers import RDF_TYPE, iri, literal
+from .writers import RDF_TYPE, TYPES, iri, literal
 
 # The terms of an action in the vocabulary, the column that each comes from, and its kind of value.
 ACTION_TERMS = [
@@ -39,14 +39,14 @@ def _line(s: Column, p: Column, o: Column) -> Column:
     return F.concat(iri(s), F.lit(" "), iri(p), F.lit(" "), o, F.lit(" ."))
 
 
-def _term(column: str, kind: str, base: str) -> Column:
+def _term(column: str, kind: str, base: str) -> tuple[Column, str]:
+    """The text of a value, and "iri" or what follows the literal."""
     if kind == "lineup":
-        uri = lineup_uri(F.col(column.replace("lineup", "team")), column, base)
-        return F.when(uri != "", iri(uri))
+        return F.nullif(lineup_uri(F.col(column.replace("lineup", "team")), column, base), F.lit("")), "iri"
     if kind in ("teams", "players", "coaches"):
-        return iri(entity_uri(kind, column, base))
+        return entity_uri(kind, column, base), "iri"
     whole = F.col(column).cast("long") if kind == "integer" else F.col(column)
-    return literal(whole, None if kind == "string" else kind)
+    return whole.cast("string"), "" if kind == "string" else f"^^<{TYPES}{kind}>"
 
 
 def action_lines(acts: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
@@ -57,16 +57,18 @@ def action_lines(acts: DataFrame, vocabulary: str, base: str = BASE_URI) -> Data
     """
     game = game_uri("season_code", "game_code", base)
     own = acts.withColumns({"_game": game, "_s": action_uri(game, "original_event_id")})
-    pairs = [F.struct(F.lit(RDF_TYPE).alias("p"), iri(F.concat(F.lit(vocabulary), "action_class")).alias("o"))]
-    pairs += [F.struct(F.lit(vocabulary + term).alias("p"), _term(c, kind, base).alias("o")) for term, c, kind in ACTION_TERMS if c in acts.columns]
-    told = own.select(*KEYS, "_s", F.inline(F.array(*pairs))).where("o is not null").select(*KEYS, _line(F.col("_s"), F.col("p"), F.col("o")).alias("line"))
-    inside = own.select(*KEYS, _line(F.col("_game"), F.lit(vocabulary + HAS_ACTION), iri(F.col("_s"))).alias("line"))
+    told_of = [("_game", HAS_ACTION, (F.col("_s"), "iri")), ("_s", None, (F.concat(F.lit(vocabulary), "action_class"), "iri"))]
+    told_of += [("_s", term, _term(c, kind, base)) for term, c, kind in ACTION_TERMS if c in acts.columns]
+    pairs = [F.struct(F.col(s).alias("s"), F.lit(vocabulary + term if term else RDF_TYPE).alias("p"), value.alias("v"), F.lit(kind).alias("kind")) for s, term, (value, kind) in told_of]
+    # written after they are stacked: code that writes each of the terms grows too long to be compiled
+    o = F.when(F.col("kind") == "iri", iri(F.col("v"))).otherwise(F.concat(literal(F.col("v")), "kind"))
+    told = own.select(*KEYS, F.inline(F.array(*pairs))).where("v is not null").select(*KEYS, _line(F.col("s"), F.col("p"), o).alias("line"))
     ends = [F.struct(F.lit(vocabulary + term).alias("p"), F.col(c).alias("other")) for term, c in LINK_TERMS.items() if c in acts.columns]
     if not ends:
-        return inside.unionByName(told)
+        return told
     at = own.select(F.col("action_id").alias("other"), F.col("_s").alias("o"))
     linked = own.select(*KEYS, "_s", F.inline(F.array(*ends))).where("other is not null").join(at, "other").select(*KEYS, _line(F.col("_s"), F.col("p"), iri(F.col("o"))).alias("line"))
-    return inside.unionByName(told).unionByName(linked)
+    return told.unionByName(linked)
 
 
 def video_lines(videos: DataFrame, matches: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
@@ -108,36 +110,37 @@ def video_lines(videos: DataFrame, matches: DataFrame, vocabulary: str, base: st
 PROBLEMS = ["malformed", "duplicate", "missing link", "unexpected link", "missing type", "wrong type", "unexpected type", "missing sequence"]
 
 
-def check_lines(triples: DataFrame, malformed: DataFrame, acts: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
-    """(game, problem, n): faults of triples (s, p, o, o_kind, datatype) as an export of acts; game is a URI, null for malformed lines.
+def check_parsed(parsed: DataFrame, acts: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
+    """(game, problem, n): faults of parse_lines() (s, p, o, o_kind, datatype) as an export of acts; game is a URI, null for malformed lines.
 
     malformed: lines that are no triples; duplicate: beyond the first of each
     triple; links of a game to actions that are missing or to others; actions
     without a type, with another type only (wrong) and types beyond the right
     one (unexpected; a wrong type is one too); actions without a sequence.
 
-    Actions and triples meet in one union, with one aggregate per game and
+    The lines are read once. Actions and triples meet in one union, with one aggregate per game and
     action; a game's triples never have to be in one place.
     """
     game = game_uri("season_code", "game_code", base)
-    none = F.lit(None).cast("string")
     want = acts.select(game.alias("game"), action_uri(game, "original_event_id").alias("action"), F.lit("want").alias("tag"), F.concat(F.lit(vocabulary), "action_class").alias("value"))
-    once = triples.groupBy("s", "p", "o", "o_kind", "datatype").agg(F.count("*").alias("copies"))
+    once = parsed.groupBy("s", "p", "o", "o_kind", "datatype").agg(F.count("*").alias("copies"))
     of = F.substring_index("s", "#", 1)
+    bad = F.col("o_kind").isNull()
     is_link = (F.col("p") == vocabulary + HAS_ACTION) & (F.col("o_kind") == "iri")
     tag = F.when(is_link, F.lit("link")).when((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri"), F.lit("type")).when(F.col("p") == vocabulary + SEQUENCE, F.lit("sequence"))
-    said = once.select(of.alias("game"), F.when(is_link, F.col("o")).otherwise(F.col("s")).alias("action"), tag.alias("tag"), F.col("o").alias("value"), (F.col("copies") - 1).alias("again"))
-    both = want.withColumn("again", F.lit(0).cast("long")).unionByName(said)
+    said = once.select(of.alias("game"), F.when(is_link, F.col("o")).otherwise(F.col("s")).alias("action"), tag.alias("tag"), F.col("o").alias("value"), F.when(bad, 0).otherwise(F.col("copies") - 1).alias("again"), F.when(bad, F.col("copies")).otherwise(0).alias("malformed"))
+    both = want.withColumns({c: F.lit(0).cast("long") for c in ("again", "malformed")}).unionByName(said)
 
     def any_(name: str) -> Column:
         return F.coalesce(F.max(F.col("tag") == name), F.lit(False))
 
     each = both.groupBy("game", "action").agg(
         any_("want").alias("wanted"), any_("link").alias("linked"), any_("sequence").alias("sequenced"), F.max(F.when(F.col("tag") == "want", F.col("value"))).alias("right"),
-        F.collect_set(F.when(F.col("tag") == "type", F.col("value"))).alias("types"), F.sum("again").alias("again"),
+        F.collect_set(F.when(F.col("tag") == "type", F.col("value"))).alias("types"), F.sum("again").alias("again"), F.sum("malformed").alias("malformed"),
     )
     wanted, typed, right = F.col("wanted"), F.size("types") > 0, F.array_contains("types", F.col("right"))
     counts = {
+        "malformed": F.col("malformed"),
         "duplicate": F.col("again"),
         "missing link": (wanted & ~F.col("linked")).cast("long"),
         "unexpected link": (~wanted & F.col("linked")).cast("long"),
@@ -148,4 +151,9 @@ def check_lines(triples: DataFrame, malformed: DataFrame, acts: DataFrame, vocab
     }
     per_game = each.groupBy("game").agg(*[F.sum(v).alias(k) for k, v in counts.items()])
     told = per_game.select("game", F.inline(F.array(*[F.struct(F.lit(k).alias("problem"), F.col(f"`{k}`").alias("n")) for k in counts])))
-    return told.unionByName(malformed.agg(F.count("*").alias("n")).select(none.alias("game"), F.lit("malformed").alias("problem"), "n")).where("n > 0")
+    return told.where("n > 0")
+
+
+def check_lines(triples: DataFrame, malformed: DataFrame, acts: DataFrame, vocabulary: str, base: str = BASE_URI) -> DataFrame:
+    """check_parsed() of well-formed and malformed lines that were told apart before."""
+    return check_parsed(triples.unionByName(malformed.select(*[F.lit(None).cast("string").alias(c) for c in triples.columns])), acts, vocabulary, base)
