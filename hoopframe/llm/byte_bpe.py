@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import read, text_or_empty
 
 CACHE_ENTRIES = 400_000  # pre-tokens that a Python worker remembers before it starts afresh
+ROWS = 256  # texts of a batch that are held as Python objects at a time
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -148,7 +149,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(*shared.value)
         for texts in batches:
-            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
+            for at in range(0, len(texts), ROWS):
+                yield pd.Series([encoder.encode(t) for t in texts.iloc[at : at + ROWS]], dtype=object)
 
     return docs.withColumn(out, encode(text_or_empty(text_col)))
 
@@ -158,7 +160,8 @@ def _decoder(shared: Broadcast):
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = shared.value
         for packed in batches:
-            yield pd.Series([None if p is None else b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], dtype=object)
+            for at in range(0, len(packed), ROWS):
+                yield pd.Series([None if p is None else b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed.iloc[at : at + ROWS]], dtype=object)
 
     return decode
 
