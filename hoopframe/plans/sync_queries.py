@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import candidates, evaluation, links, lineups, possessions, quality, reports, scope, sync, timeline
+from ..sources.store import stash
 from . import views
 from .queries import FOULS_SQL, POSSESSIONS_SQL, SIDES_SQL, register, simple
 from .views import ACTIONS_SQL, LINEUPS_SQL, OBSERVATIONS_SQL, PLAYERS_SQL, with_
@@ -421,7 +422,7 @@ def _named_on_court(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("with_lineup", with_(ACTIONS_SQL, LINEUPS_SQL) + SIDES_SQL + " SELECT DISTINCT action_id FROM sides WHERE lineup = (SELECT max(lineup) FROM sides WHERE len(string_split(lineup, '_')) = 5)")
 def _with_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.actions(spark, sf_dir)
-    a = lineups.lineup_at_action(a, views.starters(a))
+    a = stash(lineups.lineup_at_action(a, views.starters(a)).select("action_id", "home_team", "road_team", "home_lineup", "road_lineup"), "lineups")
     most = lineups.either_side(a).where(F.size("lineup") == 5).agg(F.max(F.array_join("lineup", "_"))).first()[0]
     return lineups.with_lineup(a, (most or "").split("_")).select("action_id")
 

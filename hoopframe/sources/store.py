@@ -9,6 +9,7 @@ partition by partition. One writer at a time.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -28,6 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="hoopframe-"))
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: what is asked of it more than once is made once."""
+    path = f"{scratch_dir(df.sparkSession)}/hoopframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at path; None if there is none."""
     try:
