@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_name
+from ..sources.store import stash
 from .reports import ranked
 
 # Suffixes of names that don't count, and the order of roles.
@@ -138,6 +139,7 @@ def multiple_choice(answers: DataFrame, players: DataFrame, n: int, seed: int =
     ring = players.select("player_id", "name", normalize_name("name").alias("plain"), guess_keys(F.col("name")).alias("keys"), (seeded(F.col("player_id"), seed) % parts).alias("part"), seeded(F.col("player_id"), seed + 1).alias("order"))
     own = players.select(F.col("player_id").alias("answer_id"), F.col("name").alias("answer_name"), name_keys(F.col("name")).alias("answer_keys"))
     asked = answers.select("question_id", F.col("player_id").alias("answer_id")).join(own, "answer_id").withColumn("start", seeded(F.col("question_id"), seed) % parts)
+    asked = stash(asked, "questions")  # each round asks for it, and so do the options that the rounds before found
     others, span, left = None, 1, asked
     first = Window.partitionBy("question_id")
     while True:
@@ -147,7 +149,7 @@ def multiple_choice(answers: DataFrame, players: DataFrame, n: int, seed: int =
         near = near.withColumn("same", F.row_number().over(Window.partitionBy("question_id", "plain").orderBy("step", "order", "player_id"))).where("same = 1")
         near = near.withColumn("n", F.row_number().over(first.orderBy("step", "order", "player_id"))).where(F.col("n") <= n)
         near = near.withColumn("found", F.count("*").over(first))
-        full = near if span >= parts else near.where(F.col("found") == n)
+        full = stash((near if span >= parts else near.where(F.col("found") == n)).select("question_id", "player_id", "name"), "options")
         others = full if others is None else others.unionByName(full)
         if span >= parts:
             break

@@ -17,3 +17,13 @@ def plan(df):
 def test_with_lineup_makes_lineups_once(spark):
     df = queries.QUERIES["with_lineup"](spark, SF)
     assert "Window" not in plan(df) and "Join" not in plan(df)
+
+
+def test_multiple_choice_asks_each_round_once(spark):
+    players = spark.createDataFrame([(f"P{i}", f"Ann{i} Bee{i}") for i in range(40)], "player_id string, name string")
+    answers = spark.createDataFrame([(f"q{i}", f"P{i}") for i in range(9)], "question_id string, player_id string")
+    df = candidates.multiple_choice(answers, players, 3)
+    assert "Join" not in plan(df)
+    rows = df.collect()
+    assert len(rows) == 36 and {(r.question_id, r.player_id) for r in rows if r.correct} == {(f"q{i}", f"P{i}") for i in range(9)}
+    assert all(len({r.name for r in rows if r.question_id == f"q{i}"}) == 4 for i in range(9))
