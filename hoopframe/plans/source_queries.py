@@ -108,7 +108,8 @@ def _documents_possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One season, then all, then the other season once more; what is read back, and by which run it was written."""
     a = views.actions(spark, sf_dir)
-    p = possessions.possessions(a).join(a.select("game_id", "season_code").distinct(), "game_id")
+    a = store.stash(a, "actions")  # each run reads its outputs several times
+    p = store.stash(possessions.possessions(a).join(a.select("game_id", "season_code").distinct(), "game_id"), "possessions")
     root = f"{store.scratch_dir(spark)}/hoopframe/games-{uuid.uuid4().hex}"
     first = F.col("season_code") == "E2023"
     store.write_games({"actions": a.where(first), "possessions": p.where(first)}, root)

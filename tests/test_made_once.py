@@ -27,3 +27,10 @@ def test_multiple_choice_asks_each_round_once(spark):
     rows = df.collect()
     assert len(rows) == 36 and {(r.question_id, r.player_id) for r in rows if r.correct} == {(f"q{i}", f"P{i}") for i in range(9)}
     assert all(len({r.name for r in rows if r.question_id == f"q{i}"}) == 4 for i in range(9))
+
+
+def test_incremental_write_hands_on_written_outputs(spark, monkeypatch):
+    seen, write = [], store.write_games
+    monkeypatch.setattr(store, "write_games", lambda outputs, *a, **k: seen.extend(outputs.values()) or write(outputs, *a, **k))
+    queries.QUERIES["incremental_write"](spark, SF)
+    assert len(seen) == 6 and not [df for df in seen if "Window" in plan(df)]
