@@ -14,16 +14,16 @@ from .queries import register
 def readings(acts: DataFrame) -> DataFrame:
     """What a broadcast shows around each action: its clock and the two seconds before and after it, each period 720 seconds of
     video, with look-alike letters, cut texts and doubtful readings by the action's number."""
-    shown = acts.select("game_id", "original_event_id", period_order("period").alias("p"), "seconds_remaining", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("s"))
-    left = F.col("seconds_remaining") - F.col("s")
+    shown = acts.select("game_id", "original_event_id", period_order("period").alias("p"), "seconds_remaining").repartition("game_id")  # the only shuffle on the way to the tracker
+    shown = shown.select("*", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("s"))
+    # of the readings of a second that of the first action stays, and is written then
+    kept = shown.withColumn("left", F.col("seconds_remaining") - F.col("s")).where("left between 0 and 600").groupBy("game_id", "p", "left")
+    kept = kept.agg(F.min_by("s", "original_event_id").alias("s"), F.min("original_event_id").alias("original_event_id"))
     h = F.pmod(F.col("original_event_id") * 31 + F.col("s") * 7, F.lit(100))
     clock = F.format_string("%d:%02d", (F.col("left") / 60).cast("int"), F.col("left") % 60)
     text = F.when(h < 3, F.lit("4:4")).when(h < 8, F.translate(clock, "05", "OS")).otherwise(clock)
-    rows = shown.withColumns({"left": left, "h": h}).where("left between 0 and 600")
     time = (F.col("p") - 1) * 720 + 600 - F.col("left")
-    rows = rows.select("game_id", time.cast("double").alias("video_time"), text.alias("text"), F.when(F.col("h") > 95, 0.1).otherwise(0.9).alias("confidence"), "original_event_id")
-    best = F.min(F.struct("original_event_id", "text", "confidence")).alias("r")
-    return rows.groupBy("game_id", "video_time").agg(best).select("game_id", "video_time", "r.text", "r.confidence")
+    return kept.withColumn("h", h).select("game_id", time.cast("double").alias("video_time"), text.alias("text"), F.when(F.col("h") > 95, 0.1).otherwise(0.9).alias("confidence"))
 
 
 @register("clock_tracker")

@@ -154,7 +154,7 @@ def _track(t: Track, now: list, r: Rules) -> list:
     if -fall > r.max_rise:
         t.rebase = [now] if _may_rebase(t, now, r) else []
         return []
-    if not sure and re.fullmatch(r"\d\.\d", now[2]) and t.last[1] >= 15 and fall >= 10:
+    if fall >= 10 and t.last[1] >= 15 and not sure and re.fullmatch(r"\d\.\d", now[2]):
         t.digit = now  # a digit may be missing; the next reading tells
         return []
     held, t.gapped = t.gapped, []

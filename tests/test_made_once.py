@@ -34,3 +34,27 @@ def test_incremental_write_hands_on_written_outputs(spark, monkeypatch):
     monkeypatch.setattr(store, "write_games", lambda outputs, *a, **k: seen.extend(outputs.values()) or write(outputs, *a, **k))
     queries.QUERIES["incremental_write"](spark, SF)
     assert len(seen) == 6 and not [df for df in seen if "Window" in plan(df)]
+
+
+ACTS = "game_id string, original_event_id long, period string, seconds_remaining int"
+
+
+def test_readings_of_a_second_are_those_of_the_first_action(spark):
+    acts = [("g", 1, "1st", 600), ("g", 4, "1st", 599), ("g", 3, "1st", 597), ("g", 9, "4th", 1), ("h", 7, "2nd", 0), ("h", 8, "OT", 300)]
+    best = {}
+    for game, e, period, left in acts:
+        p = {"OT": 5}.get(period) or int(period[0])
+        for s in range(-2, 3):
+            at, h = left - s, (e * 31 + s * 7) % 100
+            if 0 <= at <= 600:
+                clock = f"{at // 60}:{at % 60:02d}"
+                text = "4:4" if h < 3 else clock.translate(str.maketrans("05", "OS")) if h < 8 else clock
+                key = (game, (p - 1) * 720 + 600.0 - at)
+                best[key] = min(best.get(key, (99,)), (e, text, 0.1 if h > 95 else 0.9))
+    got = stream_queries.readings(spark.createDataFrame(acts, ACTS)).collect()
+    assert sorted((r.game_id, r.video_time, r.text, r.confidence) for r in got) == sorted((*k, *v[1:]) for k, v in best.items())
+
+
+def test_the_tracker_of_actions_shuffles_once(spark):
+    rows = tracker.track_batch(stream_queries.readings(spark.createDataFrame([("g", 1, "1st", 600)], ACTS)))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
