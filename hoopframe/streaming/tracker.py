@@ -373,7 +373,7 @@ def track_stream(readings: DataFrame, rules: Rules = Rules(), time: str | None =
 def resolve_retractions(rows: DataFrame) -> DataFrame:
     """Appended rows without those that a later retraction of their period took back: those put out before it, at or after
     its time. Rows of a period that a game appends after the retraction stay."""
-    earlier = Window.partitionBy("game_id", "period").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
-    taken = F.min(F.when(F.col("op") == "retract", F.col("video_time"))).over(earlier)
+    later = Window.partitionBy("game_id", "period").orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, -1)  # a running one
+    taken = F.min(F.when(F.col("op") == "retract", F.col("video_time"))).over(later)
     kept = rows.withColumn("_from", taken).where("op = 'append' and (_from is null or video_time < _from)")
     return kept.select("game_id", "video_time", "period", "clock", "clock_seconds")

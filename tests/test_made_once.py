@@ -58,3 +58,11 @@ def test_readings_of_a_second_are_those_of_the_first_action(spark):
 def test_the_tracker_of_actions_shuffles_once(spark):
     rows = tracker.track_batch(stream_queries.readings(spark.createDataFrame([("g", 1, "1st", 600)], ACTS)))
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_retractions_are_resolved_by_a_running_minimum(spark):
+    rows = [(1, "append", 5.0), (2, "append", 9.0), (3, "retract", 6.0), (4, "append", 9.0), (5, "append", 12.0), (6, "retract", 10.0), (7, "append", 13.0)]
+    df = spark.createDataFrame([("g", n, op, at, "2nd", "1:00", 60.0) for n, op, at in rows], tracker.OUTPUT)
+    out = tracker.resolve_retractions(df)
+    assert sorted(r.video_time for r in out.collect()) == [5.0, 9.0, 13.0]
+    assert "unboundedfollowing" not in plan(out)
