@@ -152,8 +152,10 @@ def _sql_terms() -> str:
     UNION ALL SELECT '<{_B}/games/' || season_code || '/' || game_code || '> <{V}hasPlayByPlayAction> <' || {_J} || original_event_id || '> .' FROM actions""",
 )
 def _action_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = views.actions(spark, sf_dir)
-    full = links.with_foul_links(links.link_actions(lineups.lineup_at_action(a, views.starters(a))))
+    # the links read the actions of lineups seven times, their lines the linked ones twice
+    a = store.stash(views.actions(spark, sf_dir), "actions")
+    lined = store.stash(lineups.lineup_at_action(a, views.starters(a)), "lined-actions")
+    full = store.stash(links.with_foul_links(links.link_actions(lined)), "linked-actions")
     return triples.action_lines(full, V, _B).select("line")
 
 

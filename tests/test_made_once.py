@@ -29,6 +29,11 @@ def test_multiple_choice_asks_each_round_once(spark):
     assert all(len({r.name for r in rows if r.question_id == f"q{i}"}) == 4 for i in range(9))
 
 
+def test_action_terms_links_written_actions(spark):
+    df = queries.QUERIES["action_terms"](spark, SF)
+    assert "Window" not in plan(df) and "Aggregate" not in plan(df)
+
+
 def test_incremental_write_hands_on_written_outputs(spark, monkeypatch):
     seen, write = [], store.write_games
     monkeypatch.setattr(store, "write_games", lambda outputs, *a, **k: seen.extend(outputs.values()) or write(outputs, *a, **k))
