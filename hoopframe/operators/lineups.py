@@ -43,12 +43,13 @@ def lineup_at_action(acts: DataFrame, starters: DataFrame, only: Column | None =
     """
     changes = lineup_changes(court_stints(acts, starters), court_moves(acts, starters))
     asked = acts if only is None else acts.where(only)
-    rows = asked.select("game_id", "seq", F.struct(*acts.columns).alias("_a")).unionByName(changes, allowMissingColumns=True)
-    order = Window.partitionBy("game_id").orderBy("seq", F.col("_a").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # columns of their own, not one struct: those that nobody reads later are neither shuffled nor sorted
+    rows = asked.withColumn("_asked", F.lit(True)).unionByName(changes, allowMissingColumns=True)
+    order = Window.partitionBy("game_id").orderBy("seq", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     none = F.array().cast("array<string>")
     sides = ("home_lineup", "road_lineup")
     rows = rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(order), none) for c in sides})
-    return rows.where("_a is not null").select("_a.*", *sides)
+    return rows.where("_asked").select(*[F.col(f"`{c}`") for c in acts.columns], *sides)
 
 
 def settle_substitutions(acts: DataFrame) -> DataFrame:

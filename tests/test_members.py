@@ -26,3 +26,13 @@ def test_no_aggregate_holds_an_entry_an_action(spark):
     for df in (lineups.all_members(acts, players, "ten", F.col("height") > 1), lineups.count_members(acts, players, "own", F.col("height") > 1, 1), lineups.mean_height_on_court(acts, players)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Aggregate [" in line and "action_id" in line], plan
+
+
+def test_columns_that_nobody_reads_are_not_carried_with_the_lineups(spark):
+    acts = spark.createDataFrame([("g", 1, "1", "IN", "A", "P1", "A", "B", 7.0), ("g", 2, "2", "2FGM", "A", "P1", "A", "B", 7.0)], "game_id string, seq int, action_id string, action_code string, team_id string, player_id string, home_team string, road_team string, coord_x double")
+    starters = spark.createDataFrame([("g", "road", "P3")], "game_id string, side string, player_id string")
+    lined = lineups.lineup_at_action(acts, starters)
+    assert lined.columns == [*acts.columns, "home_lineup", "road_lineup"]
+    assert sorted(tuple(r)[2:] for r in lined.collect()) == [("1", "IN", "A", "P1", "A", "B", 7.0, ["P1"], ["P3"]), ("2", "2FGM", "A", "P1", "A", "B", 7.0, ["P1"], ["P3"])]
+    plan = lined.select("action_id", "home_lineup")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "coord_x" in line and "LogicalRDD" not in line], plan
