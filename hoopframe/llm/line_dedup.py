@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bloom import possible
 from .cells import Space, connect, join_cells, with_end
 from .common import ascii_lower, attach, read, stash, text_or_empty
+from .edits import Texts, within
 from .graph import components
 from .shingles import chunks, keys, mix, per_text, word_hashes
 
@@ -29,6 +30,7 @@ PAIR_BANDS = 2  # bands of two MinHashes of the pairs of neighbouring words
 SHORT, SHORT_BANDS = 16, 3  # words below which a line has bands of one MinHash of its pairs besides
 SIMILARITY = 0.8
 NO_ID = -(1 << 63)
+PAIRS = 64  # of a cell, those of the nearest SimHashes, that are compared before links leave pairs out; then twice as many
 LINE = ["d_id", "d_hash", "line_no"]  # rows equal in id and text are one document
 _BLANK = np.ones(256, bool)
 _BLANK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -305,89 +307,109 @@ def line_texts(docs: DataFrame, at: DataFrame, id_col: str, text_col: str) -> Da
     return stash(found.dropDuplicates(["key"]).withColumn("weight", F.length("item.text").cast("long")), "line-texts")
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether at most so many edits of single characters turn a into b.
-
-    What both start and end with goes first. The columns of the edit table
-    are the bits of two whole numbers: where it rises and where it falls.
-    """
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
-    short = min(len(x), len(y))
-    other = np.flatnonzero(x[:short] != y[:short])
-    head = int(other[0]) if len(other) else short
-    other = np.flatnonzero(x[::-1][: short - head] != y[::-1][: short - head])
-    tail = int(other[0]) if len(other) else short - head
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if max(len(a), len(b)) <= most:
-        return True
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    top, up, down, edits, left = 1 << max(len(a) - 1, 0), whole, 0, len(a), len(b)
-    for c in b:
-        left -= 1
-        same = places.get(c, 0)
-        across = (((same & up) + up) ^ up) | same
-        plus, minus = down | ~(across | up) & whole, up & across
-        if plus & top:
-            edits += 1
-            if edits - left > most:
-                return False
-        elif minus & top:
-            edits -= 1
-        plus, minus = (plus << 1 | 1) & whole, minus << 1 & whole
-        across = same | down
-        up, down = minus | ~(across | plus) & whole, plus & across
-    return edits <= most
-
-
 class LineSpace(Space):
     """Normalised lines with their SimHashes, linked by edit similarity where the SimHashes are at most FAR_BITS apart."""
 
     def __init__(self, lines: pa.StructArray, similarity: float):
-        self.text, self.apart = lines.field("text").to_pylist(), 1 - similarity
+        self.text, self.far = lines.field("text").to_pylist(), 1 - similarity
         self.sim = lines.field("sim").to_numpy().view(np.uint64)
-        self.words = [t.split(" ") for t in self.text]
+        self.words, self.tables = [t.split(" ") for t in self.text], {}
         self.n = np.array([len(t) for t in self.text])
         self.weight = int(self.n.sum())
 
     def _pairs(self, i: int, js: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which lines js may be linked with i, and the edits that are allowed."""
-        most = np.floor(np.maximum(self.n[i], self.n[js]) * self.apart + 1e-9).astype(int)
+        most = np.floor(np.maximum(self.n[i], self.n[js]) * self.far + 1e-9).astype(int)
         return (np.bitwise_count(self.sim[i] ^ self.sim[js]) <= FAR_BITS) & (np.abs(self.n[i] - self.n[js]) <= most), most
 
     def alike(self, i: int, js: np.ndarray) -> np.ndarray:
         """Which lines have as many words as i, those that differ in few enough characters to change: linked for sure."""
+        if not self.tables:
+            self._table_words()
         out, most = self._pairs(i, js)
-        own = self.words[i]
-        for k in np.flatnonzero(out):
-            other = self.words[js[k]]
-            out[k] = len(own) == len(other) and sum(max(len(x), len(y)) for x, y in zip(own, other) if x != y) <= most[k]
+        out &= self.count[js] == self.count[i]
+        k = np.flatnonzero(out)
+        if len(k):
+            words, sizes = self.tables[self.count[i]]
+            own, others = self.row[i], self.row[js[k]]
+            out[k] = ((words[others] != words[own]) * np.maximum(sizes[others], sizes[own])).sum(axis=1) <= most[k]
         return out
 
+    def _table_words(self) -> None:
+        """Numbers of words and their characters, in a table for each number of words a line."""
+        number: dict[str, int] = {}
+        words = [[number.setdefault(w, len(number)) for w in line] for line in self.words]
+        length = np.array([len(w) for w in number], np.int32)
+        self.count, self.row = np.array([len(w) for w in words]), np.zeros(len(words), int)
+        for count in np.unique(self.count):
+            own = np.flatnonzero(self.count == count)
+            self.row[own] = np.arange(len(own))
+            table = np.array([words[i] for i in own], np.int32)
+            self.tables[count] = table, length[table]
+
+    def _connect_alike(self, before: np.ndarray) -> np.ndarray:
+        """The labels after the links of lines that are alike; most cells have two lines, so these go without arrays."""
+        if len(before) != 2:
+            return connect(before, self.alike)
+        (a, b), (x, y) = self.n.tolist(), self.sim.tolist()
+        most = int(max(a, b) * self.far + 1e-9)
+        if (x ^ y).bit_count() <= FAR_BITS and abs(a - b) <= most and len(self.words[0]) == len(self.words[1]):
+            if sum(max(len(x), len(y)) for x, y in zip(*self.words) if x != y) <= most:
+                return before[:1].repeat(2)
+        return before
+
     def linked(self, i: int, js: np.ndarray) -> np.ndarray:
         out, most = self._pairs(i, js)
-        for k in np.flatnonzero(out):
-            out[k] = within(self.text[i], self.text[js[k]], int(most[k]))
+        alike = self.alike(i, js)
+        may = np.flatnonzero(out & ~alike)
+        own = Texts([self.text[i], *[self.text[j] for j in js[may]]])
+        out[may] = own.within(np.zeros(len(may), int), np.arange(1, len(may) + 1), most[may])
         return out
 
+    def apart(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, most) of the pairs of lines of two labels that may be linked, those of the nearest SimHashes first."""
+        found = []
+        for lo in range(0, len(labels), 128):
+            own = np.arange(lo, min(lo + 128, len(labels)))
+            bits = np.bitwise_count(self.sim[own][:, None] ^ self.sim[None, lo:])
+            i, j = np.nonzero((bits <= FAR_BITS) & (labels[own][:, None] != labels[None, lo:]))
+            i, j = i[i < j], j[i < j]
+            found.append((own[i], j + lo, bits[i, j]))
+        i, j, bits = (np.concatenate(x) for x in zip(*found))
+        most = np.floor(np.maximum(self.n[i], self.n[j]) * self.far + 1e-9).astype(int)
+        near = np.abs(self.n[i] - self.n[j]) <= most
+        order = np.argsort(bits[near], kind="stable")
+        return tuple(x[near][order].astype(np.int32) for x in (i, j, most))
+
     @staticmethod
     def connect_all(cells: list[tuple[Space, np.ndarray]]) -> list[np.ndarray]:
-        """First by lines that are alike word for word; the edit distance only of pairs that are in two groups then."""
-        out = []
-        for space, before in cells:
-            labels = connect(before, space.alike)
-            for i in range(len(labels) - 1):
-                others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
-                may, most = space._pairs(i, others)
-                for j, allowed in zip(others[may].tolist(), most[may].tolist()):
-                    if labels[j] != labels[i] and within(space.text[i], space.text[j], allowed):
-                        labels[labels == labels[j]] = labels[i]
-            out.append(labels)
-        return out
+        """First by lines that are alike word for word; the edit distance only of pairs that are in two groups then.
+
+        Pairs of all cells are compared side by side, some of each cell at a
+        time: what these link leaves out further pairs.
+        """
+        labels = [space._connect_alike(before).copy() for space, before in cells]
+        left = {c: space.apart(labels[c]) for c, (space, _) in enumerate(cells) if (labels[c] != labels[c][0]).any()}
+        texts = Texts([t for c in left for t in cells[c][0].text])
+        first = dict(zip(left, np.cumsum([0, *[len(cells[c][0].text) for c in left]]).tolist()))
+        turn = PAIRS
+        while left:
+            some = []
+            for c, (i, j, most) in list(left.items()):
+                apart = labels[c][i] != labels[c][j]
+                i, j, most = i[apart], j[apart], most[apart]
+                some.append((np.full(min(len(i), turn), c), i[:turn], j[:turn], most[:turn]))
+                left[c] = i[turn:], j[turn:], most[turn:]
+                if len(i) <= turn:
+                    del left[c]
+            cell, i, j, most = (np.concatenate(x) for x in zip(*some))
+            at = np.array([first.get(c, 0) for c in range(len(cells))])[cell]
+            for k in np.flatnonzero(texts.within(at + i, at + j, most)):
+                own = labels[cell[k]]
+                if own[i[k]] != own[j[k]]:
+                    own[own == own[j[k]]] = own[i[k]]
+            turn *= 2
+        return labels
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
