@@ -88,6 +88,11 @@ def _stars(keys: np.ndarray, labels: np.ndarray, before: np.ndarray) -> Iterator
     yield was[other & own], k[lead][other & own]
 
 
+def _tasks(rows: DataFrame) -> int:
+    """As many as a shuffle has: adaptive execution would merge the few bytes of tasks that compute for long."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _joined(rows: DataFrame, items: DataFrame, space: Callable[[pa.Array], Space]) -> DataFrame:
     """Links (a, b) of cells that fit in a task: rows (cell, key, label, rank), central members of a cell by rank first."""
 
@@ -107,7 +112,7 @@ def _joined(rows: DataFrame, items: DataFrame, space: Callable[[pa.Array], Space
                 held = []
 
     whole = rows.select("cell", "key", "label", "rank").join(items.select("key", "item"), "key")
-    whole = whole.repartition("cell").sortWithinPartitions("cell", "rank", "key").select("cell", "key", "label", "item")
+    whole = whole.repartition(_tasks(rows), "cell").sortWithinPartitions("cell", "rank", "key").select("cell", "key", "label", "item")
     return stash(whole.mapInArrow(run, "a long, b long"), "links")
 
 
@@ -158,7 +163,7 @@ def _split(rows: DataFrame, items: DataFrame, space: Callable[[pa.Array], Space]
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b)], names)
 
     whole = dealt.unionByName(pivots).join(items.select("key", "item"), "key")
-    whole = whole.repartition("cell", "block").sortWithinPartitions("cell", "block").select("cell", "block", "key", "label", "pivot", "item")
+    whole = whole.repartition(_tasks(rows), "cell", "block").sortWithinPartitions("cell", "block").select("cell", "block", "key", "label", "pivot", "item")
     return stash(whole.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "split-cells")
 
 

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from hoopframe.llm import edits, line_dedup
+from hoopframe.llm import cells, edits, line_dedup
+from pyspark.sql import functions as F
 
 from .test_links import Classes, lev
 
@@ -74,3 +75,23 @@ def test_cells_are_compared_side_by_side(monkeypatch):
         assert [[bool(x == y) for y in labels] for x in labels] == [[groups.find(i) == groups.find(j) for j in range(20)] for i in range(20)]
     assert (before == np.arange(20)).all()
     assert len(calls) < 2 * edits.FEWEST  # of 380 pairs
+
+
+@pytest.mark.parametrize("members", [1024, 4])
+def test_cells_keep_the_tasks_of_a_shuffle(spark, members, monkeypatch):
+    """Adaptive execution merged the cells' few bytes into one task, which compared them all."""
+    monkeypatch.setattr(cells, "MEMBERS", members)
+    tasks, stash = {}, cells.stash
+
+    def counted(df, name):
+        if name in ("links", "split-cells"):
+            tasks.setdefault(name, set()).add(df.rdd.getNumPartitions())
+        return stash(df, name)
+
+    monkeypatch.setattr(cells, "stash", counted)
+    rows = spark.range(64).select(F.col("id").alias("key"), (F.col("id") % 8).alias("cell"), F.lit(0).alias("rank"))
+    item = F.struct(F.format_string("the same words in every line %s", F.col("id")).alias("text"), F.lit(0).cast("long").alias("sim"))
+    items = spark.range(64).select(F.col("id").alias("key"), F.lit(30).cast("long").alias("weight"), item.alias("item"))
+    links = cells.join_cells(rows, items, lambda x: line_dedup.LineSpace(x, 0.8)).collect()
+    assert len({frozenset((x.a % 8, x.b % 8)) for x in links}) == 8
+    assert tasks["links" if members > 4 else "split-cells"] == {4}
